@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,13 +84,13 @@ def metric_to_json(record: Column) -> Column:
     return F.to_json(record)
 
 
-def metric_from_json(text: Column, default_src: str = "localhost") -> Column:
-    """Metric record of a JSON text: ``key`` is required, the rest has defaults."""
-    m = F.from_json(text, METRIC)
-    return F.when(m["key"].isNotNull(), F.struct(
-        m["key"].alias("key"), m["value"].alias("value"), m["timestamp"].alias("timestamp"),
-        F.coalesce(m["tags"], F.create_map().cast("map<string,string>")).alias("tags"),
-        F.coalesce(m["platform"], F.lit("local")).alias("platform"),
-        F.coalesce(m["skey"], F.element_at(F.split(m["key"], "/"), -1)).alias("skey"),
-        F.coalesce(m["src"], F.lit(default_src)).alias("src"),
-    ))
+def metrics_from_json(df: DataFrame, text: str, default_src: str = "localhost") -> DataFrame:
+    """Adds the columns of the metric record in a JSON text: ``key`` is required, the rest has defaults."""
+    m = F.col("__m")
+    return df.withColumn("__m", F.from_json(F.col(text), METRIC)).where(m["key"].isNotNull()).withColumns({
+        "key": m["key"], "value": m["value"], "timestamp": m["timestamp"],
+        "tags": F.coalesce(m["tags"], F.create_map().cast("map<string,string>")),
+        "platform": F.coalesce(m["platform"], F.lit("local")),
+        "skey": F.coalesce(m["skey"], F.element_at(F.split(m["key"], "/"), -1)),
+        "src": F.coalesce(m["src"], F.lit(default_src)),
+    }).drop("__m")

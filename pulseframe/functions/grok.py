@@ -113,8 +113,10 @@ class Grok:
 
     def captures(self, text: Column, names: list[str] | None = None) -> Column:
         """Map of the captures that are not empty."""
-        entries = [F.struct(F.lit(n).alias("k"), self.field(text, n).alias("v")) for n in names or self.fields]
-        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
+        entries = [
+            F.struct(F.lit(n).alias("k"), F.regexp_extract(text, self.regex, self.fields[n]).alias("v")) for n in names or self.fields
+        ]
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"] != ""))
 
     def is_match(self, text: Column) -> Column:
         """True where the text matches and no capture is empty."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Quoted groups and bare runs; an unclosed quote reaches to the end of the text.
 QUOTED_TOKENS = r""""[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s\p{Z}'"]+"""
 WORD = r"[\p{L}\p{N}]+"
+_SEPARATOR = r"[\s\p{P}\p{Z}]+"
+_OTHER = r"[^\p{L}\p{N}\s\p{P}\p{Z}]+"
 _EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -38,18 +40,21 @@ def grep_lines(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataF
     return exploded.where(F.col("line").rlike(pattern))
 
 
-def quoted_tokens(text: Column) -> Column:
-    """Tokens by white space and quotes, for texts without backslash escapes."""
+def _raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({QUOTED_TOKENS})"), F.lit(1))
+
 
-    def bare(token: Column) -> Column:
-        first = F.left(token, F.lit(1))
-        closed = (F.length(token) > 1) & (F.right(token, F.lit(1)) == first)
-        inner = F.substring(token, F.lit(2), F.length(token) - 2)
-        rest = F.regexp_replace(F.substring(token, F.lit(2), F.length(token)), _EDGE_SPACE, "")
-        return F.when(~first.isin('"', "'"), token).when(closed, inner).otherwise(rest)
+def _bare(token: Column) -> Column:
+    first = F.left(token, F.lit(1))
+    closed = (F.length(token) > 1) & (F.right(token, F.lit(1)) == first)
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    rest = F.regexp_replace(F.substring(token, F.lit(2), F.length(token)), _EDGE_SPACE, "")
+    return F.when(~first.isin('"', "'"), token).when(closed, inner).otherwise(rest)
 
-    found = F.regexp_extract_all(text, F.lit(f"({QUOTED_TOKENS})"), F.lit(1))
-    return F.filter(F.transform(found, bare), lambda t: t != "")
+
+def quoted_tokens(text: Column) -> Column:
+    """Tokens by white space and quotes, for texts without backslash escapes."""
+    return F.filter(F.transform(_raw_tokens(text), _bare), lambda t: t != "")
 
 
 def _split_escaped(text: str) -> list[str]:
@@ -76,32 +81,47 @@ def _split_escaped(text: str) -> list[str]:
 def tokenize(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Rows with a ``tokens`` array. Only texts with a backslash go through Python."""
     chosen = df.select(*keep, text)
-    plain = ~F.contains(F.col(text), F.lit("\\"))
+    escapes = F.contains(F.col(text), F.lit("\\"))
+    native = chosen.where(~escapes).select(*keep, quoted_tokens(F.col(text)).alias("tokens"))
+    return native.unionByName(chosen.where(escapes).select(*keep, _escaped_tokens(F.col(text)).alias("tokens")))
 
+
+def _escaped_tokens(text: Column) -> Column:
     @F.pandas_udf("array<string>")
-    def escaped(texts):
+    def split(texts):
         return texts.map(lambda t: None if t is None else _split_escaped(t))
 
-    native = chosen.where(plain).select(*keep, quoted_tokens(F.col(text)).alias("tokens"))
-    slow = chosen.where(~plain).select(*keep, escaped(F.col(text)).alias("tokens"))
-    return native.unionByName(slow)
+    return split(text)
 
 
 def token_frequencies(df: DataFrame, text: str) -> DataFrame:
-    return tokenize(df, text, []).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """(token, n). Quotes are stripped from the distinct tokens, after most copies are counted away."""
+    escapes = F.contains(F.col(text), F.lit("\\"))
+
+    def counted(tokens: DataFrame) -> DataFrame:
+        return tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+    raw = counted(df.where(~escapes).select(F.explode(_raw_tokens(F.col(text))).alias("token")))
+    native = raw.select(_bare(F.col("token")).alias("token"), "n").where(F.col("token") != "")
+    slow = counted(df.where(escapes).select(F.explode(_escaped_tokens(F.col(text))).alias("token")))
+    return native.unionByName(slow).groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
-def token_kinds(text: Column) -> Column:
-    """Every piece of a text as {value, word, separator, unknown}."""
-    pieces = F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD}|[\s\p{{P}}\p{{Z}}]+|[^\p{{L}}\p{{N}}\s\p{{P}}\p{{Z}}]+)"), F.lit(1))
-    return F.transform(pieces, lambda p: F.struct(
-        p.alias("value"), p.rlike(rf"^{WORD}$").alias("word"), p.rlike(r"^[\s\p{P}\p{Z}]+$").alias("separator"),
-        p.rlike(r"^[^\p{L}\p{N}\s\p{P}\p{Z}]+$").alias("unknown"),
-    ))
+def token_kinds(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Every piece of a text with its kind: ``word``, ``separator`` or ``unknown``.
+
+    A piece has characters of one kind only, so its first one tells which.
+    """
+    pieces = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"({WORD}|{_SEPARATOR}|{_OTHER})"), F.lit(1))
+    return df.select(*keep, F.posexplode(pieces).alias("pos", "value")).withColumn("kind", piece_kind(F.col("value")))
+
+
+def piece_kind(piece: Column) -> Column:
+    return F.when(piece.rlike(f"^{WORD}"), "word").when(piece.rlike(f"^{_SEPARATOR}"), "separator").otherwise("unknown")
 
 
 def word_counts(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.text import words
+from pulseframe.session import ensure_checkpoint_dir
 
 MAX_LABELS = 1_000
 BROADCAST_TOKENS = 50_000
@@ -42,7 +43,7 @@ class LogCategories:
     """A trained categoriser: priors and totals per label, and one row per known token."""
 
     labels: list[tuple[str, float, float]]  # label, log prior, log of smoothed total
-    tokens: DataFrame  # token, weights: map label -> ln(count + 1)
+    tokens: DataFrame  # token, weights: array of ln(count + 1) in the order of the labels
     vocabulary: int
 
     def scores(self, df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
@@ -58,8 +59,7 @@ class LogCategories:
         else:
             hits = found.groupBy(*ids, "token").agg(F.count("*").alias("n")).join(self.tokens, "token")
         sums = [
-            F.sum(F.col("n") * F.coalesce(F.try_element_at("weights", F.lit(label)), F.lit(0.0))).alias(f"__s{i}")
-            for i, (label, _, _) in enumerate(self.labels)
+            F.sum(F.col("n") * F.get("weights", F.lit(i))).alias(f"__s{i}") for i in range(len(self.labels))
         ]
         summed = hits.groupBy(*ids).agg(F.sum("n").alias("known"), *sums)
         scores = [
@@ -81,21 +81,25 @@ class LogCategories:
 
 
 def train(training: DataFrame) -> LogCategories:
-    """Fit on (label, text). The driver receives one row per label and the vocabulary size."""
-    counts = token_counts(training)
+    """Fit on (label, text). The driver receives one row per label and the vocabulary size.
+
+    The counts, bounded by the vocabulary, are checkpointed: texts are read once.
+    """
+    ensure_checkpoint_dir(training.sparkSession)
+    counts = token_counts(training).checkpoint()
     per_label = training.groupBy("label").agg(F.count("*").alias("docs"))
     totals = counts.groupBy("label").agg(F.sum("n").alias("tokens"))
     rows = per_label.join(totals, "label", "left").limit(MAX_LABELS + 1).collect()
     if not rows or len(rows) > MAX_LABELS:
         raise ValueError(f"training needs between 1 and {MAX_LABELS} labels")
-    tokens = counts.groupBy("token").agg(
-        F.map_from_entries(F.collect_list(F.struct("label", F.ln(F.col("n") + 1)))).alias("weights")
-    )
-    vocabulary = tokens.count()
+    vocabulary = counts.select("token").distinct().count()
     docs = sum(r["docs"] for r in rows)
     labels = [
         (r["label"], log(r["docs"] / docs), log((r["tokens"] or 0) + vocabulary)) for r in sorted(rows, key=lambda r: r["label"])
     ]
+    weighted = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", F.ln(F.col("n") + 1)))).alias("m"))
+    weights = F.array(*[F.coalesce(F.try_element_at("m", F.lit(label)), F.lit(0.0)) for label, _, _ in labels])
+    tokens = weighted.select("token", weights.alias("weights"))
     return LogCategories(labels, tokens, vocabulary)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -32,18 +32,21 @@ Fold = Callable[[Sequence, list], tuple[np.ndarray, list]]
 def _tolerance_fold(q: float, size: int) -> Fold:
     """Refuse a number inside the error band of a kept one; keep at most ``size`` numbers."""
 
+    def bands(state: list) -> tuple[np.ndarray, np.ndarray]:
+        held = np.asarray(state, dtype=float)
+        half = held * q / 2
+        return np.minimum(held - half, held + half), np.maximum(held - half, held + half)
+
     def fold(values: Sequence, state: list) -> tuple[np.ndarray, list]:
         kept = np.zeros(len(values), dtype=bool)
         state = list(state)
-        held = np.asarray(state, dtype=float)
-        low, high = np.minimum(held * (1 - q / 2), held * (1 + q / 2)), np.maximum(held * (1 - q / 2), held * (1 + q / 2))
+        low, high = bands(state)
         for i, v in enumerate(values):
             if ((low <= v) & (v <= high)).any():
                 continue
             kept[i] = True
             state = [*state, float(v)][-size:]
-            held = np.asarray(state, dtype=float)
-            low, high = np.minimum(held * (1 - q / 2), held * (1 + q / 2)), np.maximum(held * (1 - q / 2), held * (1 + q / 2))
+            low, high = bands(state)
         return kept, state
 
     return fold
@@ -89,14 +92,27 @@ def _suppress(
     rows = df.where(F.col(value).isNotNull())
     schema = rows.schema
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf[fold(pdf[value].tolist(), [])[0]]
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, []
+        for batch in batches:
+            names = list(zip(*(batch[k] for k in keys)))
+            starts = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]
+            values = batch[value].tolist()
+            mask = np.zeros(len(batch), dtype=bool)
+            for start, stop in zip(starts, [*starts[1:], len(batch)]):
+                if names[start] != current:
+                    current, state = names[start], []
+                mask[start:stop], state = fold(values[start:stop], state)
+            yield batch[mask]
+
+    def whole(df: DataFrame) -> DataFrame:
+        """Sorted rows stream through, so a task holds one batch and the state of one key."""
+        return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(in_order, schema)
 
     if hot_rows is None:
-        return rows.groupBy(*keys).applyInPandas(whole, schema)
+        return whole(rows)
     cold, hot, total = split_hot_keys(rows, keys, hot_rows)
-    done = cold.groupBy(*keys).applyInPandas(whole, schema)
+    done = whole(cold)
     if hot is None:
         return done
     blocks = consecutive_blocks(hot, keys, order, 0, block_rows, total).drop("__carry")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import error_band
+from pulseframe.operators.scale import BLOCK_ROWS
+from pulseframe.session import ensure_checkpoint_dir
 
 
 def label_by_ranges(df: DataFrame, value: str, ranges: Sequence[tuple[float, float, str]]) -> DataFrame:
@@ -26,20 +28,40 @@ def label_by_ranges(df: DataFrame, value: str, ranges: Sequence[tuple[float, flo
     return df.withColumn("label", found)
 
 
-def _range_level(lo: Column, hi: Column) -> Column:
-    return F.ceil(F.log2(hi - lo)).cast("int")
+def disjoint_segments(ranges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Ranges (lo, hi, label, seq) cut down to the parts in which each one is the first to match.
 
-
-def label_by_range_table(df: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
+    In ascending order of the bounds, the first range that ends after a value is
+    the only one that can be its first match. So a range counts only beyond the
+    furthest end before it: what is left are disjoint (lo, hi, label) segments,
+    however many ranges overlap. The running maximum is taken per block of ranges
+    and carried over by one row per block.
+    """
+    first = ranges.where(F.col("hi") > F.col("lo")).groupBy("lo", "hi").agg(F.min_by("label", "seq").alias("label"))
+    blocks = max(1, -(-ranges.count() // block_rows))
+    placed = first.repartitionByRange(blocks, "lo", "hi").withColumn("__part", F.spark_partition_id())
+    if blocks > 1:
+        ensure_checkpoint_dir(ranges.sparkSession)
+        placed = placed.checkpoint()
+    inside = Window.partitionBy("__part").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    reached = placed.withColumn("__end", F.max("hi").over(inside))
+    if blocks > 1:
+        earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = placed.groupBy("__part").agg(F.max("hi").alias("__m")).select("__part", F.max("__m").over(earlier).alias("__carried"))
+        reached = reached.join(F.broadcast(carried), "__part").withColumn("__end", F.greatest("__end", "__carried"))
+    start = F.greatest("lo", "__end")
+    return reached.select(start.alias("lo"), "hi", "label").where(F.col("hi") > F.col("lo"))
+
+
+def label_by_range_table(df: DataFrame, value: str, ranges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Same labels from a table (lo, hi, label, seq) of any size.
 
-    A range is filed under the power of two next above its width, in the at most
-    two bins of that size it touches, so values and ranges meet in equi-joins.
-    Only the distinct values take part, with the few bin sizes in use.
+    A segment is filed under the power of two next above its width, in the at most
+    two bins of that size it touches. A bin holds three segments at the most, so
+    values meet few segments in the equi-join. Only distinct values take part.
     """
-    valid = ranges.where(F.col("hi") > F.col("lo"))
-    first = valid.groupBy("lo", "hi").agg(F.min_by("label", "seq").alias("label"))
-    leveled = first.withColumn("__level", _range_level(F.col("lo"), F.col("hi")))
+    segments = disjoint_segments(ranges, block_rows)
+    leveled = segments.withColumn("__level", F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int"))
     # Bin sizes are exponents of doubles: a handful in practice, 2,100 at the very most.
     levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())
     if not levels:
@@ -54,8 +76,7 @@ def label_by_range_table(df: DataFrame, value: str, ranges: DataFrame) -> DataFr
         "__level", F.explode(F.array(*[F.lit(l) for l in levels]))
     ).withColumn("__bin", bin_of(x))
     hits = probes.join(filed, ["__level", "__bin"]).where((x >= F.col("lo")) & (x < F.col("hi")))
-    labels = hits.groupBy(value).agg(F.min_by("label", F.struct("lo", "hi")).alias("label"))
-    return df.join(labels, value, "left")
+    return df.join(hits.select(value, "label"), value, "left")
 
 
 def band_overlap_join(

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import (
-    epoch_nanos, float_to_int, fractional_seconds, int_to_float, json_get, metric_from_json, metric_record,
-    metric_to_json, nanos_part, time_window,
+    epoch_nanos, float_to_int, fractional_seconds, int_to_float, json_get, metric_record, metric_to_json,
+    metrics_from_json, nanos_part, time_window,
 )
 from pulseframe.functions.paths import item_key_path, topic_fanout
 from pulseframe.model import GatewayConfig
@@ -39,7 +39,7 @@ def raw_envelopes(spark, d):
         F.lit('"details":{"detailType":"","contentType":0,"data":'), data, F.lit('}}},"id":"'), F.col("event_id"), F.lit('"}'),
     )
     broken = F.concat(F.lit("["), F.col("event_id"), F.lit("]"))
-    return table(spark, d, "events").select("event_id", "ts", F.when(kind == "error", broken).otherwise(text).alias("value"))
+    return table(spark, d, "events", "event_id").select("event_id", "ts", F.when(kind == "error", broken).otherwise(text).alias("value"))
 
 
 def ingest_envelope(spark, d):
@@ -94,7 +94,7 @@ def item_lookup(spark, d):
 
 
 def zabbix_history(spark, d):
-    raw = table(spark, d, "lineitem").select(
+    raw = table(spark, d, "lineitem", "l_orderkey").select(
         F.col("l_partkey").alias("itemid"),
         F.struct(F.concat(F.lit("host"), F.col("l_suppkey")).alias("host"), F.concat(F.lit("name"), F.col("l_suppkey")).alias("name")).alias("host"),
         (F.lit(1_700_000_000) + F.col("l_orderkey")).alias("clock"), F.col("l_linenumber").cast("bigint").alias("ns"),
@@ -116,7 +116,7 @@ def scrapes(spark, d):
         F.floor(micros() / 1000), F.lit("\n# TYPE level gauge\nlevel "), F.col("value"),
         F.lit("\nplain "), F.col("user_id"), F.lit('\n# TYPE lat histogram\nlat_bucket{le="0.5"} 3\nlat_sum 4\nlat_count 5\n'),
     )
-    return table(spark, d, "events").select(
+    return table(spark, d, "events", "event_id").select(
         F.col("event_id").alias("scrape_id"), text.alias("text"), F.lit(7).cast("bigint").alias("scraped_ms")
     )
 
@@ -162,7 +162,7 @@ def syslog_lines(spark, d):
         .when(kind == "click", F.concat(pri, day, F.lit(" host"), F.col("user_id"), F.lit(" su: "), F.col("props")))
         .when(kind == "signup", asl).otherwise(F.concat(F.lit("no priority "), F.col("event_id")))
     )
-    return table(spark, d, "events").select("event_id", line.alias("line"))
+    return table(spark, d, "events", "event_id").select("event_id", line.alias("line"))
 
 
 def syslog_parse(spark, d):
@@ -289,10 +289,10 @@ def conversions(spark, d):
 def metric_json(spark, d):
     key = F.concat(F.lit("/app/"), F.col("event_type"))
     record = metric_record(key, F.col("value").cast("string"), micros() * 1000, F.create_map(F.lit("user"), F.col("user_id").cast("string")), F.lit("host"))
-    read = table(spark, d, "events").select("event_id", metric_from_json(metric_to_json(record)).alias("m"))
-    return read.select(
-        "event_id", "m.key", F.col("m.value").cast("double").alias("value"), F.col("m.timestamp").alias("timestamp"),
-        "m.skey", "m.platform", "m.src", F.col("m.tags")["user"].alias("user"),
+    written = table(spark, d, "events", "event_id").select("event_id", metric_to_json(record).alias("json"))
+    return metrics_from_json(written, "json").select(
+        "event_id", "key", F.col("value").cast("double").alias("value"), "timestamp", "skey", "platform", "src",
+        F.col("tags")["user"].alias("user"),
     )
 
 

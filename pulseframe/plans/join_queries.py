@@ -48,7 +48,7 @@ def band_overlap_binned(spark, d):
 
 def fuzzy_names(spark, d):
     """Customer names one edit apart."""
-    return fuzzy_join(table(spark, d, "customer"), None, "c_name", None, 1).select(
+    return fuzzy_join(table(spark, d, "customer", "c_custkey"), None, "c_name", None, 1).select(
         "left_text", "right_text", F.col("distance").cast("bigint").alias("distance")
     )
 

@@ -165,7 +165,7 @@ def _fold_sql(series: str, columns: str, refuse: str) -> str:
     SELECT {columns} FROM f WHERE kept"""
 
 
-IN_BAND = "len(list_filter(f.held, lambda h: n.value BETWEEN h * (1 - 0.4 / 2) AND h * (1 + 0.4 / 2))) > 0"
+IN_BAND = "len(list_filter(f.held, lambda h: n.value BETWEEN h - h * 0.4 / 2 AND h + h * 0.4 / 2)) > 0"
 SIMILAR = "len(list_filter(f.texts, lambda h: levenshtein(n.props, h) < 2)) > 0"
 
 

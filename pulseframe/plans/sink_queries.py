@@ -94,8 +94,8 @@ def gateway_analysis(spark, d):
 
 def gateway_logs(spark, d):
     """Log records get a category learned from ``conversations`` roles, floats their statistics."""
-    model = train(labelled(table(spark, d, "conversations"), "role", "text"))
-    docs = table(spark, d, "documents").select(
+    model = train(labelled(table(spark, d, "conversations", "conv_id"), "role", "text"))
+    docs = table(spark, d, "documents", "doc_id").select(
         (-F.col("doc_id") - 1).alias("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
         F.lit(0).cast("bigint").alias("user_id"), F.lit("error").alias("event_type"), F.lit(0.0).alias("value"), F.col("text").alias("props"),
     )

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import epoch_micros
 from pulseframe.model import GatewayConfig, telemetry
+from pulseframe.operators.scale import spread
 
 CFG = GatewayConfig()
 SERIES = ["event_type"]
 ORDER = ["ts", "event_id"]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, spread_by) if spread_by else rows
 
 
 def micros(column: str = "ts") -> Column:
@@ -24,7 +26,7 @@ def micros(column: str = "ts") -> Column:
 
 def event_telemetry(spark: SparkSession, folder: str, cfg: GatewayConfig = CFG, raw: DataFrame | None = None) -> DataFrame:
     """Events as telemetry: views and purchases are floats, clicks integers, errors log lines, signups of no typed kind."""
-    events = table(spark, folder, "events") if raw is None else raw
+    events = table(spark, folder, "events", "event_id") if raw is None else raw
     kind = F.col("event_type")
     content = F.when(kind == "error", 2).when(kind == "click", 3).when(kind == "signup", 10).otherwise(0)
     data = (

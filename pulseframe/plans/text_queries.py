@@ -41,17 +41,17 @@ SCORE_SQL = r"""
 
 
 def text_lines(spark, d):
-    return explode_lines(table(spark, d, "documents"), "text", ["doc_id"]).select("doc_id", "line")
+    return explode_lines(table(spark, d, "documents", "doc_id"), "text", ["doc_id"]).select("doc_id", "line")
 
 
 def grep(spark, d):
-    return grep_lines(table(spark, d, "documents"), "text", r"(^|[^0-9])[0-9]{3}([^0-9]|$)", ["doc_id"])
+    return grep_lines(table(spark, d, "documents", "doc_id"), "text", r"(^|[^0-9])[0-9]{3}([^0-9]|$)", ["doc_id"])
 
 
 def mapped_lines(spark, d):
     """Length of each line that has one of two letters, added up per text."""
     sizes = map_lines(F.col("text"), lambda l: F.when(l.rlike("[qz]"), F.length(l)))
-    return table(spark, d, "documents").select("doc_id", F.explode(sizes).alias("size")).groupBy("doc_id").agg(
+    return table(spark, d, "documents", "doc_id").select("doc_id", F.explode(sizes).alias("size")).groupBy("doc_id").agg(
         F.count("*").alias("lines"), F.sum("size").cast("bigint").alias("characters")
     )
 
@@ -67,7 +67,7 @@ def coverage(spark, d):
 
 
 def grok_document_lines(spark, d):
-    found = grok_lines(table(spark, d, "documents"), "text", r"%{WORD:key} = \"%{NOTQUOTE:value}\"", ["doc_id"], ["key", "value"], {"NOTQUOTE": r"[^\"]+"})
+    found = grok_lines(table(spark, d, "documents", "doc_id"), "text", r"%{WORD:key} = \"%{NOTQUOTE:value}\"", ["doc_id"], ["key", "value"], {"NOTQUOTE": r"[^\"]+"})
     return found.select(
         "doc_id", F.try_element_at("captures", F.lit("key")).alias("key"), F.try_element_at("captures", F.lit("value")).alias("value"),
         F.size("captures").cast("bigint").alias("fields"),
@@ -80,7 +80,7 @@ def grok_is_match(spark, d):
 
 
 def frequencies(spark, d):
-    return token_frequencies(table(spark, d, "documents"), "text")
+    return token_frequencies(table(spark, d, "documents", "doc_id"), "text")
 
 
 def tokens_of_props(spark, d):
@@ -91,27 +91,28 @@ def tokens_of_props(spark, d):
 
 
 def kinds(spark, d):
-    pieces = table(spark, d, "documents").select(F.explode(token_kinds(F.col("text"))).alias("p")).select("p.*")
-    return pieces.groupBy("word", "separator", "unknown").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("characters"))
+    return token_kinds(table(spark, d, "documents", "doc_id"), "text", []).groupBy("kind").agg(
+        F.count("*").alias("n"), F.sum(F.length("value")).alias("characters")
+    )
 
 
 def words_by_language(spark, d):
-    return word_counts(table(spark, d, "documents"), "text", ["lang"])
+    return word_counts(table(spark, d, "documents", "doc_id"), "text", ["lang"])
 
 
 def nb_model(spark, d):
-    model = model_table(labelled(table(spark, d, "documents"), "lang", "text"))
+    model = model_table(labelled(table(spark, d, "documents", "doc_id"), "lang", "text"))
     return model.select("label", "token", "n", "label_tokens", "vocabulary", F.round("log_prob", 6).alias("log_prob"))
 
 
 def log_category(spark, d):
-    model = train(labelled(table(spark, d, "documents"), "lang", "text"))
-    done = model.categorize(table(spark, d, "conversations"), "text", ["conv_id", "turn"])
+    model = train(labelled(table(spark, d, "documents", "doc_id"), "lang", "text"))
+    done = model.categorize(table(spark, d, "conversations", "conv_id"), "text", ["conv_id", "turn"])
     return done.select("conv_id", "turn", "role", "category")
 
 
 def log_category_accuracy(spark, d):
-    docs = table(spark, d, "documents").where("lang is not null")
+    docs = table(spark, d, "documents", "doc_id").where("lang is not null")
     done = train(labelled(docs, "lang", "text")).categorize(docs.select("doc_id", "lang", "text"), "text", ["doc_id"])
     return accuracy(done, "lang")
 
@@ -164,8 +165,8 @@ QUERIES = {
     ),
     "token_kinds": (
         kinds,
-        r"""SELECT regexp_full_match(p, '[\p{L}\p{N}]+') AS word, regexp_full_match(p, '[\s\p{P}\p{Z}]+') AS separator,
-                   regexp_full_match(p, '[^\p{L}\p{N}\s\p{P}\p{Z}]+') AS "unknown", count(*) AS n, sum(length(p))::BIGINT AS characters
+        r"""SELECT CASE WHEN regexp_full_match(p, '[\p{L}\p{N}]+') THEN 'word' WHEN regexp_full_match(p, '[\s\p{P}\p{Z}]+') THEN 'separator'
+                        WHEN regexp_full_match(p, '[^\p{L}\p{N}\s\p{P}\p{Z}]+') THEN 'unknown' END AS kind, count(*) AS n, sum(length(p))::BIGINT AS characters
             FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[\s\p{P}\p{Z}]+|[^\p{L}\p{N}\s\p{P}\p{Z}]+')) AS p FROM documents)
             GROUP BY ALL""",
     ),

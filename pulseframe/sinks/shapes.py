@@ -19,8 +19,8 @@ def json_lines(df: DataFrame, pretty: bool = False) -> DataFrame:
 
 def topic_messages(df: DataFrame, cfg: GatewayConfig, mode: str | None = None) -> DataFrame:
     """(topic, value) messages for a bus; rename ``topic`` to ``key`` for Kafka."""
-    fanned = topic_fanout(df, cfg, mode)
-    return fanned.select("topic", envelope_json(fanned).alias("value"))
+    written = df.select("destination", envelope_json(df).alias("value"))
+    return topic_fanout(written, cfg, mode).select("topic", "value")
 
 
 def mqtt_messages(df: DataFrame, cfg: GatewayConfig) -> DataFrame:
@@ -32,7 +32,7 @@ def multi_topic(df: DataFrame, topics: Sequence[str], mode: str = "broadcast") -
     names = F.array(*[F.lit(t) for t in topics])
     value = envelope_json(df).alias("value")
     if mode == "broadcast":
-        return df.select(value, F.explode(names).alias("topic")).select("topic", "value")
+        return df.select(value).select(F.explode(names).alias("topic"), "value")
     pick = F.pmod(F.xxhash64("id"), F.lit(len(topics))).cast("int")
     return df.select(F.get(names, pick).alias("topic"), value)
 

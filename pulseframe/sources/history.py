@@ -21,9 +21,9 @@ def lookup_items(facts: DataFrame, items: DataFrame, on: str = "itemid") -> Data
 
 def history_to_telemetry(raw: DataFrame, items: DataFrame, cfg: GatewayConfig) -> DataFrame:
     """``raw`` has itemid, host{host,name}, clock, ns, type, name, tags, value (VARIANT) and is_float."""
-    keyed = lookup_items(raw.where(F.col("itemid").isNotNull()), items).withColumn(
-        "__path", item_key_path(F.col("key_"))
-    ).where(F.col("__path").isNotNull())
+    # Keys are converted once per item and not once per fact.
+    known = items.withColumn("__path", item_key_path(F.col("key_"))).where(F.col("__path").isNotNull())
+    keyed = lookup_items(raw.where(F.col("itemid").isNotNull()), known)
     path = F.col("__path")
     full = topic_key(path, cfg)
     props = F.to_variant_object(F.struct(

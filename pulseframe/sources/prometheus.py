@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from pulseframe.model import FLOAT_CONTENT, OTHER_CONTENT, GatewayConfig, finite, stable_id, telemetry
 
 _NAME = r"[a-zA-Z_:][a-zA-Z0-9_:]*"
-_SAMPLE = rf"^\s*({_NAME})\s*(?:\{{(.*)\}})?\s+([^\s]+)(?:\s+(-?\d+))?\s*$"
-_DOC = rf"^#\s+(HELP|TYPE)\s+({_NAME})\s*(.*?)\s*$"
+_SAMPLE = rf"^({_NAME})\s*(?:\{{(.*)\}})?\s+([^\s]+)(?:\s+(-?\d+))?\s*$"
+_SAMPLE_LINE = rf"(?m)^[ \t]*({_NAME}\b.*)$"
 _LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
 
 
-def last_wins(entries: Column, key: str, value: Column | str) -> Column:
-    """Map of an array of structs in which a repeated key keeps its last value."""
-    names = F.transform(entries, lambda e: e[key])
-    latest = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e[key]))
-    return F.map_from_entries(F.transform(latest, lambda e: F.struct(e[key], e[value])))
+def last_wins(keys: Column, values: Column) -> Column:
+    """Map of two arrays in which a repeated key keeps its last value."""
+    put = lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"]))
+    empty = F.create_map().cast("map<string,string>")
+    one_by_one = F.aggregate(F.zip_with(keys, values, lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v)), empty, put)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(one_by_one)
 
 
 def prometheus_samples(scrapes: DataFrame, text: str = "text", scraped_ms: str = "scraped_ms") -> DataFrame:
@@ -27,42 +28,39 @@ def prometheus_samples(scrapes: DataFrame, text: str = "text", scraped_ms: str =
     and kinds are looked up inside the row, so no shuffle is needed. Samples of
     histograms and summaries are skipped.
     """
-    lines = F.split(F.col(text), "\n")
-    docs = F.transform(
-        F.filter(lines, lambda l: l.rlike(_DOC)),
-        lambda l: F.struct(
-            F.regexp_extract(l, _DOC, 1).alias("what"), F.regexp_extract(l, _DOC, 2).alias("metric"),
-            F.regexp_extract(l, _DOC, 3).alias("said"),
-        ),
-    )
-    prepared = scrapes.withColumn("__docs", docs).select(
-        "scrape_id", scraped_ms,
-        last_wins(F.filter("__docs", lambda d: d["what"] == "HELP"), "metric", "said").alias("__help"),
-        last_wins(F.filter("__docs", lambda d: d["what"] == "TYPE"), "metric", "said").alias("__kind"),
-        F.posexplode(F.filter(lines, lambda l: l.rlike(_SAMPLE) & ~l.rlike(r"^\s*#"))).alias("seq", "__line"),
+    body = F.col(text)
+
+    def documented(what: str) -> Column:
+        pattern = F.lit(rf"(?m)^#[ \t]+{what}[ \t]+({_NAME})[ \t]*(.*?)[ \t\r]*$")
+        return last_wins(F.regexp_extract_all(body, pattern, F.lit(1)), F.regexp_extract_all(body, pattern, F.lit(2)))
+
+    # The maps are made in a projection of their own, below the explode: once per scrape.
+    scraped = scrapes.select(
+        "scrape_id", scraped_ms, documented("HELP").alias("__help"), documented("TYPE").alias("__kind"),
+        F.regexp_extract_all(body, F.lit(_SAMPLE_LINE), F.lit(1)).alias("__lines"),
     )
-    line = F.col("__line")
-    metric = F.regexp_extract(line, _SAMPLE, 1)
-    labels = F.regexp_extract(line, _SAMPLE, 2)
-    pairs = F.zip_with(
-        F.regexp_extract_all(labels, F.lit(_LABEL), F.lit(1)), F.regexp_extract_all(labels, F.lit(_LABEL), F.lit(2)),
-        lambda k, v: F.struct(k.alias("k"), v.alias("v")),
+    fields = ["metric", "__labels", "__number", "__own"]
+    parts = scraped.select("scrape_id", scraped_ms, "__help", "__kind", F.posexplode("__lines").alias("seq", "__line")).select(
+        "scrape_id", scraped_ms, "__help", "__kind", "seq",
+        *[F.regexp_extract("__line", _SAMPLE, i).alias(name) for i, name in enumerate(fields, 1)],
     )
-    base = F.regexp_replace(metric, "_(bucket|sum|count)$", "")
+    metric = F.col("metric")
+    base = F.try_element_at("__kind", F.regexp_replace(metric, "_(bucket|sum|count)$", ""))
     kind = F.lower(F.coalesce(
-        F.try_element_at("__kind", metric),
-        F.when(F.lower(F.try_element_at("__kind", base)).isin("histogram", "summary"), F.try_element_at("__kind", base)),
-        F.lit("untyped"),
+        F.try_element_at("__kind", metric), F.when(F.lower(base).isin("histogram", "summary"), base), F.lit("untyped"),
     ))
-    number = F.regexp_replace(F.regexp_extract(line, _SAMPLE, 3), r"^(?i)([+-]?)inf$", "$1Infinity")
-    own_ms = F.regexp_extract(line, _SAMPLE, 4)
-    return prepared.select(
-        "scrape_id", "seq", metric.alias("metric"), kind.alias("kind"),
-        F.coalesce(F.try_element_at("__help", metric), F.lit("N/A")).alias("description"),
-        last_wins(pairs, "k", "v").alias("labels"),
-        number.alias("__number"), number.try_cast("double").alias("value"),
-        F.when(own_ms != "", own_ms.try_cast("bigint")).otherwise(F.col(scraped_ms)).alias("timestamp_ms"),
-    ).where(F.col("kind").isin("counter", "gauge", "untyped") & F.col("value").isNotNull()).drop("__number")
+    number = F.regexp_replace("__number", r"^(?i)([+-]?)inf$", "$1Infinity")
+    typed = parts.where(metric != "").withColumns({"kind": kind, "value": number.try_cast("double")}).where(
+        F.col("kind").isin("counter", "gauge", "untyped") & F.col("value").isNotNull()
+    )
+    labels = last_wins(
+        F.regexp_extract_all("__labels", F.lit(_LABEL), F.lit(1)), F.regexp_extract_all("__labels", F.lit(_LABEL), F.lit(2))
+    )
+    return typed.select(
+        "scrape_id", "seq", "metric", "kind", F.coalesce(F.try_element_at("__help", metric), F.lit("N/A")).alias("description"),
+        F.when(F.col("__labels") == "", F.create_map().cast("map<string,string>")).otherwise(labels).alias("labels"), "value",
+        F.when(F.col("__own") != "", F.col("__own").try_cast("bigint")).otherwise(F.col(scraped_ms)).alias("timestamp_ms"),
+    )
 
 
 def prometheus_to_telemetry(samples: DataFrame, cfg: GatewayConfig, label_keys: bool = False) -> DataFrame:
