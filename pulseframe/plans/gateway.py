@@ -88,11 +88,11 @@ def _union_analytical(a: DataFrame, b: DataFrame) -> DataFrame:
     def widen(df: DataFrame) -> DataFrame:
         if not fields:
             return df
-        if "analytical_data" not in df.columns:
-            return df.withColumn("analytical_data", F.struct(*[F.lit(None).cast(t).alias(n) for n, t in fields.items()]))
-        have = set(df.schema["analytical_data"].dataType.fieldNames())
-        return df.withColumn("analytical_data", F.struct(*[
+        have = set(df.schema["analytical_data"].dataType.fieldNames()) if "analytical_data" in df.columns else set()
+        widened = F.struct(*[
             (F.col(f"analytical_data.{n}") if n in have else F.lit(None).cast(t)).alias(n) for n, t in fields.items()
-        ]))
+        ])
+        known = F.col("analytical_data").isNotNull() if have else F.lit(False)
+        return df.withColumn("analytical_data", F.when(known, widened))
 
     return widen(a).unionByName(widen(b), allowMissingColumns=True)
