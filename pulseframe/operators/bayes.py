@@ -13,7 +13,7 @@ from pulseframe.functions.text import words
 from pulseframe.session import ensure_checkpoint_dir
 
 MAX_LABELS = 1_000
-BROADCAST_TOKENS = 50_000
+BROADCAST_WEIGHTS = 2_000_000
 
 
 def token_counts(training: DataFrame) -> DataFrame:
@@ -32,8 +32,7 @@ def model_table(training: DataFrame) -> DataFrame:
     counts = token_counts(training)
     totals = counts.groupBy("label").agg(F.sum("n").alias("label_tokens"))
     size = counts.agg(F.count_distinct("token").alias("vocabulary"))
-    # ``size`` is one row by construction.
-    return counts.join(totals, "label").join(F.broadcast(size)).withColumn(
+    return counts.join(totals, "label").withColumn("vocabulary", size.scalar()).withColumn(
         "log_prob", F.ln((F.col("n") + 1) / (F.col("label_tokens") + F.col("vocabulary")))
     )
 
@@ -49,12 +48,12 @@ class LogCategories:
     def scores(self, df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
         """Per row: ``known`` tokens and the array ``scores`` of {score, label}.
 
-        A small vocabulary is broadcast, by its count taken while training. A large
+        A small table of weights is broadcast, by its size counted while training. A large
         one is joined on the token after counting tokens within each row, so a word
         found in every text arrives once per text; AQE splits what is still skewed.
         """
         found = df.select(*ids, F.explode(words(F.col(text))).alias("token"))
-        if self.vocabulary <= BROADCAST_TOKENS:
+        if self.vocabulary * len(self.labels) <= BROADCAST_WEIGHTS:
             hits = found.join(F.broadcast(self.tokens), "token").withColumn("n", F.lit(1))
         else:
             hits = found.groupBy(*ids, "token").agg(F.count("*").alias("n")).join(self.tokens, "token")

@@ -11,6 +11,9 @@ from pulseframe.functions.fields import error_band
 from pulseframe.operators.scale import BLOCK_ROWS
 from pulseframe.session import ensure_checkpoint_dir
 
+BROADCAST_SEGMENTS = 100_000
+MAX_CHAINED = 24
+
 
 def label_by_ranges(df: DataFrame, value: str, ranges: Sequence[tuple[float, float, str]]) -> DataFrame:
     """Adds ``label`` of the first half-open range ``[lo, hi)`` holding the value, NULL without one.
@@ -53,28 +56,47 @@ def disjoint_segments(ranges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
     return reached.select(start.alias("lo"), "hi", "label").where(F.col("hi") > F.col("lo"))
 
 
-def label_by_range_table(df: DataFrame, value: str, ranges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def label_by_range_table(
+    df: DataFrame, value: str, ranges: DataFrame, block_rows: int = BLOCK_ROWS, broadcast_rows: int = BROADCAST_SEGMENTS
+) -> DataFrame:
     """Same labels from a table (lo, hi, label, seq) of any size.
 
     A segment is filed under the power of two next above its width, in the at most
     two bins of that size it touches. A bin holds three segments at the most, so
-    values meet few segments in the equi-join. Only distinct values take part.
+    values meet few segments in the equi-join. A counted, short list of segments
+    is broadcast per bin size and the rows stay where they are. A long one meets
+    the distinct values in a shuffled join, whose labels are joined to the rows.
     """
-    segments = disjoint_segments(ranges, block_rows)
-    leveled = segments.withColumn("__level", F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int"))
+    ensure_checkpoint_dir(df.sparkSession)
+    leveled = disjoint_segments(ranges, block_rows).withColumn(
+        "__level", F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int")
+    ).checkpoint()
     # Bin sizes are exponents of doubles: a handful in practice, 2,100 at the very most.
-    levels = sorted(r[0] for r in leveled.select("__level").distinct().collect())
+    sizes = {r["__level"]: r["n"] for r in leveled.groupBy("__level").agg(F.count("*").alias("n")).collect()}
+    levels = sorted(sizes)
     if not levels:
         return df.withColumn("label", F.lit(None).cast("string"))
-
-    def bin_of(x: Column) -> Column:
-        return F.floor(x / F.pow(F.lit(2.0), F.col("__level")))
-
-    filed = leveled.withColumn("__bin", F.explode(F.array_distinct(F.array(bin_of(F.col("lo")), bin_of(F.col("hi"))))))
     x = F.col(value)
+
+    def bin_of(x: Column, level: Column) -> Column:
+        return F.floor(x / F.pow(F.lit(2.0), level))
+
+    level = F.col("__level")
+    touched = F.array_distinct(F.array(bin_of(F.col("lo"), level), bin_of(F.col("hi"), level)))
+    filed = leveled.withColumn("__bin", F.explode(touched))
+    if sum(sizes.values()) <= broadcast_rows and len(levels) <= MAX_CHAINED:
+        rows = df
+        for n in levels:
+            part = filed.where(level == n).select(
+                "__bin", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("label").alias(f"__l{n}")
+            )
+            here = (bin_of(x, F.lit(n)) == F.col("__bin")) & (x >= F.col("__lo")) & (x < F.col("__hi"))
+            rows = rows.join(F.broadcast(part), here, "left").drop("__bin", "__lo", "__hi")
+        found = [f"__l{n}" for n in levels]
+        return rows.withColumn("label", F.coalesce(*found)).drop(*found)
     probes = df.select(value).where(x.isNotNull()).distinct().withColumn(
         "__level", F.explode(F.array(*[F.lit(l) for l in levels]))
-    ).withColumn("__bin", bin_of(x))
+    ).withColumn("__bin", bin_of(x, level))
     hits = probes.join(filed, ["__level", "__bin"]).where((x >= F.col("lo")) & (x < F.col("hi")))
     return df.join(hits.select(value, "label"), value, "left")
 

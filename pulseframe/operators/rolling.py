@@ -64,9 +64,11 @@ def _rolling(df: DataFrame, part: list[str], order: Sequence[str], value: str, w
     Rows are numbered and grouped in runs of ``window``. The rows wanted at any
     point are the tail of the previous run and the head of the current one, so
     one running aggregate in each direction and one ``lag`` give every frame.
-    All sorts share the single shuffle on the series key.
+    All three sorts share the single shuffle on the series key: the ``lag`` is
+    ordered by run and number, which is the order the heads need anyway.
     """
     series = Window.partitionBy(*part).orderBy(*order)
+    numbers = Window.partitionBy(*part).orderBy("__run", "__i")
     run = Window.partitionBy(*part, "__run")
     head = run.orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     tail = run.orderBy(F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
@@ -75,11 +77,11 @@ def _rolling(df: DataFrame, part: list[str], order: Sequence[str], value: str, w
         "__run", F.floor(F.col("__i") / window)
     )
     tails = numbered.withColumn("__tail", F.struct(*[c.over(tail).alias(k) for k, c in _parts(x).items()]))
-    heads = tails.withColumns({f"__{k}": c.over(head) for k, c in _parts(x).items()})
     older = F.when(
-        F.pmod("__i", F.lit(window)) != window - 1, F.lag("__tail", window - 1).over(series)
+        F.pmod("__i", F.lit(window)) != window - 1, F.lag("__tail", window - 1).over(numbers)
     )
-    return heads.withColumn("__older", older).drop("__i", "__run", "__tail")
+    heads = {f"__{k}": c.over(head) for k, c in _parts(x).items()}
+    return tails.withColumn("__older", older).drop("__tail").withColumns(heads).drop("__i", "__run")
 
 
 def rolling_stats(

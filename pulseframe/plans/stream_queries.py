@@ -10,7 +10,7 @@ from pulseframe.plans.series_queries import ALERT_PAIRS_SQL, NEWEST, ROLLING_SQL
 from pulseframe.plans.tables import CFG, micros, table
 from pulseframe.sinks.shapes import table_rows
 from pulseframe.sources.envelope import parse_envelopes
-from pulseframe.sources.history import lookup_items
+from pulseframe.sources.history import RefreshedTable, lookup_items
 from pulseframe.session import scratch_path
 from pulseframe.streaming.jobs import (
     alert_stream, latest_state, read_table_stream, rolling_stream, run_gateway_stream, run_once, value_stream,
@@ -43,10 +43,15 @@ def stream_alert_pairs(spark, d):
 
 
 def stream_item_lookup(spark, d):
-    """Stream-static join; the item table is read anew in every micro-batch."""
-    schema = table(spark, d, "lineitem").schema
+    """Facts of each micro-batch joined with an item table that is read again every hour."""
+    schema, base = table(spark, d, "lineitem").schema, scratch_path(spark, "lookup")
     facts = read_table_stream(spark, d, "lineitem.parquet", schema).select(F.col("l_partkey").alias("itemid"), "l_orderkey", "l_quantity")
-    return run_once(lookup_items(facts, item_dimension(spark, d)), "lookup").groupBy("key_").agg(
+    items = RefreshedTable(lambda: item_dimension(spark, d), 3600)
+    query = run_gateway_stream(
+        facts, lambda batch: lookup_items(batch, items()), lambda rows: rows.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint"
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("key_").agg(
         F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,23 @@ def lookup_items(facts: DataFrame, items: DataFrame, on: str = "itemid") -> Data
     return facts.join(items, on, "inner")
 
 
+class RefreshedTable:
+    """A dimension table that a long stream reads again once its reading is too old.
+
+    Call it within ``foreachBatch``: new files are listed anew after ``seconds``.
+    """
+
+    def __init__(self, read: Callable[[], DataFrame], seconds: float = 3600):
+        self._read, self._seconds = read, seconds
+        self._table, self._at = None, 0.0
+
+    def __call__(self) -> DataFrame:
+        now = time.monotonic()
+        if self._table is None or now - self._at >= self._seconds:
+            self._table, self._at = self._read(), now
+        return self._table
+
+
 def history_to_telemetry(raw: DataFrame, items: DataFrame, cfg: GatewayConfig) -> DataFrame:
     """``raw`` has itemid, host{host,name}, clock, ns, type, name, tags, value (VARIANT) and is_float."""
     # Keys are converted once per item and not once per fact.

@@ -146,12 +146,13 @@ def test_range_labels(spark):
     assert {r.v: r.label for r in joins.label_by_range_table(df, "v", ranges).collect()} == want
 
 
-def test_range_table_by_brute_force(spark):
+@pytest.mark.parametrize("short", [100_000, 0])
+def test_range_table_by_brute_force(spark, short):
     dice = random.Random(11)
     ranges = [(lo := dice.uniform(-50, 50), lo + dice.choice([0.01, 1, 7, 64, 90]), f"r{i}", i) for i in range(200)]
     values = [dice.uniform(-60, 150) for _ in range(300)] + [ranges[0][0], ranges[0][1]]
     table = spark.createDataFrame(ranges, "lo double, hi double, label string, seq int")
-    got = {r.v: r.label for r in joins.label_by_range_table(spark.createDataFrame([(v,) for v in values], "v double"), "v", table).collect()}
+    got = {r.v: r.label for r in joins.label_by_range_table(spark.createDataFrame([(v,) for v in values], "v double"), "v", table, broadcast_rows=short).collect()}
     for v in values:
         fits = sorted((lo, hi, label) for lo, hi, label, _ in ranges if lo <= v < hi)
         assert got[v] == (fits[0][2] if fits else None)

@@ -10,7 +10,7 @@ from pulseframe.model import GatewayConfig, envelope_json, internal_telemetry
 from pulseframe.sources.alert_events import parse_alert_events
 from pulseframe.sources.envelope import parse_envelopes, split_payloads, subscribe, union_sources
 from pulseframe.sources.generator import generate
-from pulseframe.sources.history import history_to_telemetry
+from pulseframe.sources.history import RefreshedTable, history_to_telemetry
 from pulseframe.sources.prometheus import prometheus_samples, prometheus_to_telemetry
 from pulseframe.sources.syslog import FACILITIES, parse_syslog, rejected, severity_counts, syslog_to_telemetry
 from pulseframe.sources.training import parse_sections, training_files
@@ -90,6 +90,13 @@ def test_history(spark):
     assert rows[0].event_ns == 10_000_000_005 and rows[0].data_float == 2.5 and rows[0].origin == "h"
 
 
+def test_dimension_is_read_again():
+    seen = []
+    fresh = RefreshedTable(lambda: seen.append(1) or len(seen), 0)
+    kept = RefreshedTable(lambda: seen.append(1) or len(seen), 60)
+    assert (fresh(), fresh()) == (1, 2) and kept() == kept() == 3
+
+
 EXPOSITION = """# HELP http_requests_total Total requests
 # TYPE http_requests_total counter
 http_requests_total{code="200",path="a b"} 1027 1395066363000

@@ -96,7 +96,7 @@ TRAINING = [("ssh", "Failed password from root"), ("ssh", "Invalid user from roo
 @pytest.mark.parametrize("limit", [0, 50_000])
 def test_categories(spark, monkeypatch, limit):
     """The same with a vocabulary that is broadcast and one that is joined."""
-    monkeypatch.setattr(bayes, "BROADCAST_TOKENS", limit)
+    monkeypatch.setattr(bayes, "BROADCAST_WEIGHTS", limit)
     model = bayes.train(spark.createDataFrame(TRAINING, "label string, text string"))
     df = spark.createDataFrame([(1, "syslog: Failed password from root"), (2, "memory zone memory"), (3, "unheard"), (4, None)], "id int, t string")
     assert {r.id: r.category for r in model.categorize(df, "t", ["id"]).collect()} == {1: "ssh", 2: "linux", 3: "ssh", 4: None}
