@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import error_band
-from pulseframe.operators.scale import BLOCK_ROWS
+from pulseframe.operators.scale import BLOCK_ROWS, MAX_RANGES
 from pulseframe.session import ensure_checkpoint_dir
 
 BROADCAST_SEGMENTS = 100_000
@@ -41,7 +41,7 @@ def disjoint_segments(ranges: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
     and carried over by one row per block.
     """
     first = ranges.where(F.col("hi") > F.col("lo")).groupBy("lo", "hi").agg(F.min_by("label", "seq").alias("label"))
-    blocks = max(1, -(-ranges.count() // block_rows))
+    blocks = min(max(1, -(-ranges.count() // block_rows)), MAX_RANGES)
     placed = first.repartitionByRange(blocks, "lo", "hi").withColumn("__part", F.spark_partition_id())
     if blocks > 1:
         ensure_checkpoint_dir(ranges.sparkSession)
@@ -156,32 +156,36 @@ def around_window(
     """Count and sum of a key's events within half the width on either side of each anchor.
 
     ``at`` is an integer time in both inputs. Events of one instant are added up
-    before the shuffle. Rows meet in time slots as wide as the window, so a task
-    sees at most one row per instant of a slot; running totals read at the two
-    window edges give the answer without pairing anchors with events.
+    before the shuffle and anchors of one instant are answered once. Rows meet in
+    time slots as wide as the window, so a task sees a bounded number of rows per
+    instant of a slot; running totals read at the two window edges give the answer
+    without pairing anchors with events.
     """
     half = width // 2
     slot = max(width, 1)
     t = F.col(at)
     instants = events.groupBy(*keys, at).agg(F.count("*").alias("__n"), F.sum(value).alias("__s"))
     slots = F.array_distinct(F.array(F.floor((t - half) / slot), F.floor((t + half) / slot)))
-    none, zero = F.lit(None).cast(anchors.schema[anchor_id].dataType), F.lit(0).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     rows = instants.select(
-        *keys, t.alias("__t"), F.lit(1).alias("__kind"), none.alias("__id"), "__n", "__s", F.explode(slots).alias("__slot"),
+        *keys, t.alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__at"), "__n", "__s",
+        F.explode(slots).alias("__slot"),
     )
     edges = F.array(
         F.struct((t - half).alias("t"), F.lit(0).alias("kind")), F.struct((t + half).alias("t"), F.lit(2).alias("kind"))
     )
-    probes = anchors.select(*keys, anchor_id, F.floor(t / slot).alias("__slot"), F.explode(edges).alias("e")).select(
-        *keys, F.col("e.t").alias("__t"), F.col("e.kind").alias("__kind"), F.col(anchor_id).alias("__id"),
+    asked = anchors.select(*keys, at).distinct()
+    probes = asked.select(*keys, at, F.floor(t / slot).alias("__slot"), F.explode(edges).alias("e")).select(
+        *keys, F.col("e.t").alias("__t"), F.col("e.kind").alias("__kind"), t.cast("bigint").alias("__at"),
         zero.alias("__n"), F.lit(0.0).alias("__s"), "__slot",
     )
     upto = Window.partitionBy(*keys, "__slot").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.unionByName(probes).withColumns({"__cn": F.sum("__n").over(upto), "__cs": F.sum("__s").over(upto)})
     sign = F.when(F.col("__kind") == 2, 1).otherwise(-1)
-    return totals.where(F.col("__kind") != 1).groupBy(*keys, F.col("__id").alias(anchor_id)).agg(
+    answers = totals.where(F.col("__kind") != 1).groupBy(*keys, F.col("__at").alias(at)).agg(
         F.sum(F.col("__cn") * sign).alias("events"), F.sum(F.col("__cs") * sign).alias("total")
     )
+    return anchors.select(*keys, anchor_id, at).join(answers, [*keys, at]).drop(at)
 
 
 def _shortened(texts: Column) -> Column:

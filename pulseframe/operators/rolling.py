@@ -180,12 +180,18 @@ def consistency(
 
 def enrich_series(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-    hot_rows: int | None = HOT_ROWS, block_rows: int = BLOCK_ROWS,
+    hot_rows: int | None = HOT_ROWS, block_rows: int = BLOCK_ROWS, buffer: bool = False,
 ) -> DataFrame:
-    """Statistics and forecasts together, over one shuffle on the series key."""
+    """Statistics and forecasts together, over one shuffle on the series key.
+
+    ``buffer`` also adds the last 128 values themselves, for per-record detection.
+    """
 
     def compute(rows: DataFrame, part: list[str]) -> DataFrame:
         done = forecast(rows, part, order, value, hot_rows=None)
+        if buffer:
+            frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(-(SERIES_LENGTH - 1), 0)
+            done = done.withColumn("buffer", F.collect_list(F.col(value).cast("double")).over(frame))
         return rolling_stats(done, part, order, value, hot_rows=None)
 
     return over_series(df, keys, order, SERIES_LENGTH - 1, compute, hot_rows, block_rows)

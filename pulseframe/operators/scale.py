@@ -18,6 +18,8 @@ from pulseframe.session import ensure_checkpoint_dir
 
 HOT_ROWS = 4_000_000
 BLOCK_ROWS = 1_000_000
+# Partitions of the range exchange. Blocks are cut from positions, so their size does not depend on it.
+MAX_RANGES = 10_000
 
 
 def split_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
@@ -48,7 +50,7 @@ def consecutive_blocks(
     if block_rows < max(lookback, 1):
         raise ValueError("a block must hold at least the rows that are looked back at")
     ensure_checkpoint_dir(df.sparkSession)
-    ranges = max(1, -(-total // block_rows))
+    ranges = min(max(1, -(-total // block_rows)), MAX_RANGES)
     placed = (
         df.repartitionByRange(ranges, *keys, *order)
         .sortWithinPartitions(*keys, *order)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.model import GatewayConfig
-from pulseframe.operators.anomaly import anomaly_column, rolling_buffer
+from pulseframe.operators.anomaly import anomaly_column
 from pulseframe.operators.bayes import LogCategories, text_payload
 from pulseframe.operators.breakout import breakout_column
 from pulseframe.operators.markov import forecast_column
@@ -27,10 +27,10 @@ def analyse(
     """
     floats = df.where(F.col("data_float").isNotNull())
     others = df.where(F.col("data_float").isNull())
-    done = enrich_series(floats, ["topic"], ORDER, "data_float", hot_rows, block_rows)
+    done = enrich_series(floats, ["topic"], ORDER, "data_float", hot_rows, block_rows, buffer=per_record)
     fields = ["n_of_samples", "statistical_oscillator", "tsf_next", *STATISTICS[1:]]
     if per_record:
-        done = rolling_buffer(done, ["topic"], ORDER, "data_float", hot_rows=hot_rows, block_rows=block_rows).withColumns({
+        done = done.withColumns({
             "markov_chain_forecast": forecast_column(F.col("buffer")),
             "anomalies": anomaly_column(F.col("buffer"), cfg.anomalies_window),
             "breakouts": breakout_column(F.col("buffer"), cfg.anomalies_window),

@@ -191,8 +191,8 @@ def syslog_envelope(spark, d):
 SYSLOG_SQL = """
     SELECT event_id,
            CASE event_type WHEN 'click' THEN 'rfc3164' WHEN 'signup' THEN 'asl' WHEN 'error' THEN 'rejected' ELSE 'rfc5424' END AS format,
-           CASE event_type WHEN 'signup' THEN 19 WHEN 'error' THEN NULL ELSE user_id % 24 END AS facility,
-           CASE event_type WHEN 'signup' THEN 3 WHEN 'error' THEN NULL ELSE event_id % 8 END AS severity,
+           CASE event_type WHEN 'signup' THEN 19 WHEN 'error' THEN NULL ELSE user_id % 24 END::INTEGER AS facility,
+           CASE event_type WHEN 'signup' THEN 3 WHEN 'error' THEN NULL ELSE event_id % 8 END::INTEGER AS severity,
            CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN 0 WHEN 'signup' THEN 0 ELSE 1 END AS version,
            CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN epoch_us(ts) // 1000000 * 1000000000
                 ELSE epoch_us(ts) * 1000 END AS event_ns,

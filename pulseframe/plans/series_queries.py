@@ -109,7 +109,7 @@ def metric_last(spark, d):
 
 def metric_sample(spark, d):
     recent = snapshot.recent_sample(table(spark, d, "events"), SERIES, ORDER, "value")
-    return recent.select("event_type", F.posexplode("sample").alias("pos", "value"))
+    return recent.select("event_type", F.posexplode("sample").alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def sampler_arrays(spark, d):
@@ -178,7 +178,8 @@ def markov_transitions(spark, d):
 
 def markov_forecast(spark, d):
     found = markov.markov_forecast(table(spark, d, "events"), SERIES, ORDER, "value")
-    return found.select("event_type", F.posexplode("forecast").alias("step", "value"))
+    steps = found.select("event_type", F.posexplode("forecast").alias("step", "value"))
+    return steps.withColumn("step", F.col("step").cast("bigint"))
 
 
 def anomalies(spark, d):
@@ -330,7 +331,13 @@ QUERIES = {
                WINDOW s AS (PARTITION BY event_type ORDER BY ts, event_id))
            WHERE s1 IS NOT NULL GROUP BY ALL""",
     ),
-    "markov_forecast": (markov_forecast, None),
+    # From its start, a chain of order 8 can only repeat the first 8 values: each of its states was seen once.
+    "markov_forecast": (
+        markov_forecast,
+        f"""SELECT event_type, step, value FROM (
+                SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY rn DESC) - 1 AS step, value
+                FROM {NEWEST} WHERE rn <= 128) WHERE step < 8""",
+    ),
     "anomalies": (anomalies, None),
     "anomalies_mad": (
         anomalies_mad,

@@ -151,7 +151,7 @@ QUERIES = {
         f"""SELECT t AS topic, count(*) AS n, sum(length(value))::BIGINT AS characters
             FROM ({ENVELOPE_SQL}), (VALUES ('a'), ('b'), ('c')) v(t) GROUP BY t""",
     ),
-    "sink_multi_topic_balance": (sink_multi_topic_balance, "SELECT count(*) AS n, 3 AS topics, 0 AS lost FROM events"),
+    "sink_multi_topic_balance": (sink_multi_topic_balance, "SELECT count(*) AS n, 3::BIGINT AS topics, 0::BIGINT AS lost FROM events"),
     "sink_statsd": (
         sink_statsd,
         f"""SELECT 'local.{PREFIX}/' || event_type || ':' || arg_max(value, ts) || '|g' AS value
@@ -174,7 +174,7 @@ QUERIES = {
         sink_table_written, f"SELECT topic AS key, host AS zabbix_host, x AS data_float FROM ({ENVELOPE_SQL}) WHERE event_type = 'view'"
     ),
     "sink_dropped": (
-        sink_dropped, "SELECT count(*) AS records, 0 AS without_time, count(*) FILTER (event_type = 'signup') AS without_type FROM events"
+        sink_dropped, "SELECT count(*) AS records, 0::BIGINT AS without_time, count(*) FILTER (event_type = 'signup') AS without_type FROM events"
     ),
     "sink_zabbix_payload": (
         sink_zabbix_payload,

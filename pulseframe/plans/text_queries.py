@@ -45,7 +45,9 @@ def text_lines(spark, d):
 
 
 def grep(spark, d):
-    return grep_lines(table(spark, d, "documents", "doc_id"), "text", r"(^|[^0-9])[0-9]{3}([^0-9]|$)", ["doc_id"])
+    return grep_lines(table(spark, d, "documents", "doc_id"), "text", r"(^|[^0-9])[0-9]{3}([^0-9]|$)", ["doc_id"]).withColumn(
+        "line_no", F.col("line_no").cast("bigint")
+    )
 
 
 def mapped_lines(spark, d):
@@ -140,7 +142,7 @@ QUERIES = {
     ),
     "grok_lines": (
         grok_document_lines,
-        rf"""SELECT doc_id, nullif(k, '') AS key, nullif(v, '') AS value, CASE WHEN k = '' THEN 0 ELSE 2 END AS fields FROM (
+        rf"""SELECT doc_id, nullif(k, '') AS key, nullif(v, '') AS value, CASE WHEN k = '' THEN 0 ELSE 2 END::BIGINT AS fields FROM (
              SELECT doc_id, regexp_extract(line, '\b(\w+)\b = "([^"]+)"', 1) AS k, regexp_extract(line, '\b(\w+)\b = "([^"]+)"', 2) AS v
              FROM ({LINES_SQL}))""",
     ),
@@ -160,8 +162,7 @@ QUERIES = {
     ),
     "tokenize": (
         tokens_of_props,
-        """SELECT event_id, 3 AS n, '{|k|: ' || '' AS tokens FROM events WHERE false
-           UNION ALL SELECT event_id, 4, '{|k|:|' || json_extract_string(props, '$.k') || '}' FROM events""",
+        """SELECT event_id, 4::BIGINT AS n, '{|k|:|' || json_extract_string(props, '$.k') || '}' AS tokens FROM events""",
     ),
     "token_kinds": (
         kinds,

@@ -168,6 +168,13 @@ def latest_state(updates: DataFrame) -> DataFrame:
     return updates.groupBy("key").agg(F.max_by(rest, F.struct("at", "event_id")).alias("s")).select("key", "s.*")
 
 
+def current_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, last, sample) straight from the state of a ``value_stream`` job, for catalog and sample queries."""
+    rows = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+    values = F.col("value.values")
+    return rows.select(F.col("key.key").alias("key"), F.element_at(values, -1).alias("last"), values.alias("sample"))
+
+
 def read_table_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
     """Parquet files as a stream. The files per micro-batch bound what the task of one key has to hold."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)

@@ -44,6 +44,27 @@ def test_segment_medians_by_brute_force():
     assert all(m[i, j] == pytest.approx(np.median(z[i:j])) for i in range(20) for j in range(i + 1, 21))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_breakpoints_by_trying_all(seed):
+    """The gain of the breaks found is that of a plain search over all last cuts."""
+    dice = random.Random(seed)
+    values = np.array([dice.gauss(5 * (i // 12 % 2), 1 + seed / 3) for i in range(40)])
+    z = (values - values.min()) / (values.max() - values.min())
+    best, breaks, last = [0.0] * 41, [0] * 41, [0] * 41
+    for end in range(14, 41):
+        for cut in range(7, end - 6):
+            s = last[cut]
+            move = (np.median(z[s:cut]) - np.median(z[cut:end])) ** 2 * (cut - s) * (end - cut) / (end - s) ** 2
+            gain = best[cut] + move - 0.008 * (2 * breaks[cut] + 1)
+            if gain > best[end] + 1e-12:
+                best[end], breaks[end], last[end] = gain, breaks[cut] + 1, cut
+    want, at = [], 40
+    while last[at]:
+        at = last[at]
+        want.insert(0, at)
+    assert breakout.breakpoints(values) == want
+
+
 def test_detectors_over_a_table(spark):
     noise = random.Random(6)
     rows = [("shift", i, noise.gauss(0 if i < 64 else 10, 0.1)) for i in range(128)]

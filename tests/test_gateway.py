@@ -122,6 +122,15 @@ def test_value_stream_keeps_the_last_128(spark, landed):
     assert rows["hot"].last == "799" and len(rows["hot"].sample) == 128 and rows["hot"].sample[-2] == "798"
 
 
+def test_state_of_a_value_stream_can_be_queried(spark, landed, tmp_path):
+    df, folder = landed
+    stream = jobs.read_table_stream(spark, folder, "*.parquet", df.schema, files_per_batch=3)
+    keyed = stream.select("key", "event_id", "at", F.col("event_id").cast("string").alias("value"))
+    jobs.run_to_table(jobs.value_stream(keyed), str(tmp_path / "out"), str(tmp_path / "check"))
+    rows = {r.key: r for r in jobs.current_state(spark, str(tmp_path / "check")).collect()}
+    assert rows["hot"].last == "799" and len(rows["hot"].sample) == 128 and len(rows) == 3
+
+
 def test_gateway_stream_with_timings(spark, landed, tmp_path):
     df, folder = landed
     timings = jobs.StageTimings("/elapsed")

@@ -102,6 +102,16 @@ def test_hot_series_equal_uncut_ones(spark, partitions, block_rows):
     spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
+def test_blocks_do_not_depend_on_the_ranges(spark, monkeypatch):
+    from pulseframe.operators import scale
+
+    df = spark.range(3000).select(F.lit("a").alias("key"), "id")
+    monkeypatch.setattr(scale, "MAX_RANGES", 3)
+    blocks = scale.consecutive_blocks(df, ["key"], ["id"], 5, 200, 3000)
+    sizes = blocks.groupBy("__block").agg(F.count("*").alias("n"), F.count_if("__carry").alias("c"), F.min("id").alias("lo")).orderBy("__block").collect()
+    assert [(r.n, r.c, r.lo) for r in sizes[:15]] == [(200, 0, 0)] + [(205, 5, 200 * b - 5) for b in range(1, 15)]
+
+
 def test_blocks_must_hold_the_look_back(spark):
     with pytest.raises(ValueError):
         rolling.rolling_stats(series(spark, range(50)), ["key"], ["i"], "x", hot_rows=10, block_rows=100).count()
