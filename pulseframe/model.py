@@ -190,7 +190,11 @@ def float_token(json_text: Column, path: str, parsed: Column) -> Column:
     """True where the JSON token at ``path`` is written as a float.
 
     The parsed type tells strings apart, the token text tells ``0`` from ``0.0``.
+    An integer that no 64-bit type can hold counts as a float too.
     """
     kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
     text = F.get_json_object(json_text, path)
-    return F.coalesce(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)") & text.rlike("[.eE]"), F.lit(False))
+    whole = F.try_variant_get(parsed, path, "decimal(38,0)")
+    too_long = (F.length(text) > 18) & ~whole.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit("18446744073709551615").cast("decimal(38,0)"))
+    number = kind.rlike("^(DOUBLE|FLOAT|DECIMAL)")
+    return F.coalesce(number & (text.rlike("[.eE]") | F.coalesce(too_long, F.lit(True))), F.lit(False))

@@ -14,7 +14,7 @@ from pulseframe.functions.fields import (
 )
 from pulseframe.functions.paths import item_key_path, topic_fanout
 from pulseframe.model import GatewayConfig
-from pulseframe.operators.routing import keep, merge_enrichment, merge_maps, route, transform_record
+from pulseframe.operators.routing import is_typed, keep, merge_enrichment, merge_maps, route, transform_record, typed_values
 from pulseframe.plans.tables import CFG, event_telemetry, micros, table
 from pulseframe.sources.envelope import parse_envelopes, split_payloads, subscribe, union_sources
 from pulseframe.sources.generator import generate
@@ -253,6 +253,11 @@ def merged_enrichment(spark, d):
     return rows.withColumn("m", merged).select("id", "analytical_data.*", F.col("m")["x"].alias("x"), F.col("m")["y"].alias("y"))
 
 
+def typed_rows(spark, d):
+    rows = event_telemetry(spark, d).where(is_typed(F.col("content_type")))
+    return rows.select("id", "content_type", *[c.alias(n) for n, c in typed_values(F.col("data"), F.col("content_type")).items()])
+
+
 def route_branches(spark, d):
     rows = event_telemetry(spark, d)
     setups = {
@@ -382,6 +387,13 @@ QUERIES = {
         """SELECT event_id::VARCHAR AS id, 'b' || c AS category, c AS rank, 1 AS extra, '1' AS x, event_id::VARCHAR AS y
            FROM (SELECT *, CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 3 WHEN 'signup' THEN 10 ELSE 0 END AS c FROM events)""",
     ),
+    "typed_rows": (
+        typed_rows,
+        """SELECT event_id::VARCHAR AS id, c AS content_type, CASE c WHEN 3 THEN floor(value)::BIGINT END AS data_int,
+                  CASE c WHEN 0 THEN value END AS data_float,
+                  CASE c WHEN 2 THEN 'failure of user ' || user_id || ' ' || props END AS data_str
+           FROM (SELECT *, CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 3 WHEN 'signup' THEN 10 ELSE 0 END AS c FROM events) WHERE c <> 10""",
+    ),
     "route_branches": (
         route_branches,
         """SELECT setup, CASE setup WHEN 'plain' THEN 'out' WHEN 'analysis' THEN 'analysis' WHEN 'scripted' THEN 'filter' WHEN 'none' THEN 'none'

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.model import FLOAT_CONTENT, OTHER_CONTENT, GatewayConfig, finite, stable_id, telemetry
@@ -21,6 +21,15 @@ def last_wins(keys: Column, values: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(one_by_one)
 
 
+def read_scrapes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Scrapes landed as one file each; a file's time is the time of its scrape."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("scrape_id"), F.col("value").alias("text"),
+        F.unix_millis(F.col("_metadata.file_modification_time")).alias("scraped_ms"),
+    )
+
+
 def prometheus_samples(scrapes: DataFrame, text: str = "text", scraped_ms: str = "scraped_ms") -> DataFrame:
     """One row per counter, gauge or untyped sample, with its labels.
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pulseframe.functions.paths import item_key_path, topic_fanout
 from pulseframe.model import GatewayConfig, envelope_json, internal_telemetry
 from pulseframe.sources.alert_events import parse_alert_events
-from pulseframe.sources.envelope import parse_envelopes, split_payloads, subscribe, union_sources
+from pulseframe.sources.envelope import monitor, parse_envelopes, read_lines, split_payloads, subscribe, union_sources
 from pulseframe.sources.generator import generate
 from pulseframe.sources.history import RefreshedTable, history_to_telemetry
-from pulseframe.sources.prometheus import prometheus_samples, prometheus_to_telemetry
+from pulseframe.sources.prometheus import prometheus_samples, prometheus_to_telemetry, read_scrapes
 from pulseframe.sources.syslog import FACILITIES, parse_syslog, rejected, severity_counts, syslog_to_telemetry
 from pulseframe.sources.training import parse_sections, training_files
+from pulseframe.streaming.jobs import run_to_table
 
 CFG = GatewayConfig()
 
@@ -32,6 +33,8 @@ def texts(spark, *values):
 
 @pytest.mark.parametrize("token,number", [
     ("0", None), ("0.0", 0.0), ("1.50", 1.5), ("1e3", 1000.0), ('"1.5"', None), ("18446744073709551615", None), ("null", None),
+    ("-7", None), ("18446744073709551616", 18446744073709551616.0), ("123456789012345678901234567890", 123456789012345678901234567890.0),
+    ("true", None), ("-9223372036854775808", None),
 ])
 def test_only_float_tokens_are_analysed(spark, token, number):
     row = parse_envelopes(texts(spark, envelope(token)), CFG).first()
@@ -125,6 +128,26 @@ def test_prometheus(spark):
     assert sent["/telemetry/prometheus_metric/v2/local/temp_c"].data_float == 21.5
 
 
+def test_scrapes_landed_as_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(EXPOSITION)
+    (tmp_path / "in" / "b.txt").write_text("temp_c 3\n")
+    read = prometheus_samples(read_scrapes(spark, str(tmp_path / "in")))
+    assert sorted(r.value for r in read.where("metric = 'temp_c'").collect()) == [3.0, 21.5]
+    assert read.where("timestamp_ms > 1600000000000").count() > 0
+    stream = prometheus_to_telemetry(prometheus_samples(read_scrapes(spark, str(tmp_path / "in"), streaming=True)), CFG)
+    done = run_to_table(stream.select("topic", "data_float"), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert done.count() == read.count()
+
+
+def test_monitor_tails_one_topic(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join([envelope("1.5", "/cpu"), envelope("2.5", "/mem")]))
+    query = monitor(parse_envelopes(read_lines(spark, str(tmp_path), streaming=True), CFG), CFG, "cpu", "memory")
+    query.processAllAvailable()
+    query.stop()
+    assert [r.topic for r in spark.table("monitor").collect()] == [CFG.topic_prefix + "/cpu"]
+
+
 LINES = [
     "<34>1 2024-01-02T03:04:05Z host1 app 123 ID47 - hello world",
     "<34>1 2024-01-02T03:04:05+01:00 - - - - - x",
