@@ -39,12 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     driver and the executors share one disk.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if configured or context.getCheckpointDir():
+        return configured or context.getCheckpointDir()
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="pulseframe-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
+    context.setCheckpointDir(folder)
     return folder
 
 
