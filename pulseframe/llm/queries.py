@@ -6,17 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.llm.bpe import encode_documents
 from pulseframe.llm.fingerprints import fingerprint_documents
+from pulseframe.llm.jaccard_join import jaccard_components
 from pulseframe.llm.licenses import scan_licenses
 from pulseframe.llm.mixing import mix_documents
 from pulseframe.llm.pii import find_pii
 from pulseframe.llm.quality_rules import judge_documents
 from pulseframe.llm.sharding import shard_documents
+from pulseframe.llm.suffix_dedup import remove_repeats
 from pulseframe.llm.tables import documents, labels
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -50,6 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
+    "op2_jaccard": (op2_jaccard, None),
     "op3_fingerprints": (op3_fingerprints, None),
     "op4_sharding": (op4_sharding, None),
     "op6_bpe": (op6_bpe, None),
