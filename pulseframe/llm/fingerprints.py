@@ -93,7 +93,8 @@ def _bucket(docs: DataFrame) -> Column:
     low = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(at, i + s) <= F.col("doc_id"), i + s).otherwise(i))
     width = F.greatest(F.get(at, low + 1).cast("double") - F.get(at, low), F.lit(1.0))
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("doc_id").cast("double") - F.get(at, low)) / width))
-    return F.coalesce(F.floor((low + inside) * F.lit(n / QUANTILES / ROWS_PER_BUCKET)).cast("bigint"), F.lit(-1).cast("bigint"))
+    place = F.floor((low + inside) * F.lit(n / QUANTILES / ROWS_PER_BUCKET)).cast("bigint")
+    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("bigint")).otherwise(place)
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:

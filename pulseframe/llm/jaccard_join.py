@@ -347,3 +347,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return sets.join(answer, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents whose doc_id names their component, with all their columns. Rows of one doc_id stay or go together."""
+    found = jaccard_components(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")

@@ -33,6 +33,8 @@ CAP = 2.0
 SHARDS = 16
 BLOCKS = 128
 MIN_BLOCK, MAX_BLOCK = 32, 65_536
+#: Pieces of a shard that are sorted apart.
+PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -153,22 +155,34 @@ def runs_of(start: int, size: int, mix: Mix) -> list[tuple[int, int, int, int, i
     return out
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of every whole text; a null text has none."""
+def sized_documents(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, source, size (words) of every whole text, and further columns; a null text has none."""
+    rows = id_and_text(docs, F.col("source").cast("string").alias("__source"), *carried)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "text"}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in spans.chunks(batches):
             data, bounds = spans.text_bytes(chunk.column(1))
             n = np.bincount(spans.words(data, bounds)[2], minlength=chunk.num_rows)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), pa.array(n.astype(np.int64))], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column(0), *chunk.columns[2:], pa.array(n.astype(np.int64))], names=[*types, "size"]
+            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return id_and_text(docs, F.col("source").cast("string").alias("source")).mapInArrow(count, f"doc_id {kind}, source string, size long")
+    schema = ", ".join(f"`{n}` {t}" for n, t in types.items()) + ", size long"
+    return rows.mapInArrow(count, schema).withColumnRenamed("__source", "source")
 
 
 RUNS = "array<struct<turn:int,from_word:long,to_word:long,shard:int,place:long>>"
 
 
+def _placed(docs: DataFrame, shards: int, seed: int, *carried: str) -> tuple[dict[str | None, Mix], DataFrame]:
+    """What each source contributes, and the documents with their places in their source's order."""
+    sizes = sized_documents(docs).groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
+    plan = {m.source: m for m in plan_mix(sizes, shards, seed)}
+    sized = sized_documents(docs, *carried)
+    return plan, running_start(sized, ["source"], ["doc_id", "size"], F.col("size"), "start", seed=seed)
+
+
 def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, runs.
 
@@ -177,10 +191,7 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> Data
     without words are kept with nothing taken; repeated rows are documents of their own. Columns besides doc_id, text and
     source are not read. A source that holds most rows is ordered in pieces (``running_start``).
     """
-    sized = sized_documents(docs)
-    sizes = sized.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
-    plan = {m.source: m for m in plan_mix(sizes, shards, seed)}
-    placed = running_start(sized, ["source"], ["doc_id", "size"], F.col("size"), "start", seed=seed)
+    plan, placed = _placed(docs, shards, seed)
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -199,3 +210,53 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> Data
     return placed.select("doc_id", "source", "size", "start").mapInPandas(
         take, f"doc_id {kind}, source string, size long, source_size long, target double, taken long, runs {RUNS}"
     )
+
+
+def mixed_texts(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
+    """The mix itself: a row for each piece taken, with the columns of ``docs``, in shards that are shuffled locally.
+
+    A document taken whole keeps its text as it is; of one that is cut, the text from the first to the last word taken
+    stays. ``n_chars``, if there is one, is that of the row's text. A document of two rounds comes twice; one without
+    words not at all.
+    """
+    names = docs.columns
+    whole = docs.select(F.struct(*names).alias("__row"), "doc_id", "text", "source")
+    plan, placed = _placed(whole, shards, seed, "__row")
+    at = names.index("text")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                source, size, start = (part.column(i).to_pylist() for i in (1, 2, 3))
+                row = part.column(0)
+                fields = row.flatten()
+                texts = fields[at].to_pylist()
+                index, cut, shard, order = [], [], [], []
+                for i, (s, n, first) in enumerate(zip(source, size, start, strict=True)):
+                    for turn, a, b, to, place in runs_of(first, n, plan[s]):
+                        index.append(i)
+                        cut.append(texts[i] if b - a == n else _words_of(texts[i], a, b))
+                        shard.append(to)
+                        order.append(place * 1_009 + turn)
+                columns = [f.take(pa.array(index, pa.int32())) for f in fields]
+                columns[at] = pa.array(cut, fields[at].type)
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(shard, pa.int32()), pa.array(order, pa.int64())], names=[*names, "__shard", "__order"]
+                )
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __shard int, __order long"
+    pieces = placed.select("__row", "source", "size", "start").mapInArrow(take, schema)
+    if "n_chars" in names:
+        pieces = pieces.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    # A shard is one or more partitions; within it the order is by a hash, i.e. shuffled, and repeatable.
+    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), "__order", "doc_id"), F.lit(PARTS)))
+    local = dealt.repartition("__shard", "__part").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__order", "doc_id"))
+    return local.select(*names)
+
+
+def _words_of(text: str, first: int, last: int) -> str:
+    """The text from its word ``first`` to the one before ``last``."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = spans.words(data, np.array([0, len(data)]))
+    return data[starts[first] : ends[last - 1]].tobytes().decode()

@@ -37,6 +37,7 @@ ROUNDS = 10
 DAMPING = 0.5
 SURE = 0.9
 EDGE_LIMIT = 3.0
+BODY = "__body"
 
 
 def luhn(digits: str) -> bool:
@@ -309,3 +310,28 @@ def find_pii(docs: DataFrame, field: Field | None = None, mask: bool = False) ->
 
     schema = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", masked_text string" * mask
     return id_and_text(docs).mapInArrow(find, schema)
+
+
+def mask_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """The documents with every span, base or added, replaced by its kind in brackets; all columns stay.
+
+    ``n_chars``, if there is one, is that of the new text. A null text stays null.
+    """
+    field = field or train_field(docs)
+    names = docs.columns
+    at = names.index("text")
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in spans.chunks(batches, column=BODY):
+            data, bounds = spans.text_bytes(chunk.column(chunk.num_columns - 1))
+            documents = read_documents(data, bounds)
+            texts = chunk.column(at).to_pylist()
+            for r, (d, added) in enumerate(zip(documents, added_spans(documents, field), strict=True)):
+                if d is not None and (d.base or added):
+                    texts[r] = masked(texts[r], d.base + added)
+            columns = list(chunk.columns[:-1])
+            columns[at] = pa.array(texts, chunk.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = docs.withColumn(BODY, F.coalesce("text", F.lit(""))).mapInArrow(mask, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -184,3 +184,9 @@ def judge_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
         signal = F.expr(f"coalesce(try_divide({sql.replace(' / ', ', ')}), 0)")
         reached = reached | F.coalesce(signal >= F.col(rule), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~reached).drop("stratum", *RULES)
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+    """The documents that ``judge_documents`` keeps, with all their columns. Rows of one doc_id stay or go together."""
+    kept = judge_documents(docs, labels, **limits).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")

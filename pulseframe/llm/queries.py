@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulseframe.llm.bpe import encode_documents
 from pulseframe.llm.fingerprints import fingerprint_documents
 from pulseframe.llm.jaccard_join import jaccard_components
 from pulseframe.llm.licenses import scan_licenses
 from pulseframe.llm.mixing import mix_documents
+from pulseframe.llm.ordinal import fit_grades, grades, score_grades
 from pulseframe.llm.pii import find_pii
 from pulseframe.llm.quality_rules import judge_documents
 from pulseframe.llm.sharding import shard_documents
@@ -35,6 +37,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score_grades(docs, fit_grades(docs, grades(labels(spark, sf_dir)), levels=3))
+    return scored.select("doc_id", "expected_grade", F.get("tails", F.lit(0)).alias("p_not_toxic"), F.get("tails", F.lit(1)).alias("p_good"), "kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +72,7 @@ QUERIES = {
     "op2_jaccard": (op2_jaccard, None),
     "op3_fingerprints": (op3_fingerprints, None),
     "op4_sharding": (op4_sharding, None),
+    "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_bpe": (op6_bpe, None),
     "op7_pii": (op7_pii, None),
     "op8_licenses": (op8_licenses, None),

@@ -61,3 +61,62 @@ def components(docs):
             least[r] = i
         least.setdefault(r, i)
     return [(i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets)]
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    n = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(5)}
+    lines, seen, again = text.split("\n"), set(), 0
+    for line in lines:
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), again, len(covered), failed
+
+
+def personal(text):
+    """Base spans by the patterns as they are stated."""
+    text = text or ""
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+
+    def luhn(d):
+        return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, good in kinds for m in re.finditer(p, text) if good(m[0])]
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def licenses(text):
+    """(n_words, n_base, first_word, last_word, base_labels)"""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    found = [(i, label) for i in range(len(words)) for p, label in PHRASES.items() if words[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in found]
+    return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def jump(key, shards):
+    key &= (1 << 64) - 1
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def edited(text, following):
+    n = len(text) // 2
+    return text[: len(text) - n] + following[:n]
