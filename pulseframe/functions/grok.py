@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.functions.text import all_lines
+from pulseframe.functions.text import all_lines, is_regex
 
 # Publicly documented grok pattern names and their usual meaning.
 PATTERNS = {
@@ -128,16 +128,25 @@ class Grok:
 
 def compile_or_none(pattern: str, extra: dict[str, str] | None = None) -> Grok | None:
     try:
-        return Grok(pattern, extra)
+        grok = Grok(pattern, extra)
     except ValueError:
         return None
+    return grok if is_regex(grok.regex) else None
+
+
+def named_fields(pattern: str) -> list[str]:
+    """Fields that a pattern itself names, whether or not it can be compiled."""
+    return list(dict.fromkeys(ref.group(2) or ref.group(1) for ref in _REFERENCE.finditer(pattern)))
 
 
 def grok_extract(df: DataFrame, text: str, pattern: str, names: list[str] | None = None, extra: dict[str, str] | None = None) -> DataFrame:
-    """Rows that match, with one column per capture; a pattern that cannot be compiled matches nothing."""
+    """Rows that match, with one column per capture; a pattern that cannot be compiled matches nothing.
+
+    The columns are ``names``, or the fields of the pattern: the same ones for a pattern that cannot be compiled.
+    """
     grok = compile_or_none(pattern, extra)
     if grok is None:
-        return df.limit(0)
+        return df.limit(0).withColumns({n: F.lit(None).cast("string") for n in names or named_fields(pattern)})
     return df.where(grok.matches(F.col(text))).withColumns({n: grok.field(F.col(text), n) for n in names or grok.fields})
 
 
@@ -156,7 +165,9 @@ def grok_coverage(df: DataFrame, text: str, patterns: dict[str, str], extra: dic
 
 
 def grok_lines(df: DataFrame, text: str, pattern: str, keep: list[str], names: list[str] | None = None, extra: dict[str, str] | None = None) -> DataFrame:
-    """The captures of every line of a text, empty lines included."""
-    grok = Grok(pattern, extra)
+    """The captures of every line of a text, empty lines included; no lines for a pattern that cannot be compiled."""
+    grok = compile_or_none(pattern, extra)
     exploded = df.select(*keep, F.posexplode(all_lines(F.col(text))).alias("line_no", "line"))
+    if grok is None:
+        return exploded.limit(0).withColumn("captures", F.lit(None).cast("map<string,string>"))
     return exploded.withColumn("captures", grok.captures(F.col("line"), names))

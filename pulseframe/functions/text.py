@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,20 @@ def explode_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
 
 
+def is_regex(pattern: str) -> bool:
+    """Whether Spark can use a pattern, tested once on the driver by the class that will compile it."""
+    java = SparkContext._active_spark_context._jvm.java.util.regex
+    try:
+        java.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
 def grep_lines(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
-    """Lines that contain a match of the pattern, with their number in the text."""
+    """Lines that contain a match of the pattern, with their number in the text; none for a pattern that is no regex."""
     exploded = df.select(*keep, F.posexplode(all_lines(F.col(text))).alias("line_no", "line"))
-    return exploded.where(F.col("line").rlike(pattern))
+    return exploded.where(F.col("line").rlike(pattern)) if is_regex(pattern) else exploded.limit(0)
 
 
 def _raw_tokens(text: Column) -> Column:

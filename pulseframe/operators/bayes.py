@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
-from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +10,6 @@ from pyspark.sql import functions as F
 from pulseframe.functions.text import words
 from pulseframe.session import ensure_checkpoint_dir
 
-MAX_LABELS = 1_000
-BROADCAST_WEIGHTS = 2_000_000
-
 
 def token_counts(training: DataFrame) -> DataFrame:
     """(label, token, n) of a (label, text) training set."""
@@ -26,10 +21,11 @@ def token_counts(training: DataFrame) -> DataFrame:
 def model_table(training: DataFrame) -> DataFrame:
     """(label, token, n, label_tokens, vocabulary, log_prob): the trained model as a table.
 
-    Probabilities are Laplace smoothed. Totals come from the counts, which are
-    bounded by the vocabulary, and not from the texts again.
+    Probabilities are Laplace smoothed. Totals come from the checkpointed counts,
+    which are bounded by the vocabulary, and not from the texts again.
     """
-    counts = token_counts(training)
+    ensure_checkpoint_dir(training.sparkSession)
+    counts = token_counts(training).checkpoint()
     totals = counts.groupBy("label").agg(F.sum("n").alias("label_tokens"))
     size = counts.agg(F.count_distinct("token").alias("vocabulary"))
     return counts.join(totals, "label").withColumn("vocabulary", size.scalar()).withColumn(
@@ -39,67 +35,68 @@ def model_table(training: DataFrame) -> DataFrame:
 
 @dataclass
 class LogCategories:
-    """A trained categoriser: priors and totals per label, and one row per known token."""
+    """A trained categoriser, as tables of any size."""
 
-    labels: list[tuple[str, float, float]]  # label, log prior, log of smoothed total
-    tokens: DataFrame  # token, weights: array of ln(count + 1) in the order of the labels
-    vocabulary: int
+    labels: DataFrame  # label, prior, total: log prior and log of the smoothed number of tokens
+    weights: DataFrame  # token, label, weight: ln(count + 1); and one row with label NULL and weight 1 for each known token
+    default: str
 
-    def scores(self, df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
-        """Per row: ``known`` tokens and the array ``scores`` of {score, label}.
+    def best(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, category) of texts with a known token.
 
-        A small table of weights is broadcast, by its size counted while training. A large
-        one is joined on the token after counting tokens within each row, so a word
-        found in every text arrives once per text; AQE splits what is still skewed.
+        The score of a label is prior + the weights of the text's tokens - known tokens * total. Labels that share a token
+        with the text are scored one by one. For the others only the number of known tokens counts, so the best of them is
+        found once per number; it may be any label, as a shared token only adds to its score. No table of texts times
+        labels is made. Tokens are counted within each text first; AQE splits the rows of a very common one.
         """
-        found = df.select(*ids, F.explode(words(F.col(text))).alias("token"))
-        if self.vocabulary * len(self.labels) <= BROADCAST_WEIGHTS:
-            hits = found.join(F.broadcast(self.tokens), "token").withColumn("n", F.lit(1))
-        else:
-            hits = found.groupBy(*ids, "token").agg(F.count("*").alias("n")).join(self.tokens, "token")
-        sums = [
-            F.sum(F.col("n") * F.get("weights", F.lit(i))).alias(f"__s{i}") for i in range(len(self.labels))
-        ]
-        summed = hits.groupBy(*ids).agg(F.sum("n").alias("known"), *sums)
-        scores = [
-            F.struct(
-                (F.lit(prior) + F.col(f"__s{i}") - F.col("known") * F.lit(total)).alias("score"),
-                F.lit(-i).alias("rank"), F.lit(label).alias("label"),
-            )
-            for i, (label, prior, total) in enumerate(self.labels)
-        ]
-        return summed.select(*ids, "known", F.array(*scores).alias("scores"))
-
-    def categorize(self, df: DataFrame, text: str, ids: Sequence[str]) -> DataFrame:
-        """Adds ``category``; ``ids`` must be unique. A text without any known token gets the most frequent label."""
-        default = max(self.labels, key=lambda l: (l[1], l[0]))[0]
-        best = self.scores(df, text, ids).select(*ids, F.array_max("scores")["label"].alias("category"))
-        return df.join(best, list(ids), "left").withColumn(
-            "category", F.when(F.col(text).isNotNull(), F.coalesce("category", F.lit(default)))
+        found = texts.select(key, F.explode(words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+        sums = found.join(self.weights, "token").groupBy(key, "label").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
+        per_text = sums.groupBy(key).agg(
+            F.max(F.when(F.col("label").isNull(), F.col("s"))).cast("bigint").alias("known"),
+            F.filter(F.collect_list(F.struct("label", "s")), lambda h: h["label"].isNotNull()).alias("hits"),
+        )
+        shared = per_text.select(key, "known", F.inline("hits")).join(self.labels, "label").select(
+            key, F.struct((-(F.col("prior") + F.col("s") - F.col("known") * F.col("total"))).alias("cost"), "label").alias("best")
+        )
+        longest = per_text.agg(F.coalesce(F.max("known"), F.lit(1)).alias("k"))
+        lines = self.labels.withColumn("known", F.explode(F.sequence(F.lit(1).cast("bigint"), longest.scalar())))
+        without = lines.groupBy("known").agg(
+            F.min(F.struct((-(F.col("prior") - F.col("known") * F.col("total"))).alias("cost"), "label")).alias("best")
         )
+        rest = per_text.select(key, "known").join(without, "known").select(key, "best")
+        return shared.unionByName(rest).groupBy(key).agg(F.min("best")["label"].alias("category"))
+
+    def categorize(self, df: DataFrame, text: str) -> DataFrame:
+        """Adds ``category``, which depends on the text alone: each distinct text is scored once, whatever ids rows have.
+
+        A text without any known token gets the most frequent label, a NULL text none.
+        """
+        keyed = df.withColumn("__key", F.sha2(F.col(text), 256))
+        texts = keyed.where(F.col(text).isNotNull()).select("__key", F.col(text).alias("__body")).dropDuplicates(["__key"])
+        best = self.best(texts, "__key", "__body").withColumnRenamed("__key", "__scored")
+        joined = keyed.join(best, F.col("__key") == F.col("__scored"), "left").drop("__key", "__scored")
+        return joined.withColumn("category", F.when(F.col(text).isNotNull(), F.coalesce("category", F.lit(self.default))))
 
 
 def train(training: DataFrame) -> LogCategories:
-    """Fit on (label, text). The driver receives one row per label and the vocabulary size.
+    """Fit on (label, text). The driver receives the vocabulary size, the number of texts and the most frequent label.
 
     The counts, bounded by the vocabulary, are checkpointed: texts are read once.
     """
     ensure_checkpoint_dir(training.sparkSession)
     counts = token_counts(training).checkpoint()
-    per_label = training.groupBy("label").agg(F.count("*").alias("docs"))
+    per_label = training.groupBy("label").agg(F.count("*").alias("docs")).checkpoint()
+    vocabulary = counts.agg(F.count_distinct("token")).first()[0]
+    docs, top = per_label.agg(F.sum("docs"), F.max(F.struct("docs", "label"))["label"]).first()
+    if not docs:
+        raise ValueError("training needs a labelled text")
     totals = counts.groupBy("label").agg(F.sum("n").alias("tokens"))
-    rows = per_label.join(totals, "label", "left").limit(MAX_LABELS + 1).collect()
-    if not rows or len(rows) > MAX_LABELS:
-        raise ValueError(f"training needs between 1 and {MAX_LABELS} labels")
-    vocabulary = counts.select("token").distinct().count()
-    docs = sum(r["docs"] for r in rows)
-    labels = [
-        (r["label"], log(r["docs"] / docs), log((r["tokens"] or 0) + vocabulary)) for r in sorted(rows, key=lambda r: r["label"])
-    ]
-    weighted = counts.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", F.ln(F.col("n") + 1)))).alias("m"))
-    weights = F.array(*[F.coalesce(F.try_element_at("m", F.lit(label)), F.lit(0.0)) for label, _, _ in labels])
-    tokens = weighted.select("token", weights.alias("weights"))
-    return LogCategories(labels, tokens, vocabulary)
+    labels = per_label.join(totals, "label", "left").select(
+        "label", F.ln(F.col("docs") / docs).alias("prior"), F.ln(F.coalesce("tokens", F.lit(0)) + vocabulary).alias("total")
+    )
+    known = counts.select("token").distinct().select("token", F.lit(None).cast("string").alias("label"), F.lit(1.0).alias("weight"))
+    weights = counts.select("token", "label", F.ln(F.col("n") + 1).alias("weight")).unionByName(known)
+    return LogCategories(labels, weights, top)
 
 
 def accuracy(categorized: DataFrame, truth: str, category: str = "category") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import error_band
+from pulseframe.functions.text import damerau
 from pulseframe.operators.scale import BLOCK_ROWS, MAX_RANGES
 from pulseframe.session import ensure_checkpoint_dir
 
@@ -68,15 +69,24 @@ def label_by_range_table(
     the distinct values in a shuffled join, whose labels are joined to the rows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    leveled = disjoint_segments(ranges, block_rows).withColumn(
-        "__level", F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int")
-    ).checkpoint()
+    segments = disjoint_segments(ranges, block_rows).checkpoint()
+    # Segments are disjoint, so at most two of them have no finite width to be filed by.
+    infinite = (F.col("hi") - F.col("lo")) == float("inf")
+    ends = [(r["lo"], r["hi"], r["label"]) for r in segments.where(infinite).collect()]
+    x = F.col(value)
+    beyond = F.lit(None).cast("string")
+    for lo, hi, label in ends:
+        beyond = F.when((x >= lo) & (x < hi), F.lit(label)).otherwise(beyond)
+
+    def labelled(rows: DataFrame, label: Column) -> DataFrame:
+        return rows.select(*df.columns, F.coalesce(label, beyond).alias("label"))
+
+    leveled = segments.where(~infinite).withColumn("__level", F.ceil(F.log2(F.col("hi") - F.col("lo"))).cast("int"))
     # Bin sizes are exponents of doubles: a handful in practice, 2,100 at the very most.
     sizes = {r["__level"]: r["n"] for r in leveled.groupBy("__level").agg(F.count("*").alias("n")).collect()}
     levels = sorted(sizes)
     if not levels:
-        return df.withColumn("label", F.lit(None).cast("string"))
-    x = F.col(value)
+        return labelled(df, F.lit(None).cast("string"))
 
     def bin_of(x: Column, level: Column) -> Column:
         return F.floor(x / F.pow(F.lit(2.0), level))
@@ -93,12 +103,13 @@ def label_by_range_table(
             here = (bin_of(x, F.lit(n)) == F.col("__bin")) & (x >= F.col("__lo")) & (x < F.col("__hi"))
             rows = rows.join(F.broadcast(part), here, "left").drop("__bin", "__lo", "__hi")
         found = [f"__l{n}" for n in levels]
-        return rows.withColumn("label", F.coalesce(*found)).drop(*found)
+        return labelled(rows, F.coalesce(*[F.col(n) for n in found]))
     probes = df.select(value).where(x.isNotNull()).distinct().withColumn(
         "__level", F.explode(F.array(*[F.lit(l) for l in levels]))
     ).withColumn("__bin", bin_of(x, level))
     hits = probes.join(filed, ["__level", "__bin"]).where((x >= F.col("lo")) & (x < F.col("hi")))
-    return df.join(hits.select(value, "label"), value, "left")
+    named = hits.select(F.col(value).alias("__value"), F.col("label").alias("__found"))
+    return labelled(df.join(named, x == F.col("__value"), "left"), F.col("__found"))
 
 
 def band_overlap_join(
@@ -206,9 +217,12 @@ def _variants(text: Column, distance: int) -> Column:
     return F.array_distinct(found)
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_text: str | None, distance: int = 1) -> DataFrame:
+def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_text: str | None, distance: int = 1, metric: str = "levenshtein") -> DataFrame:
     """Pairs of distinct texts within an edit distance: (left_text, right_text, distance).
 
+    ``metric`` "levenshtein" counts single edits; "damerau" also counts a swap of neighbours as one, and pairs are then
+    complete in that metric.
+
     Two texts that near share a text reached by leaving out at most ``distance``
     characters of each, so they meet in an equi-join on such variants and no pair
     is missed. A variant is nearly a whole text: how many texts can share one
@@ -224,6 +238,9 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_t
     pairs = a.join(b, "__variant")
     if right is None:
         pairs = pairs.where(F.col("left_text") < F.col("right_text"))
+    if metric == "damerau":
+        swaps = pairs.select("left_text", "right_text").distinct().withColumn("distance", damerau(F.col("left_text"), F.col("right_text")))
+        return swaps.where(F.col("distance") <= distance).select("left_text", "right_text", "distance")
     near = pairs.select("left_text", "right_text", F.levenshtein("left_text", "right_text", distance).alias("distance"))
     return near.where(F.col("distance") >= 0).distinct()
 

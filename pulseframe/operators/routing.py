@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseframe.model import LOG_CONTENT, STRING_CONTENTS, GatewayConfig
 
@@ -23,13 +24,32 @@ def transform_record(df: DataFrame, change: Transformation) -> DataFrame:
 
 
 def merge_enrichment(df: DataFrame, **found: Column) -> DataFrame:
-    """Add fields to ``analytical_data``, keeping those already there unless named again."""
+    """Add fields to ``analytical_data``, keeping those already there unless named again.
+
+    Structs are merged field by field at every depth, so the sibling fields of a nested struct stay.
+    """
+    patch = F.struct(*[c.alias(k) for k, c in found.items()])
     if "analytical_data" not in df.columns:
-        return df.withColumn("analytical_data", F.struct(*[c.alias(k) for k, c in found.items()]))
-    merged = F.col("analytical_data")
-    for name, value in found.items():
-        merged = merged.withField(name, value)
-    return df.withColumn("analytical_data", merged)
+        return df.withColumn("analytical_data", patch)
+    kinds = df.select("analytical_data", patch.alias("patch")).schema
+    return df.withColumn(
+        "analytical_data", merge_structs(F.col("analytical_data"), kinds["analytical_data"].dataType, patch, kinds["patch"].dataType)
+    )
+
+
+def merge_structs(base: Column, base_type: T.StructType, patch: Column, patch_type: T.StructType) -> Column:
+    """One struct of both, in which the fields of the patch win; structs that are in both are merged in turn."""
+    old, new = set(base_type.fieldNames()), set(patch_type.fieldNames())
+    fields = []
+    for f in base_type.fields:
+        if f.name not in new:
+            value = base[f.name]
+        elif isinstance(f.dataType, T.StructType) and isinstance(patch_type[f.name].dataType, T.StructType):
+            value = merge_structs(base[f.name], f.dataType, patch[f.name], patch_type[f.name].dataType)
+        else:
+            value = patch[f.name]
+        fields.append(value.alias(f.name))
+    return F.struct(*fields, *[patch[n].alias(n) for n in patch_type.fieldNames() if n not in old])
 
 
 def merge_maps(base: Column, patch: Column) -> Column:

@@ -99,15 +99,6 @@ def over_series(
     return compute(cold, list(keys)).unionByName(done)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Rows of a few unsplittable files over all cores, before work that costs much per row.
-
-    Inputs of at least as many files as cores come back as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
-
-
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, spread: int = 64) -> DataFrame:
     """The newest ``n`` rows per key, reduced in two steps.
 

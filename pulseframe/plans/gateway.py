@@ -43,7 +43,7 @@ def analyse(
 def categorise_logs(df: DataFrame, model: LogCategories) -> DataFrame:
     """Adds ``analytical_data.category`` to string records; records without data are dropped."""
     rows = df.where(F.col("data").isNotNull()).withColumn("__text", text_payload(F.col("data")))
-    return model.categorize(rows, "__text", ["id"]).drop("__text").withColumn(
+    return model.categorize(rows, "__text").drop("__text").withColumn(
         "analytical_data", F.when(F.col("category").isNotNull(), F.struct("category"))
     ).drop("category")
 

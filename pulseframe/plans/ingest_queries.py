@@ -13,15 +13,16 @@ from pulseframe.functions.fields import (
     metrics_from_json, nanos_part, time_window,
 )
 from pulseframe.functions.paths import item_key_path, topic_fanout
-from pulseframe.model import GatewayConfig
+from pulseframe.model import GatewayConfig, internal_telemetry
 from pulseframe.operators.routing import is_typed, keep, merge_enrichment, merge_maps, route, transform_record, typed_values
 from pulseframe.plans.tables import CFG, event_telemetry, micros, table
 from pulseframe.sources.envelope import parse_envelopes, split_payloads, subscribe, union_sources
 from pulseframe.sources.generator import generate
-from pulseframe.sources.history import history_to_telemetry, lookup_items
+from pulseframe.sources.alert_events import parse_alert_events
+from pulseframe.sources.history import history_to_telemetry, lookup_items, parse_history
 from pulseframe.sources.prometheus import prometheus_samples, prometheus_to_telemetry
 from pulseframe.sources.syslog import parse_syslog, severity_counts, syslog_to_telemetry
-from pulseframe.sources.training import labelled
+from pulseframe.sources.training import labelled, parse_sections
 
 PREFIX = CFG.topic_prefix
 
@@ -39,7 +40,7 @@ def raw_envelopes(spark, d):
         F.lit('"details":{"detailType":"","contentType":0,"data":'), data, F.lit('}}},"id":"'), F.col("event_id"), F.lit('"}'),
     )
     broken = F.concat(F.lit("["), F.col("event_id"), F.lit("]"))
-    return table(spark, d, "events", "event_id").select("event_id", "ts", F.when(kind == "error", broken).otherwise(text).alias("value"))
+    return table(spark, d, "events").select("event_id", "ts", F.when(kind == "error", broken).otherwise(text).alias("value"))
 
 
 def ingest_envelope(spark, d):
@@ -94,7 +95,7 @@ def item_lookup(spark, d):
 
 
 def zabbix_history(spark, d):
-    raw = table(spark, d, "lineitem", "l_orderkey").select(
+    raw = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("itemid"),
         F.struct(F.concat(F.lit("host"), F.col("l_suppkey")).alias("host"), F.concat(F.lit("name"), F.col("l_suppkey")).alias("name")).alias("host"),
         (F.lit(1_700_000_000) + F.col("l_orderkey")).alias("clock"), F.col("l_linenumber").cast("bigint").alias("ns"),
@@ -116,7 +117,7 @@ def scrapes(spark, d):
         F.floor(micros() / 1000), F.lit("\n# TYPE level gauge\nlevel "), F.col("value"),
         F.lit("\nplain "), F.col("user_id"), F.lit('\n# TYPE lat histogram\nlat_bucket{le="0.5"} 3\nlat_sum 4\nlat_count 5\n'),
     )
-    return table(spark, d, "events", "event_id").select(
+    return table(spark, d, "events").select(
         F.col("event_id").alias("scrape_id"), text.alias("text"), F.lit(7).cast("bigint").alias("scraped_ms")
     )
 
@@ -162,26 +163,26 @@ def syslog_lines(spark, d):
         .when(kind == "click", F.concat(pri, day, F.lit(" host"), F.col("user_id"), F.lit(" su: "), F.col("props")))
         .when(kind == "signup", asl).otherwise(F.concat(F.lit("no priority "), F.col("event_id")))
     )
-    return table(spark, d, "events", "event_id").select("event_id", line.alias("line"))
+    return table(spark, d, "events").select("event_id", line.alias("line"))
 
 
 def syslog_parse(spark, d):
-    return parse_syslog(syslog_lines(spark, d)).select(
+    return parse_syslog(syslog_lines(spark, d), 2024).select(
         "event_id", "format", "facility", "severity", "version", "event_ns", "hostname", "appname", "procid", "msgid", "msg"
     )
 
 
 def syslog_rejected(spark, d):
-    return parse_syslog(syslog_lines(spark, d)).where("format = 'rejected'").select("event_id", "line")
+    return parse_syslog(syslog_lines(spark, d), 2024).where("format = 'rejected'").select("event_id", "line")
 
 
 def syslog_severity_counts(spark, d):
-    return severity_counts(parse_syslog(syslog_lines(spark, d)))
+    return severity_counts(parse_syslog(syslog_lines(spark, d), 2024))
 
 
 def syslog_envelope(spark, d):
     props = lambda n, kind="string": json_get(F.col("properties"), n, kind=kind).alias(n)
-    return syslog_to_telemetry(parse_syslog(syslog_lines(spark, d)), CFG).select(
+    return syslog_to_telemetry(parse_syslog(syslog_lines(spark, d), 2024), CFG).select(
         "origin", "destination", "content_type", F.try_variant_get("data", "$", "string").alias("message"),
         props("timestamp", "bigint"), props("zabbix_item"), props("syslog_facility", "int"), props("syslog_severity", "int"),
         props("syslog_version", "int"), props("syslog_appname"), props("syslog_procid"),
@@ -253,6 +254,78 @@ def merged_enrichment(spark, d):
     return rows.withColumn("m", merged).select("id", "analytical_data.*", F.col("m")["x"].alias("x"), F.col("m")["y"].alias("y"))
 
 
+def deep_merge(spark, d):
+    """A nested struct patched in one field keeps its others."""
+    rows = merge_enrichment(event_telemetry(spark, d), log=F.struct(F.lit("a").alias("x"), F.col("id").alias("y")), n=F.lit(1))
+    rows = merge_enrichment(rows, log=F.struct(F.upper("origin").alias("x"), F.lit(2).alias("z")))
+    a = F.col("analytical_data")
+    return rows.select("id", a["log"]["x"].alias("x"), a["log"]["y"].alias("y"), a["log"]["z"].alias("z"), a["n"].alias("n"))
+
+
+def history_json(spark, d):
+    """Item history as raw JSON text: quantities with and without a fraction, and a text."""
+    kind = F.col("l_linenumber") % 3
+    value = F.when(kind == 0, F.col("l_quantity").cast("string")).when(kind == 1, F.col("l_quantity").cast("bigint").cast("string")).otherwise(
+        F.concat(F.lit('"'), F.col("l_returnflag"), F.lit('"'))
+    )
+    text = F.concat(
+        F.lit('{"itemid":'), F.col("l_partkey"), F.lit(',"host":{"host":"h'), F.col("l_suppkey"), F.lit('","name":"n'), F.col("l_suppkey"),
+        F.lit('"},"clock":'), F.lit(1_700_000_000) + F.col("l_orderkey"), F.lit(',"ns":'), F.col("l_linenumber"),
+        F.lit(',"type":0,"name":"quantity","tags":[{"tag":"a","value":"b"}],"value":'), value, F.lit("}"),
+    )
+    rows = parse_history(table(spark, d, "lineitem").select(text.alias("value")))
+    return rows.select(
+        "itemid", F.col("host.host").alias("host"), F.col("host.name").alias("host_name"), "clock", "ns", "type", "name",
+        F.get("tags", F.lit(0))["value"].alias("tag"), "is_float", F.try_variant_get("value", "$", "string").alias("value"),
+    )
+
+
+def alert_json(spark, d):
+    """Problem events as JSON text; every third value is a string, which is no valid one."""
+    kind = F.col("event_type")
+    value = F.when(kind == "error", 1).otherwise(0).cast("string")
+    text = F.concat(
+        F.lit('{"clock":'), F.floor(micros() / 1_000_000), F.lit(',"ns":'), F.pmod(micros(), F.lit(1_000_000)) * 1000,
+        F.lit(',"value":'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value),
+        F.lit(',"eventid":'), F.col("event_id"), F.lit(',"name":"'), kind, F.lit('","severity":'), F.col("user_id") % 5,
+        F.lit(',"hosts":[{"host":"h","name":"n'), F.col("user_id"), F.lit('"}],"groups":["g"],"tags":[]}'),
+    )
+    rows = parse_alert_events(table(spark, d, "events").select(text.alias("value")))
+    return rows.select(
+        "clock", "ns", F.col("value").alias("state"), "eventid", "name", "severity", F.get("hosts", F.lit(0))["name"].alias("host_name"),
+        F.get("groups", F.lit(0)).alias("group_name"),
+    )
+
+
+def training_sections(spark, d):
+    """Training texts with one ``label: [ ... ]`` section each, parsed back to labelled lines."""
+    docs = table(spark, d, "documents").where("lang is not null").select(
+        F.concat(F.lit("  "), F.col("lang"), F.lit(": [\n    sample "), F.col("doc_id"), F.lit("\n\n    again "), F.col("doc_id"), F.lit("\n  ]\n")).alias("value")
+    )
+    return parse_sections(docs)
+
+
+def elapsed_records(spark, d):
+    """Records about a job's stages: the number of rows and the time span of each, for every stage."""
+    spans = table(spark, d, "events").groupBy("event_type").agg(
+        F.count("*").alias("n"), (F.max(micros()) - F.min(micros())).alias("took"), F.max(micros()).alias("at")
+    )
+    rows = internal_telemetry(
+        spans, CFG, F.concat(F.lit("/elapsed/"), F.col("event_type")), F.col("event_type"), F.lit(0),
+        F.col("took").cast("double") / 1_000_000, F.col("at") * 1000,
+    )
+    return rows.select("topic", "content_type", "data_float", "event_ns", json_get(F.col("properties"), "name").alias("name"))
+
+
+def prom_labels(spark, d):
+    """Label values with quotes, backslashes and line feeds in them."""
+    text = F.concat(
+        F.lit('# HELP level a\\nb\nlevel{path="C:\\\\x'), F.col("event_id"), F.lit('",say="\\"hi\\"\\n"} 1\n')
+    )
+    rows = table(spark, d, "events").select(F.col("event_id").alias("scrape_id"), text.alias("text"), F.lit(7).cast("bigint").alias("scraped_ms"))
+    return prometheus_samples(rows).select("scrape_id", "description", F.col("labels")["path"].alias("path"), F.col("labels")["say"].alias("say"))
+
+
 def typed_rows(spark, d):
     rows = event_telemetry(spark, d).where(is_typed(F.col("content_type")))
     return rows.select("id", "content_type", *[c.alias(n) for n, c in typed_values(F.col("data"), F.col("content_type")).items()])
@@ -294,7 +367,7 @@ def conversions(spark, d):
 def metric_json(spark, d):
     key = F.concat(F.lit("/app/"), F.col("event_type"))
     record = metric_record(key, F.col("value").cast("string"), micros() * 1000, F.create_map(F.lit("user"), F.col("user_id").cast("string")), F.lit("host"))
-    written = table(spark, d, "events", "event_id").select("event_id", metric_to_json(record).alias("json"))
+    written = table(spark, d, "events").select("event_id", metric_to_json(record).alias("json"))
     return metrics_from_json(written, "json").select(
         "event_id", "key", F.col("value").cast("double").alias("value"), "timestamp", "skey", "platform", "src",
         F.col("tags")["user"].alias("user"),
@@ -382,6 +455,35 @@ QUERIES = {
         """SELECT event_id::VARCHAR AS id, 'HOST ' || user_id AS origin,
                   CASE WHEN event_type IN ('view', 'purchase') THEN value * 2 END AS data_float, 'here' AS added FROM events""",
     ),
+    "deep_merge": (
+        deep_merge,
+        "SELECT event_id::VARCHAR AS id, 'HOST ' || user_id AS x, event_id::VARCHAR AS y, 2 AS z, 1 AS n FROM events",
+    ),
+    "history_json": (
+        history_json,
+        """SELECT l_partkey AS itemid, 'h' || l_suppkey AS host, 'n' || l_suppkey AS host_name, 1700000000 + l_orderkey AS clock,
+                  l_linenumber::BIGINT AS ns, 0 AS type, 'quantity' AS name, 'b' AS tag, l_linenumber % 3 = 0 AS is_float,
+                  CASE l_linenumber % 3 WHEN 2 THEN l_returnflag ELSE l_quantity::BIGINT::VARCHAR END AS value FROM lineitem""",
+    ),
+    "alert_json": (
+        alert_json,
+        """SELECT epoch_us(ts) // 1000000 AS clock, (epoch_us(ts) % 1000000) * 1000 AS ns,
+                  CASE WHEN event_id % 3 <> 0 THEN CASE event_type WHEN 'error' THEN 1 ELSE 0 END END::BIGINT AS state, event_id AS eventid,
+                  event_type AS name, (user_id % 5)::INTEGER AS severity, 'n' || user_id AS host_name, 'g' AS group_name FROM events""",
+    ),
+    "training_sections": (
+        training_sections,
+        """SELECT lang AS label, unnest(['sample ' || doc_id, 'again ' || doc_id]) AS text FROM documents WHERE lang IS NOT NULL""",
+    ),
+    "elapsed_records": (
+        elapsed_records,
+        f"""SELECT '{PREFIX}/elapsed/' || event_type AS topic, 0 AS content_type, (max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000.0 AS data_float,
+                   max(epoch_us(ts)) * 1000 AS event_ns, event_type AS name FROM events GROUP BY event_type""",
+    ),
+    "prom_labels": (
+        prom_labels,
+        r"""SELECT event_id AS scrape_id, 'a' || chr(10) || 'b' AS description, 'C:\x' || event_id AS path, '"hi"' || chr(10) AS say FROM events""".replace("\\\\", "\\"),
+    ),
     "merge_enrichment": (
         merged_enrichment,
         """SELECT event_id::VARCHAR AS id, 'b' || c AS category, c AS rank, 1 AS extra, '1' AS x, event_id::VARCHAR AS y

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.functions.text import damerau
 from pulseframe.operators.joins import band_overlap_join, fuzzy_join, label_by_range_table, label_by_ranges
 from pulseframe.plans.tables import table
 
@@ -16,13 +15,25 @@ def range_label(spark, d):
     return label_by_ranges(rows, "l_quantity", BANDS).groupBy("label", "l_quantity").agg(F.count("*").alias("n"))
 
 
-def range_label_join(spark, d):
-    """Order prices labelled by the account balance ranges of customers, which overlap in many ways."""
+def _label_prices(spark, d, **limits):
+    """Order prices labelled by the balance ranges of customers, which overlap in many ways; some have an open end."""
+    balance, open_end = F.col("c_acctbal") * 40, F.col("c_custkey") % 50
     ranges = table(spark, d, "customer").select(
-        (F.col("c_acctbal") * 40).alias("lo"), (F.col("c_acctbal") * 40 + 500 + F.col("c_nationkey") * 90).alias("hi"),
+        F.when(open_end == 7, float("-inf")).otherwise(F.when(open_end == 8, balance + 200_000).otherwise(balance)).alias("lo"),
+        F.when(open_end == 8, float("inf")).when(open_end == 7, F.col("c_acctbal")).otherwise(
+            balance + 500 + F.col("c_nationkey") * 90).alias("hi"),
         F.col("c_name").alias("label"), F.col("c_custkey").alias("seq"),
     )
-    return label_by_range_table(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges)
+    return label_by_range_table(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges, **limits)
+
+
+def range_label_join(spark, d):
+    return _label_prices(spark, d)
+
+
+def range_label_join_large(spark, d):
+    """The same by the plan for range tables that are too long to broadcast."""
+    return _label_prices(spark, d, broadcast_rows=0)
 
 
 def band_overlap(spark, d):
@@ -48,40 +59,42 @@ def band_overlap_binned(spark, d):
 
 def fuzzy_names(spark, d):
     """Customer names one edit apart."""
-    return fuzzy_join(table(spark, d, "customer", "c_custkey"), None, "c_name", None, 1).select(
+    return fuzzy_join(table(spark, d, "customer"), None, "c_name", None, 1).select(
         "left_text", "right_text", F.col("distance").cast("bigint").alias("distance")
     )
 
 
 def fuzzy_parts(spark, d):
-    """Part names against the words of part types and brands joined to them, up to two edits, with both distances."""
+    """Part names against shifted ones, up to two edits of which a swap is one, with both distances."""
     names = table(spark, d, "part").select(F.lower("p_name").alias("name"))
     typed = table(spark, d, "part").select(F.concat(F.substring("p_name", 2, 99), F.substring("p_type", 1, 1)).alias("other"))
-    pairs = fuzzy_join(names, typed.select(F.lower("other").alias("other")), "name", "other", 2)
+    pairs = fuzzy_join(names, typed.select(F.lower("other").alias("other")), "name", "other", 2, metric="damerau")
     return pairs.select(
-        "left_text", "right_text", F.col("distance").cast("bigint").alias("distance"),
-        damerau(F.col("left_text"), F.col("right_text")).cast("bigint").alias("swaps"),
+        "left_text", "right_text", F.levenshtein("left_text", "right_text").cast("bigint").alias("distance"),
+        F.col("distance").cast("bigint").alias("swaps"),
     )
 
 
 _CASE = " ".join(f"WHEN v >= {lo} AND v < {hi} THEN '{label}'" for lo, hi, label in sorted(BANDS[:3] + BANDS[4:]))
+RANGE_SQL = """
+    WITH r AS (
+        SELECT lo, hi, arg_min(c_name, c_custkey) AS label FROM (
+            SELECT *, CASE c_custkey % 50 WHEN 7 THEN '-inf'::DOUBLE WHEN 8 THEN c_acctbal * 40 + 200000 ELSE c_acctbal * 40 END AS lo,
+                   CASE c_custkey % 50 WHEN 8 THEN 'inf'::DOUBLE WHEN 7 THEN c_acctbal
+                        ELSE c_acctbal * 40 + 500 + c_nationkey * 90 END AS hi FROM customer)
+        WHERE hi > lo GROUP BY lo, hi
+    ), hit AS (
+        SELECT o_orderkey, label, row_number() OVER (PARTITION BY o_orderkey ORDER BY lo, hi) AS rn
+        FROM orders JOIN r ON o_totalprice >= lo AND o_totalprice < hi)
+    SELECT o.o_orderkey, o.o_totalprice, h.label FROM orders o LEFT JOIN hit h ON o.o_orderkey = h.o_orderkey AND h.rn = 1"""
 QUERIES = {
     "range_label": (
         range_label,
         f"""SELECT label, v AS l_quantity, count(*) AS n FROM (
             SELECT CASE {_CASE} END AS label, v FROM (SELECT l_quantity AS v FROM lineitem)) GROUP BY ALL""",
     ),
-    "range_label_join": (
-        range_label_join,
-        """WITH r AS (
-               SELECT lo, hi, arg_min(c_name, c_custkey) AS label FROM (
-                   SELECT *, c_acctbal * 40 AS lo, c_acctbal * 40 + 500 + c_nationkey * 90 AS hi FROM customer)
-               WHERE hi > lo GROUP BY lo, hi
-           ), hit AS (
-               SELECT o_orderkey, label, row_number() OVER (PARTITION BY o_orderkey ORDER BY lo, hi) AS rn
-               FROM orders JOIN r ON o_totalprice >= lo AND o_totalprice < hi)
-           SELECT o.o_orderkey, o.o_totalprice, h.label FROM orders o LEFT JOIN hit h ON o.o_orderkey = h.o_orderkey AND h.rn = 1""",
-    ),
+    "range_label_join": (range_label_join, RANGE_SQL),
+    "range_label_join_large": (range_label_join_large, RANGE_SQL),
     "band_overlap_join": (
         band_overlap,
         """SELECT l_orderkey, l_linenumber, partkey, unit, unit BETWEEN rlo AND rhi AS contains, rlo < llo AND lhi < rhi AS interior,
@@ -112,6 +125,6 @@ QUERIES = {
         """WITH a AS (SELECT DISTINCT lower(p_name) AS t FROM part),
                 b AS (SELECT DISTINCT lower(substr(p_name, 2) || substr(p_type, 1, 1)) AS t FROM part)
            SELECT a.t AS left_text, b.t AS right_text, levenshtein(a.t, b.t) AS distance, damerau_levenshtein(a.t, b.t) AS swaps
-           FROM a JOIN b ON levenshtein(a.t, b.t) <= 2""",
+           FROM a JOIN b ON damerau_levenshtein(a.t, b.t) <= 2""",
     ),
 }

@@ -13,13 +13,35 @@ from pulseframe.sources.envelope import parse_envelopes
 from pulseframe.sources.history import RefreshedTable, lookup_items
 from pulseframe.session import scratch_path
 from pulseframe.streaming.jobs import (
-    alert_stream, latest_state, read_table_stream, rolling_stream, run_gateway_stream, run_once, value_stream,
+    alert_stream, batch_sink, latest_state, read_table_stream, rolling_stream, run_gateway_stream, run_once, value_stream,
 )
 
 
+FILES = 8
+
+
+def _land(rows, order, path):
+    """Rows as ``FILES`` files that follow each other in time, as a stream finds them."""
+    shares = [i / FILES for i in range(1, FILES)]
+    bounds = rows.agg(F.percentile_approx(order, shares, 1_000)).first()[0] or []
+    edges = [None, *sorted(set(bounds)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows if low is None else rows.where(F.col(order) >= low)
+        part = part if high is None else part.where(F.col(order) < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def _stream(spark, d, name, order):
+    """A table as a stream of one file per micro-batch, so that state is carried from batch to batch."""
+    rows, path = table(spark, d, name), scratch_path(spark, name)
+    _land(rows, order, path)
+    return read_table_stream(spark, path, "*.parquet", rows.schema, files_per_batch=1)
+
+
 def _events(spark, d):
-    schema = table(spark, d, "events").schema
-    return read_table_stream(spark, d, "events.parquet", schema).withColumn("at", micros())
+    rows, path = table(spark, d, "events").withColumn("at", micros()), scratch_path(spark, "events")
+    _land(rows, "at", path)
+    return read_table_stream(spark, path, "*.parquet", rows.schema, files_per_batch=1)
 
 
 def stream_rolling_stats(spark, d):
@@ -44,11 +66,11 @@ def stream_alert_pairs(spark, d):
 
 def stream_item_lookup(spark, d):
     """Facts of each micro-batch joined with an item table that is read again every hour."""
-    schema, base = table(spark, d, "lineitem").schema, scratch_path(spark, "lookup")
-    facts = read_table_stream(spark, d, "lineitem.parquet", schema).select(F.col("l_partkey").alias("itemid"), "l_orderkey", "l_quantity")
+    base = scratch_path(spark, "lookup")
+    facts = _stream(spark, d, "lineitem", "l_orderkey").select(F.col("l_partkey").alias("itemid"), "l_orderkey", "l_quantity")
     items = RefreshedTable(lambda: item_dimension(spark, d), 3600)
     query = run_gateway_stream(
-        facts, lambda batch: lookup_items(batch, items()), lambda rows: rows.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint"
+        facts, lambda batch: lookup_items(batch, items()), batch_sink(f"{base}/out"), f"{base}/checkpoint"
     )
     query.awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("key_").agg(
@@ -59,11 +81,11 @@ def stream_item_lookup(spark, d):
 def stream_gateway(spark, d):
     """Envelope texts land as files, and a job parses them and appends typed rows to a table."""
     base = scratch_path(spark, "gateway")
-    raw_envelopes(spark, d).select("value").write.text(f"{base}/in")
-    lines = spark.readStream.text(f"{base}/in")
+    raw_envelopes(spark, d).select("value").repartition(FILES).write.text(f"{base}/in")
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{base}/in")
     query = run_gateway_stream(
         lines, lambda batch: table_rows(parse_envelopes(batch, CFG), CFG),
-        lambda rows: rows.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint",
+        batch_sink(f"{base}/out"), f"{base}/checkpoint",
     )
     query.awaitTermination()
     rows = spark.read.parquet(f"{base}/out")

@@ -9,6 +9,7 @@ from pulseframe.functions.text import (
     explode_lines, grep_lines, map_lines, token_frequencies, token_kinds, tokenize, word_counts,
 )
 from pulseframe.operators.bayes import accuracy, model_table, train
+from pulseframe.plans.gateway import categorise_logs
 from pulseframe.plans.tables import table
 from pulseframe.sources.training import labelled
 
@@ -41,11 +42,11 @@ SCORE_SQL = r"""
 
 
 def text_lines(spark, d):
-    return explode_lines(table(spark, d, "documents", "doc_id"), "text", ["doc_id"]).select("doc_id", "line")
+    return explode_lines(table(spark, d, "documents"), "text", ["doc_id"]).select("doc_id", "line")
 
 
 def grep(spark, d):
-    return grep_lines(table(spark, d, "documents", "doc_id"), "text", r"(^|[^0-9])[0-9]{3}([^0-9]|$)", ["doc_id"]).withColumn(
+    return grep_lines(table(spark, d, "documents"), "text", r"(^|[^0-9])[0-9]{3}([^0-9]|$)", ["doc_id"]).withColumn(
         "line_no", F.col("line_no").cast("bigint")
     )
 
@@ -53,7 +54,7 @@ def grep(spark, d):
 def mapped_lines(spark, d):
     """Length of each line that has one of two letters, added up per text."""
     sizes = map_lines(F.col("text"), lambda l: F.when(l.rlike("[qz]"), F.length(l)))
-    return table(spark, d, "documents", "doc_id").select("doc_id", F.explode(sizes).alias("size")).groupBy("doc_id").agg(
+    return table(spark, d, "documents").select("doc_id", F.explode(sizes).alias("size")).groupBy("doc_id").agg(
         F.count("*").alias("lines"), F.sum("size").cast("bigint").alias("characters")
     )
 
@@ -69,7 +70,7 @@ def coverage(spark, d):
 
 
 def grok_document_lines(spark, d):
-    found = grok_lines(table(spark, d, "documents", "doc_id"), "text", r"%{WORD:key} = \"%{NOTQUOTE:value}\"", ["doc_id"], ["key", "value"], {"NOTQUOTE": r"[^\"]+"})
+    found = grok_lines(table(spark, d, "documents"), "text", r"%{WORD:key} = \"%{NOTQUOTE:value}\"", ["doc_id"], ["key", "value"], {"NOTQUOTE": r"[^\"]+"})
     return found.select(
         "doc_id", F.try_element_at("captures", F.lit("key")).alias("key"), F.try_element_at("captures", F.lit("value")).alias("value"),
         F.size("captures").cast("bigint").alias("fields"),
@@ -82,7 +83,7 @@ def grok_is_match(spark, d):
 
 
 def frequencies(spark, d):
-    return token_frequencies(table(spark, d, "documents", "doc_id"), "text")
+    return token_frequencies(table(spark, d, "documents"), "text")
 
 
 def tokens_of_props(spark, d):
@@ -93,29 +94,53 @@ def tokens_of_props(spark, d):
 
 
 def kinds(spark, d):
-    return token_kinds(table(spark, d, "documents", "doc_id"), "text", []).groupBy("kind").agg(
+    return token_kinds(table(spark, d, "documents"), "text", []).groupBy("kind").agg(
         F.count("*").alias("n"), F.sum(F.length("value")).alias("characters")
     )
 
 
 def words_by_language(spark, d):
-    return word_counts(table(spark, d, "documents", "doc_id"), "text", ["lang"])
+    return word_counts(table(spark, d, "documents"), "text", ["lang"])
+
+
+def bad_patterns(spark, d):
+    """A pattern that cannot be compiled gives no rows, and the columns of one that can."""
+    pages = table(spark, d, "pages")
+    url = pages.select("page_id", F.col("url").alias("text"))
+    grok = grok_extract(url, "text", "%{NOSUCH:proto}", ["proto"]).select("page_id", F.col("proto").alias("found"))
+    odd = grok_extract(url, "text", "(%{WORD:proto}", ["proto"]).select("page_id", F.col("proto").alias("found"))
+    by_line = grok_lines(url, "text", "%{WORD:k}[", ["page_id"], ["k"]).select("page_id", F.col("captures")["k"].alias("found"))
+    grep_ = grep_lines(url, "text", "(unclosed", ["page_id"]).select("page_id", F.col("line").alias("found"))
+    good = grok_extract(url, "text", "^%{WORD:proto}:", ["proto"]).select("page_id", F.col("proto").alias("found"))
+    return grok.unionByName(odd).unionByName(by_line).unionByName(grep_).unionByName(good)
 
 
 def nb_model(spark, d):
-    model = model_table(labelled(table(spark, d, "documents", "doc_id"), "lang", "text"))
+    model = model_table(labelled(table(spark, d, "documents"), "lang", "text"))
     return model.select("label", "token", "n", "label_tokens", "vocabulary", F.round("log_prob", 6).alias("log_prob"))
 
 
 def log_category(spark, d):
-    model = train(labelled(table(spark, d, "documents", "doc_id"), "lang", "text"))
-    done = model.categorize(table(spark, d, "conversations", "conv_id"), "text", ["conv_id", "turn"])
+    model = train(labelled(table(spark, d, "documents"), "lang", "text"))
+    done = model.categorize(table(spark, d, "conversations"), "text")
     return done.select("conv_id", "turn", "role", "category")
 
 
+def gateway_log_categories(spark, d):
+    """Documents as log records whose ids repeat or are missing; a record's category depends on its text alone."""
+    docs = table(spark, d, "documents")
+    number = F.col("doc_id") % 3
+    logs = docs.select(
+        "doc_id", F.when(number == 0, F.lit("ID7")).when(number == 1, F.col("doc_id").cast("string")).alias("id"),
+        F.col("text").cast("variant").alias("data"),
+    )
+    done = categorise_logs(logs, train(labelled(docs, "lang", "text")))
+    return done.select("doc_id", F.col("analytical_data.category").alias("category"))
+
+
 def log_category_accuracy(spark, d):
-    docs = table(spark, d, "documents", "doc_id").where("lang is not null")
-    done = train(labelled(docs, "lang", "text")).categorize(docs.select("doc_id", "lang", "text"), "text", ["doc_id"])
+    docs = table(spark, d, "documents").where("lang is not null")
+    done = train(labelled(docs, "lang", "text")).categorize(docs.select("doc_id", "lang", "text"), "text")
     return accuracy(done, "lang")
 
 
@@ -176,6 +201,7 @@ QUERIES = {
         r"""SELECT lang, word, count(*) AS n FROM (
                 SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents) GROUP BY ALL""",
     ),
+    "bad_patterns": (bad_patterns, r"""SELECT page_id, regexp_extract(url, '^(\b\w+\b):', 1) AS found FROM pages WHERE regexp_matches(url, '^\b\w+\b:')"""),
     "nb_model": (
         nb_model,
         TRAIN_SQL + "SELECT label, token, n, label_tokens, vocabulary, round(ln((n + 1) / (label_tokens + vocabulary)), 6) AS log_prob FROM c JOIN t USING (label), v",
@@ -186,6 +212,12 @@ QUERIES = {
         SELECT conv_id, turn, role, coalesce(category, (SELECT label FROM fallback)) AS category
         FROM conversations LEFT JOIN best ON best.id = struct_pack(c := conv_id, t := turn)""",
     ),
+    "gateway_log_categories": (
+        gateway_log_categories,
+        TRAIN_SQL + SCORE_SQL.format(id="doc_id", table="documents") + """
+        SELECT doc_id, coalesce(category, (SELECT label FROM fallback)) AS category
+        FROM documents LEFT JOIN best ON best.id = doc_id WHERE text IS NOT NULL""",
+    ),
     "log_category_accuracy": (
         log_category_accuracy,
         TRAIN_SQL + SCORE_SQL.format(id="doc_id", table="documents") + """

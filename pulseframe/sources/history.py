@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.functions.fields import epoch_nanos
+from pulseframe.functions.fields import epoch_nanos, json_get
 from pulseframe.functions.paths import item_key_path
-from pulseframe.model import GatewayConfig, stable_id, telemetry, topic_key
+from pulseframe.model import TAGS, GatewayConfig, float_token, stable_id, telemetry, topic_key
 
 
 def lookup_items(facts: DataFrame, items: DataFrame, on: str = "itemid") -> DataFrame:
@@ -39,6 +39,23 @@ class RefreshedTable:
         return self._table
 
 
+def parse_history(df: DataFrame, value: str = "value") -> DataFrame:
+    """Item history as JSON texts in the columns that ``history_to_telemetry`` takes; a text that is no JSON is dropped.
+
+    ``is_float`` follows the rule for envelopes: the value's token is written as a float.
+    """
+    parsed = df.withColumn("__v", F.try_parse_json(F.col(value))).where(F.col("__v").isNotNull())
+    v = F.col("__v")
+    return parsed.select(
+        json_get(v, "itemid", kind="bigint").alias("itemid"),
+        F.struct(json_get(v, "host", "host").alias("host"), json_get(v, "host", "name").alias("name")).alias("host"),
+        json_get(v, "clock", kind="bigint").alias("clock"), json_get(v, "ns", kind="bigint").alias("ns"),
+        json_get(v, "type", kind="int").alias("type"), json_get(v, "name").alias("name"),
+        F.from_json(F.get_json_object(value, "$.tags"), TAGS).alias("tags"),
+        json_get(v, "value", kind="variant").alias("value"), float_token(F.col(value), "$.value", v).alias("is_float"),
+    )
+
+
 def history_to_telemetry(raw: DataFrame, items: DataFrame, cfg: GatewayConfig) -> DataFrame:
     """``raw`` has itemid, host{host,name}, clock, ns, type, name, tags, value (VARIANT) and is_float."""
     # Keys are converted once per item and not once per fact.

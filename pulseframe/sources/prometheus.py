@@ -21,6 +21,13 @@ def last_wins(keys: Column, values: Column) -> Column:
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(one_by_one)
 
 
+def unescaped(text: Column) -> Column:
+    """The text of a quoted value or a description: backslash, line feed and quote are written with a backslash."""
+    marked = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    plain = F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
+    return F.replace(plain, F.lit("\0"), F.lit("\\"))
+
+
 def read_scrapes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """Scrapes landed as one file each; a file's time is the time of its scrape."""
     reader = spark.readStream if streaming else spark.read
@@ -63,10 +70,10 @@ def prometheus_samples(scrapes: DataFrame, text: str = "text", scraped_ms: str =
         F.col("kind").isin("counter", "gauge", "untyped") & F.col("value").isNotNull()
     )
     labels = last_wins(
-        F.regexp_extract_all("__labels", F.lit(_LABEL), F.lit(1)), F.regexp_extract_all("__labels", F.lit(_LABEL), F.lit(2))
+        F.regexp_extract_all("__labels", F.lit(_LABEL), F.lit(1)), F.transform(F.regexp_extract_all("__labels", F.lit(_LABEL), F.lit(2)), unescaped)
     )
     return typed.select(
-        "scrape_id", "seq", "metric", "kind", F.coalesce(F.try_element_at("__help", metric), F.lit("N/A")).alias("description"),
+        "scrape_id", "seq", "metric", "kind", F.coalesce(unescaped(F.try_element_at("__help", metric)), F.lit("N/A")).alias("description"),
         F.when(F.col("__labels") == "", F.create_map().cast("map<string,string>")).otherwise(labels).alias("labels"), "value",
         F.when(F.col("__own") != "", F.col("__own").try_cast("bigint")).otherwise(F.col(scraped_ms)).alias("timestamp_ms"),
     )

@@ -28,7 +28,7 @@ def _micros(text: Column, pattern: str | None = None) -> Column:
     return F.unix_micros(parsed.cast("timestamp"))
 
 
-def parse_syslog(df: DataFrame, line: str = "line", year: int = 2024) -> DataFrame:
+def parse_syslog(df: DataFrame, year: int, line: str = "line") -> DataFrame:
     """Adds the parsed fields, NULL where a line has none, and ``format``.
 
     ``format`` is ``rejected`` for lines of no known form. RFC 3164 lines carry no

@@ -197,33 +197,47 @@ def run_once(stream: DataFrame, label: str) -> DataFrame:
 
 
 def run_gateway_stream(
-    stream: DataFrame, stages: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str,
+    stream: DataFrame, stages: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str,
     interval: str | None = None,
 ):
     """A continuous job: every micro-batch passes the stages and goes to one sink.
 
-    Without an interval it handles what is there and stops. Within a batch all
+    The sink gets the number of the batch, which is the same when a batch is repeated after a failure: a sink that replaces
+    what it wrote under that number, as ``batch_sink`` does, writes everything once. Without an interval the job handles
+    what is there and stops. Within a batch all
     batch operators may be used; state across batches needs the keyed streams.
     """
-    def handle(batch: DataFrame, _: int) -> None:
-        sink(stages(batch))
+    def handle(batch: DataFrame, number: int) -> None:
+        sink(stages(batch), number)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Parquet in one folder per batch (column ``batch`` on reading), which a repeated batch replaces."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+TIMING = "destination string, name string, batch bigint, elapsed double, records bigint"
+
+
 class StageTimings(StreamingQueryListener):
-    """Keeps the duration of each micro-batch, as rows for ``internal_telemetry``."""
+    """Hands the duration of each micro-batch to ``emit``, as a row of ``TIMING``; nothing is kept here."""
 
-    def __init__(self, destination: str = "/elapsed", limit: int = 10_000):
-        self.destination, self.limit, self.rows = destination, limit, []
+    def __init__(self, emit: Callable[[tuple], None], destination: str = "/elapsed"):
+        self.emit, self.destination = emit, destination
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.rows = [*self.rows, (self.destination, p.name or "", p.batchId, float(p.durationMs.get("triggerExecution", 0)) / 1000, p.numInputRows)][-self.limit:]
+        self.emit((self.destination, p.name or "", p.batchId, float(p.durationMs.get("triggerExecution", 0)) / 1000, p.numInputRows))
 
     def onQueryIdle(self, event):
         pass
@@ -231,8 +245,6 @@ class StageTimings(StreamingQueryListener):
     def onQueryTerminated(self, event):
         pass
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "destination string, name string, batch bigint, elapsed double, records bigint")
 
 
 def observed(df: DataFrame, stage: str) -> tuple[DataFrame, object]:

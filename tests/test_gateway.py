@@ -133,23 +133,31 @@ def test_state_of_a_value_stream_can_be_queried(spark, landed, tmp_path):
 
 def test_gateway_stream_with_timings(spark, landed, tmp_path):
     df, folder = landed
-    timings = jobs.StageTimings("/elapsed")
+    rows = []
+    timings = jobs.StageTimings(rows.append, "/elapsed")
     spark.streams.addListener(timings)
     stream = jobs.read_table_stream(spark, folder, "*.parquet", df.schema, files_per_batch=4)
     out = str(tmp_path / "out")
     query = jobs.run_gateway_stream(
-        stream, lambda b: b.where("key = 'hot'"), lambda r: r.write.mode("append").parquet(out), str(tmp_path / "c")
+        stream, lambda b: b.where("key = 'hot'"), jobs.batch_sink(out), str(tmp_path / "c")
     )
     query.awaitTermination()
     assert spark.read.parquet(out).count() == df.where("key = 'hot'").count()
     import time
 
     for _ in range(50):
-        if sum(r[4] for r in timings.rows) >= 800:
+        if sum(r[4] for r in rows) >= 800:
             break
         time.sleep(0.2)
     spark.streams.removeListener(timings)
-    assert timings.frame(spark).agg(F.sum("records")).first()[0] == 800
+    assert spark.createDataFrame(rows, jobs.TIMING).agg(F.sum("records")).first()[0] == 800
+
+
+def test_repeated_batch_is_written_once(spark, tmp_path):
+    sink, out = jobs.batch_sink(str(tmp_path / "out")), str(tmp_path / "out")
+    for number in (0, 1, 1):
+        sink(spark.range(10), number)
+    assert spark.read.parquet(out).count() == 20
 
 
 def test_observed_counts(spark):

@@ -164,7 +164,7 @@ LINES = [
 
 def test_syslog(spark):
     df = spark.createDataFrame(list(enumerate(LINES)), "n int, line string")
-    parsed = parse_syslog(df)
+    parsed = parse_syslog(df, 2024)
     r = {x.n: x for x in parsed.collect()}
     a = r[0]
     assert (a.facility, a.severity, a.version, a.hostname, a.appname, a.procid, a.msgid, a.msg) == (4, 2, 1, "host1", "app", "123", "ID47", "hello world")

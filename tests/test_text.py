@@ -93,13 +93,23 @@ def test_grok_of_empty_lines(spark):
 TRAINING = [("ssh", "Failed password from root"), ("ssh", "Invalid user from root"), ("linux", "kernel memory zone")]
 
 
-@pytest.mark.parametrize("limit", [0, 50_000])
-def test_categories(spark, monkeypatch, limit):
-    """The same with a vocabulary that is broadcast and one that is joined."""
-    monkeypatch.setattr(bayes, "BROADCAST_WEIGHTS", limit)
+def test_categories(spark):
     model = bayes.train(spark.createDataFrame(TRAINING, "label string, text string"))
-    df = spark.createDataFrame([(1, "syslog: Failed password from root"), (2, "memory zone memory"), (3, "unheard"), (4, None)], "id int, t string")
-    assert {r.id: r.category for r in model.categorize(df, "t", ["id"]).collect()} == {1: "ssh", 2: "linux", 3: "ssh", 4: None}
+    texts = ["syslog: Failed password from root", "memory zone memory", "unheard", None, "memory zone memory"]
+    df = spark.createDataFrame([("ID7" if i % 2 else None, t) for i, t in enumerate(texts)], "id string, t string")
+    found = sorted((r.t or "", r.category) for r in model.categorize(df, "t").collect())
+    assert found == sorted([(texts[0], "ssh"), (texts[1], "linux"), ("unheard", "ssh"), ("", None), (texts[4], "linux")], key=lambda r: r[0])
+
+
+def test_category_without_a_shared_token(spark):
+    """Many tokens of a large class can leave a small class, which has none of them, ahead."""
+    rows = [("large", "a b c " * 500), ("small", "x"), ("small", "y"), ("small", "z")]
+    model = bayes.train(spark.createDataFrame(rows, "label string, text string"))
+    from math import log
+
+    text, tokens = "a", {"large": 1500, "small": 3}
+    want = max(tokens, key=lambda k: log({"large": 1, "small": 3}[k] / 4) + log((500 if k == "large" else 0) + 1) - log(tokens[k] + 6))
+    assert model.categorize(spark.createDataFrame([(text,)], "t string"), "t").first().category == want
 
 
 def test_model_table(spark):
