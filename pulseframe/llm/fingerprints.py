@@ -13,6 +13,8 @@ term, it has at most (mean distinct terms of a document) / ``low`` terms whateve
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ LOW, HIGH = 0.005, 0.10
 LEXICONS = 5
 KEEP_OF_TEN = 7
 CELLS = 1 << 18
+#: Documents are chained in buckets of consecutive ids: of so many rows, or more where there would be too many buckets.
 ROWS_PER_BUCKET = 2_000
+MOST_BUCKETS = 20_000
 QUANTILES = 256
 
 
@@ -82,7 +86,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _bucket(docs: DataFrame) -> Column:
-    """Consecutive doc_ids in buckets of about ``ROWS_PER_BUCKET``: the rank is interpolated between quantiles."""
+    """Consecutive doc_ids in buckets, at most ``MOST_BUCKETS`` and a few: the rank is interpolated between quantiles."""
     shares = [i / QUANTILES for i in range(QUANTILES + 1)]
     n, bounds = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", shares, 20 * QUANTILES)).first()
     if not n:
@@ -93,13 +97,15 @@ def _bucket(docs: DataFrame) -> Column:
     low = F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(at, i + s) <= F.col("doc_id"), i + s).otherwise(i))
     width = F.greatest(F.get(at, low + 1).cast("double") - F.get(at, low), F.lit(1.0))
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("doc_id").cast("double") - F.get(at, low)) / width))
-    place = F.floor((low + inside) * F.lit(n / QUANTILES / ROWS_PER_BUCKET)).cast("bigint")
+    place = F.floor((low + inside) * F.lit(n / QUANTILES / max(ROWS_PER_BUCKET, n / MOST_BUCKETS))).cast("bigint")
     return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("bigint")).otherwise(place)
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add ``next_*``: the columns of the row with the next doc_id (behind the last: the first), null ids first.
 
+    ``prepare`` is applied to the rows before they are chained; it may add columns.
+
     Rows move once, into buckets of consecutive ids. Each bucket also gets the first row of the one behind it, so no row
     has to look beyond its bucket, and no task sees more than a bucket.
     """
@@ -110,8 +116,9 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     homes = firsts.select(
         F.col("__first"), F.coalesce(F.lag("__bucket").over(order), F.max("__bucket").over(around)).alias("__home")
     )
-    guests = rows.join(homes, F.col("doc_id").eqNullSafe(F.col("__first"))).withColumn("__bucket", F.col("__home")).drop("__first", "__home")
-    both = rows.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1)))
+    # One row per bucket, so the list has a fixed bound.
+    guests = rows.join(F.broadcast(homes), F.col("doc_id").eqNullSafe(F.col("__first"))).withColumn("__bucket", F.col("__home")).drop("__first", "__home")
+    both = prepare(rows.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1))))
     inside = Window.partitionBy("__bucket").orderBy("__guest", F.asc_nulls_first("doc_id"), "text")
     for c in columns:
         both = both.withColumn(f"next_{c}", F.lead(c).over(inside))
@@ -127,8 +134,7 @@ def fingerprint_documents(docs: DataFrame, low: float = LOW, high: float = HIGH)
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bits = lexicon_filter(rows, low, high)
-    own = with_fingerprint(rows, F.col("text"), bits, "own")
-    pairs = with_next(own, ["text", "own"])
+    pairs = with_next(rows, ["text", "own"], lambda df: with_fingerprint(df, F.col("text"), bits, "own"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
