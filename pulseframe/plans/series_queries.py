@@ -187,6 +187,31 @@ def anomalies(spark, d):
     return found.select("event_type", F.posexplode_outer("anomalies").alias("pos", "value"))
 
 
+def _planted(spark, d, value):
+    """Series of 128 consecutive events each, with values of a known shape and a small jitter."""
+    events = table(spark, d, "events")
+    jitter = (F.col("event_id") * 37 % 11) / 100
+    rows = events.select(
+        F.floor(F.col("event_id") / 128).alias("series"), (F.col("event_id") % 128).alias("p"), "event_id", jitter.alias("jitter")
+    )
+    whole = events.agg(F.floor((F.max("event_id") + 1) / 128).alias("n"))
+    return rows.where(F.col("series") < whole.scalar()).withColumn("value", value + F.col("jitter"))
+
+
+def anomalies_planted(spark, d):
+    """A weekly season with one spike in each series: the spike is found and nothing else."""
+    spike = F.when(F.col("p") == 40 + F.col("series") % 20, 50.0).otherwise(0.0)
+    found = anomaly.anomalies(_planted(spark, d, F.col("p") % 7 * 10.0 + spike), ["series"], ["event_id"], "value")
+    return found.select("series", F.explode("anomalies").alias("value")).withColumn("value", F.round("value", 6))
+
+
+def breakouts_planted(spark, d):
+    """One change of level in the middle of each series: the first value of the new level is found and nothing else."""
+    level = F.when(F.col("p") >= 64, 10.0 + F.col("series") % 3).otherwise(0.0)
+    found = breakout.breakouts(_planted(spark, d, level), ["series"], ["event_id"], "value")
+    return found.select("series", F.explode("breakouts").alias("value")).withColumn("value", F.round("value", 6))
+
+
 def anomalies_mad(spark, d):
     found = anomaly.anomalies_mad(table(spark, d, "events"), SERIES, ORDER, "value")
     return found.select("event_type", "value", F.round("score", 5).alias("score"))
@@ -339,6 +364,18 @@ QUERIES = {
                 FROM {NEWEST} WHERE rn <= 128) WHERE step < 8""",
     ),
     "anomalies": (anomalies, None),
+    "anomalies_planted": (
+        anomalies_planted,
+        """SELECT series, round(p % 7 * 10.0 + 50.0 + event_id * 37 % 11 / 100, 6)::DOUBLE AS value FROM (
+               SELECT event_id // 128 AS series, event_id % 128 AS p, event_id FROM events)
+           WHERE p = 40 + series % 20 AND series < (SELECT (max(event_id) + 1) // 128 FROM events)""",
+    ),
+    "breakouts_planted": (
+        breakouts_planted,
+        """SELECT series, round(10.0 + series % 3 + event_id * 37 % 11 / 100, 6)::DOUBLE AS value FROM (
+               SELECT event_id // 128 AS series, event_id % 128 AS p, event_id FROM events)
+           WHERE p = 64 AND series < (SELECT (max(event_id) + 1) // 128 FROM events)""",
+    ),
     "anomalies_mad": (
         anomalies_mad,
         f"""WITH r AS (SELECT event_type, value FROM {NEWEST} WHERE rn <= 128),

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import epoch_micros
 from pulseframe.plans.ingest_queries import INGEST_SQL, item_dimension, raw_envelopes
+from pulseframe.model import LOG_CONTENT
+from pulseframe.operators.bayes import train
 from pulseframe.plans.series_queries import ALERT_PAIRS_SQL, NEWEST, ROLLING_SQL, ROUNDED, _round
-from pulseframe.plans.tables import CFG, micros, table
+from pulseframe.plans.tables import CFG, event_telemetry, micros, table
 from pulseframe.sinks.shapes import table_rows
 from pulseframe.sources.envelope import parse_envelopes
 from pulseframe.sources.history import RefreshedTable, lookup_items
+from pulseframe.sources.training import labelled
 from pulseframe.session import scratch_path
 from pulseframe.streaming.jobs import (
-    alert_stream, batch_sink, latest_state, read_table_stream, rolling_stream, run_gateway_stream, run_once, value_stream,
+    alert_stream, analyse_stream, batch_sink, latest_state, read_table_stream, rolling_stream, run_gateway_stream, run_once, value_stream,
 )
 
 
@@ -94,7 +97,40 @@ def stream_gateway(spark, d):
     )
 
 
+def stream_gateway_analysis(spark, d):
+    """Telemetry in several micro-batches: floats with all attributes, logs with a category, the rest as it is."""
+    base = scratch_path(spark, "analysis")
+    plain = ["id", "topic", "content_type", "event_ns", "data_float"]
+    by_user = event_telemetry(spark, d).withColumn("topic", F.concat("topic", F.lit("/"), "origin"))
+    rows = by_user.select(*plain, F.to_json("data").alias("data"))
+    _land(rows, "event_ns", f"{base}/in")
+    model = train(labelled(table(spark, d, "conversations"), "role", "text"))
+    stream = read_table_stream(spark, f"{base}/in", "*.parquet", rows.schema, files_per_batch=1)
+
+    def categorise(batch):
+        text = F.when(F.col("content_type") == LOG_CONTENT, F.from_json(F.concat(F.lit('{"t":'), F.col("data"), F.lit("}")), "t string")["t"])
+        return model.categorize(batch.withColumn("__text", text), "__text").drop("__text")
+
+    query = run_gateway_stream(analyse_stream(stream, CFG), categorise, batch_sink(f"{base}/out"), f"{base}/checkpoint")
+    query.awaitTermination()
+    done = spark.read.parquet(f"{base}/out")
+    return done.select(
+        F.col("id").cast("bigint").alias("id"), "content_type", F.col("n_of_samples").alias("n"), F.round("mean", 9).alias("mean"),
+        F.size("markov_chain_forecast").cast("bigint").alias("steps"), F.col("markov_chain_forecast")[0].alias("first_step"),
+        (F.size("anomalies") * 10 <= F.col("n_of_samples")).alias("few_anomalies"), F.col("category").isNotNull().alias("categorised"),
+    )
+
+
 QUERIES = {
+    "stream_gateway_analysis": (
+        stream_gateway_analysis,
+        """SELECT event_id AS id, CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 3 WHEN 'signup' THEN 10 ELSE 0 END AS content_type,
+                  CASE WHEN f THEN count(*) OVER w END AS n, CASE WHEN f THEN round(avg(value) OVER w, 9) END AS mean,
+                  CASE WHEN f THEN least(8, count(*) OVER w) END AS steps, CASE WHEN f THEN first_value(value) OVER w END AS first_step,
+                  CASE WHEN f THEN true END AS few_anomalies, event_type = 'error' AS categorised
+           FROM (SELECT *, event_type IN ('view', 'purchase') AS f FROM events)
+           WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)""",
+    ),
     "stream_rolling_stats": (stream_rolling_stats, ROLLING_SQL),
     "stream_metric_last": (
         stream_metric_last,

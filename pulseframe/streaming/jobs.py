@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from pulseframe.model import FORECAST_PERIOD, SERIES_LENGTH
+from pulseframe.model import FORECAST_PERIOD, MARKOV_ORDER, MARKOV_STEPS, SERIES_LENGTH, GatewayConfig
+from pulseframe.operators.anomaly import seasonal_esd
+from pulseframe.operators.breakout import breakpoints
+from pulseframe.operators.markov import _chain
 from pulseframe.operators.rolling import STATISTICS, _line_weights
 from pulseframe.session import STATE_STORE_PROVIDER, scratch_path
 
@@ -106,6 +109,34 @@ class RollingState(_Keyed):
         yield out[ROLLING_OUTPUT.names]
 
 
+ANALYSIS = T.StructType([
+    T.StructField("n_of_samples", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in STATISTICS[1:]],
+    T.StructField("tsf_next", T.DoubleType()), T.StructField("statistical_oscillator", T.DoubleType()),
+    *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("markov_chain_forecast", "anomalies", "breakouts")],
+])
+
+
+class AnalysisState(RollingState):
+    """Every record of a key with all attributes of its last 128 values; a record's own columns come back as they are."""
+
+    def __init__(self, value: str, order: list[str], columns: list[str], window: int) -> None:
+        self.value, self.order, self.columns, self.window = value, order, columns, window
+
+    def handleInputRows(self, key, rows, timerValues):
+        taken = self._rows(rows, self.order)
+        held = len(self.state.get()[0]) if self.state.exists() else 0
+        before = list(self.state.get()[0]) if held else []
+        plain = pd.DataFrame({"at": range(len(taken)), "event_id": range(len(taken)), "value": taken[self.value].to_numpy(dtype=float)})
+        done = next(super().handleInputRows(key, iter([plain]), timerValues)).drop(columns=["key", "event_id"])
+        values = np.array([*before, *plain["value"]], dtype=float)
+        last = [values[max(0, held + i + 1 - SERIES_LENGTH) : held + i + 1] for i in range(len(taken))]
+        done["markov_chain_forecast"] = [_chain(v.tolist(), MARKOV_ORDER, MARKOV_STEPS, None, False) for v in last]
+        done["anomalies"] = [v[seasonal_esd(v, self.window)].tolist() for v in last]
+        done["breakouts"] = [v[breakpoints(v, self.window)].tolist() for v in last]
+        record = taken[self.columns].reset_index(drop=True)
+        yield pd.concat([record, done.reset_index(drop=True)], axis=1)[[*self.columns, *ANALYSIS.names]]
+
+
 class ValueState(_Keyed):
     """The last 128 values of a key, of any JSON type, as texts."""
 
@@ -152,6 +183,20 @@ def rolling_stream(df: DataFrame) -> DataFrame:
     return _stateful(df.where("value is not null"), "key", RollingState(), ROLLING_OUTPUT)
 
 
+def analyse_stream(df: DataFrame, cfg: GatewayConfig) -> DataFrame:
+    """A stream of telemetry with the attributes of ``ANALYSIS`` on its float records; others pass with none.
+
+    ``df`` has topic, event_ns, id, data_float and further columns of plain types (a VARIANT cannot pass through Python:
+    carry it as JSON text). The state per topic is its last 128 values; within a micro-batch, records count in event order.
+    """
+    floats = df.where(F.col("data_float").isNotNull())
+    output = T.StructType([*df.schema.fields, *ANALYSIS.fields])
+    state = AnalysisState("data_float", ["event_ns", "id"], df.columns, cfg.anomalies_window)
+    rest = df.where(F.col("data_float").isNull())
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in ANALYSIS.fields]
+    return _stateful(floats, "topic", state, output).unionByName(rest.select(*df.columns, *nothing))
+
+
 def value_stream(df: DataFrame) -> DataFrame:
     """Last value and recent sample per key and micro-batch of a stream (key, event_id, at, value text)."""
     return _stateful(df, "key", ValueState(), LAST_OUTPUT)
