@@ -113,30 +113,43 @@ def label_by_range_table(
 
 
 def band_overlap_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str,
-    left_q: float, right_q: float, bin_width: float | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, left_q: float, right_q: float
 ) -> DataFrame:
     """Pairs of one key whose tolerance bands meet, and how the bands relate.
 
-    With ``bin_width`` the bands are also filed in bins, so that a key with many
-    distant bands is spread over tasks; a pair is kept only in the bin where the
-    overlap starts, and so appears once.
+    A band belongs to the power of two next above its width and touches at most two bins of that size, or of a larger one.
+    Two bands meet in the bins of the wider one, so a key with many bands is spread over its bins, a wide band is not cut
+    into many pieces, and distant bands never meet. A pair is kept only in the bin where the overlap starts, and so appears
+    once. A band is filed at most twice for each size that occurs.
     """
     a = left.withColumn("l_band", error_band(F.col(left_value), left_q))
     b = right.withColumn("r_band", error_band(F.col(right_value), right_q))
-    on = list(keys)
+
+    def size_of(band: str) -> Column:
+        width = F.col(f"{band}.hi") - F.col(f"{band}.lo")
+        return F.when(width > 0, F.ceil(F.log2(width)).cast("int"))
+
+    a, b = a.withColumn("__l_size", size_of("l_band")), b.withColumn("__r_size", size_of("r_band"))
+    # Exponents of doubles: a few dozen in practice, 2,100 at the very most.
+    found = a.select("__l_size").unionByName(b.select(F.col("__r_size").alias("__l_size"))).distinct().collect()
+    sizes = sorted(r[0] for r in found if r[0] is not None) or [0]
+
+    def bin_of(x: Column) -> Column:
+        scaled = x / F.pow(F.lit(2.0), F.col("__size"))
+        return scaled - F.pmod(scaled, F.lit(1.0))
+
+    def filed(df: DataFrame, band: str, own: str) -> DataFrame:
+        own_size = F.coalesce(F.col(own), F.lit(sizes[0]))
+        each = F.filter(F.array(*map(F.lit, sizes)), lambda n: n >= own_size)
+        sized = df.withColumn(own, own_size).withColumn("__size", F.explode(each))
+        return sized.withColumn("__bin", F.explode(F.array_distinct(F.array(bin_of(F.col(f"{band}.lo")), bin_of(F.col(f"{band}.hi"))))))
+
     start = F.greatest("l_band.lo", "r_band.lo")
     meet = (F.col("l_band.lo") <= F.col("r_band.hi")) & (F.col("r_band.lo") <= F.col("l_band.hi"))
-    if bin_width:
-        def filed(df: DataFrame, band: str) -> DataFrame:
-            first, last = (F.floor(F.col(f"{band}.{end}") / bin_width).cast("bigint") for end in ("lo", "hi"))
-            return df.withColumn("__bin", F.explode(F.sequence(first, last)))
-
-        a, b = filed(a, "l_band"), filed(b, "r_band")
-        on.append("__bin")
-        meet = meet & (F.floor(start / bin_width) == F.col("__bin"))
+    here = (F.col("__size") == F.greatest("__l_size", "__r_size")) & (F.col("__bin") == bin_of(start))
+    pairs = filed(a, "l_band", "__l_size").join(filed(b, "r_band", "__r_size"), [*keys, "__size", "__bin"]).where(meet & here)
+    joined = pairs.drop("__bin", "__size", "__l_size", "__r_size")
     l, r = F.col("l_band"), F.col("r_band")
-    joined = a.join(b, on).where(meet).drop("__bin")
     return joined.withColumns({
         "contains": (r["lo"] <= F.col(left_value)) & (F.col(left_value) <= r["hi"]),
         "interior": (r["lo"] < l["lo"]) & (l["hi"] < r["hi"]),

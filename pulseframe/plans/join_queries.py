@@ -50,10 +50,10 @@ def band_overlap(spark, d):
 
 
 def band_overlap_binned(spark, d):
-    """Close balances of suppliers and customers of one nation; bands are filed in bins of 50."""
+    """Close balances of suppliers and customers of one nation; bands are filed by their width."""
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    pairs = band_overlap_join(s, c, ["nation"], "s_acctbal", "c_acctbal", 0.01, 0.02, bin_width=50.0)
+    pairs = band_overlap_join(s, c, ["nation"], "s_acctbal", "c_acctbal", 0.01, 0.02)
     return pairs.select("nation", "s_suppkey", "c_custkey", "contains", "interior", "less")
 
 
