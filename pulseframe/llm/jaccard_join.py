@@ -11,7 +11,8 @@ Set relations, after Wang et al. (2017), save most of the rest:
 * Answer level: sets of one list are mostly copies of each other. Each is first compared with the list's leader only (the
   same one in all lists that it is in). What links to a leader has its answer from it: it needs no further comparison
   with the leader's other answers. Only pairs of a list that are still in different components are compared in the
-  second round, which makes the result exact.
+  second round, which makes the result exact. In both rounds a pair's texts are only fetched if it shares enough lists
+  (``least_shared``), which few pairs that do not link do.
 
 Equal sets are one node. Texts move to the leader they are compared with, in portions, and a task holds one leader's set.
 """
@@ -183,11 +184,24 @@ def _runs(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(tokens)]])
 
 
+def least_shared(size_a, place_a, size_b, place_b):
+    """How many prefix tokens two sets have to share in order to link; 0 if they cannot, given a shared one at these places.
+
+    Of the two prefixes, let one end first in the global order. All that the sets share up to there is in both prefixes,
+    and behind it that set has ceil(0.8 n) - 1 tokens left. So the overlap is at most the shared prefix tokens plus that.
+    """
+    need = pair_overlap(size_a, size_b) - np.maximum(least_overlap(size_a), least_overlap(size_b)) + 1
+    return np.where(possible(size_a, place_a, size_b, place_b), np.maximum(need, 1), 0)
+
+
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """(token, node, at, leader): lists with more than one set, without repeats. The leader is the list's least node."""
+    """(token, node, at, leader, need): lists with more than one set, without repeats.
+
+    The leader is the list's least node; ``need``: the least number of lists that a set has to share with it.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token = last_node = leader = None
+        last_token = last_node = leader = leader_at = None
         held: np.ndarray | None = None  # the first row of a list whose next row has not come yet
         for batch in batches:
             token, node, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -205,23 +219,24 @@ def shared_lists(entries: DataFrame) -> DataFrame:
             if not len(token):
                 continue
             first, end = _runs(token)
-            lead = np.repeat(node[first], end - first)
+            lead, lead_at = (np.repeat(c[first], end - first) for c in (node, at))
             count = np.repeat(end - first, end - first)
             going_on = last_token is not None and token[0] == last_token
             if going_on:
-                lead[: end[0]] = leader
+                lead[: end[0]], lead_at[: end[0]] = leader, leader_at
                 count[: end[0]] = 2
             if count[-1] == 1:  # may get company
                 held = (token[-1:], node[-1:], at[-1:])
             else:
-                leader = lead[-1]
+                leader, leader_at = lead[-1], lead_at[-1]
             out = count > 1
             last_token, last_node = (None, None) if held is not None else last
             if out.any():
-                yield _ints({"token": token[out], "node": node[out], "at": at[out], "leader": lead[out]})
+                need = least_shared(at >> 32, at & 0xFFFFFFFF, lead_at >> 32, lead_at & 0xFFFFFFFF)
+                yield _ints({"token": token[out], "node": node[out], "at": at[out], "leader": lead[out], "need": need[out]})
 
     return entries.repartition("token").sortWithinPartitions("token", "node").mapInArrow(
-        make, "token long, node long, at long, leader long"
+        make, "token long, node long, at long, leader long, need long"
     )
 
 
@@ -233,23 +248,38 @@ def possible(size_a, place_a, size_b, place_b):
     return (NUMERATOR * large <= DENOMINATOR * small) & (left + np.minimum(place_a, place_b) >= need)
 
 
+def frequent(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share at least ``need`` lists, of one row for each list that they share."""
+    return pairs.groupBy("a", "b", "need").agg(F.count("*").alias("lists")).where("lists >= need").select("a", "b")
+
+
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one list, in different components, that can link. ``lists``: token, at, node, component."""
+    """Pairs (a, b) in different components that can link. ``lists``: token, at, node, component.
+
+    Within a list, ordered by size and place, sets are compared with those 1, 2, 3 ... places behind, all at once; a set
+    drops out where its list ends or sizes go beyond what it can link to.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def pairs(at: np.ndarray, node: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if (component == component[0]).all():
-                return
+        def pairs(token: np.ndarray, at: np.ndarray, node: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
             size, place = at >> 32, at & 0xFFFFFFFF
-            last = np.searchsorted(size, size * DENOMINATOR // NUMERATOR, "right")  # sizes beyond are skipped as a block
-            for i in range(len(at) - 1):
-                others = np.arange(i + 1, last[i])
-                good = (component[others] != component[i]) & possible(size[i], place[i], size[others], place[others])
-                others = others[good]
-                if len(others):
-                    yield _ints({"a": np.minimum(node[i], node[others]), "b": np.maximum(node[i], node[others])})
+            first, end = _runs(token)
+            end = np.repeat(end, end - first)
+            left, step = np.arange(len(token)), 1
+            while True:
+                left = left[left + step < end[left]]
+                left = left[NUMERATOR * size[left + step] <= DENOMINATOR * size[left]]
+                if not len(left):
+                    return
+                i = left[component[left] != component[left + step]]
+                j = i + step
+                need = least_shared(size[i], place[i], size[j], place[j])
+                i, j, need = i[need > 0], j[need > 0], need[need > 0]
+                if len(i):
+                    yield _ints({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "need": need})
+                step += 1
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -257,14 +287,15 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             if not len(columns[0]):
                 continue
-            first, end = _runs(columns[0])
-            for i, j in zip(first[:-1].tolist(), end[:-1].tolist(), strict=True):
-                yield from pairs(*(c[i:j] for c in columns[1:]))
-            held = [c[first[-1] :] for c in columns]
+            last = _runs(columns[0])[0][-1]
+            if last:
+                yield from pairs(*(c[:last] for c in columns))
+            held = [c[last:] for c in columns]
         if held and len(held[0]):
-            yield from pairs(*held[1:])
+            yield from pairs(*held)
 
-    return lists.select("token", "at", "node", "component").repartition("token").sortWithinPartitions("token", "at").mapInArrow(make, "a long, b long").distinct()
+    found = lists.select("token", "at", "node", "component").repartition("token").sortWithinPartitions("token", "at")
+    return frequent(found.mapInArrow(make, "a long, b long, need long"))
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -327,21 +358,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), pa.array(bodies, pa.binary())], names=["doc_id", "check", "packed"])
 
     packed = rows.mapInArrow(squeeze, f"doc_id {kind}, check long, packed binary")
-    wanted = lists.select("node").distinct().join(nodes, "node").select(F.col("least").alias("doc_id"), "check", "node")
-    same = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["check"] == wanted["check"])
-    # Repeated rows give a node several equal texts; one is enough.
-    texts = _stored(packed.join(wanted, same).select("node", "packed").dropDuplicates(["node"]), "texts")
 
-    stars = lists.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = _stored(compare(stars, texts), "links")
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """(node, packed) of the sets in the pairs."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = needed.join(nodes, "node").select(F.col("least").alias("doc_id"), "check", "node")
+        same = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["check"] == wanted["check"])
+        # Repeated rows give a node several equal texts; one is enough.
+        return _stored(packed.join(wanted, same).select("node", "packed").dropDuplicates(["node"]), "texts")
+
+    led = lists.where("leader <> node and need > 0").select(F.col("leader").alias("a"), F.col("node").alias("b"), "need")
+    stars = _stored(frequent(led), "stars")
+    links = _stored(compare(stars, texts_of(stars)), "links")
     component = connected_components(links)
     # What links to a leader is answered; other pairs of a list are still to be compared.
     placed = lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     rest = _stored(cross_pairs(placed.join(mixed.select("token"), "token", "left_semi")).join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = compare(rest, texts)
-        component = connected_components(_stored(links.unionByName(more), "links"))
+        more = _stored(compare(rest, texts_of(rest)), "more-links")
+        if not more.isEmpty():
+            component = connected_components(links.unionByName(more))
     roots = component.join(nodes, "node").groupBy("component").agg(F.min("least").alias("root"))
     answer = nodes.join(component, "node", "left").join(roots, "component", "left").select("node", F.coalesce("root", "least").alias("name"))
     return sets.join(answer, "node", "left").select(
