@@ -2,7 +2,7 @@
 
 A text is split by the vocabulary's pattern, and the bytes of each distinct piece are folded by ranked merges: the
 adjacent pair of lowest rank is merged, the leftmost first, until no pair has a rank. Decoding looks every id up and
-concatenates the bytes. Pieces repeat far more often than they differ, so a task folds each distinct piece once; the memo
+concatenates the bytes. Pieces repeat far more often than they differ, so a worker folds each distinct piece once; the memo
 is emptied when it holds ``MEMO`` pieces, which bounds memory and changes no result. (README: why this runs in Arrow
 batches and not as a fold in Spark's higher-order functions.)
 """
@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame
 from pulseframe.llm import spans
 from pulseframe.llm.tables import id_and_text
 
-MEMO = 200_000
+MEMO = 300_000
 LONG_PIECE = 1_000
+NO_RANK = 1 << 40
 
 
 @lru_cache(maxsize=2)
@@ -42,21 +44,23 @@ def fold(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    if len(piece) > LONG_PIECE:
+    n = len(piece)
+    if n > LONG_PIECE:
         return _fold_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [ranks.get(piece[i : i + 2]) for i in range(len(piece) - 1)]
-    while True:
-        best = min((r for r in pairs if r is not None), default=None)
-        if best is None:
-            return [ranks[p] for p in parts]
+    rank = ranks.get
+    cuts = list(range(n + 1))
+    pairs = [rank(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == NO_RANK:
+            break
         i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del cuts[i + 1], pairs[i]
         if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
+            pairs[i - 1] = rank(piece[cuts[i - 1] : cuts[i + 1]], NO_RANK)
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1])
+            pairs[i] = rank(piece[cuts[i] : cuts[i + 2]], NO_RANK)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -88,34 +92,45 @@ def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Memo(dict):
+    """Ids of the pieces seen so far; an unknown piece is folded when it is asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) > MEMO:
+            self.clear()
+        ids = self[piece] = tuple(fold(piece.encode(), self.ranks))
+        return ids
+
+
 class Codec:
-    """Encoder and decoder of one task, with the memo of distinct pieces."""
+    """Encoder and decoder with the memo of distinct pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
         self.pieces = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.pieces}
         self.split = regex.compile(unicode_spaces(pattern)).findall
-        self.memo: dict[str, tuple[list[int], str, int]] = {}
-
-    def encoded(self, text: str) -> list[tuple[list[int], str, int]]:
-        """(ids, ids as text, their number) of every match of the pattern."""
-        memo, out = self.memo, []
-        if len(memo) > MEMO:
-            memo.clear()
-        for piece in self.split(text):
-            known = memo.get(piece)
-            if known is None:
-                ids = fold(piece.encode(), self.ranks)
-                known = memo[piece] = (ids, ",".join(map(str, ids)), len(ids))
-            out.append(known)
-        return out
+        self.memo = _Memo(ranks)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.encoded(text) for i in ids]
+        """Ids of every match of the pattern, one match after another."""
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
+    def written(self, ids: list[int]) -> str:
+        return ",".join(map(self.names.__getitem__, ids))
+
+
+@lru_cache(maxsize=1)
+def codec_of(path: str, pattern: str) -> Codec:
+    """One codec for all tasks of a Python worker."""
+    return Codec(read_ranks(path), pattern)
+
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False, tokens: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens and, as asked for, ids (array) or ids_sha256 and decoded_sha256.
@@ -128,18 +143,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = F
     schema = f"doc_id {kind}, n_tokens long" + ", ids array<int>" * tokens + ", ids_sha256 string, decoded_sha256 string" * digests
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(read_ranks(path), pattern)
+        codec = codec_of(path, pattern)
         for chunk in spans.chunks(batches):
             counts, ids_out, hashes, backs = [], [], [], []
             for text in chunk.column(1).to_pylist():
-                found = codec.encoded(text)
-                counts.append(sum([n for _, _, n in found]))
-                if tokens or digests:
-                    ids = [i for part, _, _ in found for i in part]
+                ids = codec.encode(text)
+                counts.append(len(ids))
                 if tokens:
                     ids_out.append(ids)
                 if digests:
-                    hashes.append(hashlib.sha256(",".join([s for _, s, _ in found]).encode()).hexdigest())
+                    hashes.append(hashlib.sha256(codec.written(ids).encode()).hexdigest())
                     backs.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             columns = {"doc_id": chunk.column(0), "n_tokens": pa.array(counts, pa.int64())}
             if tokens:
