@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm import spans
@@ -32,6 +32,7 @@ SHOUTS = spans._mask(b"!")
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+SPREAD = 256
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_shouts long"
 #: Signal of each rule as SQL over the metrics. All are shares, so one grid of cutoffs serves them.
@@ -128,6 +129,10 @@ def choose_cutoff(
     return found
 
 
+def _signal(sql: str) -> Column:
+    return F.expr(f"coalesce(try_divide({sql.replace(' / ', ', ')}), 0)")
+
+
 def certified_cutoffs(
     metrics: DataFrame, labels: DataFrame, limit: float = 0.02, error: float = 0.05, good_cost: float = 10.0
 ) -> DataFrame:
@@ -140,12 +145,9 @@ def certified_cutoffs(
         labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "doc_id"
     )
     # The number of cutoffs that a signal reaches, i.e. that reject the document.
-    reached = [
-        F.array_size(F.filter(F.array(*map(F.lit, GRID)), lambda c, s=F.expr(f"coalesce(try_divide({sql.replace(' / ', ', ')}), 0)"): s >= c))
-        .alias(rule)
-        for rule, sql in RULES.items()
-    ]
-    bins = marked.select("stratum", "quality", F.explode(F.create_map(*[x for r, c in zip(RULES, reached, strict=True) for x in (F.lit(r), c)])).alias("rule", "bin"))
+    reached = {rule: sum((_signal(sql) >= c).cast("int") for c in GRID) for rule, sql in RULES.items()}
+    by_rule = F.create_map(*[x for rule, n in reached.items() for x in (F.lit(rule), n)])
+    bins = marked.select("stratum", "quality", F.explode(by_rule).alias("rule", "bin"))
     counts = bins.groupBy("stratum", "rule", "bin").agg(
         F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad")
     )
@@ -177,13 +179,15 @@ def judge_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     ensure_checkpoint_dir(docs.sparkSession)
     metrics = quality_metrics(docs).checkpoint()
     cutoffs = certified_cutoffs(metrics, labels, **limits)
-    limits_row = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    joined = metrics.join(limits_row, "stratum", "left")
+    # A stratum may hold most documents: its row of cutoffs is repeated, and the documents are dealt among the copies.
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    limits_row = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).withColumn("__copy", copies)
+    dealt = metrics.withColumn("__copy", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SPREAD)).cast("int"))
+    joined = dealt.join(limits_row, ["stratum", "__copy"], "left")
     reached = F.lit(False)
     for rule, sql in RULES.items():
-        signal = F.expr(f"coalesce(try_divide({sql.replace(' / ', ', ')}), 0)")
-        reached = reached | F.coalesce(signal >= F.col(rule), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~reached).drop("stratum", *RULES)
+        reached = reached | F.coalesce(_signal(sql) >= F.col(rule), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~reached).drop("stratum", "__copy", *RULES)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
