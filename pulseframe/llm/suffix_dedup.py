@@ -40,9 +40,10 @@ HOT_SHARE = 1e-4
 HOT_ENTRIES = 1_000
 SKETCH = 1 << 20
 
-# An entry's place in one number: first string, strings behind it, offset of the q-gram from the first string, dealt out or
-# not, and a check of the text (doc_ids may repeat).
-START, EXTRA, OFFSET, HOT, CHECK = 25, 17, 9, 8, 0
+# An entry's place in one number: first string, strings behind it, offset of the q-gram from the first string, three marks,
+# and a check of the text (doc_ids may repeat). Marks: dealt out by extent; known to repeat, as its own chunk has its extent
+# twice; settled, as it does and another entry of the chunk stands for it in the bucket.
+START, EXTRA, OFFSET, SETTLED, KNOWN, HOT, CHECK = 27, 19, 11, 10, 9, 8, 0
 ENTRY = "core long, whole long, doc long, place long, home long"
 
 
@@ -51,6 +52,21 @@ def pack(start: np.ndarray, extra: np.ndarray, offset: np.ndarray, check: np.nda
     return (wide[0] << START) | (wide[1] << EXTRA) | (wide[2] << OFFSET) | (wide[3] << HOT) | wide[4]
 
 
+def marked_copies(core: np.ndarray, whole: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Places with the marks of entries whose extent comes twice in the chunk; the first of them stands for the others.
+
+    So a passage with very many copies sends one entry of each chunk to its bucket.
+    """
+    if not len(core):
+        return place
+    order = np.lexsort((whole, core))
+    same = (core[order][1:] == core[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    later, first = np.zeros(len(core), bool), np.zeros(len(core), bool)
+    later[order[1:][same]] = True
+    first[order[:-1][same]] = True
+    return place | np.where(later, (1 << SETTLED) | (1 << KNOWN), np.where(first, 1 << KNOWN, 0))
+
+
 def first_of(place: np.ndarray) -> np.ndarray:
     return place >> START
 
@@ -127,7 +143,7 @@ def crowded_buckets(texts: DataFrame) -> np.ndarray:
         cells = cells[n[cells] > 1]
         yield _numbers(np.append(cells, -1), np.append(n[cells], total), names=["cell", "n"])
 
-    counts = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = _stored(texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "crowded")
     total = counts.where("cell = -1").first()
     least = max(HOT_ENTRIES, HOT_SHARE * (total["n"] if total else 0))
     return np.array(sorted(r["cell"] for r in counts.where((F.col("cell") >= 0) & (F.col("n") >= least)).collect()), np.int64)
@@ -147,7 +163,7 @@ def first_buckets(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
             whole = _whole(spans.prefix_hash(data, 1), first, last + LENGTH, gram - first)
             doc = chunk.column(1).to_numpy(zero_copy_only=False)
             check = chunk.column(2).to_numpy(zero_copy_only=False)
-            place = pack(first - bounds[row], last - first, gram - first, check[row], hot)
+            place = marked_copies(core, whole, pack(first - bounds[row], last - first, gram - first, check[row], hot))
             yield _numbers(core, whole, doc[row], place, place, names=["core", "whole", "doc", "place", "home"])
 
     return texts.select("text", "doc", "check").mapInArrow(make, ENTRY).drop("home")
@@ -159,7 +175,9 @@ def refine(entries_: DataFrame) -> DataFrame:
     Open are the entries that share their bucket with another extent, and of equal extents a witness or two. Sorted by bucket and extent, an entry only looks at the ones beside it, so no bucket is held in memory.
     """
     names = entries_.columns[2:]
+    settled = F.col("place").bitwiseAND(F.lit(1 << SETTLED)) != 0
     dealt = F.when(F.col("place").bitwiseAND(F.lit(1 << HOT)) != 0, F.col("whole"))
+    bucket = F.when(settled, F.xxhash64("doc", "place")).otherwise(F.xxhash64("core", dealt))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -170,11 +188,12 @@ def refine(entries_: DataFrame) -> DataFrame:
             n = len(core_next)
             core_before = np.concatenate([[same_core], core_next[: n - 1]])
             whole_before = np.concatenate([[same_whole], whole_next[: n - 1]])
-            repeats = whole_before | whole_next
+            done = (rows[3][:n] >> SETTLED) & 1 > 0
+            repeats = whole_before | whole_next | ((rows[3][:n] >> KNOWN) & 1 > 0)
             dealt_out = (rows[3][:n] >> HOT) & 1 > 0
             # Of equal extents, those beside another extent of the bucket go on for the sake of that one.
             beside = (core_before & ~whole_before) | (core_next & ~whole_next)
-            open_ = beside | (dealt_out & ~whole_before)
+            open_ = ~done & (beside | (dealt_out & ~whole_before))
             out = np.flatnonzero(repeats | open_)
             same_core, same_whole = bool(core_next[-1]), bool(whole_next[-1])
             return pa.RecordBatch.from_arrays([*[pa.array(c[:n][out]) for c in rows[2:]], pa.array(repeats[out]), pa.array(open_[out])], names=[*names, "repeats", "open"])
@@ -184,7 +203,7 @@ def refine(entries_: DataFrame) -> DataFrame:
             if kept is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True)]
             if len(rows[0]) > 1:
-                core = rows[0][1:] == rows[0][:-1]
+                core = (rows[0][1:] == rows[0][:-1]) & ((rows[3][1:] | rows[3][:-1]) >> SETTLED & 1 == 0)
                 yield settle(rows, core, core & (rows[1][1:] == rows[1][:-1]))
             kept = [c[-1:] for c in rows] if len(rows[0]) else None
         if kept is not None:
@@ -192,7 +211,7 @@ def refine(entries_: DataFrame) -> DataFrame:
 
     fields = ", ".join(f"{n} long" for n in names)
     return (
-        entries_.repartition(F.xxhash64("core", dealt)).sortWithinPartitions("core", "whole")
+        entries_.repartition(bucket).sortWithinPartitions(settled, "core", "whole")
         .mapInArrow(judge, f"{fields}, repeats boolean, open boolean")
     )
 
@@ -255,7 +274,8 @@ def _cells(segments: DataFrame) -> DataFrame:
                 core = spans.mix(spans.range_hash(prefixes[0], common, common - CELL + 1 + LENGTH) + cell.astype(np.uint64))
                 whole = _whole(prefixes[1], gram - most, gram - least + LENGTH, cell * CELL + least)
                 start = first_of(place)[row] + back_most[row] - most
-                yield _numbers(core, whole, doc[row], pack(start, most - least, np.zeros_like(start), place[row] & 0xFF), place[row], names=["core", "whole", "doc", "place", "home"])
+                own = marked_copies(core, whole, pack(start, most - least, np.zeros_like(start), place[row] & 0xFF))
+                yield _numbers(core, whole, doc[row], own, place[row], names=["core", "whole", "doc", "place", "home"])
 
     return segments.mapInArrow(make, ENTRY)
 
@@ -284,7 +304,8 @@ def _strings(open_: DataFrame, segments: DataFrame) -> DataFrame:
                 core = spans.range_hash(spans.prefix_hash(data), at, at + LENGTH)
                 whole = spans.range_hash(spans.prefix_hash(data, 1), at, at + LENGTH, 1)
                 zero = np.zeros_like(start)
-                yield _numbers(core, whole, doc[segment[row]], pack(start, zero, zero, place[row] & 0xFF), home[segment[row]], names=["core", "whole", "doc", "place", "home"])
+                own = marked_copies(core, whole, pack(start, zero, zero, place[row] & 0xFF))
+                yield _numbers(core, whole, doc[segment[row]], own, home[segment[row]], names=["core", "whole", "doc", "place", "home"])
 
     return joined.mapInArrow(make, ENTRY).drop("home")
 
@@ -323,7 +344,7 @@ def remove_repeats(docs: DataFrame, texts_out: bool = False) -> DataFrame:
 
     Every byte of a text (null: empty) covered by a string of 200 bytes that also starts elsewhere, in another document or
     in the same one, is removed; of copies, none stays. Documents shorter than 200 bytes keep all. Repeated rows are
-    documents of their own. ``kept`` is binary, since a cut may split a character. A document must be below 2^38 bytes.
+    documents of their own. ``kept`` is binary, since a cut may split a character. A document must be below 2^36 bytes.
     Columns besides doc_id and text are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
