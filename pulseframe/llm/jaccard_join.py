@@ -10,8 +10,9 @@ Set relations, after Wang et al. (2017), save most of the rest:
   within a block all entries from the first position on at which too few shingles are left to reach the overlap.
 * Answer level: sets of one list are mostly copies of each other. Each is first compared with the list's leader only (the
   same one in all lists that it is in). What links to a leader has its answer from it: it needs no further comparison
-  with the leader's other answers. Only pairs of a list that are still in different components are compared in the
-  second round, which makes the result exact. In both rounds a pair's texts are only fetched if it shares enough lists
+  with the leader's other answers. Lists that are still in several components then get two other leaders. Only pairs of a
+  list that are in different components even then are compared in the last round, which makes the result exact. In all
+  rounds a pair's texts are only fetched if it shares enough lists
   (``least_shared``), which few pairs that do not link do.
 
 Equal sets are one node. Texts move to the leader they are compared with, in portions, and a task holds one leader's set.
@@ -37,6 +38,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 SKETCH = 1 << 18
 SKETCH_BLOCK = 1 << 12
 PORTION = 256
+LEADERS = 2
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,6 +255,22 @@ def frequent(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b", "need").agg(F.count("*").alias("lists")).where("lists >= need").select("a", "b")
 
 
+def led_again(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a list's sets with ``LEADERS`` others of it, taken by a hash, that are in another component."""
+    leaders = [F.min_by(F.struct("node", "at", "component"), F.xxhash64(F.lit(r), "node")) for r in range(LEADERS)]
+    ends = F.min("component").alias("low"), F.max("component").alias("high")
+    led = lists.groupBy("token").agg(*ends, F.array_distinct(F.array(*leaders)).alias("leaders")).where("low <> high")
+    pairs = lists.join(led.select("token", "leaders"), "token").select("node", "at", "component", F.explode("leaders").alias("other"))
+    n, m = (F.shiftright(at, 32) for at in (F.col("at"), F.col("other.at")))
+    i, j = (at.bitwiseAND(F.lit(0xFFFFFFFF)) for at in (F.col("at"), F.col("other.at")))
+    # As in ``pair_overlap``, ``least_overlap``, ``possible`` and ``least_shared``.
+    overlap = F.ceil(NUMERATOR * (n + m) / (NUMERATOR + DENOMINATOR))
+    can = (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & (F.least(n - i, m - j) + F.least(i, j) >= overlap)
+    need = F.greatest(overlap - F.ceil(NUMERATOR * F.greatest(n, m) / DENOMINATOR) + 1, F.lit(1))
+    apart = pairs.where((F.col("component") != F.col("other.component")) & can)
+    return frequent(apart.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), need.alias("need")))
+
+
 def cross_pairs(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that can link. ``lists``: token, at, node, component.
 
@@ -371,10 +389,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = _stored(frequent(led), "stars")
     links = _stored(compare(stars, texts_of(stars)), "links")
     component = connected_components(links)
-    # What links to a leader is answered; other pairs of a list are still to be compared.
-    placed = lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rest = _stored(cross_pairs(placed.join(mixed.select("token"), "token", "left_semi")).join(stars, ["a", "b"], "left_anti"), "rest")
+
+    def placed(component: DataFrame) -> DataFrame:
+        """The lists with the component of each set, if it has links."""
+        return lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    # What links to a leader is answered. Lists that are still in several components get other leaders,
+    again = _stored(led_again(placed(component)).join(stars, ["a", "b"], "left_anti"), "again")
+    if not again.isEmpty():
+        links = _stored(links.unionByName(compare(again, texts_of(again))), "links")
+        component = connected_components(links)
+    # and in the end every pair of a list that is in two components and was not compared yet.
+    split = placed(component)
+    mixed = split.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    pairs = cross_pairs(split.join(mixed.select("token"), "token", "left_semi"))
+    rest = _stored(pairs.join(stars.unionByName(again), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _stored(compare(rest, texts_of(rest)), "more-links")
         if not more.isEmpty():
