@@ -40,16 +40,19 @@ HOT_SHARE = 1e-4
 HOT_ENTRIES = 1_000
 SKETCH = 1 << 20
 
-# An entry's place in one number: first string, strings behind it, offset of the q-gram from the first string, three marks,
-# and a check of the text (doc_ids may repeat). Marks: dealt out by extent; known to repeat, as its own chunk has its extent
-# twice; settled, as it does and another entry of the chunk stands for it in the bucket.
-START, EXTRA, OFFSET, SETTLED, KNOWN, HOT, CHECK = 27, 19, 11, 10, 9, 8, 0
-ENTRY = "core long, whole long, doc long, place long, home long"
+# An entry's place in one number: first string, strings behind it, offset of the q-gram from the first string, three marks.
+# Marks: dealt out by extent; known to repeat, as its own chunk has its extent twice; settled, as it does and another entry
+# of the chunk stands for it in the bucket.
+START, EXTRA, OFFSET, SETTLED, KNOWN, HOT = 19, 11, 3, 2, 1, 0
+# A document is named by hashes of its doc_id and text (``doc``) and of its text (``twin``): doc_ids may be null or repeat.
+NAME = ["doc", "twin"]
+ENTRY = "core long, whole long, doc long, twin long, place long, home long"
+COLUMNS = ["core", "whole", *NAME, "place", "home"]
 
 
-def pack(start: np.ndarray, extra: np.ndarray, offset: np.ndarray, check: np.ndarray, hot: np.ndarray | int = 0) -> np.ndarray:
-    wide = [np.asarray(x, np.int64) for x in (start, extra, offset, hot, check)]
-    return (wide[0] << START) | (wide[1] << EXTRA) | (wide[2] << OFFSET) | (wide[3] << HOT) | wide[4]
+def pack(start: np.ndarray, extra: np.ndarray, offset: np.ndarray, hot: np.ndarray | int = 0) -> np.ndarray:
+    wide = [np.asarray(x, np.int64) for x in (start, extra, offset, hot)]
+    return (wide[0] << START) | (wide[1] << EXTRA) | (wide[2] << OFFSET) | (wide[3] << HOT)
 
 
 def marked_copies(core: np.ndarray, whole: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -161,12 +164,11 @@ def first_buckets(texts: DataFrame, crowded: np.ndarray) -> DataFrame:
             core = spans.range_hash(spans.prefix_hash(data), gram, gram + GRAM)
             hot = hot_cells[_sketch_cell(core)]
             whole = _whole(spans.prefix_hash(data, 1), first, last + LENGTH, gram - first)
-            doc = chunk.column(1).to_numpy(zero_copy_only=False)
-            check = chunk.column(2).to_numpy(zero_copy_only=False)
-            place = marked_copies(core, whole, pack(first - bounds[row], last - first, gram - first, check[row], hot))
-            yield _numbers(core, whole, doc[row], place, place, names=["core", "whole", "doc", "place", "home"])
+            doc, twin = (chunk.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            place = marked_copies(core, whole, pack(first - bounds[row], last - first, gram - first, hot))
+            yield _numbers(core, whole, doc[row], twin[row], place, place, names=COLUMNS)
 
-    return texts.select("text", "doc", "check").mapInArrow(make, ENTRY).drop("home")
+    return texts.select("text", *NAME).mapInArrow(make, ENTRY).drop("home")
 
 
 def refine(entries_: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def refine(entries_: DataFrame) -> DataFrame:
     names = entries_.columns[2:]
     settled = F.col("place").bitwiseAND(F.lit(1 << SETTLED)) != 0
     dealt = F.when(F.col("place").bitwiseAND(F.lit(1 << HOT)) != 0, F.col("whole"))
-    bucket = F.when(settled, F.xxhash64("doc", "place")).otherwise(F.xxhash64("core", dealt))
+    bucket = F.when(settled, F.xxhash64(*NAME, "place")).otherwise(F.xxhash64("core", dealt))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
@@ -188,9 +190,9 @@ def refine(entries_: DataFrame) -> DataFrame:
             n = len(core_next)
             core_before = np.concatenate([[same_core], core_next[: n - 1]])
             whole_before = np.concatenate([[same_whole], whole_next[: n - 1]])
-            done = (rows[3][:n] >> SETTLED) & 1 > 0
-            repeats = whole_before | whole_next | ((rows[3][:n] >> KNOWN) & 1 > 0)
-            dealt_out = (rows[3][:n] >> HOT) & 1 > 0
+            done = (rows[4][:n] >> SETTLED) & 1 > 0
+            repeats = whole_before | whole_next | ((rows[4][:n] >> KNOWN) & 1 > 0)
+            dealt_out = (rows[4][:n] >> HOT) & 1 > 0
             # Of equal extents, those beside another extent of the bucket go on for the sake of that one.
             beside = (core_before & ~whole_before) | (core_next & ~whole_next)
             open_ = ~done & (beside | (dealt_out & ~whole_before))
@@ -203,7 +205,7 @@ def refine(entries_: DataFrame) -> DataFrame:
             if kept is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True)]
             if len(rows[0]) > 1:
-                core = (rows[0][1:] == rows[0][:-1]) & ((rows[3][1:] | rows[3][:-1]) >> SETTLED & 1 == 0)
+                core = (rows[0][1:] == rows[0][:-1]) & ((rows[4][1:] | rows[4][:-1]) >> SETTLED & 1 == 0)
                 yield settle(rows, core, core & (rows[1][1:] == rows[1][:-1]))
             kept = [c[-1:] for c in rows] if len(rows[0]) else None
         if kept is not None:
@@ -217,30 +219,36 @@ def refine(entries_: DataFrame) -> DataFrame:
 
 
 def _segments(open_: DataFrame, packed: DataFrame) -> DataFrame:
-    """(doc, place, bytes): the bytes of the strings of entries that are not settled."""
-    wanted = open_.groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFF)).alias("check")).agg(F.collect_list("place").alias("places"))
+    """(doc, twin, place, bytes): the bytes of the strings of entries that are not settled."""
+    wanted = open_.groupBy(*NAME).agg(F.collect_set("place").alias("places"))
+    names = [*NAME, "place", "bytes"]
+
+    def rows(*columns: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            docs, places, pieces = [], [], []
+            docs, twins, places, pieces = [], [], [], []
             held = 0
-            for doc, body, wanted_here in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, twin, body, wanted_here in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = unpack(body)
                 for place in wanted_here:
                     first = place >> START
                     piece = text[first : first + ((place >> EXTRA) & 0xFF) + LENGTH]
                     docs.append(doc)
+                    twins.append(twin)
                     places.append(place)
                     pieces.append(piece)
                     held += len(piece)
                 if held > 4 * spans.CHUNK_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.binary())], names=["doc", "place", "bytes"])
-                    docs, places, pieces, held = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.binary())], names=["doc", "place", "bytes"])
+                    yield rows(docs, twins, places, pieces)
+                    docs, twins, places, pieces, held = [], [], [], [], 0
+            yield rows(docs, twins, places, pieces)
 
-    return packed.select("doc", "check", "packed").join(wanted, ["doc", "check"]).select("doc", "packed", "places").mapInArrow(
-        cut, "doc long, place long, bytes binary"
+    return packed.select(*NAME, "packed").join(wanted, NAME).select(*NAME, "packed", "places").mapInArrow(
+        cut, "doc long, twin long, place long, bytes binary"
     )
 
 
@@ -258,8 +266,8 @@ def _cells(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                data, bounds = _pieces(part, 2)
-                doc, place = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                data, bounds = _pieces(part, 3)
+                doc, twin, place = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
                 back_most, extra = offset_of(place), extra_of(place)
                 back_least = back_most - extra
                 low, high = back_least // CELL, back_most // CELL
@@ -274,26 +282,24 @@ def _cells(segments: DataFrame) -> DataFrame:
                 core = spans.mix(spans.range_hash(prefixes[0], common, common - CELL + 1 + LENGTH) + cell.astype(np.uint64))
                 whole = _whole(prefixes[1], gram - most, gram - least + LENGTH, cell * CELL + least)
                 start = first_of(place)[row] + back_most[row] - most
-                own = marked_copies(core, whole, pack(start, most - least, np.zeros_like(start), place[row] & 0xFF))
-                yield _numbers(core, whole, doc[row], own, place[row], names=["core", "whole", "doc", "place", "home"])
+                own = marked_copies(core, whole, pack(start, most - least, np.zeros_like(start)))
+                yield _numbers(core, whole, doc[row], twin[row], own, place[row], names=COLUMNS)
 
     return segments.mapInArrow(make, ENTRY)
 
 
 def _strings(open_: DataFrame, segments: DataFrame) -> DataFrame:
     """Entries of single strings, for cells that are not settled."""
-    cells = open_.groupBy("doc", "home").agg(F.collect_list("place").alias("cells"))
-    joined = segments.join(cells, (segments["doc"] == cells["doc"]) & (segments["place"] == cells["home"])).select(
-        segments["doc"], segments["place"], "bytes", "cells"
-    )
+    cells = open_.groupBy(*NAME, F.col("home").alias("place")).agg(F.collect_set("place").alias("cells"))
+    joined = segments.join(cells, [*NAME, "place"]).select(*NAME, "place", "bytes", "cells")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                data, bounds = _pieces(part, 2)
-                doc, home = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                lists = part.column(3)
+                data, bounds = _pieces(part, 3)
+                doc, twin, home = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+                lists = part.column(4)
                 count = np.array([len(x) for x in lists.to_pylist()], np.int64)
                 place = lists.flatten().to_numpy(zero_copy_only=False)
                 segment = np.repeat(np.arange(len(doc)), count)
@@ -304,8 +310,9 @@ def _strings(open_: DataFrame, segments: DataFrame) -> DataFrame:
                 core = spans.range_hash(spans.prefix_hash(data), at, at + LENGTH)
                 whole = spans.range_hash(spans.prefix_hash(data, 1), at, at + LENGTH, 1)
                 zero = np.zeros_like(start)
-                own = marked_copies(core, whole, pack(start, zero, zero, place[row] & 0xFF))
-                yield _numbers(core, whole, doc[segment[row]], own, home[segment[row]], names=["core", "whole", "doc", "place", "home"])
+                own = marked_copies(core, whole, pack(start, zero, zero))
+                of = segment[row]
+                yield _numbers(core, whole, doc[of], twin[of], own, home[of], names=COLUMNS)
 
     return joined.mapInArrow(make, ENTRY).drop("home")
 
@@ -317,15 +324,15 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def repeated_strings(texts: DataFrame, packed: DataFrame) -> DataFrame:
-    """(doc, place): runs of strings that also start elsewhere. Every string of every text is in one run at most."""
+    """(doc, twin, place): runs of strings that also start elsewhere. Every string of every text is in one run at most."""
     buckets = _stored(refine(first_buckets(texts, crowded_buckets(texts))), "buckets")
     segments = _stored(_segments(buckets.where("open"), packed), "segments")
     cells = _stored(refine(_cells(segments)), "cells")
     strings = refine(_strings(cells.where("open"), segments))
     return (
-        buckets.where("repeats").select("doc", "place")
-        .unionByName(cells.where("repeats").select("doc", "place"))
-        .unionByName(strings.where("repeats").select("doc", "place"))
+        buckets.where("repeats").select(*NAME, "place")
+        .unionByName(cells.where("repeats").select(*NAME, "place"))
+        .unionByName(strings.where("repeats").select(*NAME, "place"))
     )
 
 
@@ -344,25 +351,29 @@ def remove_repeats(docs: DataFrame, texts_out: bool = False) -> DataFrame:
 
     Every byte of a text (null: empty) covered by a string of 200 bytes that also starts elsewhere, in another document or
     in the same one, is removed; of copies, none stays. Documents shorter than 200 bytes keep all. Repeated rows are
-    documents of their own. ``kept`` is binary, since a cut may split a character. A document must be below 2^36 bytes.
+    documents of their own: equal ones share a name, and so one result. Rows of one doc_id (or of none) with different
+    texts do not. ``kept`` is binary, since a cut may split a character. A document must be below 2^44 bytes.
     Columns besides doc_id and text are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("check", F.pmod(F.xxhash64("text"), F.lit(256)))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
+        "doc_id",
+        F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("doc"),
+        F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint").alias("twin"),
+        "text",
+    )
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for chunk in spans.chunks(batches):
-            data, bounds = spans.text_bytes(chunk.column(2))
+            data, bounds = spans.text_bytes(chunk.column(3))
             whole = data.tobytes()
             bodies = [compress(whole[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), chunk.column(3), pa.array(bodies, pa.binary())], names=["doc_id", "doc", "check", "packed"])
+            yield pa.RecordBatch.from_arrays([*chunk.columns[:3], pa.array(bodies, pa.binary())], names=["doc_id", *NAME, "packed"])
 
-    packed = rows.mapInArrow(squeeze, f"doc_id {kind}, doc long, check long, packed binary")
+    packed = rows.mapInArrow(squeeze, f"doc_id {kind}, doc long, twin long, packed binary")
     found = repeated_strings(rows, packed)
-    per_doc = found.groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFF)).alias("check")).agg(F.collect_list("place").alias("places"))
+    per_doc = found.groupBy(*NAME).agg(F.collect_set("place").alias("places"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -390,4 +401,4 @@ def remove_repeats(docs: DataFrame, texts_out: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<long>, kept binary" * texts_out
-    return packed.join(per_doc, ["doc", "check"], "left").select("doc_id", "packed", "places").mapInArrow(finish, schema)
+    return packed.join(per_doc, NAME, "left").select("doc_id", "packed", "places").mapInArrow(finish, schema)

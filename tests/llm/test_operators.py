@@ -46,6 +46,19 @@ def test_crowded_buckets_give_the_same(small, monkeypatch):
     assert rows(suffix_dedup.remove_repeats(df), "doc_id", "n_removed", "kept_sha256") == Counter((i, r, k) for i, _, r, _, k in brute.repeats(plain))
 
 
+def test_repeats_without_ids(spark):
+    """Different texts that share a doc_id, or have none, are documents of their own."""
+    shared = "".join(f"shared {i} " for i in range(40))
+    docs = []
+    for i in range(1_000):
+        own = "".join(f"{i}x{k * 7919 % 101} " for k in range(30))
+        docs.append((None if i % 4 else 5, own[: i % 150] + shared + own if i % 3 == 0 else own))
+    docs += docs[:20]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows(suffix_dedup.remove_repeats(df), *names) == Counter(brute.repeats(docs))
+
+
 def test_components(small, edge, empty):
     names = ("doc_id", "n_shingles", "component_id")
     df, plain = small
