@@ -1,10 +1,15 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
 Nodes are the words with a digit or an ``@`` (no other word can be personal data of these kinds). Chain edges join
-neighbouring nodes, skip edges join a node to the next one of the document with the same key (its last seven digits, or
-the word itself), so a number that is plain in one place and partial in another gets one label. Training is piecewise:
-node weights by a softmax regression and edge potentials by counts, both from labels that the base patterns give over the
-whole corpus. Inference is loopy sum-product on all documents of a chunk at once.
+neighbouring nodes, skip edges join nodes of the document with the same key (its last seven digits, or the word itself),
+so a number that is plain in one place and partial in another gets one label. Training is piecewise: node weights by a
+softmax regression and edge potentials by counts, both from labels that the base patterns give over the whole corpus.
+Inference is loopy sum-product on all documents of a chunk at once, with the labels of the base patterns given.
+
+A key of seven digits or with an ``@`` names one person's datum. A word that the patterns miss, but with the key of a word
+that they find in its document, is not an example of other: it is left out of all counts. Its skip edge goes straight to
+the found word, and edges of such keys have a fixed potential ``AGREE`` for equal labels, as no counts can teach it. Keys of
+fragments (a card's four digits, an area code) are shared by chance as well, so their potentials are counted.
 """
 
 from __future__ import annotations
@@ -37,6 +42,11 @@ ROUNDS = 10
 DAMPING = 0.5
 SURE = 0.9
 EDGE_LIMIT = 3.0
+#: Log-odds for one label at both ends of a skip edge: chance gives two numbers of a document the same seven digits once in 10^7.
+AGREE = 10.0
+CHAIN, SKIP, FRAGMENT = range(3)
+#: Score of the labels that a found word does not have: below the sum of any number of messages.
+GIVEN = -1e9
 BODY = "__body"
 
 
@@ -105,6 +115,11 @@ def key(word: str) -> str:
     return digits[-7:] if len(digits) >= 7 and "@" not in core else core.lower()
 
 
+def names_one(k: str) -> bool:
+    """Whether words with this key are mentions of the same datum."""
+    return "@" in k or len(_digits(k)) >= 7
+
+
 class Document:
     """Nodes, edges and base labels of one document."""
 
@@ -124,13 +139,26 @@ class Document:
                     self.labels[i] = k + 1
         numbers = [n for _, _, n in words]
         self.chain = [(i, i + 1) for i in range(len(words) - 1) if numbers[i + 1] == numbers[i] + 1]
-        self.skip, last = [], {}
-        for i, w in enumerate(self.words):
-            k = key(w)
-            if k in last and (last[k], i) not in self.chain[-1:]:
+        self.skip, self.fragment, last = [], [], {}
+        keys = [key(w) for w in self.words]
+        found = {k: i for i, k in reversed(list(enumerate(keys))) if self.labels[i] and names_one(k)}
+        #: Missed by the patterns, but a mention of something that they find.
+        self.missed = [not label and k in found for label, k in zip(self.labels, keys, strict=True)]
+        chained = set(self.chain)
+        for i, k in enumerate(keys):
+            if self.missed[i]:
+                self.skip.append((found[k], i))
+            elif k in last and names_one(k):
                 self.skip.append((last[k], i))
+            elif k in last and (last[k], i) not in chained:
+                self.fragment.append((last[k], i))
             last[k] = i
 
+    @property
+    def edges(self) -> list[tuple[int, int, int]]:
+        """(from, to, kind) of all edges."""
+        return [(i, j, what) for what, edges in ((CHAIN, self.chain), (SKIP, self.skip), (FRAGMENT, self.fragment)) for i, j in edges]
+
 
 def read_documents(data: np.ndarray, bounds: np.ndarray) -> list[Document | None]:
     """The documents of a chunk; None where no word has a digit or an ``@``."""
@@ -160,7 +188,8 @@ class Field:
         y = np.zeros((len(nodes), len(LABELS)))
         y[np.arange(len(nodes)), [b for _, b, _ in nodes]] = [n for _, _, n in nodes]
         self.weights = self._softmax(x, y)
-        self.edges = np.stack([self._pairs([(int(a), int(b), n) for w, a, b, n in counts if w == what]) for what in ("chain", "skip")])
+        chain, fragment = (self._pairs([(int(a), int(b), n) for w, a, b, n in counts if w == what]) for what in ("chain", "fragment"))
+        self.edges = np.stack([chain, AGREE * np.eye(len(LABELS)), fragment])
 
     def one_hot(self, s: tuple[int, ...]) -> np.ndarray:
         out = np.zeros(sum(self.sizes) + 1)
@@ -193,11 +222,18 @@ class Field:
         expected = n.sum(1, keepdims=True) * n.sum(0, keepdims=True) / n.sum()
         return np.clip(np.log(n / expected), -EDGE_LIMIT, EDGE_LIMIT)
 
-    def marginals(self, shapes: list[tuple[int, ...]], edges: list[tuple[int, int, int]]) -> np.ndarray:
-        """Label probabilities of every node after loopy message passing; edges are (from, to, 0 chain or 1 skip)."""
+    def marginals(self, shapes: list[tuple[int, ...]], edges: list[tuple[int, int, int]], given: list[int] | None = None) -> np.ndarray:
+        """Label probabilities of every node after loopy message passing; edges are (from, to, kind).
+
+        ``given``: the label that the base patterns give a node, 0 for none.
+        """
         known: dict[tuple[int, ...], np.ndarray] = {}
         node = np.stack([known.setdefault(s, self.one_hot(s) @ self.weights) if s not in known else known[s] for s in shapes])
         node = node - np.logaddexp.reduce(node, 1, keepdims=True)
+        if given is not None:
+            fixed = np.flatnonzero(given)
+            node[fixed] = GIVEN
+            node[fixed, np.array(given)[fixed]] = 0.0
         belief = node
         if edges:
             a, b, what = np.array(edges).T
@@ -227,11 +263,13 @@ def train_field(docs: DataFrame) -> Field:
             for d in read_documents(*spans.text_bytes(chunk.column(0))):
                 if d is None:
                     continue
-                for s, label in zip(d.shapes, d.labels, strict=True):
-                    seen["node", " ".join(map(str, s)), str(label)] += 1
-                for what, edges in (("chain", d.chain), ("skip", d.skip)):
+                for s, label, missed in zip(d.shapes, d.labels, d.missed, strict=True):
+                    if not missed:
+                        seen["node", " ".join(map(str, s)), str(label)] += 1
+                for what, edges in (("chain", d.chain), ("fragment", d.fragment)):
                     for i, j in edges:
-                        seen[what, str(d.labels[i]), str(d.labels[j])] += 1
+                        if not d.missed[i] and not d.missed[j]:
+                            seen[what, str(d.labels[i]), str(d.labels[j])] += 1
         what, a, b = ([k[i] for k in seen] for i in range(3))
         yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["what", "a", "b", "n"])
 
@@ -242,18 +280,19 @@ def train_field(docs: DataFrame) -> Field:
 
 def added_spans(documents: list[Document | None], field: Field) -> list[list[tuple[int, int, int]]]:
     """Per document, spans of sure nodes that no base span touches."""
-    shapes, edges, first = [], [], []
+    shapes, edges, given, first = [], [], [], []
     for d in documents:
         first.append(len(shapes))
         if d is None:
             continue
         n = len(shapes)
         shapes += d.shapes
-        edges += [(n + i, n + j, 0) for i, j in d.chain] + [(n + i, n + j, 1) for i, j in d.skip]
+        given += d.labels
+        edges += [(n + i, n + j, what) for i, j, what in d.edges]
     out: list[list[tuple[int, int, int]]] = [[] for _ in documents]
     if not shapes:
         return out
-    p = field.marginals(shapes, edges)
+    p = field.marginals(shapes, edges, given)
     best, sure = p.argmax(1), p.max(1) >= SURE
     for d, n, found in zip(documents, first, out, strict=True):
         if d is None:

@@ -186,6 +186,23 @@ def test_skip_edges_carry_a_label(spark):
     assert field.marginals(list(strong), [(0, 1, 1)])[1, 4] >= field.marginals([shape], [])[0, 4]
 
 
+def test_missed_mentions_are_found(spark):
+    """All mentions that the patterns miss are added, however often and far off; numbers of the same form alone are not."""
+    known = [(i, f"word +1 (743) 555-{3000 + i} word and again 743-555-{3000 + i} end") for i in range(200)]
+    other = [(1_000 + i, f"there were 1{i} of them in 19{10 + i % 80}") for i in range(200)]
+    forms = [(2_000 + i, f"part 212-867-{4000 + i} of series 743 in box {i}") for i in range(2_000)]
+    often = (5_000, "743-555-9999 and " * 40 + "+1 (743) 555-9999, 743-555-9999 of 743 people in 2023-12-01")
+    df = spark.createDataFrame([*known, *other, *forms, often], "doc_id long, text string")
+    for docs in (df.where("doc_id < 2000"), df):
+        out = {r["doc_id"]: r["spans"].split(",") if r["spans"] else [] for r in pii.find_pii(docs).collect()}
+        for i, text in known:
+            a, b = text.index("743-"), text.index(" end")
+            assert out[i] == [f"phone:{text.index('+')}:{text.index(' word and')}", f"phone:{a}:{b}"], (i, out[i])
+        assert not any(out[i] for i, _ in other)
+    assert not any(out[i] for i, _ in forms)
+    assert len(out[5_000]) == 42 and out[5_000][-1].endswith(f":{often[1].index(' of 743')}")
+
+
 def test_licenses(small, edge, empty):
     names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     for df, plain in (small, (edge, PAIRS)):
