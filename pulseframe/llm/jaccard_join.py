@@ -357,6 +357,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id reachable by links. Repeated rows and copies are one node. A null doc_id is never a component's name unless all
     of its documents have none. Columns besides doc_id and text are not read.
     """
+    return _components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """``jaccard_components`` with ``check``, the hash of the text, and ``component``, a node of the component: a name of
+    its own even where doc_ids are null or repeat (null: a text without words)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("check", F.xxhash64("text"))
     described = _stored(describe_sets(rows), "sets")
     classes = frequency_classes(_sketch(described))
@@ -409,14 +415,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             component = connected_components(links.unionByName(more))
     roots = component.join(nodes, "node").groupBy("component").agg(F.min("least").alias("root"))
-    answer = nodes.join(component, "node", "left").join(roots, "component", "left").select("node", F.coalesce("root", "least").alias("name"))
+    answer = nodes.join(component, "node", "left").join(roots, "component", "left").select(
+        "node", F.coalesce("root", "least").alias("name"), F.coalesce("component", "node").alias("component")
+    )
+    full = F.col("n") > 0
     return sets.join(answer, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(full, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"),
+        "check", F.when(full, F.col("component")).alias("component"),
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component, with all their columns. Rows of one doc_id stay or go together."""
-    found = jaccard_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of each component, with all its columns: that of the least doc_id (null last), then of the least text hash.
+
+    A row is known by its doc_id and text. Of rows equal in both, one stays, also of those whose text has no words.
+    """
+    found = _components(docs).groupBy("doc_id", "check", "component").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check", "rows")).alias("of")
+    named = found.where("component is not null").groupBy("component").agg(first).select("of.doc_id", "of.check", "of.rows")
+    kept = named.unionByName(found.where("component is null").select("doc_id", "check", "rows")).select(
+        F.col("doc_id").alias("__kept"), F.col("check").alias("__kept_text"), (F.col("rows") > 1).alias("__repeated")
+    )
+    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__kept"]) & (keyed["__text"] == kept["__kept_text"]))
+    # Only repeated rows are grouped; within a task they shrink before they meet.
+    once = rows.where(~F.col("__repeated")).select(docs.columns)
+    return once.unionByName(rows.where("__repeated").dropDuplicates(["doc_id", "__text"]).select(docs.columns))

@@ -33,6 +33,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SPREAD = 256
+TEXT_HASH = "__text_hash"
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_shouts long"
 #: Signal of each rule as SQL over the metrics. All are shares, so one grid of cutoffs serves them.
@@ -85,17 +86,17 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def quality_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum (the language, null: empty) and the metrics of every whole text; a null text has no words."""
+    """doc_id, text_hash, stratum (the language, null: empty) and the metrics of every whole text; a null text has no words."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in spans.chunks(batches):
             found = measures(*spans.text_bytes(chunk.column(1)))
-            columns = [chunk.column(0), chunk.column(2), *[pa.array(v.astype(np.int64)) for v in found.values()]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "stratum", *found])
+            columns = [chunk.column(0), chunk.column(3), chunk.column(2), *[pa.array(v.astype(np.int64)) for v in found.values()]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", TEXT_HASH, "stratum", *found])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = id_and_text(docs, F.coalesce("lang", F.lit("")).alias("stratum"))
-    return rows.mapInArrow(measure, f"doc_id {kind}, stratum string, {METRICS}").withColumn(
+    rows = id_and_text(docs, F.coalesce("lang", F.lit("")).alias("stratum")).withColumn(TEXT_HASH, F.xxhash64("text"))
+    return rows.mapInArrow(measure, f"doc_id {kind}, {TEXT_HASH} long, stratum string, {METRICS}").withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     )
@@ -170,12 +171,8 @@ def certified_cutoffs(
     )
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """One row per document: doc_id, the metrics, base_failed, kept.
-
-    A document is kept unless it fails the base rule or reaches a certified cutoff of its stratum. Repeated rows are
-    judged alike, a null text has no words and fails. Metrics are computed once and written to the shared folder.
-    """
+def _judged(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+    """``judge_documents`` with the hash of the text and the stratum besides."""
     ensure_checkpoint_dir(docs.sparkSession)
     metrics = quality_metrics(docs).checkpoint()
     cutoffs = certified_cutoffs(metrics, labels, **limits)
@@ -187,10 +184,29 @@ def judge_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     reached = F.lit(False)
     for rule, sql in RULES.items():
         reached = reached | F.coalesce(_signal(sql) >= F.col(rule), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~reached).drop("stratum", "__copy", *RULES)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~reached).drop("__copy", *RULES)
+
+
+def judge_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
+    """One row per document: doc_id, the metrics, base_failed, kept.
+
+    A document is kept unless it fails the base rule or reaches a certified cutoff of its stratum. Repeated rows are
+    judged alike, a null text has no words and fails. Metrics are computed once and written to the shared folder.
+    """
+    return _judged(docs, labels, **limits).drop("stratum", TEXT_HASH)
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
-    """The documents that ``judge_documents`` keeps, with all their columns. Rows of one doc_id stay or go together."""
-    kept = judge_documents(docs, labels, **limits).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """The documents that ``judge_documents`` keeps, with all their columns.
+
+    Each row is decided by its own doc_id, text and language, so rows that share a doc_id, or have none, do not decide for each other.
+    """
+    kept = _judged(docs, labels, **limits).where("kept").select(
+        F.col("doc_id").alias("__kept"), F.col(TEXT_HASH).alias("__kept_text"), F.col("stratum").alias("__kept_stratum")
+    ).distinct()
+    own = (
+        docs["doc_id"].eqNullSafe(kept["__kept"])
+        & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["__kept_text"])
+        & (F.coalesce(docs["lang"], F.lit("")) == kept["__kept_stratum"])
+    )
+    return docs.join(kept, own, "left_semi")

@@ -77,6 +77,26 @@ def test_components_of_a_chain(spark):
     assert rows(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == Counter(brute.components(docs))
 
 
+def prose(seed, n=60):
+    return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10_000, n))
+
+
+def test_one_row_of_each_component(spark):
+    """Rows without a doc_id, or with a reused one, stay or go by themselves; of equal rows one stays."""
+    near = lambda seed: prose(seed) + " tail"
+    docs = [(None, prose(k)) for k in range(30)] + [(None, near(k)) for k in range(20)]  # 30 components of null ids only
+    docs += [(3, near(0)), (7, prose(100)), (7, prose(101)), (7, near(100)), (7, prose(100)), (7, prose(100)), (8, near(101))]
+    docs += [(None, ""), (None, " "), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(docs)
+    groups = defaultdict(list)
+    for i, t in set(kept):
+        groups[t.removesuffix(" tail") or t].append(i)
+    want = {prose(k): [3 if k == 0 else None] for k in range(30)} | {prose(100): [7], prose(101): [7], "": [None], " ": [None]}
+    assert groups == want
+
+
 def test_fingerprints(small, edge, empty):
     df, plain = small
     text = dict(plain)
@@ -294,6 +314,13 @@ def test_quality_metrics(small, edge, empty):
     assert kept.columns == edge.columns and kept.count() == sum(not brute.quality(t)[-1] for _, t in PAIRS)
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    docs = [(i, t, "en") for i in (None, 7) for t in (prose(1), prose(2), "too short", "", "again and again " * 20, prose(1))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    assert rows(quality_rules.keep_documents(df, labels), "doc_id", "text", "lang") == Counter(d for d in docs if not brute.quality(d[1])[-1])
+
+
 def test_binomial_tail_is_exact():
     for k, n, p in ((0, 50, 0.1), (3, 80, 0.1), (20, 1_000, 0.03)):
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
