@@ -14,6 +14,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def id_and_text(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, the whole text (null: empty) and further columns, of tables with any columns besides."""
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,3 +122,44 @@ def jump(key, shards):
 def edited(text, following):
     n = len(text) // 2
     return text[: len(text) - n] + following[:n]
+
+
+def features(text):
+    """Words and neighbouring pairs of words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    return words, words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def resampled(docs, target, least=20, percent=25):
+    """[(doc_id, n_features, weight, score, rank)]; rows equal in score and doc_id may swap ranks."""
+    def bucket(f):
+        return zlib.crc32(f.encode()) % 10_000
+
+    s = Counter(bucket(f) for _, t in docs for f in features(t)[1])
+    t = Counter(bucket(f) for x in target for f in features(x)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (s_all + 10_000) / ((s[b] + 1) * (t_all + 10_000)))) for b in s}
+    out = []
+    for i, text in docs:
+        words, found = features(text)
+        weight = sum(gain[bucket(f)] for f in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words)])
+    fit = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for k, r in enumerate(fit[: percent * len(fit) // 100], 1):
+        r[4] = k
+    return [tuple(r[:5]) for r in out]
+
+
+def filled(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output) of a text."""
+    text = text or ""
+    n, h = len(text), hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = text[:a], text[a:b], text[b:]
+    if h4 % 100 < 20:
+        return n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}"
