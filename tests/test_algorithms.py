@@ -189,12 +189,23 @@ def test_fuzzy_join_by_brute_force(spark, distance):
     assert got == want
 
 
-def test_binned_bands_equal_plain_ones(spark):
+def test_bands_equal_all_pairs(spark):
     dice = random.Random(2)
-    make = lambda n, seed: spark.createDataFrame([("k", i, dice.uniform(-100, 100)) for i in range(n)], f"k string, {seed} bigint, {seed}v double")
-    a, b = make(60, "a").cache(), make(60, "b").cache()
-    run = lambda w: sorted(map(tuple, joins.band_overlap_join(a, b, ["k"], "av", "bv", 0.1, 0.2, w).select("a", "b").collect()))
-    assert run(None) == run(3.0) and len(run(None)) > 0
+    make = lambda n: [(dice.choice("kl"), i, dice.choice([0.0, dice.uniform(-100, 100), dice.uniform(-1, 1), dice.uniform(-1e6, 1e6)])) for i in range(n)]
+    left, right = make(80), make(80)
+    a, b = spark.createDataFrame(left, "k string, a bigint, av double"), spark.createDataFrame(right, "k string, b bigint, bv double")
+    found = joins.band_overlap_join(a, b, ["k"], "av", "bv", 0.1, 0.2).select("a", "b", "contains", "interior", "overlap_lo", "overlap_hi").collect()
+
+    def band(v, q):
+        return min(v - v * q / 2, v + v * q / 2), max(v - v * q / 2, v + v * q / 2)
+
+    want = []
+    for k, i, v in left:
+        for m, j, w in right:
+            (lo, hi), (low, high) = band(v, 0.1), band(w, 0.2)
+            if k == m and lo <= high and low <= hi:
+                want.append((i, j, low <= v <= high, low < lo and hi < high, max(lo, low), min(hi, high)))
+    assert sorted(map(tuple, found)) == sorted(want) and want
 
 
 def test_around_window_by_brute_force(spark):
