@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import spans
 from pulseframe.llm.graph import connected_components
+from pulseframe.llm.tables import free_name
 from pulseframe.session import scratch_path
 
 WIDTH = 5
@@ -433,11 +434,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = _components(docs).groupBy("doc_id", "check", "component").agg(F.count("*").alias("rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check", "rows")).alias("of")
     named = found.where("component is not null").groupBy("component").agg(first).select("of.doc_id", "of.check", "of.rows")
+    text, kept_id, kept_text, repeated = (free_name(docs, n) for n in ("hash_of_text", "kept_id", "kept_text", "repeated"))
     kept = named.unionByName(found.where("component is null").select("doc_id", "check", "rows")).select(
-        F.col("doc_id").alias("__kept"), F.col("check").alias("__kept_text"), (F.col("rows") > 1).alias("__repeated")
+        F.col("doc_id").alias(kept_id), F.col("check").alias(kept_text), (F.col("rows") > 1).alias(repeated)
     )
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__kept"]) & (keyed["__text"] == kept["__kept_text"]))
+    keyed = docs.withColumn(text, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[kept_id]) & (keyed[text] == kept[kept_text]))
     # Only repeated rows are grouped; within a task they shrink before they meet.
-    once = rows.where(~F.col("__repeated")).select(docs.columns)
-    return once.unionByName(rows.where("__repeated").dropDuplicates(["doc_id", "__text"]).select(docs.columns))
+    once = rows.where(~F.col(repeated)).select(docs.columns)
+    return once.unionByName(rows.where(repeated).dropDuplicates(["doc_id", text]).select(docs.columns))

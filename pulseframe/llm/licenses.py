@@ -157,10 +157,12 @@ class Scanner:
         # One character per byte, so that offsets are those of the bytes.
         joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
         starts, base_labels, labels, doubt = [], set(), set(), 1.0
+        tagged: set[str] | None = None
         for end, (length, base, label, confidence) in self.automaton.iter(joined):
             if label is None:
-                tagged = _tag_labels(text)
-                labels |= tagged
+                if tagged is None:  # all tags of the text at once
+                    tagged = _tag_labels(text)
+                    labels |= tagged
                 doubt *= 1.0 - confidence if tagged else 1.0
                 continue
             if base:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import spans
 from pulseframe.llm.positions import running_start
-from pulseframe.llm.tables import id_and_text
+from pulseframe.llm.tables import free_name, id_and_text
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 1.5
@@ -223,6 +223,7 @@ def mixed_texts(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFr
     whole = docs.select(F.struct(*names).alias("__row"), "doc_id", "text", "source")
     plan, placed = _placed(whole, shards, seed, "__row")
     at = names.index("text")
+    shard_name, order_name, part_name = (free_name(docs, n) for n in ("shard", "place_in_shard", "part_of_shard"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,16 +243,17 @@ def mixed_texts(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFr
                 columns = [f.take(pa.array(index, pa.int32())) for f in fields]
                 columns[at] = pa.array(cut, fields[at].type)
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(shard, pa.int32()), pa.array(order, pa.int64())], names=[*names, "__shard", "__order"]
+                    [*columns, pa.array(shard, pa.int32()), pa.array(order, pa.int64())], names=[*names, shard_name, order_name]
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __shard int, __order long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {shard_name} int, {order_name} long"
     pieces = placed.select("__row", "source", "size", "start").mapInArrow(take, schema)
     if "n_chars" in names:
         pieces = pieces.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     # A shard is one or more partitions; within it the order is by a hash, i.e. shuffled, and repeatable.
-    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed), "__order", "doc_id"), F.lit(PARTS)))
-    local = dealt.repartition("__shard", "__part").sortWithinPartitions("__shard", F.xxhash64(F.lit(seed), "__order", "doc_id"))
+    mixed = F.xxhash64(F.lit(seed), order_name, "doc_id")
+    dealt = pieces.withColumn(part_name, F.pmod(mixed, F.lit(PARTS)))
+    local = dealt.repartition(shard_name, part_name).sortWithinPartitions(shard_name, mixed)
     return local.select(*names)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm import spans
-from pulseframe.llm.tables import id_and_text
+from pulseframe.llm.tables import free_name, id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -47,7 +47,6 @@ AGREE = 10.0
 CHAIN, SKIP, FRAGMENT = range(3)
 #: Score of the labels that a found word does not have: below the sum of any number of messages.
 GIVEN = -1e9
-BODY = "__body"
 
 
 def luhn(digits: str) -> bool:
@@ -58,6 +57,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    """Whether a run of digits, of any length, is a number up to 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -78,7 +83,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, by kind and start."""
     found = [(0, a, b) for a, b in _emails(text)]
-    found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    found += [(1, *m.span()) for m in IP.finditer(text) if all(map(_octet, m[0].split(".")))]
     found += [(2, *m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         found += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -104,7 +109,7 @@ def shape(word: str) -> tuple[int, ...]:
         int("-" in core),
         int(any(c.isalpha() for c in core)),
         int(13 <= n <= 19 and luhn(digits)),
-        int(bool(ip) and all(len(p) < 4 and int(p) < 256 for p in core.split("."))),
+        int(bool(ip) and all(len(p) < 4 and _octet(p) for p in core.split("."))),
         int(word.startswith("(") and word.endswith(")")),
     )
 
@@ -358,10 +363,10 @@ def mask_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     field = field or train_field(docs)
     names = docs.columns
-    at = names.index("text")
+    at, body = names.index("text"), free_name(docs, "body")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in spans.chunks(batches, column=BODY):
+        for chunk in spans.chunks(batches, column=body):
             data, bounds = spans.text_bytes(chunk.column(chunk.num_columns - 1))
             documents = read_documents(data, bounds)
             texts = chunk.column(at).to_pylist()
@@ -372,5 +377,5 @@ def mask_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
             columns[at] = pa.array(texts, chunk.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.withColumn(BODY, F.coalesce("text", F.lit(""))).mapInArrow(mask, docs.schema)
+    out = docs.withColumn(body, F.coalesce("text", F.lit(""))).mapInArrow(mask, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -18,6 +18,14 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_and_text(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, the whole text (null: empty) and further columns, of tables with any columns besides."""
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)

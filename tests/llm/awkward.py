@@ -14,4 +14,4 @@ EDGE = [
     (15, "!!! ### $$$ *** %%% &&& ||| <<< >>> !!! a b c", "en", "s1"),
     (16, "1234567890" * 2_000 + "." + "@" * 300, "en", "s1"), (17, "A" * 5_000, "en", "s1"), (-5, "negative id", "en", "s1"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, node string, token int, place string, packed int, row double, start string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, node string, token int, place string, packed int, row double, start string, __text string, __body string, __shard string, Body string, shard int, kept_id long, repeated string"

@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from awkward import EDGE, SCHEMA  # noqa: E402
 
 def table(spark, rows):
-    full = [(i, t, lang, source, None if t is None else len(t), "s", None, 1, "p", 2, 0.5, "z") for i, t, lang, source in rows]
+    full = [(i, t, lang, source, None if t is None else len(t), "s", None, 1, "p", 2, 0.5, "z", "t", "b", "d", "B", 3, 4, "r") for i, t, lang, source in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 

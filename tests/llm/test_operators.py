@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -223,6 +224,34 @@ def test_missed_mentions_are_found(spark):
     assert len(out[5_000]) == 42 and out[5_000][-1].endswith(f":{often[1].index(' of 743')}")
 
 
+def test_very_long_parts_of_addresses():
+    """A part of thousands of digits is no number that a machine has to convert."""
+    text = f"a 1.2.3.{'0' * 5_000}1 b 10.0.0.{'9' * 5_000} c {'1' * 6_000}.2.3.4 d 1.2.3.0256"
+    start = time.perf_counter()
+    found = pii.base_spans(text)
+    assert [s for s in found if s[0] == 1] == [(1, 2, 2 + 6 + 5_001)]
+    assert time.perf_counter() - start < 1
+    pii.shape(f"{'1' * 6_000}.2.3.4")
+
+
+def test_many_tags_in_one_text():
+    text = b"".join(b"SPDX-License-Identifier: MIT OR Apache-2.0 AND (GPL-2.0 WITH x%d)\n" % k for k in range(10_000))
+    scanner = licenses.Scanner()
+    start = time.perf_counter()
+    found = scanner.scan(text)
+    assert time.perf_counter() - start < 1
+    assert found[5] == "apache,gpl,mit" and found[6] == 1.0
+
+
+def test_columns_with_clashing_names_stay(edge):
+    """Whatever a user calls a column, it comes back as it was."""
+    own = ["__text", "__body", "__shard", "Body", "shard", "kept_id", "repeated"]
+    labels = edge.sparkSession.createDataFrame([(6, 1)], "doc_id long, quality int")
+    for out in (pii.mask_documents(edge), mixing.mixed_texts(edge), jaccard_join.one_of_each(edge), quality_rules.keep_documents(edge, labels)):
+        assert out.columns == edge.columns
+        assert {tuple(r) for r in out.select(own).collect()} == {("t", "b", "d", "B", 3, 4, "r")}
+
+
 def test_licenses(small, edge, empty):
     names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     for df, plain in (small, (edge, PAIRS)):
