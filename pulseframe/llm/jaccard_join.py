@@ -6,16 +6,22 @@ documents) and is by hash otherwise, so index lists stay short.
 
 Set relations, after Wang et al. (2017), save most of the rest:
 
-* Index level: a list is kept by size and position. Whole blocks of sizes beyond 1.25 times a set's are skipped, and
-  within a block all entries from the first position on at which too few shingles are left to reach the overlap.
+* Index level: an entry of a list carries its set's size and its position there. Sizes beyond 1.25 times a set's and positions
+  at which too few shingles are left to reach the overlap are skipped.
 * Answer level: sets of one list are mostly copies of each other. Each is first compared with the list's leader only (the
   same one in all lists that it is in). What links to a leader has its answer from it: it needs no further comparison
-  with the leader's other answers. Lists that are still in several components then get two other leaders. Only pairs of a
-  list that are in different components even then are compared in the last round, which makes the result exact. In all
-  rounds a pair's texts are only fetched if it shares enough lists
-  (``least_shared``), which few pairs that do not link do.
-
-Equal sets are one node. Texts move to the leader they are compared with, in portions, and a task holds one leader's set.
+  with the leader's other answers. Lists that are still in several components then get other leaders, first of all their
+  most central set: the one in most of these lists. A near copy has new shingles, which are rare, in front of its order and
+  so stands in fewer shared lists than what it was made from. Only pairs of a list that are in different components even
+  then are looked at in the last round, which makes the result exact.
+* There, a set is known by a signature of 512 bits, the parity of its shingles in each of 512 cells. Two signatures differ in at most
+  as many bits as two sets in shingles, so a pair whose signatures differ in more than links allow is passed over before it
+  is a row. Lists of more than ``LIST`` sets are dealt out: blocks of a list meet pairwise in units of their own.
+* In all rounds a pair's texts are only fetched if it shares enough lists (``least_shared``).
+
+The answer of a set is its component; sets of answers are not listed, so the incremental derivation is that of
+components. Equal sets are one node, named by 64 bits of a hash; another 64 tell apart sets whose names are equal by chance.
+Texts move to the leader they are compared with, in portions, and a task holds one leader's set.
 """
 
 from __future__ import annotations
@@ -39,14 +45,18 @@ NUMERATOR, DENOMINATOR = 4, 5
 SKETCH = 1 << 18
 SKETCH_BLOCK = 1 << 12
 PORTION = 256
-LEADERS = 2
+#: Sets of a list that meet in one unit of the last round, at most twice as many.
+LIST = 4_096
+SIGNATURE = 512
+#: Documents of one set are dealt among so many pieces where they meet its answer.
+CELLS = 64
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct shingles of each row, by row; a row of fewer than five words has one, of all of them."""
     low = spans.LOWER[data]
     starts, ends, row = spans.words(low, bounds)
-    hashes = spans.range_hash(spans.prefix_hash(low), starts, ends)
+    hashes = spans.range_names(low, starts, ends)
     out, at = spans.word_windows(hashes, row, WIDTH)
     found, rows = [spans.mix(out + np.uint64(WIDTH))], [row[at]]
     count = np.bincount(row, minlength=len(bounds) - 1)
@@ -64,13 +74,36 @@ def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[new], rows_[new]
 
 
-def set_names(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(name, size) of each row's set; the name does not depend on order, and is 0 for an empty set only by chance."""
+def set_names(hashes: np.ndarray, row: np.ndarray, rows: int, twins: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, second name, size) of each row's set; names do not depend on order. Sets whose name is in ``twins`` are named
+    by both names."""
     size = np.bincount(row, minlength=rows)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(spans.mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=total[1:])
     ends = np.cumsum(size)
-    return spans.mix(total[ends] - total[ends - size] + size.astype(np.uint64)).view(np.int64), size
+
+    def summed(salt: int) -> np.ndarray:
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(spans.mix(hashes ^ np.uint64(salt)), out=total[1:])
+        return spans.mix(total[ends] - total[ends - size] + size.astype(np.uint64))
+
+    name, second = summed(0xA5A5A5A55A5A5A5A), summed(0x3C3C3C3CC3C3C3C3)
+    if twins:
+        shared = np.isin(name.view(np.int64), list(twins))
+        name[shared] = spans.mix(name[shared] ^ spans.mix(second[shared]))
+    return name.view(np.int64), second.view(np.int64), size
+
+
+def signatures(hashes: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
+    """Parity of each row's shingles in each of ``SIGNATURE`` cells."""
+    cell = (spans.mix(hashes) & np.uint64(SIGNATURE - 1)).astype(np.int64)
+    cuts = np.searchsorted(row, np.arange(rows + 1))
+    out: list[bytes] = []
+    for low in range(0, rows, 4_096):
+        high = min(rows, low + 4_096)
+        part = slice(cuts[low], cuts[high])
+        odd = np.bincount((row[part] - low) * SIGNATURE + cell[part], minlength=(high - low) * SIGNATURE) & 1
+        packed = np.packbits(odd.astype(np.uint8)).tobytes()
+        out += [packed[i : i + SIGNATURE // 8] for i in range(0, len(packed), SIGNATURE // 8)]
+    return out
 
 
 def _ints(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -84,32 +117,35 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def describe_sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, check, n, node) of every document, and (block, counts) of the shingle sketch, in one pass."""
+    """(doc_id, check, n, node, second, sign, cell) of every document, and (block, counts) of the shingle sketch, in one pass."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "check", "n", "node", "block", "counts"]
+        names = ["doc_id", "check", "n", "node", "second", "sign", "cell", "block", "counts"]
         sketch = np.zeros(SKETCH, np.int32)
-        id_type = None
+        id_type, done = None, 0
         for chunk in spans.chunks(batches):
             hashes, row = shingles(*spans.text_bytes(chunk.column(1)))
-            node, size = set_names(hashes, row, chunk.num_rows)
+            node, second, size = set_names(hashes, row, chunk.num_rows)
+            sign = pa.array(signatures(hashes, row, chunk.num_rows), pa.binary())
             np.add.at(sketch, (hashes >> np.uint64(46)).astype(np.int64), 1)
             id_type = chunk.column(0).type
             yield pa.RecordBatch.from_arrays(
-                [chunk.column(0), chunk.column(2), pa.array(size.astype(np.int64)), pa.array(node), pa.nulls(len(node), pa.int32()), pa.nulls(len(node), pa.binary())], names=names
+                [chunk.column(0), chunk.column(2), pa.array(size.astype(np.int64)), pa.array(node), pa.array(second), sign, pa.array(((done + np.arange(len(node))) % CELLS).astype(np.int32)), pa.nulls(len(node), pa.int32()), pa.nulls(len(node), pa.binary())],
+                names=names,
             )
+            done += len(node)
         if id_type is None:
             return
         for block in range(SKETCH // SKETCH_BLOCK):
             counts = sketch[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK]
             if counts.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 3, pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=names
+                    [pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=names
                 )
 
     return rows.select("doc_id", "text", "check").mapInArrow(
-        read, f"doc_id {kind}, check long, n long, node long, block int, counts binary"
+        read, f"doc_id {kind}, check long, n long, node long, second long, sign binary, cell int, block int, counts binary"
     )
 
 
@@ -151,7 +187,7 @@ def pair_overlap(n, m):
     return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
 
 
-def index_entries(rows: DataFrame, classes: np.ndarray) -> DataFrame:
+def index_entries(rows: DataFrame, classes: np.ndarray, twins: frozenset[int]) -> DataFrame:
     """(token, node, size, place) of the prefix of every set; a task indexes a set that it has seen once only."""
     classes = classes.astype(np.uint8)
 
@@ -160,7 +196,7 @@ def index_entries(rows: DataFrame, classes: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for chunk in spans.chunks(batches):
             hashes, row = shingles(*spans.text_bytes(chunk.column(0)))
-            node, size = set_names(hashes, row, chunk.num_rows)
+            node, _, size = set_names(hashes, row, chunk.num_rows, twins)
             fresh = np.zeros(len(node), bool)
             for i, name in enumerate(node.tolist()):
                 if name not in seen:
@@ -257,11 +293,14 @@ def frequent(pairs: DataFrame) -> DataFrame:
 
 
 def led_again(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a list's sets with ``LEADERS`` others of it, taken by a hash, that are in another component."""
-    leaders = [F.min_by(F.struct("node", "at", "component"), F.xxhash64(F.lit(r), "node")) for r in range(LEADERS)]
-    ends = F.min("component").alias("low"), F.max("component").alias("high")
-    led = lists.groupBy("token").agg(*ends, F.array_distinct(F.array(*leaders)).alias("leaders")).where("low <> high")
-    pairs = lists.join(led.select("token", "leaders"), "token").select("node", "at", "component", F.explode("leaders").alias("other"))
+    """Pairs (a, b) of a list's sets with two others of it, its most central one and one taken by a hash, that are in another
+    component. ``lists``: token, node, at, component of the lists that are in several components."""
+    # In how many of the lists a set is.
+    votes = lists.groupBy("node").agg(F.count("*").alias("votes"))
+    one = F.struct("node", "at", "component")
+    leaders = F.array(F.max_by(one, F.struct("votes", F.xxhash64("node"))), F.min_by(one, F.xxhash64(F.lit(1), "node")))
+    led = lists.join(votes, "node").groupBy("token").agg(F.array_distinct(leaders).alias("leaders"))
+    pairs = lists.join(led, "token").select("node", "at", "component", F.explode("leaders").alias("other"))
     n, m = (F.shiftright(at, 32) for at in (F.col("at"), F.col("other.at")))
     i, j = (at.bitwiseAND(F.lit(0xFFFFFFFF)) for at in (F.col("at"), F.col("other.at")))
     # As in ``pair_overlap``, ``least_overlap``, ``possible`` and ``least_shared``.
@@ -272,19 +311,34 @@ def led_again(lists: DataFrame) -> DataFrame:
     return frequent(apart.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), need.alias("need")))
 
 
+def dealt_lists(lists: DataFrame) -> DataFrame:
+    """The entries of each list, with the unit in which they meet and their block of the list.
+
+    A list of at most ``LIST`` sets is one unit. A longer one is cut into blocks by a hash, and every two of its blocks, and
+    every block alone, are a unit, so no task holds more than two blocks.
+    """
+    blocks = lists.groupBy("token").agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
+    own = lists.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = own.withColumn("partner", partner)
+    unit = F.least("block", "partner") * F.col("blocks") + F.greatest("block", "partner")
+    return met.select("token", unit.cast("long").alias("unit"), "at", "node", "component", "block", (F.col("block") != F.col("partner")).alias("across"), "sign")
+
+
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components that can link. ``lists``: token, at, node, component.
+    """Pairs (a, b) in different components that can link. ``lists``: token, at, node, component, sign.
 
-    Within a list, ordered by size and place, sets are compared with those 1, 2, 3 ... places behind, all at once; a set
-    drops out where its list ends or sizes go beyond what it can link to.
+    Within a unit, ordered by size and place, sets are compared with those 1, 2, 3 ... places behind, all at once; a set
+    drops out where its unit ends or sizes go beyond what it can link to. What is left are pairs of signatures that differ
+    in no more bits than two sets that link can differ in shingles.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def pairs(token: np.ndarray, at: np.ndarray, node: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(token, unit, at, node, component, block, across, sign) -> Iterator[pa.RecordBatch]:
             size, place = at >> 32, at & 0xFFFFFFFF
-            first, end = _runs(token)
+            first, end = _units(token, unit)
             end = np.repeat(end, end - first)
             left, step = np.arange(len(token)), 1
             while True:
@@ -292,31 +346,40 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
                 left = left[NUMERATOR * size[left + step] <= DENOMINATOR * size[left]]
                 if not len(left):
                     return
-                i = left[component[left] != component[left + step]]
+                i = left[(component[left] != component[left + step]) & (~across[left] | (block[left] != block[left + step]))]
                 j = i + step
                 need = least_shared(size[i], place[i], size[j], place[j])
                 i, j, need = i[need > 0], j[need > 0], need[need > 0]
+                apart = np.bitwise_count(sign[i] ^ sign[j]).sum(1, dtype=np.int64)
+                near = apart <= size[i] + size[j] - 2 * pair_overlap(size[i], size[j])
+                i, j, need = i[near], j[near], need[near]
                 if len(i):
                     yield _ints({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "need": need})
                 step += 1
 
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+            columns.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64))
             if held:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             if not len(columns[0]):
                 continue
-            last = _runs(columns[0])[0][-1]
+            last = _units(columns[0], columns[1])[0][-1]
             if last:
                 yield from pairs(*(c[:last] for c in columns))
             held = [c[last:] for c in columns]
         if held and len(held[0]):
             yield from pairs(*held)
 
-    found = lists.select("token", "at", "node", "component").repartition("token").sortWithinPartitions("token", "at")
+    found = dealt_lists(lists).repartition("token", "unit").sortWithinPartitions("token", "unit", "at")
     return frequent(found.mapInArrow(make, "a long, b long, need long"))
 
 
+def _units(token: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.flatnonzero((token[1:] != token[:-1]) | (unit[1:] != unit[:-1])) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
+
+
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. ``texts``: (node, packed). Each b's text goes to a portion of a's pairs, with a's text."""
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
@@ -361,17 +424,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return _components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def _told_apart(sets: DataFrame, twins: frozenset[int]) -> DataFrame:
+    """The sets, those whose name is shared by chance under the name that ``set_names`` gives them."""
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            shared, name = np.isin(node, list(twins)), node.copy()
+            name[shared] = spans.mix(node[shared].view(np.uint64) ^ spans.mix(second[shared].view(np.uint64))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(name), *batch.columns[4:]], names=batch.schema.names)
+
+    return sets.mapInArrow(rename, sets.schema)
+
+
 def _components(docs: DataFrame) -> DataFrame:
     """``jaccard_components`` with ``check``, the hash of the text, and ``component``, a node of the component: a name of
     its own even where doc_ids are null or repeat (null: a text without words)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("check", F.xxhash64("text"))
     described = _stored(describe_sets(rows), "sets")
     classes = frequency_classes(_sketch(described))
-    sets = described.where("block is null").select("doc_id", "check", "n", "node")
-    named = sets.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("of"))
-    nodes = named.select("node", F.col("of.doc_id").alias("least"), F.col("of.check").alias("check"))
+    sets = described.where("block is null").select("doc_id", "check", "n", "node", "second", "sign", "cell")
+    # Different sets with one name of 64 bits: about one for 10^19 pairs of sets, so what reaches the driver is next to nothing.
+    same_name = sets.where("n > 0").groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high"))
+    twins = frozenset(r["node"] for r in same_name.where("low <> high").select("node").collect())
+    if twins:
+        sets = _told_apart(sets, twins)
+    named = sets.where("n > 0").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("of"), F.first("sign").alias("sign")
+    )
+    nodes = named.select("node", F.col("of.doc_id").alias("least"), F.col("of.check").alias("check"), "sign")
 
-    lists = _stored(shared_lists(index_entries(rows, classes)), "lists")
+    lists = _stored(shared_lists(index_entries(rows, classes, twins)), "lists")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,15 +484,19 @@ def _components(docs: DataFrame) -> DataFrame:
         """The lists with the component of each set, if it has links."""
         return lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
+    def split(component: DataFrame) -> DataFrame:
+        """The lists that are in several components."""
+        now = placed(component)
+        mixed = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        return now.join(mixed.select("token"), "token", "left_semi")
+
     # What links to a leader is answered. Lists that are still in several components get other leaders,
-    again = _stored(led_again(placed(component)).join(stars, ["a", "b"], "left_anti"), "again")
+    again = _stored(led_again(split(component)).join(stars, ["a", "b"], "left_anti"), "again")
     if not again.isEmpty():
         links = _stored(links.unionByName(compare(again, texts_of(again))), "links")
         component = connected_components(links)
     # and in the end every pair of a list that is in two components and was not compared yet.
-    split = placed(component)
-    mixed = split.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    pairs = cross_pairs(split.join(mixed.select("token"), "token", "left_semi"))
+    pairs = cross_pairs(split(component).join(nodes.select("node", "sign"), "node"))
     rest = _stored(pairs.join(stars.unionByName(again), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = _stored(compare(rest, texts_of(rest)), "more-links")
@@ -420,7 +507,9 @@ def _components(docs: DataFrame) -> DataFrame:
         "node", F.coalesce("root", "least").alias("name"), F.coalesce("component", "node").alias("component")
     )
     full = F.col("n") > 0
-    return sets.join(answer, "node", "left").select(
+    # A set may be that of very many documents: they and its answer are dealt among cells.
+    answers = sets.select("node", "cell").distinct().join(answer, "node")
+    return sets.join(answers, ["node", "cell"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(full, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"),
         "check", F.when(full, F.col("component")).alias("component"),
     )

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 CHUNK_BYTES = 1 << 20
 
@@ -88,6 +89,18 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + length * np.uint64(0x9E3779B97F4A7C15))
 
 
+def range_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges that ascend and do not overlap. Each distinct range is hashed whole (xxh3), so that no text can be
+    built to make two of them equal, as is possible with ``range_hash``."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    edges = np.stack([starts, ends], 1).reshape(-1).astype(np.int64)
+    both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = both.take(pa.array(np.arange(0, len(edges), 2))).dictionary_encode()
+    names = np.fromiter(map(xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return names[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of every maximal run of bytes that are not ``space``; runs never cross rows."""
     solid = ~space[data]
