@@ -444,15 +444,20 @@ def _components(docs: DataFrame) -> DataFrame:
     described = _stored(describe_sets(rows), "sets")
     classes = frequency_classes(_sketch(described))
     sets = described.where("block is null").select("doc_id", "check", "n", "node", "second", "sign", "cell")
+
+    def nodes_of(sets: DataFrame) -> DataFrame:
+        named = sets.where("n > 0").groupBy("node").agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("of"), F.first("sign").alias("sign"),
+            (F.min("second") != F.max("second")).alias("twins"),
+        )
+        return _stored(named.select("node", F.col("of.doc_id").alias("least"), F.col("of.check").alias("check"), "sign", "twins"), "nodes")
+
+    nodes = nodes_of(sets)
     # Different sets with one name of 64 bits: about one for 10^19 pairs of sets, so what reaches the driver is next to nothing.
-    same_name = sets.where("n > 0").groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high"))
-    twins = frozenset(r["node"] for r in same_name.where("low <> high").select("node").collect())
+    twins = frozenset(r["node"] for r in nodes.where("twins").select("node").collect())
     if twins:
         sets = _told_apart(sets, twins)
-    named = sets.where("n > 0").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check")).alias("of"), F.first("sign").alias("sign")
-    )
-    nodes = named.select("node", F.col("of.doc_id").alias("least"), F.col("of.check").alias("check"), "sign")
+        nodes = nodes_of(sets)
 
     lists = _stored(shared_lists(index_entries(rows, classes, twins)), "lists")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -58,16 +58,15 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
         "word_chars": spans.per_row(solid & ((data & 0xC0) != 0x80), bounds),
         "n_symbols": spans.per_row(SYMBOLS[data], bounds),
     }
-    prefix = spans.prefix_hash(data)
     line_start, line_end, line_row = spans.words(data, bounds, NEWLINE)
     word_before = np.searchsorted(starts, line_start)
     full = word_before < np.searchsorted(starts, line_end)
     line_row = line_row[full]
-    keys = spans.mix(spans.range_hash(prefix, line_start[full], line_end[full]) + line_row.astype(np.uint64))
+    keys = spans.mix(spans.range_names(data, line_start[full], line_end[full]) + line_row.astype(np.uint64))
     _, first = np.unique(keys, return_index=True)
     lines = np.bincount(line_row, minlength=rows)
     out["n_dup_lines"] = lines - np.bincount(line_row[first], minlength=rows)
-    window, at = spans.word_windows(spans.range_hash(prefix, starts, ends), row, WINDOW)
+    window, at = spans.word_windows(spans.range_names(data, starts, ends), row, WINDOW)
     keys = spans.mix(window + row[at].astype(np.uint64))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]

@@ -13,6 +13,7 @@ import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
 CHUNK_BYTES = 1 << 20
+LONG_RANGE = 256
 
 
 def _mask(chars: bytes) -> np.ndarray:
@@ -90,15 +91,24 @@ def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
 
 
 def range_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges that ascend and do not overlap. Each distinct range is hashed whole (xxh3), so that no text can be
-    built to make two of them equal, as is possible with ``range_hash``."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    edges = np.stack([starts, ends], 1).reshape(-1).astype(np.int64)
-    both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
-    coded = both.take(pa.array(np.arange(0, len(edges), 2))).dictionary_encode()
-    names = np.fromiter(map(xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return names[coded.indices.to_numpy(zero_copy_only=False)]
+    """Hashes of byte ranges, eight bytes at a time with ``mix`` in between, so that, unlike with ``range_hash``, no text is
+    easily built to make two of them equal. A long range goes through xxh3 as a whole."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
+    length = (ends - starts).astype(np.int64)
+    out = mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero((length > 0) & (length <= LONG_RANGE))
+    at = 0
+    while len(left):
+        lane, rest = eight[starts[left] + at], length[left] - at
+        short = rest < 8
+        lane[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+        out[left] = mix(out[left] * np.uint64(0xD1342543DE82EF95) ^ lane)
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(length > LONG_RANGE).tolist():
+        out[i] = xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
