@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.functions.edits import swap_distances
+
 # Quoted groups and bare runs; an unclosed quote reaches to the end of the text.
 QUOTED_TOKENS = r""""[^"]*(?:"|$)|'[^']*(?:'|$)|[^\s\p{Z}'"]+"""
 WORD = r"[\p{L}\p{N}]+"
@@ -142,31 +145,14 @@ def word_counts(df: DataFrame, text: str, by: list[str] | None = None) -> DataFr
     return df.select(*by, F.explode(words(F.col(text))).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
 
 
-def damerau(left: Column, right: Column) -> Column:
-    """Edit distance in which swapping neighbours is one edit, on the candidate pairs of a join."""
+def damerau(left: Column, right: Column, limit: int | None = None) -> Column:
+    """Edit distance in which swapping neighbours is one edit, on the candidate pairs of a join; beyond ``limit``, limit + 1."""
 
     @F.pandas_udf("int")
-    def distance(a, b):
-        return a.combine(b, _swap_distance)
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = a.notna() & b.notna()
+        out = pd.Series(pd.array([None] * len(a), dtype="Int32"))
+        out[known.to_numpy()] = swap_distances(a[known].tolist(), b[known].tolist(), limit)
+        return out
 
     return distance(left, right)
-
-
-def _swap_distance(a: str, b: str) -> int:
-    last_row: dict[str, int] = {}
-    limit = len(a) + len(b)
-    d = {(-1, j): limit for j in range(-1, len(b) + 1)} | {(i, -1): limit for i in range(-1, len(a) + 1)}
-    d |= {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
-    for i, ca in enumerate(a, 1):
-        last_col = 0
-        for j, cb in enumerate(b, 1):
-            i1, j1 = last_row.get(cb, 0), last_col
-            cost = 0 if ca == cb else 1
-            if not cost:
-                last_col = j
-            d[i, j] = min(
-                d[i - 1, j - 1] + cost, d[i, j - 1] + 1, d[i - 1, j] + 1,
-                d[i1 - 1, j1 - 1] + (i - i1 - 1) + 1 + (j - j1 - 1),
-            )
-        last_row[ca] = i
-    return d[len(a), len(b)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseframe.functions.edits import Texts, distances
 from pulseframe.model import SERIES_LENGTH
 from pulseframe.operators.scale import BLOCK_ROWS, HOT_ROWS, consecutive_blocks, newest, split_hot_keys
 from pulseframe.session import ensure_checkpoint_dir
@@ -27,67 +29,70 @@ def unique_timestamps(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence
 
 
 Fold = Callable[[Sequence, list], tuple[np.ndarray, list]]
+#: Rows that are looked at together.
+CHUNK = 512
+#: A block that kept so many times the size of the state is taken to have forgotten what it started from.
+TURNOVERS = 4
 
 
-def _tolerance_fold(q: float, size: int) -> Fold:
-    """Refuse a number inside the error band of a kept one; keep at most ``size`` numbers."""
+def _fold(prepare: Callable[[list], Any], refuses: Callable[[Any, Any], np.ndarray], size: int) -> Fold:
+    """The sequential rule: a value goes if one of the last ``size`` kept values refuses it.
 
-    def bands(state: list) -> tuple[np.ndarray, np.ndarray]:
-        held = np.asarray(state, dtype=float)
-        half = held * q / 2
-        return np.minimum(held - half, held + half), np.maximum(held - half, held + half)
+    ``refuses(kept, prepared)`` tells which values of a chunk a kept one refuses. Each value of the chunk only has to know
+    the newest kept value that refuses it: it goes as long as that one is among the last ``size``. So work falls on
+    kept values, for a whole chunk at a time, and rows that go cost a comparison.
+    """
 
     def fold(values: Sequence, state: list) -> tuple[np.ndarray, list]:
         kept = np.zeros(len(values), dtype=bool)
         state = list(state)
-        low, high = bands(state)
-        for i, v in enumerate(values):
-            if ((low <= v) & (v <= high)).any():
-                continue
-            kept[i] = True
-            state = [*state, float(v)][-size:]
-            low, high = bands(state)
+        for low in range(0, len(values), CHUNK):
+            chunk = values[low : low + CHUNK]
+            number: dict = {}
+            which = [number.setdefault(v, len(number)) for v in chunk]
+            prepared = prepare(list(number))
+            newest = np.full(len(number), -1, np.int64)
+            for at, held in enumerate(state):
+                newest[refuses(held, prepared)] = at
+            for i, (v, k) in enumerate(zip(chunk, which)):
+                if newest[k] < max(0, len(state) - size):
+                    kept[low + i] = True
+                    newest[refuses(v, prepared)] = len(state)
+                    state.append(v)
+            state = state[-size:]
         return kept, state
 
     return fold
 
 
-def _edits(a: str, b: str, enough: int | None = None) -> int:
-    """Levenshtein distance; counting stops at ``enough``."""
-    if enough is not None and abs(len(a) - len(b)) >= enough:
-        return enough
-    row = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        above, row = row, [i]
-        for j, cb in enumerate(b, 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (ca != cb)))
-        if enough is not None and min(row) >= enough:
-            return enough
-    return row[-1]
+def _tolerance_fold(q: float, size: int) -> Fold:
+    """Refuse a number inside the error band of a kept one; keep at most ``size`` numbers."""
+
+    def refuses(held: float, values: np.ndarray) -> np.ndarray:
+        half = held * q / 2
+        return (min(held - half, held + half) <= values) & (values <= max(held - half, held + half))
+
+    return _fold(lambda values: np.array(values, dtype=float), refuses, size)
 
 
 def _similarity_fold(q: int, size: int, near: bool) -> Fold:
     """``near=False``: keep a text at least ``q`` edits from every kept one.
     ``near=True``: keep a text less than ``q`` edits from all kept ones."""
 
-    def fold(values: Sequence, state: list) -> tuple[np.ndarray, list]:
-        kept = np.zeros(len(values), dtype=bool)
-        state = list(state)
-        for i, v in enumerate(values):
-            if near:
-                fits = all(_edits(v, s, q) < q for s in state)
-            else:
-                fits = v not in state and all(_edits(v, s, q) >= q for s in state)
-            if fits:
-                kept[i] = True
-                state = [*state, v][-size:]
-        return kept, state
+    def refuses(held: str, texts: Texts) -> np.ndarray:
+        apart = distances(held, texts)
+        return apart >= q if near else apart < max(q, 1)
 
-    return fold
+    return _fold(Texts, refuses, size)
+
+
+def _equal(a: list, b: list) -> bool:
+    """Whether two states are one; a NaN equals a NaN."""
+    return len(a) == len(b) and all(x == y or (x != x and y != y) for x, y in zip(a, b))
 
 
 def _suppress(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, fold: Fold, hot_rows: int | None, block_rows: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, fold: Fold, size: int, hot_rows: int | None, block_rows: int
 ) -> DataFrame:
     rows = df.where(F.col(value).isNotNull())
     schema = rows.schema
@@ -116,50 +121,68 @@ def _suppress(
     if hot is None:
         return done
     blocks = consecutive_blocks(hot, keys, order, 0, block_rows, total).drop("__carry")
-    return done.unionByName(_suppress_in_blocks(blocks, schema, list(keys), list(order), value, fold))
+    return done.unionByName(_suppress_in_blocks(blocks, schema, list(keys), list(order), value, fold, size))
 
 
 def _suppress_in_blocks(
-    blocks: DataFrame, schema: T.StructType, keys: list[str], order: list[str], value: str, fold: Fold
+    blocks: DataFrame, schema: T.StructType, keys: list[str], order: list[str], value: str, fold: Fold, size: int
 ) -> DataFrame:
-    """The sequential rule over a series cut into blocks, with all blocks at work at once.
+    """The sequential rule over a series cut into blocks, with all blocks at work at once."""
+    at = [*keys, "__block"]
+    named = [f"__g_{c}" for c in at]
+
+    def emit(pdf: pd.DataFrame, guesses: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        mask = fold(pdf[value].tolist(), list(guesses["guess"].iloc[0]))[0]
+        return pdf.loc[mask, schema.names]
+
+    states, _ = settled_states(blocks, schema, keys, order, value, fold, size)
+    known = states.select(*[F.col(c).alias(n) for c, n in zip(at, named)], "guess")
+    return blocks.groupBy(*at).cogroup(known.groupBy(*named)).applyInPandas(emit, schema)
 
-    What a block keeps depends on the values kept before it. That state (at most
-    128 values) is guessed per block, the blocks run in parallel, and the states
-    they leave behind correct the guesses. Blocks with a corrected guess run
-    again. Every round settles at least the first unsettled block, so this ends,
-    and when no guess changes every state is the one the uncut series has.
+
+def settled_states(
+    blocks: DataFrame, schema: T.StructType, keys: list[str], order: list[str], value: str, fold: Fold, size: int
+) -> tuple[DataFrame, int]:
+    """(keys, __block, guess): the values that count at the start of each block; and after how many rounds they settled.
+
+    What a block keeps depends on the values kept before it. That state (at most ``size`` values) is guessed per block, the
+    blocks run in parallel, and the states they leave behind correct the guesses. A block that replaced its whole state
+    several times most likely leaves what the uncut series leaves, whatever it started from: the next block is cut off from
+    all before it, and starts from that. A block that kept little leaves its own values and the state before it. Blocks with
+    a corrected guess run again. Every round settles at least the first unsettled block, so this ends, and when no
+    guess changes every state is the one the uncut series has. Rounds are few unless nearly all values are refused by
+    values that are replaced all the time. States stream by in order, so no task gathers the blocks of a key.
     """
     ensure_checkpoint_dir(blocks.sparkSession)
     kept_type = schema[value].dataType
     at = [*keys, "__block"]
     id_fields = [schema[k] for k in keys] + [T.StructField("__block", T.LongType())]
-    states_type = T.StructType([*id_fields, T.StructField("guess", T.ArrayType(kept_type)), T.StructField("left", T.ArrayType(kept_type))])
-    guess_type = T.StructType([*id_fields, T.StructField("guess", T.ArrayType(kept_type)), T.StructField("changed", T.BooleanType())])
+    state = T.ArrayType(kept_type)
+    states_type = T.StructType([*id_fields, T.StructField("guess", state), T.StructField("left", state), T.StructField("kept", T.LongType())])
+    guess_type = T.StructType([*id_fields, T.StructField("guess", state), T.StructField("changed", T.BooleanType())])
 
     def run(pdf: pd.DataFrame, guesses: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty or guesses.empty:
             return pd.DataFrame(columns=states_type.names)
         pdf = pdf.sort_values(order, kind="stable")
         guess = list(guesses["guess"].iloc[0])
-        left = fold(pdf[value].tolist(), guess)[1]
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in at), guess, left]], columns=states_type.names)
-
-    def correct(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block")
-        state: list = []
-        out = []
-        for row in pdf.itertuples(index=False):
-            known, left = list(row.guess), list(row.left)
-            changed = known != state
-            out.append([*row[: len(at)], list(state), changed])
-            state = fold(left, state)[1] if changed else left
-        return pd.DataFrame(out, columns=guess_type.names)
+        mask, left = fold(pdf[value].tolist(), guess)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in at), guess, left, int(mask.sum())]], columns=states_type.names)
 
-    def emit(pdf: pd.DataFrame, guesses: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        mask = fold(pdf[value].tolist(), list(guesses["guess"].iloc[0]))[0]
-        return pdf.loc[mask, schema.names]
+    def correct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, before = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                name, (guess, left, kept) = row[: len(keys)], row[len(at) :]
+                if name != current:
+                    current, before = name, []
+                guess, left = list(guess), list(left)
+                changed = not _equal(guess, before)
+                out.append([*row[: len(at)], before, changed])
+                before = left if not changed or kept >= TURNOVERS * size else fold(left, before)[1]
+            yield pd.DataFrame(out, columns=guess_type.names)
 
     named = [f"__g_{c}" for c in at]
 
@@ -171,18 +194,19 @@ def _suppress_in_blocks(
         return df.join(todo.select(*named), reduce(lambda a, b: a & b, same), how)
 
     narrow = blocks.select(*dict.fromkeys([*at, *order, value]))
-    empty = F.array().cast(T.ArrayType(kept_type))
-    todo, states = renamed(narrow.select(*at).distinct().withColumn("guess", empty)), None
+    empty = F.array().cast(state)
+    todo, states, rounds = renamed(narrow.select(*at).distinct().withColumn("guess", empty)), None, 0
     while True:
+        rounds += 1
         again = matching(narrow, todo, "left_semi")
         ran = again.groupBy(*at).cogroup(todo.groupBy(*named)).applyInPandas(run, states_type)
         settled = ran if states is None else matching(states, todo, "left_anti").unionByName(ran)
         states = settled.checkpoint()
-        guesses = states.groupBy(*keys).applyInPandas(correct, guess_type).checkpoint()
+        in_turn = states.select(*states_type.names).repartition(*keys).sortWithinPartitions(*at)
+        guesses = in_turn.mapInPandas(correct, guess_type).checkpoint()
         todo = renamed(guesses.where("changed"))
         if todo.isEmpty():
-            break
-    return blocks.groupBy(*at).cogroup(renamed(guesses).groupBy(*named)).applyInPandas(emit, schema)
+            return guesses, rounds
 
 
 def tolerance_dedup(
@@ -190,7 +214,7 @@ def tolerance_dedup(
     hot_rows: int | None = HOT_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Rows whose number lies outside the error band of every number kept before (of the last ``size``)."""
-    return _suppress(df, keys, order, value, _tolerance_fold(q, size), hot_rows, block_rows)
+    return _suppress(df, keys, order, value, _tolerance_fold(q, size), size, hot_rows, block_rows)
 
 
 def similarity_dedup(
@@ -201,7 +225,7 @@ def similarity_dedup(
 
     ``near=True`` is the opposite gate: only texts less than ``q`` edits from all kept ones.
     """
-    return _suppress(df, keys, order, value, _similarity_fold(q, size, near), hot_rows, block_rows)
+    return _suppress(df, keys, order, value, _similarity_fold(q, size, near), size, hot_rows, block_rows)
 
 
 def stream_unique_timestamps(df: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:

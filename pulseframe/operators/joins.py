@@ -1,4 +1,4 @@
-"""Range labels, band relations, windows around anchors and fuzzy string joins."""
+"""Range labels, band relations and windows around anchors."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import error_band
-from pulseframe.functions.text import damerau
 from pulseframe.operators.scale import BLOCK_ROWS, MAX_RANGES
 from pulseframe.session import ensure_checkpoint_dir
 
@@ -210,51 +209,3 @@ def around_window(
         F.sum(F.col("__cn") * sign).alias("events"), F.sum(F.col("__cs") * sign).alias("total")
     )
     return anchors.select(*keys, anchor_id, at).join(answers, [*keys, at]).drop(at)
-
-
-def _shortened(texts: Column) -> Column:
-    """Every text of an array with each single character left out."""
-
-    def one(t: Column) -> Column:
-        at = F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-
-    return F.flatten(F.transform(texts, one))
-
-
-def _variants(text: Column, distance: int) -> Column:
-    found = step = F.array(text)
-    for _ in range(distance):
-        step = F.array_distinct(_shortened(step))
-        found = F.concat(found, step)
-    return F.array_distinct(found)
-
-
-def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_text: str | None, distance: int = 1, metric: str = "levenshtein") -> DataFrame:
-    """Pairs of distinct texts within an edit distance: (left_text, right_text, distance).
-
-    ``metric`` "levenshtein" counts single edits; "damerau" also counts a swap of neighbours as one, and pairs are then
-    complete in that metric.
-
-    Two texts that near share a text reached by leaving out at most ``distance``
-    characters of each, so they meet in an equi-join on such variants and no pair
-    is missed. A variant is nearly a whole text: how many texts can share one
-    depends on their alphabet and not on the number of rows. Without ``right``
-    the table is joined with itself and each pair comes once.
-    """
-    def filed(df: DataFrame, text: str, name: str) -> DataFrame:
-        texts = df.select(F.col(text).alias(name)).where(F.col(name).isNotNull()).distinct()
-        return texts.select(name, F.explode(F.transform(_variants(F.col(name), distance), lambda v: F.xxhash64(v))).alias("__variant"))
-
-    a = filed(left, left_text, "left_text")
-    b = filed(left if right is None else right, right_text or left_text, "right_text")
-    pairs = a.join(b, "__variant")
-    if right is None:
-        pairs = pairs.where(F.col("left_text") < F.col("right_text"))
-    if metric == "damerau":
-        swaps = pairs.select("left_text", "right_text").distinct().withColumn("distance", damerau(F.col("left_text"), F.col("right_text")))
-        return swaps.where(F.col("distance") <= distance).select("left_text", "right_text", "distance")
-    near = pairs.select("left_text", "right_text", F.levenshtein("left_text", "right_text", distance).alias("distance"))
-    return near.where(F.col("distance") >= 0).distinct()
-
-

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.operators.joins import band_overlap_join, fuzzy_join, label_by_range_table, label_by_ranges
+from pulseframe.operators.fuzzy import fuzzy_join
+from pulseframe.operators.joins import band_overlap_join, label_by_range_table, label_by_ranges
 from pulseframe.plans.tables import table
 
 BANDS = [(0, 10, "low"), (10, 30, "mid"), (25, 45, "high"), (10, 30, "again"), (40, 49, "top")]
@@ -75,6 +76,32 @@ def fuzzy_parts(spark, d):
     )
 
 
+def _lines(spark, d, metric):
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    # SQL counts edits of bytes: characters of several bytes become one sign in both.
+    lines = lines.select(F.regexp_replace("line", "[^\\x00-\\x7F]", "?").alias("line"))
+    return fuzzy_join(lines, None, "line", None, 2, metric).select("left_text", "right_text", F.col("distance").cast("bigint").alias("distance"))
+
+
+def fuzzy_lines(spark, d):
+    """Whole lines of the documents, of up to tens of thousands of characters, at most two edits apart."""
+    return _lines(spark, d, "levenshtein")
+
+
+def fuzzy_lines_swaps(spark, d):
+    """The same where swapping neighbours is one edit."""
+    return _lines(spark, d, "damerau")
+
+
+def _lines_sql(function: str) -> str:
+    return f"""WITH l AS (SELECT DISTINCT t, length(t) AS n FROM (
+               SELECT regexp_replace(unnest(string_split(text, chr(10))), '[^\\x00-\\x7F]', '?', 'g') AS t FROM documents))
+           , near AS MATERIALIZED (
+               SELECT a.t AS left_text, b.t AS right_text FROM l a JOIN l b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.t < b.t
+               WHERE levenshtein(a.t, b.t) <= 4)
+           SELECT left_text, right_text, {function}(left_text, right_text) AS distance FROM near WHERE {function}(left_text, right_text) <= 2"""
+
+
 _CASE = " ".join(f"WHEN v >= {lo} AND v < {hi} THEN '{label}'" for lo, hi, label in sorted(BANDS[:3] + BANDS[4:]))
 RANGE_SQL = """
     WITH r AS (
@@ -120,6 +147,8 @@ QUERIES = {
            SELECT a.t AS left_text, b.t AS right_text, levenshtein(a.t, b.t) AS distance
            FROM n a JOIN n b ON a.t < b.t AND levenshtein(a.t, b.t) <= 1""",
     ),
+    "fuzzy_join_lines": (fuzzy_lines, _lines_sql("levenshtein")),
+    "fuzzy_join_lines_damerau": (fuzzy_lines_swaps, _lines_sql("damerau_levenshtein")),
     "fuzzy_join_damerau": (
         fuzzy_parts,
         """WITH a AS (SELECT DISTINCT lower(p_name) AS t FROM part),

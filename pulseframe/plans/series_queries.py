@@ -147,6 +147,13 @@ def dedup_similarity(spark, d):
     return kept.select("event_id", "event_type", "user_id", "props")
 
 
+def dedup_similarity_split(spark, d):
+    """Long series of texts cut into blocks: values that are two edits from all of the last 128 kept ones."""
+    rows = table(spark, d, "events").select(*SERIES, *ORDER, F.concat("props", F.lit(" "), F.col("value").cast("int").cast("string")).alias("props"))
+    kept = dedup.similarity_dedup(rows, SERIES, ORDER, "props", 2, hot_rows=100, block_rows=4096)
+    return kept.select("event_id", "event_type", "props")
+
+
 def _fold_sql(series: str, columns: str, refuse: str) -> str:
     """A sequential rule as a recursion over the position within each series."""
     keys = series.split(", ")
@@ -347,6 +354,11 @@ QUERIES = {
     ),
     "dedup_tolerance": (dedup_tolerance, _fold_sql("event_type, user_id", "event_id, event_type, user_id, value", IN_BAND)),
     "dedup_tolerance_split": (dedup_tolerance_split, _fold_sql("event_type", "event_id, event_type, value", IN_BAND)),
+    "dedup_similarity_split": (
+        dedup_similarity_split,
+        _fold_sql("event_type", "event_id, event_type, props", SIMILAR).replace(
+            "FROM events\n", "FROM (SELECT * REPLACE (props || ' ' || trunc(value)::BIGINT AS props) FROM events)\n", 1),
+    ),
     "dedup_similarity": (dedup_similarity, _fold_sql("event_type, user_id", "event_id, event_type, user_id, props", SIMILAR)),
     "markov_transitions": (
         markov_transitions,

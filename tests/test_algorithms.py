@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseframe.operators import alerts, anomaly, breakout, dedup, joins, markov
+from pulseframe.operators import alerts, anomaly, breakout, dedup, joins, markov, scale
+from test_fuzzy import edits
 
 
 def test_planted_spike():
@@ -121,6 +122,44 @@ def test_tolerance_in_blocks(spark, q):
     assert q == 0.3 or len(want) > 128
 
 
+@pytest.mark.parametrize("q", [0.02, 0.4])
+def test_rounds_do_not_grow_with_blocks(spark, q):
+    """Blocks that forget what they started from, and blocks that keep next to nothing, settle in a few rounds."""
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet").select("event_type", "ts", "event_id", "value")
+    blocks = scale.consecutive_blocks(events, ["event_type"], ["ts", "event_id"], 0, 4096, events.count()).drop("__carry")
+    fold = dedup._tolerance_fold(q, 128)
+    _, rounds = dedup.settled_states(blocks, events.schema, ["event_type"], ["ts", "event_id"], "value", fold, 128)
+    assert rounds <= 3
+
+
+def test_states_with_nan_settle(spark):
+    values = [1.0, float("nan"), 2.0, float("nan"), 1.01, 3.0] * 5
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "key string, i bigint, x double")
+    run = lambda **kw: [str(r.x) for r in dedup.tolerance_dedup(df, ["key"], ["i"], "x", 0.1, **kw).orderBy("i").collect()]
+    assert run(hot_rows=3, block_rows=7) == run(hot_rows=None)
+
+
+def plain_similarity(texts, q, near, size):
+    state, out = [], []
+    for t in texts:
+        apart = [edits(t, s) for s in state]
+        if all(d < q for d in apart) if near else (t not in state and all(d >= q for d in apart)):
+            out.append(t)
+            state = [*state, t][-size:]
+    return out
+
+
+@pytest.mark.parametrize("near", [False, True])
+@pytest.mark.parametrize("q", [0, 1, 3])
+def test_similarity_fold_by_brute_force(near, q):
+    dice = random.Random(q)
+    texts = ["".join(dice.choices("abé", k=dice.choice([0, 1, 3, 5, 70]))) for _ in range(700)]
+    for size in (3, 128):
+        kept, state = dedup._similarity_fold(q, size, near)(texts, [])
+        want = plain_similarity(texts, q, near, size)
+        assert [t for t, k in zip(texts, kept) if k] == want and state == want[-size:]
+
+
 def test_similarity(spark):
     texts = ["abcd", "abcf", "wxyz", "abcd", "wxy"]
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "key string, i bigint, t string")
@@ -179,16 +218,6 @@ def test_range_table_by_brute_force(spark, short):
         assert got[v] == (fits[0][2] if fits else None)
 
 
-@pytest.mark.parametrize("distance", [1, 2])
-def test_fuzzy_join_by_brute_force(spark, distance):
-    dice = random.Random(distance)
-    texts = sorted({"".join(dice.choice("abc") for _ in range(dice.randint(0, 6))) for _ in range(80)})
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {tuple(r) for r in joins.fuzzy_join(df, None, "t", None, distance).collect()}
-    want = {(a, b, dedup._edits(a, b)) for a in texts for b in texts if a < b and dedup._edits(a, b) <= distance}
-    assert got == want
-
-
 def test_bands_equal_all_pairs(spark):
     dice = random.Random(2)
     make = lambda n: [(dice.choice("kl"), i, dice.choice([0.0, dice.uniform(-100, 100), dice.uniform(-1, 1), dice.uniform(-1e6, 1e6)])) for i in range(n)]

@@ -26,13 +26,6 @@ def test_only_open_ranges(spark):
     assert {r.v: r.label for r in joins.label_by_range_table(df, "v", ranges).collect()} == {1.0: "up", -1.0: None}
 
 
-def test_two_swaps_are_two_edits(spark):
-    df = spark.createDataFrame([("abxxcd",), ("baxxdc",), ("other",)], "t string")
-    out = joins.fuzzy_join(df, None, "t", None, 2, metric="damerau").collect()
-    assert [tuple(r) for r in out] == [("abxxcd", "baxxdc", 2)]
-    assert joins.fuzzy_join(df, None, "t", None, 2).count() == 0
-
-
 def test_bands_of_any_width_meet_once(spark):
     a = spark.createDataFrame([("k", v) for v in (0.0, 1.0, 50.0, 1e9, -3.0)], "k string, x double")
     b = spark.createDataFrame([("k", v) for v in (0.0, 1.2, 49.0, 1e9 + 1, -2.9, 7e8)], "k string, y double")

@@ -41,11 +41,6 @@ def test_kinds(spark):
     ]
 
 
-@pytest.mark.parametrize("a,b,edits", [("ab", "ba", 1), ("kitten", "sitting", 3), ("", "abc", 3), ("ca", "abc", 2)])
-def test_swaps(a, b, edits):
-    assert text._swap_distance(a, b) == edits
-
-
 def test_grok_apache_line(spark):
     line = '127.0.0.1 - frank [10/Oct/2000:13:55:36 -0700] "GET /a.gif HTTP/1.0" 200 2326'
     row = grok_extract(spark.createDataFrame([(line,), ("junk",)], "t string"), "t", "%{COMMONAPACHELOG}", ["clientip", "verb", "request", "response", "bytes"]).collect()
