@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import error_band
-from pulseframe.operators.scale import BLOCK_ROWS, MAX_RANGES
+from pulseframe.operators.scale import BLOCK_ROWS, MAX_RANGES, running_sums
 from pulseframe.session import ensure_checkpoint_dir
 
 BROADCAST_SEGMENTS = 100_000
@@ -159,6 +160,36 @@ def band_overlap_join(
     })
 
 
+def band_overlap_counts(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, left_q: float, right_q: float
+) -> DataFrame:
+    """The left rows with ``meets``: how many right bands of the key meet theirs. No pair is made.
+
+    A band meets all that start at or below its upper end, but for those that end below its lower end. Both numbers are
+    running counts over the ends of all bands in order. Equal ends are counted together before they are sorted, and a value is
+    asked for once, so the sums see each of a key's distinct ends once; a key with most of the rows is spread over ranges. A row
+    without a key or a value meets nothing.
+    """
+    usable = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    listed = right.where(usable & F.col(right_value).isNotNull()).groupBy(*keys, F.col(right_value).alias("__v")).agg(F.count("*").alias("__n"))
+    asked = left.where(usable & F.col(left_value).isNotNull()).select(*keys, F.col(left_value).alias("__v")).distinct()
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast(left.schema[left_value].dataType)
+    band, own = error_band(F.col("__v"), right_q), error_band(F.col("__v"), left_q)
+    # At one place: ends that are asked about from above, the ends themselves, ends that are asked about from below.
+    starts = listed.select(*keys, band["lo"].alias("__x"), F.lit(1).alias("__rank"), F.col("__n").alias("__starts"), zero.alias("__ends"))
+    ends = listed.select(*keys, band["hi"].alias("__x"), F.lit(1).alias("__rank"), zero.alias("__starts"), F.col("__n").alias("__ends"))
+    marks = starts.unionByName(ends).groupBy(*keys, "__x", "__rank").agg(F.sum("__starts").alias("__starts"), F.sum("__ends").alias("__ends"))
+    edges = F.explode(F.array(F.struct(own["lo"].alias("x"), F.lit(0).alias("rank")), F.struct(own["hi"].alias("x"), F.lit(2).alias("rank"))))
+    probes = asked.select(*keys, F.col("__v").alias("__asked"), edges.alias("__edge")).select(
+        *keys, F.col("__edge.x").alias("__x"), F.col("__edge.rank").alias("__rank"), zero.alias("__starts"), zero.alias("__ends"), "__asked"
+    )
+    totals = running_sums(marks.withColumn("__asked", none).unionByName(probes), keys, ["__x", "__rank", "__asked"], ["__starts", "__ends"])
+    answers = totals.where(F.col("__rank") != 1).groupBy(*keys, F.col("__asked").alias(left_value)).agg(
+        F.sum(F.when(F.col("__rank") == 2, F.col("__starts")).otherwise(-F.col("__ends"))).alias("meets")
+    )
+    return left.join(answers, [*keys, left_value], "left").select(*left.columns, F.coalesce("meets", zero).alias("meets"))
+
+
 def interval_aggregates(df: DataFrame, keys: Sequence[str], lo: Column, hi: Column) -> DataFrame:
     """Hull, intersection, sum, width and midpoint of the intervals of a key."""
     g = df.select(*keys, lo.alias("__lo"), hi.alias("__hi")).groupBy(*keys).agg(

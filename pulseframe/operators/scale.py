@@ -111,3 +111,20 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, spr
     kept = salted.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= n).drop("__rn", "__salt")
     final = Window.partitionBy(*keys).orderBy(*latest)
     return kept.withColumn("__rn", F.row_number().over(final)).where(F.col("__rn") <= n)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Each of ``values`` becomes its sum over the key's rows up to and with this one, in an order that no two rows of a key share.
+
+    A key with very many rows is spread over ranges of the order: sums run inside a range, and one row a key and range carries
+    what lies before it. The ranges come from a sample, so they are pinned before they are read twice. Keys must not be null.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy(*keys, "__range").agg(*[F.sum(v).alias(f"__of_{v}") for v in values]).select(
+        *keys, "__range", *[F.coalesce(F.sum(f"__of_{v}").over(earlier), F.lit(0)).alias(f"__before_{v}") for v in values]
+    )
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({v: F.sum(v).over(inside) for v in values}).join(carried, [*keys, "__range"])
+    return summed.withColumns({v: F.col(v) + F.col(f"__before_{v}") for v in values}).select(*df.columns)

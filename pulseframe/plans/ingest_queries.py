@@ -6,6 +6,9 @@ the original columns serve as the check.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import (
@@ -14,8 +17,10 @@ from pulseframe.functions.fields import (
 )
 from pulseframe.functions.paths import item_key_path, topic_fanout
 from pulseframe.model import GatewayConfig, internal_telemetry
+from pulseframe.operators.attempts import accepted, rejects, try_filter, try_transform
 from pulseframe.operators.routing import is_typed, keep, merge_enrichment, merge_maps, route, transform_record, typed_values
 from pulseframe.plans.tables import CFG, event_telemetry, micros, table
+from pulseframe.session import scratch_path
 from pulseframe.sources.envelope import parse_envelopes, split_payloads, subscribe, union_sources
 from pulseframe.sources.generator import generate
 from pulseframe.sources.alert_events import parse_alert_events
@@ -247,6 +252,34 @@ def transform_records(spark, d):
     return transform_record(event_telemetry(spark, d), change).select("id", "origin", "data_float", "added")
 
 
+def _attempted(spark, done, name):
+    """Rows taken and rejected per error, from a table that is written once."""
+    path = scratch_path(spark, name)
+    done.write.parquet(path)
+    stored = spark.read.parquet(path)
+    taken = accepted(stored).select("event_id", F.col("value"), F.lit(None).cast("string").alias("error"))
+    return taken.unionByName(rejects(stored).select("event_id", "value", F.substring_index("error", ":", 1).alias("error")))
+
+
+def filter_errors(spark, d):
+    """A user's predicate that divides by a value, which is below one for some events."""
+    events = table(spark, d, "events").select("event_id", "user_id", "value")
+    done = try_filter(events, lambda f: pd.Series([u % int(v) == 0 for u, v in zip(f["user_id"], f["value"], strict=True)]), ["user_id", "value"])
+    return _attempted(spark, done, "filtered")
+
+
+def transform_errors(spark, d):
+    """A user's change that reads JSON, and refuses what is beyond a limit."""
+    def change(frame):
+        k = frame["props"].map(lambda p: json.loads(p)["k"])
+        if (k > 98).any():
+            raise OverflowError("more than a share can be")
+        return pd.DataFrame({"value": frame["value"] * k})
+
+    done = try_transform(table(spark, d, "events").select("event_id", "value", "props"), change, ["value", "props"], {"value": "double"})
+    return _attempted(spark, done, "changed")
+
+
 def merged_enrichment(spark, d):
     rows = merge_enrichment(event_telemetry(spark, d), category=F.lit("a"), rank=F.col("content_type"))
     rows = merge_enrichment(rows, category=F.concat(F.lit("b"), F.col("content_type")), extra=F.lit(1))
@@ -455,6 +488,16 @@ QUERIES = {
         """SELECT event_id::VARCHAR AS id, 'HOST ' || user_id AS origin,
                   CASE WHEN event_type IN ('view', 'purchase') THEN value * 2 END AS data_float, 'here' AS added FROM events""",
     ),
+    "filter_errors": (
+        filter_errors,
+        """SELECT event_id, value, CASE WHEN value < 1 THEN 'ZeroDivisionError' END AS error FROM events
+           WHERE value < 1 OR user_id % floor(value)::BIGINT = 0""",
+    ),
+    "transform_errors": (
+        transform_errors,
+        """SELECT event_id, CASE WHEN k > 98 THEN value ELSE value * k END AS value, CASE WHEN k > 98 THEN 'OverflowError' END AS error
+           FROM (SELECT event_id, value, (props->>'k')::BIGINT AS k FROM events)""",
+    ),
     "deep_merge": (
         deep_merge,
         "SELECT event_id::VARCHAR AS id, 'HOST ' || user_id AS x, event_id::VARCHAR AS y, 2 AS z, 1 AS n FROM events",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseframe.operators.fuzzy import fuzzy_join
-from pulseframe.operators.joins import band_overlap_join, label_by_range_table, label_by_ranges
+from pulseframe.operators.joins import band_overlap_counts, band_overlap_join, label_by_range_table, label_by_ranges
 from pulseframe.plans.tables import table
 
 BANDS = [(0, 10, "low"), (10, 30, "mid"), (25, 45, "high"), (10, 30, "again"), (40, 49, "top")]
@@ -58,6 +58,12 @@ def band_overlap_binned(spark, d):
     return pairs.select("nation", "s_suppkey", "c_custkey", "contains", "interior", "less")
 
 
+def band_overlap_count(spark, d):
+    """How many orders of one status, which is that of half of all orders, are near in price, with tolerances."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return band_overlap_counts(orders, orders, ["o_orderstatus"], "o_totalprice", "o_totalprice", 0.01, 0.05)
+
+
 def fuzzy_names(spark, d):
     """Customer names one edit apart."""
     return fuzzy_join(table(spark, d, "customer"), None, "c_name", None, 1).select(
@@ -141,6 +147,13 @@ QUERIES = {
                   c2.lo < s2.lo AND s2.hi < c2.hi AS interior, s2.lo <= c2.lo AND s2.hi <= c2.hi AS less
            FROM s2 JOIN c2 ON s_nationkey = c_nationkey AND s2.lo <= c2.hi AND c2.lo <= s2.hi""",
     ),
+    "band_overlap_counts": (
+        band_overlap_count,
+        """WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_totalprice * 0.01 / 2 AS h, o_totalprice * 0.05 / 2 AS w FROM orders)
+           SELECT a.o_orderkey, a.o_orderstatus, a.o_totalprice, count(b.o_orderkey) AS meets
+           FROM o a LEFT JOIN o b ON a.o_orderstatus = b.o_orderstatus
+             AND b.o_totalprice - b.w <= a.o_totalprice + a.h AND a.o_totalprice - a.h <= b.o_totalprice + b.w GROUP BY ALL""",
+    ),
     "fuzzy_join": (
         fuzzy_names,
         """WITH n AS (SELECT DISTINCT c_name AS t FROM customer)

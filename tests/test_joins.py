@@ -1,10 +1,13 @@
 """Joins on awkward inputs: open ranges, both plans of a range table, swaps, bands of very different widths."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators import joins
 from pulseframe.operators.routing import merge_enrichment
+from pulseframe.operators.scale import running_sums
 
 INF = float("inf")
 RANGES = [(100.0, INF, "high", 1), (-INF, 0.0, "low", 2), (0.0, 10.0, "some", 3), (5.0, 20.0, "more", 4), (3.0, 3.0, "none", 5)]
@@ -45,3 +48,30 @@ def test_merge_keeps_sibling_fields(spark):
     df = spark.range(1).select(F.struct(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b")).alias("log"), F.lit(3).alias("n")).alias("analytical_data"))
     out = merge_enrichment(df, log=F.struct(F.lit(9).alias("b"), F.lit("x").alias("c"))).first().analytical_data
     assert out.asDict(recursive=True) == {"log": {"a": 1, "b": 9, "c": "x"}, "n": 3}
+
+
+def test_overlap_counts_on_one_hot_key(spark):
+    dice = random.Random(4)
+    price = lambda: dice.choice([0.0, 1.0, 1.005, -7.0, round(dice.uniform(-50, 50), 2)])
+    left = [("hot" if dice.random() < 0.9 else "cold", price()) for _ in range(400)] + [("hot", None), (None, 1.0), ("alone", 1.0)]
+    right = [("hot" if dice.random() < 0.9 else "cold", price()) for _ in range(300)] + [("hot", None), (None, 1.0)]
+    a = spark.createDataFrame([(i, *r) for i, r in enumerate(left)], "i int, k string, x double")
+    b = spark.createDataFrame(right, "k string, y double").repartition(5)
+
+    def band(v, q):
+        return sorted((v - v * q / 2, v + v * q / 2))
+
+    def meet(x, y):
+        return band(x, 0.3)[0] <= band(y, 0.5)[1] and band(y, 0.5)[0] <= band(x, 0.3)[1]
+
+    want = [sum(k is not None and k == j and None not in (x, y) and meet(x, y) for j, y in right) for k, x in left]
+    out = joins.band_overlap_counts(a, b, ["k"], "x", "y", 0.3, 0.5)
+    assert out.columns == ["i", "k", "x", "meets"]
+    assert [r.meets for r in out.orderBy("i").collect()] == want and max(want) > 50
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [("hot", i, i % 7) for i in range(500)] + [("cold", i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, at int, n long").repartition(4)
+    out = running_sums(df, ["k"], ["at"], ["n"])
+    assert {(r.k, r.at): r.n for r in out.collect()} == {(k, i): sum(n for j, at, n in rows if j == k and at <= i) for k, i, _ in rows}
