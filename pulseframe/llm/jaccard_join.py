@@ -460,7 +460,6 @@ def _components(docs: DataFrame) -> DataFrame:
         nodes = nodes_of(sets)
 
     lists = _stored(shared_lists(index_entries(rows, classes, twins)), "lists")
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
@@ -468,17 +467,20 @@ def _components(docs: DataFrame) -> DataFrame:
             data, bounds = spans.text_bytes(chunk.column(1))
             whole = data.tobytes()
             bodies = [compress(whole[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), pa.array(bodies, pa.binary())], names=["doc_id", "check", "packed"])
-
-    packed = rows.mapInArrow(squeeze, f"doc_id {kind}, check long, packed binary")
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(bodies, pa.binary())], names=["node", "packed"])
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        """(node, packed) of the sets in the pairs."""
+        """(node, packed) of the sets in the pairs.
+
+        Which texts are wanted is written first: where Spark then finds that list short enough to broadcast, the other texts
+        stay where they are.
+        """
         needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = needed.join(nodes, "node").select(F.col("least").alias("doc_id"), "check", "node")
-        same = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["check"] == wanted["check"])
+        wanted = _stored(needed.join(nodes, "node").select(F.col("least").alias("doc_id"), "check", "node"), "wanted")
+        same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["check"] == wanted["check"])
+        found = rows.join(wanted, same).select("node", "text").mapInArrow(squeeze, "node long, packed binary")
         # Repeated rows give a node several equal texts; one is enough.
-        return _stored(packed.join(wanted, same).select("node", "packed").dropDuplicates(["node"]), "texts")
+        return _stored(found.dropDuplicates(["node"]), "texts")
 
     led = lists.where("leader <> node and need > 0").select(F.col("leader").alias("a"), F.col("node").alias("b"), "need")
     stars = _stored(frequent(led), "stars")
