@@ -31,8 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 1.5
 CAP = 2.0
 SHARDS = 16
-BLOCKS = 128
-MIN_BLOCK, MAX_BLOCK = 32, 65_536
+BLOCKS = 1_024
+MIN_BLOCK, MAX_BLOCK = 1, 65_536
 #: Pieces of a shard that are sorted apart.
 PARTS = 8
 

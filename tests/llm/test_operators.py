@@ -314,6 +314,13 @@ def test_mixing(small, edge, empty):
     assert +words == +taken
 
 
+def test_small_sources_meet_their_targets(spark):
+    sizes = {"a": 1, "b": 5, "c": 33, "d": 40, "e": 100, "f": 700, "g": 9_000}
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    for r in mixing.mix_documents(df).collect():
+        assert abs(r["taken"] - r["target"]) <= 1 + 0.01 * r["target"], r
+
+
 def test_splitting_tree():
     quotas = [1_000, 3, 0, 250, 7_777]
     out = mixing.split_quotas(quotas, 16, 1)
