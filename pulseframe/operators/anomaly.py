@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import lru_cache
-from math import exp, lgamma, log, sqrt
+from math import exp, lgamma, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.model import ANOMALY_WINDOW, SERIES_LENGTH
+from pulseframe.operators.frames import chosen_values, complete
 from pulseframe.operators.snapshot import recent_sample
+from pulseframe.operators.stl import seasonal
 
 MAD_SCALE = 1.4826
+CHUNK = 1024
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:
@@ -44,11 +47,15 @@ def student_t_quantile(p: float, dof: float) -> float:
     lo, hi = 0.0, 1.0
     cdf = lambda t: 1.0 - 0.5 * _beta_tail(dof / (dof + t * t), dof / 2, 0.5)
     while cdf(hi) < p:
-        hi *= 2
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
-    return (lo + hi) / 2
+        lo, hi = hi, 2 * hi
+    scale = lgamma((dof + 1) / 2) - lgamma(dof / 2) - 0.5 * log(dof * pi)
+    # The distribution is concave here, so Newton steps from below stay below and close in.
+    for _ in range(100):
+        step = (p - cdf(lo)) / exp(scale - (dof + 1) / 2 * log(1 + lo * lo / dof))
+        lo += step
+        if abs(step) <= 1e-13 * lo:
+            break
+    return lo
 
 
 @lru_cache(maxsize=None)
@@ -59,59 +66,77 @@ def _critical(n: int, i: int, alpha: float) -> float:
     return t * (n - i) / sqrt((dof + t * t) * (n - i + 1))
 
 
-def _deseasoned(x: np.ndarray, period: int) -> np.ndarray:
-    """Values without their seasonal part: the median, per phase, around a smooth trend."""
-    half = period // 2
-    trend = np.array([np.median(x[max(0, i - half): i + half + 1]) for i in range(len(x))])
-    phase = np.arange(len(x)) % period
-    season = np.array([np.median((x - trend)[phase == k]) for k in range(period)])
-    return x - (season - season.mean())[phase]
-
-
-def seasonal_esd(values: np.ndarray, period: int, max_share: float = 0.1, alpha: float = 0.05) -> list[int]:
-    """Positions of anomalies: seasonal hybrid ESD with median and MAD. Too short a series has none."""
-    n = len(values)
-    if period < 1 or n < 2 * period or not np.isfinite(values).all():
-        return []
-    left = _deseasoned(values, period) if period > 1 else values.copy()
-    left = left - np.median(left)
-    positions = np.arange(n)
-    taken: list[int] = []
-    count = 0
-    for i in range(1, min(int(n * max_share), n - 3) + 1):
-        centre = np.median(left)
-        spread = MAD_SCALE * np.median(np.abs(left - centre))
-        if spread == 0:
-            break
-        scores = np.abs(left - centre) / spread
-        worst = int(np.argmax(scores))
-        taken.append(int(positions[worst]))
-        if scores[worst] > _critical(n, i, alpha):
-            count = i
-        left, positions = np.delete(left, worst), np.delete(positions, worst)
-    return sorted(taken[:count])
-
-
-def anomaly_column(sample: Column, period: int = ANOMALY_WINDOW) -> Column:
-    """Anomalous values of an array of at most 128 values, in series order."""
+def _middle(ordered: np.ndarray, size: int) -> np.ndarray:
+    """Median of the first ``size`` values of each sorted row, as a column."""
+    return (ordered[:, (size - 1) // 2] + ordered[:, size // 2])[:, None] / 2
+
+
+def _extreme(left: np.ndarray, max_share: float, alpha: float) -> np.ndarray:
+    """Marks of generalised ESD with median and MAD, for rows of one length."""
+    rows, n = left.shape
+    most = max(0, min(int(n * max_share), n - 3))
+    at = np.arange(rows)
+    gone, open_, count = np.zeros(left.shape, dtype=bool), np.ones(rows, dtype=bool), np.zeros(rows, dtype=int)
+    turn = np.full(left.shape, n)
+    # What is left of a row after rounding is no spread.
+    least = 1e-12 * np.abs(left).max(axis=1, initial=0)
+    for i in range(1, most + 1):
+        size = n - i + 1
+        centre = _middle(np.sort(np.where(gone, np.inf, left), axis=1), size)
+        far = np.where(gone, np.inf, np.abs(left - centre))
+        spread = MAD_SCALE * _middle(np.sort(far, axis=1), size)[:, 0]
+        open_ &= spread > least
+        far[gone] = -1.0
+        worst = far.argmax(axis=1)
+        turn[at, worst], gone[at, worst] = i, True
+        beyond = far[at, worst] > _critical(n, i, alpha) * spread
+        count[open_ & beyond] = i
+    return turn <= count[:, None]
+
+
+def anomaly_marks(
+    frames: np.ndarray, lengths: np.ndarray, period: int, max_share: float = 0.1, alpha: float = 0.05, span: int | None = None
+) -> np.ndarray:
+    """Which values of each row (padded behind its length) are anomalies: seasonal hybrid ESD.
+
+    The season comes from a robust STL and is the same in every cycle, unless ``span`` lets it drift. Rows shorter than two
+    periods, or with a missing or infinite value, have none.
+    """
+    marks = np.zeros(frames.shape, dtype=bool)
+    whole = complete(frames, lengths) & (lengths >= 2 * period) if period >= 1 else np.zeros(len(frames), dtype=bool)
+    for n in np.unique(lengths[whole]):
+        rows = np.flatnonzero(whole & (lengths == n))
+        for some in np.array_split(rows, -(-len(rows) // CHUNK)):
+            left = frames[some, :n]
+            if period > 1:
+                left = left - seasonal(left, period, span)
+            marks[some, :n] = _extreme(left - np.median(left, axis=1, keepdims=True), max_share, alpha)
+    return marks
+
+
+def seasonal_esd(values: np.ndarray, period: int, max_share: float = 0.1, alpha: float = 0.05, span: int | None = None) -> list[int]:
+    """Positions of the anomalies of one series."""
+    frames = np.asarray(values, dtype=float)[None, :]
+    return np.flatnonzero(anomaly_marks(frames, np.array([frames.shape[1]]), period, max_share, alpha, span)[0]).tolist()
+
+
+def anomaly_column(sample: Column, period: int = ANOMALY_WINDOW, span: int | None = None) -> Column:
+    """Anomalous values of an array of at most 128 values, in series order; NULL for NULL."""
 
     @F.pandas_udf("array<double>")
     def detect(samples: pd.Series) -> pd.Series:
-        def one(s):
-            values = np.asarray(s, dtype=float)
-            return values[seasonal_esd(values, period)].tolist()
-
-        return samples.map(one)
+        return chosen_values(samples, lambda frames, lengths: anomaly_marks(frames, lengths, period, span=span))
 
     return detect(sample)
 
 
 def anomalies(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, period: int = ANOMALY_WINDOW, n: int = SERIES_LENGTH
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, period: int = ANOMALY_WINDOW, n: int = SERIES_LENGTH,
+    span: int | None = None,
 ) -> DataFrame:
     """(keys, anomalies) of each series' recent buffer."""
     recent = recent_sample(df.withColumn(value, F.col(value).cast("double")), keys, order, value, n)
-    return recent.select(*keys, anomaly_column(F.col("sample"), period).alias("anomalies"))
+    return recent.select(*keys, anomaly_column(F.col("sample"), period, span).alias("anomalies"))
 
 
 def anomalies_mad(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,60 +10,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.model import ANOMALY_WINDOW, BREAKOUT_BETA, SERIES_LENGTH
+from pulseframe.operators.frames import chosen_values, complete
 from pulseframe.operators.snapshot import recent_sample
 
+# Series that share a search: their medians take 128 * 128 * 8 bytes each.
+CHUNK = 256
+
 
 def _segment_medians(z: np.ndarray) -> np.ndarray:
-    """``m[i, j]``: median of ``z[i:j]``."""
-    n = len(z)
-    m = np.full((n + 1, n + 1), np.nan)
+    """``m[i, j]``: median of ``z[i:j]``, for each column of ``z``.
+
+    Values stand for themselves by their rank in the column, which takes a byte. A rank enters all columns' sorted segments at
+    once: behind it each place gets the middle of its two old neighbours and the new rank.
+    """
+    n, columns = z.shape
+    order = z.argsort(axis=0, kind="stable")
+    kind = np.uint8 if n < 255 else np.int32
+    beyond = np.iinfo(kind).max
+    rank = np.empty((n, columns), dtype=kind)
+    np.put_along_axis(rank, order, np.arange(n, dtype=kind)[:, None], axis=0)
+    low, high = np.zeros((2, n, n, columns), dtype=kind)
+    held, fresh = np.empty((2, n + 1, columns), dtype=kind)
     for i in range(n):
-        held: list[float] = []
-        for j in range(i, n):
-            insort(held, z[j])
-            mid = len(held) // 2
-            m[i, j + 1] = held[mid] if len(held) % 2 else (held[mid - 1] + held[mid]) / 2
+        held[:] = beyond
+        for size, new in enumerate(rank[i:], 1):
+            np.minimum(held[:size], new, out=fresh[:size])
+            np.maximum(fresh[1:size], held[:size - 1], out=fresh[1:size])
+            held, fresh = fresh, held
+            held[size] = beyond
+            low[i, i + size - 1], high[i, i + size - 1] = held[(size - 1) // 2], held[size // 2]
+    ordered = np.take_along_axis(z, order, axis=0)
+    m = np.full((n + 1, n + 1, columns), np.nan)
+    for i in range(n):
+        m[i, i + 1:] = (np.take_along_axis(ordered, low[i, i:].astype(np.intp), 0) + np.take_along_axis(ordered, high[i, i:].astype(np.intp), 0)) / 2
     return m
 
 
-def breakpoints(values: np.ndarray, min_size: int = ANOMALY_WINDOW, degree: int = 2, beta: float = BREAKOUT_BETA) -> list[int]:
-    """Start positions of new levels, none for a series too short or constant.
+def _best_breaks(z: np.ndarray, min_size: int, degree: int, beta: float) -> np.ndarray:
+    """``previous[end]``: where the last level of the first ``end`` values starts, 0 for one level; a column per series.
 
-    The best split of every prefix is found from the best splits of shorter ones;
-    each further break must pay a penalty that grows with the breaks before it.
+    The best split of every prefix is found from the best splits of shorter ones; each further break must pay a penalty that
+    grows with the breaks before it.
     """
-    n = len(values)
-    if n < 2 * min_size or not np.isfinite(values).all() or values.max() == values.min():
-        return []
-    z = (values - values.min()) / (values.max() - values.min())
-    med = _segment_medians(z)
-    best, breaks, previous = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int)
+    n, columns = z.shape
+    med, every = _segment_medians(z), np.arange(columns)
+    best, breaks, previous = np.zeros((n + 1, columns)), np.zeros((n + 1, columns)), np.zeros((n + 1, columns), dtype=int)
+    last = med[0].copy()
     for end in range(2 * min_size, n + 1):
-        cuts = np.arange(min_size, end - min_size + 1)
-        start = previous[cuts]
-        weight = (cuts - start) * (end - cuts) / (end - start) ** 2
-        growth = {0: np.ones(len(cuts)), 1: breaks[cuts], 2: 2 * breaks[cuts] + 1}[degree]
-        gain = best[cuts] + weight * (med[start, cuts] - med[cuts, end]) ** 2 - beta * growth
-        top = int(np.argmax(gain))
-        if gain[top] > 0:
-            best[end], breaks[end], previous[end] = gain[top], breaks[cuts[top]] + 1, cuts[top]
-    found, at = [], n
-    while previous[at]:
-        at = int(previous[at])
-        found.append(at)
-    return sorted(found)
+        cuts = slice(min_size, end - min_size + 1)
+        cut, start = np.arange(min_size, end - min_size + 1)[:, None], previous[cuts]
+        weight = (cut - start) * (end - cut) / (end - start) ** 2
+        growth = {0: 1.0, 1: breaks[cuts], 2: 2 * breaks[cuts] + 1}[degree]
+        gain = best[cuts] + weight * (last[cuts] - med[cuts, end]) ** 2 - beta * growth
+        top = gain.argmax(axis=0)
+        most, at = gain[top, every], top + min_size
+        better = most > 0
+        best[end], previous[end] = np.where(better, most, 0), np.where(better, at, 0)
+        breaks[end] = np.where(better, breaks[at, every] + 1, 0)
+        last[end] = np.where(better, med[at, end, every], last[end])
+    return previous
+
+
+def break_marks(
+    frames: np.ndarray, lengths: np.ndarray, min_size: int = ANOMALY_WINDOW, degree: int = 2, beta: float = BREAKOUT_BETA
+) -> np.ndarray:
+    """Which values of each row (padded behind its length) start a new level.
+
+    A row too short for two levels, constant, or with a missing or infinite value has none. The search goes from prefix to
+    prefix, so rows of several lengths share it: what stands behind a row's end does not matter.
+    """
+    marks = np.zeros(frames.shape, dtype=bool)
+    rows = np.flatnonzero(complete(frames, lengths) & (lengths >= 2 * min_size))
+    low, high = (f(frames[rows], axis=1, keepdims=True) if len(rows) else np.empty((0, 1)) for f in (np.nanmin, np.nanmax))
+    rows, low, high = (a[(high > low)[:, 0]] for a in (rows, low, high))
+    order = np.argsort(lengths[rows], kind="stable")
+    for some in np.array_split(order, -(-len(order) // CHUNK)) if len(order) else []:
+        at, size = rows[some], lengths[rows[some]]
+        z = (frames[at, :size.max()] - low[some]) / (high[some] - low[some])
+        previous = _best_breaks(np.ascontiguousarray(np.nan_to_num(z).T), min_size, degree, beta)
+        every, here = np.arange(len(at)), size
+        while (here := previous[here, every]).any():
+            marks[at[here > 0], here[here > 0]] = True
+    return marks
+
+
+def breakpoints(values: np.ndarray, min_size: int = ANOMALY_WINDOW, degree: int = 2, beta: float = BREAKOUT_BETA) -> list[int]:
+    """Start positions of the new levels of one series."""
+    frames = np.asarray(values, dtype=float)[None, :]
+    return np.flatnonzero(break_marks(frames, np.array([frames.shape[1]]), min_size, degree, beta)[0]).tolist()
 
 
 def breakout_column(sample: Column, min_size: int = ANOMALY_WINDOW) -> Column:
-    """Values at the breaks of an array of at most 128 values."""
+    """Values at the breaks of an array of at most 128 values; NULL for NULL."""
 
     @F.pandas_udf("array<double>")
     def detect(samples: pd.Series) -> pd.Series:
-        def one(s):
-            values = np.asarray(s, dtype=float)
-            return values[breakpoints(values, min_size)].tolist()
-
-        return samples.map(one)
+        return chosen_values(samples, lambda frames, lengths: break_marks(frames, lengths, min_size))
 
     return detect(sample)
 

@@ -65,7 +65,13 @@ def _chain(values: list[float], states: int, steps: int, seed: int | None, lates
 def forecast_column(
     sample, states: int = MARKOV_ORDER, steps: int = MARKOV_STEPS, seed: int | None = None, latest: bool = False
 ):
-    """Forecast of an array of at most 128 values, oldest first."""
+    """Forecast of an array of at most 128 values, oldest first.
+
+    A chain that starts before the oldest value has seen each of its first ``states`` states once, so that many steps are
+    the first values themselves, with any seed, and take no Python.
+    """
+    if not latest and steps <= states:
+        return F.slice(sample.cast("array<double>"), 1, steps)
 
     @F.pandas_udf("array<double>")
     def follow(samples: pd.Series) -> pd.Series:
@@ -86,3 +92,39 @@ def markov_forecast(
     """
     recent = recent_sample(df.withColumn(value, F.col(value).cast("double")), keys, order, value, n)
     return recent.select(*keys, forecast_column(F.col("sample"), states, steps, seed, latest).alias("forecast"))
+
+
+def generated(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, states: int = MARKOV_ORDER, steps: int = MARKOV_STEPS,
+    paths: int = 1, seed: int = 0, step: float | None = None, hot_rows: int | None = HOT_ROWS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(keys, path, step, value): values drawn from the transitions of each whole series, ``paths`` ways on from its newest run.
+
+    A successor is drawn in proportion to its count, by a hash of seed, keys, path and step, so reruns agree. A path ends at a
+    run that was never left; a series of fewer than ``states`` values has none. Each step is one join with the counts.
+    """
+    counts = transitions(df, keys, order, value, states, step, hot_rows, block_rows)
+    run = Window.partitionBy(*keys, "state")
+    chances = counts.withColumns({
+        "__upto": F.sum("n").over(run.orderBy("next")), "__total": F.sum("n").over(run),
+    }).checkpoint().select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("state").alias("__from"), "next", "n", "__upto", "__total")
+    x = F.col(value).cast("double")
+    newest = recent_sample(df.withColumn(value, x if step is None else F.floor(x / step) * step), keys, order, value, states)
+    at = newest.where(F.size("sample") == states).select(
+        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(paths - 1).cast("bigint"))).alias("path"), F.col("sample").alias("__run"),
+        F.array().cast("array<double>").alias("__drawn"),
+    )
+    names = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    for number in range(1, steps + 1):
+        dice = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *names, F.col("path").cast("string"), F.lit(str(number)))), 1, 8), 16, 10).cast("bigint")
+        at = at.withColumn("__dice", dice)
+        draw = F.col("__dice") % F.col("__total")
+        met = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__run") == F.col("__from")]
+        drawn = at.join(chances, [*met, draw >= F.col("__upto") - F.col("n"), draw < F.col("__upto")], "left")
+        moved = F.col("next").isNotNull()
+        at = drawn.select(
+            *keys, "path", F.when(moved, F.concat(F.slice("__run", 2, states), F.array("next"))).alias("__run"),
+            F.when(moved, F.concat("__drawn", F.array("next"))).otherwise(F.col("__drawn")).alias("__drawn"),
+        )
+    found = at.select(*keys, "path", F.posexplode("__drawn").alias("step", "value"))
+    return found.withColumn("step", (F.col("step") + 1).cast("bigint"))

@@ -189,6 +189,11 @@ def markov_forecast(spark, d):
     return steps.withColumn("step", F.col("step").cast("bigint"))
 
 
+def markov_generated(spark, d):
+    """Four ways on from the newest values of each series, eight steps each."""
+    return markov.generated(table(spark, d, "events"), SERIES, ORDER, "value", states=2, paths=4, seed=7, step=25.0)
+
+
 def anomalies(spark, d):
     found = anomaly.anomalies(table(spark, d, "events"), SERIES, ORDER, "value")
     return found.select("event_type", F.posexplode_outer("anomalies").alias("pos", "value"))
@@ -212,6 +217,23 @@ def anomalies_planted(spark, d):
     return found.select("series", F.explode("anomalies").alias("value")).withColumn("value", F.round("value", 6))
 
 
+def anomalies_drifting(spark, d):
+    """A season whose shape changes from cycle to cycle, with one value out of place: it is found and nothing else."""
+    p = F.col("p")
+    rising, falling = F.when(p % 7 == 3, 10 + p * 0.5).otherwise(0.0), F.when(p % 7 == 5, 80 - p * 0.5).otherwise(0.0)
+    odd = F.when(p == 59, 40.0).otherwise(0.0)
+    found = anomaly.anomalies(_planted(spark, d, rising + falling + odd), ["series"], ["event_id"], "value", span=7)
+    return found.select("series", F.explode("anomalies").alias("value")).withColumn("value", F.round("value", 6))
+
+
+def breakouts_multiple(spark, d):
+    """Three changes of level in each series: the first value of each new level is found and nothing else."""
+    p = F.col("p")
+    level = F.when(p >= 96, 15.0).when(p >= 64, 5.0 - F.col("series") % 2).when(p >= 32, 10.0 + F.col("series") % 3).otherwise(0.0)
+    found = breakout.breakouts(_planted(spark, d, level), ["series"], ["event_id"], "value")
+    return found.select("series", F.explode("breakouts").alias("value")).withColumn("value", F.round("value", 6))
+
+
 def breakouts_planted(spark, d):
     """One change of level in the middle of each series: the first value of the new level is found and nothing else."""
     level = F.when(F.col("p") >= 64, 10.0 + F.col("series") % 3).otherwise(0.0)
@@ -368,6 +390,24 @@ QUERIES = {
                WINDOW s AS (PARTITION BY event_type ORDER BY ts, event_id))
            WHERE s1 IS NOT NULL GROUP BY ALL""",
     ),
+    "markov_generated": (
+        markov_generated,
+        """WITH RECURSIVE r AS (
+               SELECT event_type, lag(q, 2) OVER s AS s1, lag(q) OVER s AS s2, q,
+                      row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn
+               FROM (SELECT *, floor(value / 25.0) * 25.0 AS q FROM events)
+               WINDOW s AS (PARTITION BY event_type ORDER BY ts, event_id)),
+           c AS (
+               SELECT *, sum(n) OVER (PARTITION BY event_type, s1, s2 ORDER BY q) AS upto, sum(n) OVER (PARTITION BY event_type, s1, s2) AS total
+               FROM (SELECT event_type, s1, s2, q, count(*) AS n FROM r WHERE s1 IS NOT NULL GROUP BY ALL)),
+           p AS (
+               SELECT event_type, path, 0 AS step, s2 AS s1, q AS s2 FROM r, range(4) t(path) WHERE rn = 1
+               UNION ALL
+               SELECT p.event_type, path, step + 1, p.s2, c.q FROM p JOIN c USING (event_type, s1, s2)
+               WHERE step < 8 AND ('0x' || left(md5(concat_ws('|', 7, p.event_type, path, step + 1)), 8))::BIGINT % total >= upto - n
+                 AND ('0x' || left(md5(concat_ws('|', 7, p.event_type, path, step + 1)), 8))::BIGINT % total < upto)
+           SELECT event_type, path, step::BIGINT AS step, s2 AS value FROM p WHERE step > 0""",
+    ),
     # From its start, a chain of order 8 can only repeat the first 8 values: each of its states was seen once.
     "markov_forecast": (
         markov_forecast,
@@ -382,6 +422,19 @@ QUERIES = {
                SELECT event_id // 128 AS series, event_id % 128 AS p, event_id FROM events)
            WHERE p = 40 + series % 20 AND series < (SELECT (max(event_id) + 1) // 128 FROM events)""",
     ),
+    "anomalies_drifting": (
+        anomalies_drifting,
+        """SELECT series, round(10.0 + p * 0.5 + 40.0 + event_id * 37 % 11 / 100, 6)::DOUBLE AS value FROM (
+               SELECT event_id // 128 AS series, event_id % 128 AS p, event_id FROM events)
+           WHERE p = 59 AND series < (SELECT (max(event_id) + 1) // 128 FROM events)""",
+    ),
+    "breakouts_multiple": (
+        breakouts_multiple,
+        """SELECT series, round(CASE p WHEN 32 THEN 10.0 + series % 3 WHEN 64 THEN 5.0 - series % 2 ELSE 15.0 END
+                                + event_id * 37 % 11 / 100, 6)::DOUBLE AS value FROM (
+               SELECT event_id // 128 AS series, event_id % 128 AS p, event_id FROM events)
+           WHERE p IN (32, 64, 96) AND series < (SELECT (max(event_id) + 1) // 128 FROM events)""",
+    ),
     "breakouts_planted": (
         breakouts_planted,
         """SELECT series, round(10.0 + series % 3 + event_id * 37 % 11 / 100, 6)::DOUBLE AS value FROM (

@@ -9,7 +9,7 @@ from pulseframe.operators.alerts import alert_pairs, alerts_to_telemetry
 from pulseframe.operators.bayes import train
 from pulseframe.plans.gateway import gateway
 from pulseframe.plans.series_queries import ALERT_ORDER, ALERT_PAIRS_SQL, alert_events
-from pulseframe.plans.tables import CFG, event_telemetry, table
+from pulseframe.plans.tables import CFG, event_telemetry, path_sum, table
 from pulseframe.session import scratch_path
 from pulseframe.sinks.shapes import (
     dropped_counts, influx_lines, json_lines, mqtt_messages, multi_topic, sender_payloads, statsd_gauges, table_rows,
@@ -115,14 +115,12 @@ def gateway_scripted(spark, d):
 
 def gateway_full_record(spark, d):
     """Every record with all fourteen attributes, forecasts, anomalies and breakouts of its buffer included."""
-    raw = table(spark, d, "events").where("event_type in ('view', 'purchase')").withColumn("event_type", F.col("event_type"))
-    rows = event_telemetry(spark, d, raw=raw).withColumn("topic", F.concat("topic", F.lit("/"), "origin"))
+    rows = event_telemetry(spark, d).withColumn("topic", F.concat("topic", F.lit("/"), "origin"))
     done = gateway(rows, GatewayConfig(analysis=True), per_record=True)
     a = F.col("analytical_data")
     return done.select(
         F.col("id").cast("bigint").alias("id"), a["n_of_samples"].alias("n"), F.round(a["mean"], 9).alias("mean"),
-        F.size(a["markov_chain_forecast"]).cast("bigint").alias("steps"), a["markov_chain_forecast"][0].alias("first_step"),
-        (F.size(a["anomalies"]) <= a["n_of_samples"] / 10).alias("few_anomalies"),
+        F.size(a["markov_chain_forecast"]).cast("bigint").alias("steps"), path_sum(a["markov_chain_forecast"]).alias("path_sum"),
     )
 
 
@@ -203,9 +201,10 @@ QUERIES = {
     ),
     "gateway_full_record": (
         gateway_full_record,
-        """SELECT event_id AS id, count(*) OVER w AS n, round(avg(value) OVER w, 9) AS mean, least(8, count(*) OVER w) AS steps,
-                  first_value(value) OVER w AS first_step, true AS few_anomalies
-           FROM events WHERE event_type IN ('view', 'purchase')
+        """SELECT event_id AS id, CASE WHEN f THEN count(*) OVER w END AS n, CASE WHEN f THEN round(avg(value) OVER w, 9) END AS mean,
+                  CASE WHEN f THEN least(8, count(*) OVER w) END AS steps,
+                  CASE WHEN f THEN round(list_sum(list_transform((list(value) OVER w)[1:8], lambda x, i: x * i)), 6) END AS path_sum
+           FROM (SELECT *, event_type IN ('view', 'purchase') AS f FROM events)
            WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)""",
     ),
     "alert_envelopes": (

@@ -9,14 +9,15 @@ from pulseframe.plans.ingest_queries import INGEST_SQL, item_dimension, raw_enve
 from pulseframe.model import LOG_CONTENT
 from pulseframe.operators.bayes import train
 from pulseframe.plans.series_queries import ALERT_PAIRS_SQL, NEWEST, ROLLING_SQL, ROUNDED, _round
-from pulseframe.plans.tables import CFG, event_telemetry, micros, table
+from pulseframe.plans.tables import CFG, event_telemetry, micros, path_sum, table
 from pulseframe.sinks.shapes import table_rows
 from pulseframe.sources.envelope import parse_envelopes
 from pulseframe.sources.history import RefreshedTable, lookup_items
 from pulseframe.sources.training import labelled
 from pulseframe.session import scratch_path
 from pulseframe.streaming.jobs import (
-    alert_stream, analyse_stream, batch_sink, latest_state, read_table_stream, rolling_stream, run_gateway_stream, run_once, value_stream,
+    alert_stream, analyse_stream, batch_sink, current_state, read_table_stream, rolling_stream, run_gateway_stream, run_once, run_to_table,
+    value_stream,
 )
 
 
@@ -55,7 +56,9 @@ def stream_rolling_stats(spark, d):
 
 def stream_metric_last(spark, d):
     keyed = _events(spark, d).select(F.col("event_type").alias("key"), "event_id", "at", F.col("props").alias("value"))
-    return latest_state(run_once(value_stream(keyed), "values")).select("key", "last", F.size("sample").cast("bigint").alias("samples"))
+    base = scratch_path(spark, "values")
+    run_to_table(value_stream(keyed), f"{base}/table", f"{base}/checkpoint")
+    return current_state(spark, f"{base}/checkpoint").select("key", "last", F.size("sample").cast("bigint").alias("samples"))
 
 
 def stream_alert_pairs(spark, d):
@@ -116,8 +119,32 @@ def stream_gateway_analysis(spark, d):
     done = spark.read.parquet(f"{base}/out")
     return done.select(
         F.col("id").cast("bigint").alias("id"), "content_type", F.col("n_of_samples").alias("n"), F.round("mean", 9).alias("mean"),
-        F.size("markov_chain_forecast").cast("bigint").alias("steps"), F.col("markov_chain_forecast")[0].alias("first_step"),
-        (F.size("anomalies") * 10 <= F.col("n_of_samples")).alias("few_anomalies"), F.col("category").isNotNull().alias("categorised"),
+        F.size("markov_chain_forecast").cast("bigint").alias("steps"), path_sum(F.col("markov_chain_forecast")).alias("path_sum"),
+        F.col("category").isNotNull().alias("categorised"),
+    )
+
+
+def stream_planted_analysis(spark, d):
+    """Series of 128 events of all types in several micro-batches: arrays of anomalies and breakouts as they are known.
+
+    Even series have a weekly season with one spike, odd ones one change of level. The last series may be shorter.
+    """
+    base, cfg = scratch_path(spark, "planted"), CFG
+    series, p = F.floor(F.col("event_id") / 128), F.col("event_id") % 128
+    season = p % 7 * 10.0 + F.when(p == 40 + series % 20, 50.0).otherwise(0.0)
+    level = F.when(p >= 64, 10.0 + series % 3).otherwise(0.0)
+    value = F.when(series % 2 == 0, season).otherwise(level) + (F.col("event_id") * 37 % 11) / 100
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), series.cast("string").alias("topic"), F.col("event_id").alias("event_ns"), value.alias("data_float")
+    )
+    _land(rows, "event_ns", f"{base}/in")
+    stream = read_table_stream(spark, f"{base}/in", "*.parquet", rows.schema, files_per_batch=1)
+    done = run_to_table(analyse_stream(stream, cfg), f"{base}/out", f"{base}/checkpoint")
+    whole, even = F.col("id") % 128 == 127, F.floor(F.col("id") / 128) % 2 == 0
+    met = F.when(whole & even, F.col("anomalies")).when(whole, F.col("breakouts"))
+    return done.select(
+        "id", F.col("n_of_samples").alias("n"), F.size(F.when(whole, met)).cast("bigint").alias("found"), F.round(met[0], 6).alias("first_found"),
+        path_sum(F.col("markov_chain_forecast")).alias("path_sum"),
     )
 
 
@@ -126,11 +153,23 @@ QUERIES = {
         stream_gateway_analysis,
         """SELECT event_id AS id, CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 3 WHEN 'signup' THEN 10 ELSE 0 END AS content_type,
                   CASE WHEN f THEN count(*) OVER w END AS n, CASE WHEN f THEN round(avg(value) OVER w, 9) END AS mean,
-                  CASE WHEN f THEN least(8, count(*) OVER w) END AS steps, CASE WHEN f THEN first_value(value) OVER w END AS first_step,
-                  CASE WHEN f THEN true END AS few_anomalies, event_type = 'error' AS categorised
+                  CASE WHEN f THEN least(8, count(*) OVER w) END AS steps,
+                  CASE WHEN f THEN round(list_sum(list_transform((list(value) OVER w)[1:8], lambda x, i: x * i)), 6) END AS path_sum,
+                  event_type = 'error' AS categorised
            FROM (SELECT *, event_type IN ('view', 'purchase') AS f FROM events)
            WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)""",
     ),
+    "stream_planted_analysis": (
+        stream_planted_analysis,
+        """SELECT event_id AS id, p + 1 AS n, CASE WHEN p = 127 THEN 1 END AS found,
+                  CASE WHEN p = 127 THEN round(max(CASE WHEN p = hit THEN value END) OVER s, 6) END AS first_found,
+                  round(list_sum(list_transform((list(value) OVER s)[1:8], lambda x, i: x * i)), 6) AS path_sum
+           FROM (SELECT *, CASE WHEN series % 2 = 0 THEN 40 + series % 20 ELSE 64 END AS hit,
+                        (CASE WHEN series % 2 = 0 THEN p % 7 * 10.0 + CASE WHEN p = 40 + series % 20 THEN 50.0 ELSE 0.0 END
+                              WHEN p >= 64 THEN 10.0 + series % 3 ELSE 0.0 END)::DOUBLE + (event_id * 37 % 11)::DOUBLE / 100 AS value
+                 FROM (SELECT event_id, event_id // 128 AS series, event_id % 128 AS p FROM events))
+           WINDOW s AS (PARTITION BY series ORDER BY p)""",
+    ),
     "stream_rolling_stats": (stream_rolling_stats, ROLLING_SQL),
     "stream_metric_last": (
         stream_metric_last,

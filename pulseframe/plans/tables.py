@@ -42,3 +42,9 @@ def event_telemetry(spark: SparkSession, folder: str, cfg: GatewayConfig = CFG,
         content_type=content, data=data, properties=props, event_ns=micros() * 1000,
         data_float=F.when(kind.isin("view", "purchase"), F.col("value")),
     )
+
+
+def path_sum(values):
+    """Sum of an array's values times their places, in which each value and its place count."""
+    at_place = F.transform(values, lambda x, i: x * (i + 1))
+    return F.round(F.aggregate(at_place, F.lit(0.0), lambda total, x: total + x), 6)

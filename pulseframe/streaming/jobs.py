@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from pulseframe.model import FORECAST_PERIOD, MARKOV_ORDER, MARKOV_STEPS, SERIES_LENGTH, GatewayConfig
-from pulseframe.operators.anomaly import seasonal_esd
-from pulseframe.operators.breakout import breakpoints
-from pulseframe.operators.markov import _chain
+from pulseframe.model import FORECAST_PERIOD, SERIES_LENGTH, GatewayConfig
+from pulseframe.operators.anomaly import anomaly_marks
+from pulseframe.operators.breakout import break_marks
+from pulseframe.operators.frames import padded
+from pulseframe.operators.markov import forecast_column
 from pulseframe.operators.rolling import STATISTICS, _line_weights
 from pulseframe.session import STATE_STORE_PROVIDER, scratch_path
 
@@ -35,10 +36,8 @@ ALERT_OUTPUT = T.StructType([
 ])
 
 
-def _statistics_of(values: np.ndarray, first: int) -> dict[str, np.ndarray]:
-    """Statistics of the last 128 values at each position from ``first`` on."""
-    padded = np.concatenate([np.full(SERIES_LENGTH - 1, np.nan), values])
-    frames = np.lib.stride_tricks.sliding_window_view(padded, SERIES_LENGTH)[first:]
+def _frame_statistics(frames: np.ndarray) -> dict[str, np.ndarray]:
+    """Statistics of each row of values, NaN where there is none."""
     parts = []
     for at in range(0, len(frames), 4096):
         w = frames[at:at + 4096]
@@ -56,6 +55,12 @@ def _statistics_of(values: np.ndarray, first: int) -> dict[str, np.ndarray]:
     return dict(zip(STATISTICS, np.vstack(parts).T))
 
 
+def _statistics_of(values: np.ndarray, first: int) -> dict[str, np.ndarray]:
+    """Statistics of the last 128 values at each position from ``first`` on."""
+    ahead = np.concatenate([np.full(SERIES_LENGTH - 1, np.nan), values])
+    return _frame_statistics(np.lib.stride_tricks.sliding_window_view(ahead, SERIES_LENGTH)[first:])
+
+
 def _line_ahead_of(values: np.ndarray) -> np.ndarray:
     """Line forecast made at each position, NaN before there are enough values."""
     out = np.full(len(values), np.nan)
@@ -116,25 +121,61 @@ ANALYSIS = T.StructType([
 ])
 
 
-class AnalysisState(RollingState):
-    """Every record of a key with all attributes of its last 128 values; a record's own columns come back as they are."""
+class BufferState(_Keyed):
+    """Every record of a key as it is, with the last 128 values up to it."""
+
+    STATE = RollingState.STATE
 
-    def __init__(self, value: str, order: list[str], columns: list[str], window: int) -> None:
-        self.value, self.order, self.columns, self.window = value, order, columns, window
+    def __init__(self, value: str, order: list[str]) -> None:
+        self.value, self.order = value, order
 
     def handleInputRows(self, key, rows, timerValues):
+        held = list(self.state.get()[0]) if self.state.exists() else []
         taken = self._rows(rows, self.order)
-        held = len(self.state.get()[0]) if self.state.exists() else 0
-        before = list(self.state.get()[0]) if held else []
-        plain = pd.DataFrame({"at": range(len(taken)), "event_id": range(len(taken)), "value": taken[self.value].to_numpy(dtype=float)})
-        done = next(super().handleInputRows(key, iter([plain]), timerValues)).drop(columns=["key", "event_id"])
-        values = np.array([*before, *plain["value"]], dtype=float)
-        last = [values[max(0, held + i + 1 - SERIES_LENGTH) : held + i + 1] for i in range(len(taken))]
-        done["markov_chain_forecast"] = [_chain(v.tolist(), MARKOV_ORDER, MARKOV_STEPS, None, False) for v in last]
-        done["anomalies"] = [v[seasonal_esd(v, self.window)].tolist() for v in last]
-        done["breakouts"] = [v[breakpoints(v, self.window)].tolist() for v in last]
-        record = taken[self.columns].reset_index(drop=True)
-        yield pd.concat([record, done.reset_index(drop=True)], axis=1)[[*self.columns, *ANALYSIS.names]]
+        values = np.array([*held, *taken[self.value]], dtype=float)
+        self.state.update((values[-SERIES_LENGTH:].tolist(),))
+        ends = range(len(held) + 1, len(values) + 1)
+        yield taken.assign(**{BUFFER: [values[max(0, end - SERIES_LENGTH):end] for end in ends]})
+
+
+BUFFER = "__buffer"
+
+
+def _attributes(window: int, column):
+    """The attributes of ``ANALYSIS`` but the Markov forecast, from arrays of at most 128 values, oldest first.
+
+    The records of all keys in an Arrow batch are handled together.
+    """
+    fields = [f for f in ANALYSIS.fields if f.name != "markov_chain_forecast"]
+    weights = np.array(_line_weights(FORECAST_PERIOD)[::-1])
+
+    def line(frames: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Line forecast from the values before each end, NaN where there are too few."""
+        places = ends[:, None] + np.arange(-FORECAST_PERIOD, 0)
+        if frames.shape[1] < FORECAST_PERIOD:
+            return np.full(len(frames), np.nan)
+        met = np.take_along_axis(frames, np.maximum(places, 0), axis=1) @ weights
+        return np.where(ends >= FORECAST_PERIOD, met, np.nan)
+
+    @F.pandas_udf(T.StructType(fields))
+    def attributes(buffers: pd.Series) -> pd.DataFrame:
+        frames, lengths = padded(list(buffers))
+        if not len(frames):
+            return pd.DataFrame({f.name: [] for f in fields})
+        newest = frames[np.arange(len(frames)), lengths - 1]
+        ahead, before = line(frames, lengths), line(frames, lengths - 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            error = np.where(newest == 0, np.nan, 100.0 * (newest - before) / newest)
+        out = pd.DataFrame({
+            **_frame_statistics(frames), "tsf_next": np.where(np.isnan(ahead), newest, ahead),
+            "statistical_oscillator": np.where(np.isnan(before), newest, error),
+        })
+        out["n_of_samples"] = out["n_of_samples"].astype("int64")
+        for name, marks in (("anomalies", anomaly_marks(frames, lengths, window)), ("breakouts", break_marks(frames, lengths, window))):
+            out[name] = pd.Series([f[m] for f, m in zip(frames, marks)], dtype=object)
+        return out[[f.name for f in fields]]
+
+    return attributes(column)
 
 
 class ValueState(_Keyed):
@@ -190,11 +231,17 @@ def analyse_stream(df: DataFrame, cfg: GatewayConfig) -> DataFrame:
     carry it as JSON text). The state per topic is its last 128 values; within a micro-batch, records count in event order.
     """
     floats = df.where(F.col("data_float").isNotNull())
-    output = T.StructType([*df.schema.fields, *ANALYSIS.fields])
-    state = AnalysisState("data_float", ["event_ns", "id"], df.columns, cfg.anomalies_window)
+    output = T.StructType([*df.schema.fields, T.StructField(BUFFER, T.ArrayType(T.DoubleType()))])
+    held = _stateful(floats, "topic", BufferState("data_float", ["event_ns", "id"]), output)
+    done = held.withColumn("__found", _attributes(cfg.anomalies_window, F.col(BUFFER))).select(
+        *df.columns, *[
+            (forecast_column(F.col(BUFFER)) if f.name == "markov_chain_forecast" else F.col("__found")[f.name]).alias(f.name)
+            for f in ANALYSIS.fields
+        ]
+    )
     rest = df.where(F.col("data_float").isNull())
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in ANALYSIS.fields]
-    return _stateful(floats, "topic", state, output).unionByName(rest.select(*df.columns, *nothing))
+    return done.unionByName(rest.select(*df.columns, *nothing))
 
 
 def value_stream(df: DataFrame) -> DataFrame:
@@ -253,7 +300,12 @@ def run_gateway_stream(
     batch operators may be used; state across batches needs the keyed streams.
     """
     def handle(batch: DataFrame, number: int) -> None:
-        sink(stages(batch), number)
+        # Stages may read their input several times; without this, each time would run the keyed state again.
+        held = batch.persist()
+        try:
+            sink(stages(held), number)
+        finally:
+            held.unpersist()
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseframe.operators import alerts, anomaly, breakout, dedup, joins, markov, scale
+from pulseframe.operators import alerts, anomaly, breakout, dedup, frames, joins, markov, scale, stl
 from test_fuzzy import edits
 
 
@@ -40,9 +40,10 @@ def test_two_level_shifts():
 
 
 def test_segment_medians_by_brute_force():
-    z = np.array([random.Random(5).random() for _ in range(20)])
+    dice = random.Random(5)
+    z = np.array([[dice.random(), dice.randrange(3), 1.0] for _ in range(20)])
     m = breakout._segment_medians(z)
-    assert all(m[i, j] == pytest.approx(np.median(z[i:j])) for i in range(20) for j in range(i + 1, 21))
+    assert all((m[i, j] == np.median(z[i:j], axis=0)).all() for i in range(20) for j in range(i + 1, 21))
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -66,6 +67,104 @@ def test_breakpoints_by_trying_all(seed):
     assert breakout.breakpoints(values) == want
 
 
+def test_breaks_of_many_series_are_those_of_each():
+    """Series of several lengths, too short, constant, empty and broken ones share one search."""
+    dice = random.Random(11)
+    rows = [[dice.gauss(i // 15 % 3, 0.3) for i in range(n)] for n in (0, 5, 14, 40, 77, 128, 300)]
+    rows += [[1.0] * 30, [1.0, float("nan")] * 20, None, [dice.choice([0.0, 5.0]) for _ in range(60)]]
+    values, lengths = frames.padded(rows)
+    found = breakout.break_marks(values, lengths)
+    alone = [np.array(r if r is not None else []) for r in rows]
+    assert [np.flatnonzero(m).tolist() for m in found] == [breakout.breakpoints(v) for v in alone]
+    assert not found[[0, 1, 7, 8, 9]].any() and found[[4, 5]].any()
+
+
+def plain_local_line(x, y, at, span, degree, rho):
+    """Local regression at one place by least squares."""
+    far = np.abs(x - at)
+    reach = np.sort(far)[min(span, len(x)) - 1] + max(0, span - len(x)) // 2
+    share = far / reach
+    weight = rho * np.where(share <= 0.001, 1, np.where(share <= 0.999, (1 - np.minimum(share, 1) ** 3) ** 3, 0))
+    return np.polynomial.polynomial.polyfit(x - at, y, degree, w=np.sqrt(weight))[0]
+
+
+@pytest.mark.parametrize("span, degree, ahead", [(5, 1, 0), (9, 1, 1), (31, 0, 1), (7, 0, 0)])
+def test_loess_by_least_squares(span, degree, ahead):
+    dice = np.random.default_rng(3)
+    y, rho = dice.normal(size=(3, 20)), dice.uniform(0.2, 1, size=(3, 20))
+    found = stl.loess(y, span, degree, rho, ahead)
+    x = np.arange(20.0)
+    want = [[plain_local_line(x, row, at, span, degree, r) for at in range(-ahead, 20 + ahead)] for row, r in zip(y, rho)]
+    assert np.allclose(found, want)
+
+
+def test_season_is_found_around_a_trend_and_outliers():
+    at = np.arange(84)
+    season = np.array([3.0, -1, 0, 2, -4, 1, -1])[at % 7]
+    rows = np.stack([season + 0.2 * at, season - 5 + 30.0 * (at == 40)]) + np.random.default_rng(2).normal(size=(2, 84)) * 0.1
+    assert np.abs(stl.seasonal(rows, 7) - season).max() < 0.1
+    assert np.abs(stl.seasonal(rows, 7, rounds=0) - season).max() > 1
+
+
+def plain_esd(left, share, alpha):
+    """Generalised ESD with median and MAD, value by value."""
+    left, held, taken, count = left - np.median(left), list(range(len(left))), [], 0
+    for i in range(1, min(int(len(left) * share), len(left) - 3) + 1):
+        now = left[held]
+        spread = 1.4826 * np.median(np.abs(now - np.median(now)))
+        if spread == 0:
+            break
+        scores = np.abs(now - np.median(now)) / spread
+        worst = int(np.argmax(scores))
+        taken.append(held.pop(worst))
+        count = i if scores[worst] > anomaly._critical(len(left), i, alpha) else count
+    return sorted(taken[:count])
+
+
+def test_anomalies_of_many_series_are_those_of_each():
+    dice = np.random.default_rng(4)
+    rows = [dice.standard_t(2, size=n) for n in (3, 14, 30, 30, 77, 128)] + [np.round(dice.normal(size=50)), np.ones(40), np.empty(0)]
+    values, lengths = frames.padded(rows)
+    assert [np.flatnonzero(m).tolist() for m in anomaly.anomaly_marks(values, lengths, 1)] == [plain_esd(r, 0.1, 0.05) if len(r) > 1 else [] for r in rows]
+    whole = [np.flatnonzero(m).tolist() for m in anomaly.anomaly_marks(values, lengths, 7)]
+    want = [plain_esd(r - stl.seasonal(r[None, :], 7)[0], 0.1, 0.05) if len(r) >= 14 else [] for r in rows[:6]]
+    assert whole[:6] == want and any(want) and whole[7:] == [[], []]
+
+
+def test_a_drifting_season_needs_a_span():
+    at = np.arange(128)
+    values = np.where(at % 7 == 3, 10 + at * 0.5, 0) + np.where(at % 7 == 5, 80 - at * 0.5, 0) + (at * 37 % 11) / 100 + 40.0 * (at == 59)
+    assert anomaly.seasonal_esd(values, 7, span=7) == [59]
+    assert anomaly.seasonal_esd(values, 7) != [59]
+
+
+def test_arrays_that_are_missing_or_empty(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [None] * 20), (4, [1.0] * 20)], "k int, s array<double>")
+    found = df.select("k", anomaly.anomaly_column(F.col("s")).alias("a"), breakout.breakout_column(F.col("s")).alias("b"), markov.forecast_column(F.col("s")).alias("m"))
+    assert [tuple(r) for r in found.orderBy("k").collect()] == [
+        (1, None, None, None), (2, [], [], []), (3, [], [], [None] * 8), (4, [], [], [1.0] * 8)]
+
+
+def test_generated_paths_follow_the_counts(spark):
+    """A cycle is followed, a fork is taken in proportion, an unseen run ends a path, short and missing keys do no harm."""
+    rows = [("cycle", i, float(i % 3)) for i in range(30)] + [(None, i, float(i % 2)) for i in range(9)] + [("short", 0, 1.0)]
+    rows += [("end", i, float(i)) for i in range(6)]
+    dice = random.Random(9)
+    fork = [0.0]
+    for _ in range(4000):
+        fork.append(0.0 if fork[-1] else (1.0 if dice.random() < 0.25 else 2.0))
+    rows += [("fork", i, x) for i, x in enumerate([*fork, 0.0] if fork[-1] else fork)]
+    df = spark.createDataFrame(rows, "k string, i bigint, x double")
+    run = lambda: markov.generated(df, ["k"], ["i"], "x", states=1, steps=3, paths=400, seed=5)
+    found = sorted(map(tuple, run().collect()), key=str)
+    by = lambda k, step: [v for key, _, s, v in found if key == k and s == step]
+    assert by("cycle", 1) == [0.0] * 400 and by("cycle", 2) == [1.0] * 400 and by(None, 1) == [1.0] * 400
+    assert not by("short", 1) and not by("end", 1)
+    share = by("fork", 1).count(1.0) / 400
+    assert len(by("fork", 1)) == 400 and 0.17 < share < 0.33 and by("fork", 2) == [0.0] * 400
+    assert found == sorted(map(tuple, run().collect()), key=str)
+
+
 def test_detectors_over_a_table(spark):
     noise = random.Random(6)
     rows = [("shift", i, noise.gauss(0 if i < 64 else 10, 0.1)) for i in range(128)]
