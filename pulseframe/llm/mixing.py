@@ -136,22 +136,41 @@ def plan_mix(sizes: DataFrame, shards: int = SHARDS, seed: int = 11, weights: tu
     ]
 
 
-def runs_of(start: int, size: int, mix: Mix) -> list[tuple[int, int, int, int, int]]:
-    """(round, from_word, to_word, shard, place) of the pieces taken of a document that stands at ``start`` of its source."""
-    if not size:
-        return []
-    block = np.arange(start // mix.block, (start + size - 1) // mix.block + 1)
-    begin = np.maximum(block * mix.block, start) - start
-    end = np.minimum((block + 1) * mix.block, start + size) - start
-    out = []
+def runs_of(start: np.ndarray, size: np.ndarray, mix: Mix) -> list[list[tuple[int, int, int, int, int]]]:
+    """(round, from_word, to_word, shard, place) of the pieces taken of each document, which stand at ``start`` of one source."""
+    out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in start]
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    start, size = start[full], size[full]
+    low = start // mix.block
+    count = (start + size - 1) // mix.block + 1 - low
+    doc, first = np.repeat(np.arange(len(full)), count), np.cumsum(count) - count
+    block = low[doc] + np.arange(len(doc)) - first[doc]
+    begin = np.maximum(block * mix.block, start[doc]) - start[doc]
+    end = np.minimum((block + 1) * mix.block, start[doc] + size[doc]) - start[doc]
+    opens, closes = np.zeros((2, len(doc)), dtype=bool)
+    opens[first], closes[first + count - 1] = True, True
     for turn in range(-(-mix.draws // mix.blocks)):
-        rank = permuted(block, mix.blocks, mix.key * 97 + turn)
-        draw = turn * mix.blocks + rank
+        draw = turn * mix.blocks + permuted(block, mix.blocks, mix.key * 97 + turn)
         taken = draw < mix.draws
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], taken, [False]]).astype(np.int8)))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            shard = int(np.searchsorted(mix.shard_ends, draw[a], "right"))
-            out.append((turn, int(begin[a]), int(end[b - 1]), shard, int(draw[a])))
+        a = np.flatnonzero(taken & (opens | ~np.concatenate([[False], taken[:-1]])))
+        b = np.flatnonzero(taken & (closes | ~np.concatenate([taken[1:], [False]])))
+        shard = np.searchsorted(mix.shard_ends, draw[a], "right")
+        for i, *piece in zip(full[doc[a]].tolist(), begin[a].tolist(), end[b].tolist(), shard.tolist(), draw[a].tolist(), strict=True):
+            out[i].append((turn, *piece))
+    return out
+
+
+def _runs(source: list, start: np.ndarray, size: np.ndarray, plan: dict[str | None, Mix]) -> list[list[tuple[int, int, int, int, int]]]:
+    """``runs_of`` documents of several sources."""
+    out: list = [None] * len(source)
+    places: dict[str | None, list[int]] = {}
+    for i, s in enumerate(source):
+        places.setdefault(s, []).append(i)
+    for s, at in places.items():
+        for i, found in zip(at, runs_of(start[at], size[at], plan[s]), strict=True):
+            out[i] = found
     return out
 
 
@@ -197,7 +216,7 @@ def mix_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> Data
         for batch in batches:
             source = batch["source"].astype(object).where(batch["source"].notna(), None)
             mixes = [plan[s] for s in source]
-            runs = [runs_of(int(a), int(n), m) for a, n, m in zip(batch["start"], batch["size"], mixes, strict=True)]
+            runs = _runs(source.tolist(), batch["start"].to_numpy(np.int64), batch["size"].to_numpy(np.int64), plan)
             names = ("turn", "from_word", "to_word", "shard", "place")
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "source": source, "size": batch["size"],
@@ -234,8 +253,9 @@ def mixed_texts(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFr
                 fields = row.flatten()
                 texts = fields[at].to_pylist()
                 index, cut, shard, order = [], [], [], []
-                for i, (s, n, first) in enumerate(zip(source, size, start, strict=True)):
-                    for turn, a, b, to, place in runs_of(first, n, plan[s]):
+                found = _runs(source, np.array(start, np.int64), np.array(size, np.int64), plan)
+                for i, (n, pieces) in enumerate(zip(size, found, strict=True)):
+                    for turn, a, b, to, place in pieces:
                         index.append(i)
                         cut.append(texts[i] if b - a == n else _words_of(texts[i], a, b))
                         shard.append(to)
