@@ -120,34 +120,43 @@ def band_overlap_join(
     A band belongs to the power of two next above its width and touches at most two bins of that size, or of a larger one.
     Two bands meet in the bins of the wider one, so a key with many bands is spread over its bins, a wide band is not cut
     into many pieces, and distant bands never meet. A pair is kept only in the bin where the overlap starts, and so appears
-    once. A band is filed at most twice for each size that occurs.
+    once. A band is filed at most twice for its own size and for each larger one that the other side has under its key. The
+    filed bands are sort-merged: they may be far more than the size of their table tells, and pairs more than bands.
     """
-    a = left.withColumn("l_band", error_band(F.col(left_value), left_q))
-    b = right.withColumn("r_band", error_band(F.col(right_value), right_q))
+    a = left.where(F.col(left_value).isNotNull()).withColumn("l_band", error_band(F.col(left_value), left_q))
+    b = right.where(F.col(right_value).isNotNull()).withColumn("r_band", error_band(F.col(right_value), right_q))
 
     def size_of(band: str) -> Column:
         width = F.col(f"{band}.hi") - F.col(f"{band}.lo")
         return F.when(width > 0, F.ceil(F.log2(width)).cast("int"))
 
     a, b = a.withColumn("__l_size", size_of("l_band")), b.withColumn("__r_size", size_of("r_band"))
-    # Exponents of doubles: a few dozen in practice, 2,100 at the very most.
-    found = a.select("__l_size").unionByName(b.select(F.col("__r_size").alias("__l_size"))).distinct().collect()
-    sizes = sorted(r[0] for r in found if r[0] is not None) or [0]
+    ensure_checkpoint_dir(left.sparkSession)
+
+    def sizes(df: DataFrame, own: str) -> DataFrame:
+        """The sizes that occur under each key. Exponents of doubles: a few dozen in practice, 2,100 at the very most."""
+        found = df.select(*keys, own).distinct().groupBy(*keys).agg(F.collect_set(own).alias("__sizes")).checkpoint()
+        entries = found.agg(F.coalesce(F.sum(F.size("__sizes") + 1), F.lit(0))).first()[0]
+        return found.hint("broadcast" if entries <= BROADCAST_SEGMENTS else "merge")
 
     def bin_of(x: Column) -> Column:
         scaled = x / F.pow(F.lit(2.0), F.col("__size"))
         return scaled - F.pmod(scaled, F.lit(1.0))
 
-    def filed(df: DataFrame, band: str, own: str) -> DataFrame:
-        own_size = F.coalesce(F.col(own), F.lit(sizes[0]))
-        each = F.filter(F.array(*map(F.lit, sizes)), lambda n: n >= own_size)
-        sized = df.withColumn(own, own_size).withColumn("__size", F.explode(each))
+    def filed(df: DataFrame, band: str, own: str, others: DataFrame) -> DataFrame:
+        # A band without any width fits into bins of every size.
+        larger = F.filter("__sizes", lambda n: F.col(own).isNull() | (n > F.col(own)))
+        each = F.array_union(F.array(F.coalesce(F.col(own), F.lit(0))), larger)
+        sized = df.join(others, [*keys]).withColumn("__size", F.explode(each)).drop("__sizes")
         return sized.withColumn("__bin", F.explode(F.array_distinct(F.array(bin_of(F.col(f"{band}.lo")), bin_of(F.col(f"{band}.hi"))))))
 
     start = F.greatest("l_band.lo", "r_band.lo")
     meet = (F.col("l_band.lo") <= F.col("r_band.hi")) & (F.col("r_band.lo") <= F.col("l_band.hi"))
-    here = (F.col("__size") == F.greatest("__l_size", "__r_size")) & (F.col("__bin") == bin_of(start))
-    pairs = filed(a, "l_band", "__l_size").join(filed(b, "r_band", "__r_size"), [*keys, "__size", "__bin"]).where(meet & here)
+    wider = F.coalesce(F.greatest("__l_size", "__r_size"), F.lit(0))
+    here = (F.col("__size") == wider) & (F.col("__bin") == bin_of(start))
+    of_left, of_right = sizes(a, "__l_size"), sizes(b, "__r_size")
+    partners = filed(b, "r_band", "__r_size", of_left).hint("merge")
+    pairs = filed(a, "l_band", "__l_size", of_right).join(partners, [*keys, "__size", "__bin"]).where(meet & here)
     joined = pairs.drop("__bin", "__size", "__l_size", "__r_size")
     l, r = F.col("l_band"), F.col("r_band")
     return joined.withColumns({

@@ -75,3 +75,29 @@ def test_running_sums_over_ranges(spark):
     df = spark.createDataFrame(rows, "k string, at int, n long").repartition(4)
     out = running_sums(df, ["k"], ["at"], ["n"])
     assert {(r.k, r.at): r.n for r in out.collect()} == {(k, i): sum(n for j, at, n in rows if j == k and at <= i) for k, i, _ in rows}
+
+
+def _equi_join_inputs(df):
+    """The plan as it was made, without what running it would adapt."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_filed_bands_are_not_broadcast(spark, tmp_path):
+    # The table is small, the bands filed from it are not: only the sizes under a key may be sent to every task.
+    spark.range(2_000).selectExpr("id % 3 as k", "id + 0.5 as x").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    out = joins.band_overlap_join(t, t.withColumnRenamed("x", "y"), ["k"], "x", "y", 0.01, 0.02)
+    assert "SortMergeJoin [k" in _equi_join_inputs(out)
+    rows = [(i % 3, i + 0.5) for i in range(2_000)]
+    want = sum(j == k and x - x * 0.005 <= y + y * 0.01 and y - y * 0.01 <= x + x * 0.005 for k, x in rows for j, y in rows)
+    assert out.count() == want
+
+
+def test_bands_are_filed_for_sizes_under_their_key_only(spark, monkeypatch):
+    a = spark.createDataFrame([(str(k), float(2 ** (k % 30))) for k in range(300)] + [("0", None), (None, 1.0), ("alone", 1.0)], "k string, x double")
+    b = a.select("k", (F.col("x") * 1.01).alias("y"))
+    monkeypatch.setattr(joins, "BROADCAST_SEGMENTS", 0)
+    out = joins.band_overlap_join(a, b, ["k"], "x", "y", 0.1, 0.1)
+    assert sorted((r.k, r.x) for r in out.collect()) == sorted((str(k), float(2 ** (k % 30))) for k in range(300)) + [("alone", 1.0)]
+    zero = joins.band_overlap_join(a, a.select("k", F.col("x").alias("y")), ["k"], "x", "y", 0.0, 0.0)
+    assert zero.count() == 301 and zero.where("same and contains").count() == 301
