@@ -1,5 +1,6 @@
 """Lines, tokens, grok patterns and log categories."""
 
+import random
 import re
 
 import pytest
@@ -107,6 +108,34 @@ def test_category_without_a_shared_token(spark):
     assert model.categorize(spark.createDataFrame([(text,)], "t string"), "t").first().category == want
 
 
+def test_rare_tokens_count_as_they_do_among_all(spark):
+    """Whether a token's weights are broadcast or joined makes no difference to any category."""
+    dice = random.Random(7)
+    pick = lambda: " ".join(f"w{min(int(dice.expovariate(0.08)), 60)}" for _ in range(dice.randint(1, 12)))
+    training = spark.createDataFrame([(f"l{dice.randint(0, 5)}", pick()) for _ in range(150)], "label string, text string")
+    texts = [pick() + dice.choice(["", " unheard", " unheard unheard"]) for _ in range(80)] + ["unheard", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = bayes.train(training)
+    assert whole.rare is None
+    want = {r.t: r.category for r in whole.categorize(df, "t").collect()}
+    for most in (0, 40, 120):
+        parts = bayes.train(training, most_sent=most)
+        assert parts.weights.count() <= most < parts.weights.unionByName(parts.rare).count() == whole.weights.count()
+        assert {r.t: r.category for r in parts.categorize(df, "t").collect()} == want
+
+
+def test_tokens_are_not_moved_to_be_scored(spark, tmp_path):
+    """A text meets the frequent tokens' weights where it is."""
+    spark.createDataFrame([(i, "from root " * 40 + str(i)) for i in range(200)], "i int, t string").write.parquet(str(tmp_path / "t"))
+    model = bayes.train(spark.createDataFrame(TRAINING, "label string, text string"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    sums = model._sums(df.dropDuplicates(["i"]), "i", "t")
+    assert sums.count() == 400
+    sums.collect()
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_model_table(spark):
     rows = {(r.label, r.token): r for r in bayes.model_table(spark.createDataFrame(TRAINING, "label string, text string")).collect()}
     r = rows["ssh", "from"]
