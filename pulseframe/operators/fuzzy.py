@@ -59,11 +59,12 @@ def _filed(rows: DataFrame) -> DataFrame:
     return rows.where(length >= parts).select("id", F.inline(F.transform(_numbers(F.lit(0), F.col("edits")), one)))
 
 
-def _asked(rows: DataFrame) -> DataFrame:
+def _asked(rows: DataFrame, shorter: bool = False) -> DataFrame:
     """(id, key, ...) of all substrings that can be a segment of a text within reach.
 
     If the first ``part`` segments took that many edits, then this one is shifted by no more than that, and seen from the end by
-    no more than the edits that are left.
+    no more than the edits that are left. Both shifts together take no more than ``reach`` insertions and deletions. With
+    ``shorter`` only texts are asked for that are no longer than this one.
     """
     n, parts = F.length("body"), F.col("edits") + 1
 
@@ -71,13 +72,14 @@ def _asked(rows: DataFrame) -> DataFrame:
         def of_part(part: Column) -> Column:
             start, size = _layout(length, parts, part)
             shift, left = n - length, F.col("edits") - part
-            first = F.greatest(F.lit(0), start - part, start + shift - left)
-            last = F.least(n - size, start + part, start + shift + left)
+            nearest, furthest = F.ceil((shift - F.col("reach")) / 2).cast("int"), F.floor((shift + F.col("reach")) / 2).cast("int")
+            first = F.greatest(F.lit(0), start - part, start + shift - left, start + nearest)
+            last = F.least(n - size, start + part, start + shift + left, start + furthest)
             return F.transform(_numbers(first, last), lambda at: _cut(length, part, at, size))
 
         return F.flatten(F.transform(_numbers(F.lit(0), F.col("edits")), of_part))
 
-    lengths = _numbers(F.greatest(parts, n - F.col("reach")), n + F.col("reach"))
+    lengths = _numbers(F.greatest(parts, n - F.col("reach")), n if shorter else n + F.col("reach"))
     return rows.select("id", F.inline(F.flatten(F.transform(lengths, of_length))))
 
 
@@ -110,14 +112,15 @@ def _short(rows: DataFrame, extra: Column, most: int) -> DataFrame:
     )
 
 
-def near_pairs(left: DataFrame, right: DataFrame, edits: int, distance: int) -> DataFrame:
-    """Candidate pairs (a, b) of ids among texts (id, body), with all that are within ``edits`` single edits and whose lengths
-    differ by at most ``distance``; a pair may come several times."""
+def near_pairs(left: DataFrame, right: DataFrame, edits: int, distance: int, among: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) of ids among texts (id, body), with all that are within ``edits`` single edits of which at most
+    ``distance`` insert or delete; a pair may come several times. ``among`` says that both tables are one: only the longer text
+    of a pair then asks for the other."""
     start = [F.lit(0).cast("bigint"), F.col("body"), F.lit(edits), F.lit(""), F.lit(0), F.lit(distance)]
     a, b = (t.select("id", *[c.alias(n) for n, c in zip(ROW[1:], start)]) for t in (left, right))
-    found = None
+    found, shorter = None, among
     while True:
-        asked = _asked(a).unionByName(_short(a, F.col("reach"), edits))
+        asked = _asked(a, shorter).unionByName(_short(a, F.col("reach"), edits))
         filed = _filed(b).unionByName(_short(b, F.lit(0), edits))
         # A key behind which nothing is left to cut joins as it is.
         open_ = [t.where("body <> ''").groupBy("key").agg(F.count("*").alias(n)) for t, n in ((asked, "n"), (filed, "m"))]
@@ -130,6 +133,7 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int, distance: int) ->
         found = pairs if found is None else found.unionByName(pairs)
         if not some:
             return found
+        shorter = False  # what stands behind a segment may be longer in either text
         again = [F.col("id"), F.col("key").alias("group"), *ROW[2:6], F.col("edits").alias("reach")]
         a, b = (t.join(large, "key", "left_semi").select(*again).distinct().checkpoint() for t in (asked, filed))
 
@@ -138,7 +142,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_t
     """Pairs of distinct texts within an edit distance: (left_text, right_text, distance).
 
     ``metric`` "levenshtein" counts single edits; "damerau" also counts a swap of neighbours as one, and pairs are then
-    complete in that metric: a swap is at most two single edits. No pair is missed, and texts only meet if they share a
+    complete in that metric: a swap is at most two single edits, which replace a character. No pair is missed, and texts only meet if they share a
     segment that few others have. Without ``right`` the table is joined with itself and each pair comes once. Null texts
     have no pairs.
     """
@@ -150,7 +154,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_t
 
     a = named(left, left_text)
     b = a if right is None else named(right, right_text or left_text)
-    found = near_pairs(a, b, distance * (2 if metric == "damerau" else 1), distance)
+    found = near_pairs(a, b, distance * (2 if metric == "damerau" else 1), distance, right is None)
     if right is None:
         found = found.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     texts = [t.select(F.col("id").alias(n), F.col("body").alias(f"{n}_text")) for t, n in ((a, "a"), (b, "b"))]

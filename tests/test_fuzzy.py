@@ -94,3 +94,10 @@ def test_a_common_beginning_brings_few_together(spark):
     df = spark.range(3_000).selectExpr("unhex(md5(cast(id as string))) as id", "concat('Customer#', lpad(cast(id * 7919 % 1000000 as string), 9, '0')) as body")
     fuzzy.ensure_checkpoint_dir(spark)
     assert fuzzy.near_pairs(df, df, 1, 1).distinct().count() < 800_000
+
+
+def test_only_the_longer_text_asks(spark):
+    """Rows of the index per text: a self join asks for texts that are no longer, shifted by the insertions there can be."""
+    row = ("x" * 40,)
+    t = spark.createDataFrame([row], "body string").selectExpr("1L as id", "0L as group", "body", "4 as edits", "'' as passed", "0 as passed_edits", "2 as reach")
+    assert fuzzy._asked(t, shorter=True).count() == 28 < fuzzy._asked(t).count()
