@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pulseframe.functions.fields import epoch_micros
@@ -22,17 +24,28 @@ from pulseframe.streaming.jobs import (
 
 
 FILES = 8
+#: Rows of a file, and so of a micro-batch, at the most.
+FILE_ROWS = 4_000_000
+
 
+def _land(rows, order, path, file_rows=FILE_ROWS):
+    """Rows as files that follow each other in time, as a stream finds them: ``FILES``, and more for a large table.
 
-def _land(rows, order, path):
-    """Rows as ``FILES`` files that follow each other in time, as a stream finds them."""
-    shares = [i / FILES for i in range(1, FILES)]
-    bounds = rows.agg(F.percentile_approx(order, shares, 1_000)).first()[0] or []
-    edges = [None, *sorted(set(bounds)), None]
-    for low, high in zip(edges, edges[1:]):
-        part = rows if low is None else rows.where(F.col(order) >= low)
-        part = part if high is None else part.where(F.col(order) < high)
-        part.coalesce(1).write.mode("append").parquet(path)
+    All slices are cut out at once, each by a few tasks, and then land one by one.
+    """
+    spark = rows.sparkSession
+    files = max(FILES, -(-rows.count() // file_rows))
+    shares = [i / files for i in range(1, files)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(order, shares, 100 * files)).first()[0] or []))
+    if not bounds:
+        rows.coalesce(1).write.mode("append").parquet(path)
+        return
+    number = reduce(lambda a, b: a + b, [(F.col(order) >= low).cast("int") for low in bounds])
+    cut = scratch_path(spark, "slices")
+    sliced = rows.where(F.col(order).isNotNull()).withColumn("__slice", number)
+    sliced.repartitionByRange(4 * (len(bounds) + 1), order).write.partitionBy("__slice").parquet(cut)
+    for (found,) in sorted(spark.read.parquet(cut).select("__slice").distinct().collect()):
+        spark.read.schema(rows.schema).parquet(f"{cut}/__slice={found}").coalesce(1).write.mode("append").parquet(path)
 
 
 def _stream(spark, d, name, order):
