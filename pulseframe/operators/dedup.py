@@ -31,8 +31,10 @@ def unique_timestamps(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence
 Fold = Callable[[Sequence, list], tuple[np.ndarray, list]]
 #: Rows that are looked at together.
 CHUNK = 512
-#: A block that kept so many times the size of the state is taken to have forgotten what it started from.
-TURNOVERS = 4
+#: Texts of at most so many characters are compared through an index of their one-character deletions.
+SHORT = 64
+#: Texts that share such an index.
+TEXT_CHUNK = 2048
 
 
 def _fold(prepare: Callable[[list], Any], refuses: Callable[[Any, Any], np.ndarray], size: int) -> Fold:
@@ -75,6 +77,36 @@ def _tolerance_fold(q: float, size: int) -> Fold:
     return _fold(lambda values: np.array(values, dtype=float), refuses, size)
 
 
+class _OneEdit:
+    """Kept texts by their deletions, to find the newest one that equals a text or is one edit away.
+
+    Texts of one length are a substitution apart if they agree without the character at one place; else the longer one agrees
+    with the shorter one without some character. So a text meets its like in dictionaries, and nothing is compared.
+    """
+
+    def __init__(self, kept: Sequence[str]) -> None:
+        self.whole: dict[str, int] = {}
+        self.longer: dict[str, int] = {}
+        self.substituted: dict[tuple[int, str], int] = {}
+        for at, text in enumerate(kept):
+            self.add(at, text, self.deletions(text))
+
+    @staticmethod
+    def deletions(text: str) -> list[str]:
+        return [text[:i] + text[i + 1 :] for i in range(len(text))]
+
+    def add(self, at: int, text: str, without: list[str]) -> None:
+        self.whole[text] = at
+        self.longer.update(dict.fromkeys(without, at))
+        self.substituted.update(dict.fromkeys(enumerate(without), at))
+
+    def newest(self, text: str, without: list[str]) -> int:
+        found = max(self.whole.get(text, -1), self.longer.get(text, -1))
+        for place in enumerate(without):
+            found = max(found, self.substituted.get(place, -1), self.whole.get(place[1], -1))
+        return found
+
+
 def _similarity_fold(q: int, size: int, near: bool) -> Fold:
     """``near=False``: keep a text at least ``q`` edits from every kept one.
     ``near=True``: keep a text less than ``q`` edits from all kept ones."""
@@ -83,7 +115,36 @@ def _similarity_fold(q: int, size: int, near: bool) -> Fold:
         apart = distances(held, texts)
         return apart >= q if near else apart < max(q, 1)
 
-    return _fold(Texts, refuses, size)
+    compared = _fold(Texts, refuses, size)
+    if near or q != 2:
+        return compared
+
+    def indexed(values: Sequence[str], state: list) -> tuple[list[bool], list]:
+        kept, state = [], list(state)
+        index, refuser = _OneEdit(state), {}
+        for text in values:
+            first = max(0, len(state) - size)
+            goes = refuser.get(text, -1) >= first
+            if not goes:
+                without = index.deletions(text)
+                refuser[text] = index.newest(text, without)
+                goes = refuser[text] >= first
+                if not goes:
+                    refuser[text] = len(state)
+                    index.add(len(state), text, without)
+                    state.append(text)
+            kept.append(not goes)
+        return kept, state[-size:]
+
+    def fold(values: Sequence[str], state: list) -> tuple[np.ndarray, list]:
+        kept = np.zeros(len(values), dtype=bool)
+        for low in range(0, len(values), TEXT_CHUNK):
+            chunk = values[low : low + TEXT_CHUNK]
+            by = indexed if max(map(len, [*chunk, *state])) <= SHORT else compared
+            kept[low : low + TEXT_CHUNK], state = by(chunk, state)
+        return kept, list(state)
+
+    return fold
 
 
 def _equal(a: list, b: list) -> bool:
@@ -147,10 +208,11 @@ def settled_states(
     """(keys, __block, guess): the values that count at the start of each block; and after how many rounds they settled.
 
     What a block keeps depends on the values kept before it. That state (at most ``size`` values) is guessed per block, the
-    blocks run in parallel, and the states they leave behind correct the guesses. A block that replaced its whole state
-    several times most likely leaves what the uncut series leaves, whatever it started from: the next block is cut off from
-    all before it, and starts from that. A block that kept little leaves its own values and the state before it. Blocks with
-    a corrected guess run again. Every round settles at least the first unsettled block, so this ends, and when no
+    blocks run in parallel, and the states they leave behind correct the guesses. A block that replaced its whole state leaves
+    its own values, whatever it started from: the next block starts from them. A block that kept fewer leaves what it added
+    itself, put after the state before it. Blocks with a corrected guess run again. What a block does not know of its start
+    gets less with every block behind it, so rounds depend on how many blocks fill a state a few times, not on the length of
+    the series. Every round settles at least the first unsettled block, so this ends, and when no
     guess changes every state is the one the uncut series has. Rounds are few unless nearly all values are refused by
     values that are replaced all the time. States stream by in order, so no task gathers the blocks of a key.
     """
@@ -181,7 +243,7 @@ def settled_states(
                 guess, left = list(guess), list(left)
                 changed = not _equal(guess, before)
                 out.append([*row[: len(at)], before, changed])
-                before = left if not changed or kept >= TURNOVERS * size else fold(left, before)[1]
+                before = left if not changed or kept >= size else fold(left[len(left) - kept :], before)[1]
             yield pd.DataFrame(out, columns=guess_type.names)
 
     named = [f"__g_{c}" for c in at]

@@ -259,6 +259,28 @@ def test_similarity_fold_by_brute_force(near, q):
         assert [t for t, k in zip(texts, kept) if k] == want and state == want[-size:]
 
 
+def test_blocks_that_fill_a_state_twice_settle_in_few_rounds(spark):
+    """Every text comes twice, so that a block of 112 rows keeps less than four states of 32, but more than one."""
+    rng, fold = random.Random(9), dedup._similarity_fold(2, 32, False)
+    texts = [f"{rng.randrange(100)} {int(rng.expovariate(0.02))}" for _ in range(1500)]
+    df = spark.createDataFrame([("k", 2 * i + copy, text) for i, text in enumerate(texts) for copy in (0, 1)], "key string, i long, t string")
+    blocks = scale.consecutive_blocks(df, ["key"], ["i"], 0, 112, 3000).drop("__carry")
+    _, rounds = dedup.settled_states(blocks, df.schema, ["key"], ["i"], "t", fold, 32)
+    assert rounds <= 5
+
+
+def test_short_texts_are_found_by_their_deletions(monkeypatch):
+    """Texts an edit apart meet in an index: no short text is compared with the others, and a long one changes nothing."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\U0001f600") for _ in range(rng.choice([0, 1, 2, 4, 5]))) for _ in range(400)]
+    mixed = [*texts, *("a" * n + "b" for n in range(62, 68)), *texts]
+    want, left = dedup._fold(dedup.Texts, lambda held, some: dedup.distances(held, some) < 2, 4)(mixed, texts[:3])
+    got, state = dedup._similarity_fold(2, 4, False)(mixed, texts[:3])
+    assert got.tolist() == want.tolist() and state == left
+    monkeypatch.setattr(dedup, "distances", None)
+    assert dedup._similarity_fold(2, 4, False)(texts, texts[:3])[0].tolist() == want[:400].tolist()
+
+
 def test_similarity(spark):
     texts = ["abcd", "abcf", "wxyz", "abcd", "wxy"]
     df = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "key string, i bigint, t string")
