@@ -34,6 +34,8 @@ ALERT_OUTPUT = T.StructType([
     T.StructField("problem", T.LongType()), T.StructField("at", T.LongType()), T.StructField("eventid", T.LongType()),
     T.StructField("state", T.StringType()), T.StructField("open_eventid", T.LongType()),
 ])
+#: Buckets of problems; each has one state and is one call a micro-batch.
+BUCKETS = 256
 
 
 def _frame_statistics(frames: np.ndarray) -> dict[str, np.ndarray]:
@@ -193,25 +195,31 @@ class ValueState(_Keyed):
 
 
 class AlertState(_Keyed):
-    """Whether a problem is open, and since which event; an optional TTL forgets old ones."""
+    """Which problems of a bucket are open, and since which event.
 
-    STATE = T.StructType([T.StructField("eventid", T.LongType())])
+    A call of Python and its state take milliseconds whatever they hold, so problems share them by their hash. The rows of all
+    problems of the bucket are handled at once: a problem is open exactly if the row before it is an opening.
+    """
+
+    STATE = T.StructType([T.StructField("problems", T.ArrayType(T.LongType())), T.StructField("eventids", T.ArrayType(T.LongType()))])
 
     def handleInputRows(self, key, rows, timerValues):
-        opened = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for row in self._rows(rows, ["at", "eventid"]).itertuples(index=False):
-            if row.value == 1:
-                opened = int(row.eventid)
-                out.append([key[0], row.at, row.eventid, "open", opened])
-            elif opened is not None:
-                out.append([key[0], row.at, row.eventid, "closed", opened])
-                opened = None
-        if opened is None:
-            self.state.clear()
+        opened = dict(zip(*self.state.get())) if self.state.exists() else {}
+        taken = self._rows(rows, ["problem", "at", "eventid"]).reset_index(drop=True)
+        eventid, is_open = taken["eventid"].astype("Int64"), (taken["value"] == 1).to_numpy()
+        first = taken["problem"].ne(taken["problem"].shift()).to_numpy()
+        before, was_open = eventid.shift(), np.concatenate([[False], is_open[:-1]])
+        own = taken["problem"][first].tolist()
+        was_open[first] = [p in opened for p in own]
+        before[first] = pd.array([opened.pop(p, None) for p in own], dtype="Int64")
+        out = taken.assign(state=np.where(is_open, "open", "closed"), open_eventid=eventid.where(is_open, before))
+        last = is_open & np.concatenate([first[1:], [True]])
+        opened.update(zip(taken["problem"][last].tolist(), eventid[last].astype(object).where(eventid[last].notna(), None)))
+        if opened:
+            self.state.update((list(opened), [e if e is None else int(e) for e in opened.values()]))
         else:
-            self.state.update((opened,))
-        yield pd.DataFrame(out, columns=ALERT_OUTPUT.names)
+            self.state.clear()
+        yield out.loc[is_open | was_open, ALERT_OUTPUT.names]
 
 
 def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, output: T.StructType) -> DataFrame:
@@ -251,7 +259,8 @@ def value_stream(df: DataFrame) -> DataFrame:
 
 def alert_stream(df: DataFrame) -> DataFrame:
     """Emitted openings and matched resolutions of a stream (problem, at, eventid, value)."""
-    return _stateful(df.where("problem is not null and value in (0, 1)"), "problem", AlertState(), ALERT_OUTPUT)
+    known = df.where("problem is not null and value in (0, 1)").withColumn("__bucket", F.pmod(F.xxhash64("problem"), F.lit(BUCKETS)))
+    return _stateful(known, "__bucket", AlertState(), ALERT_OUTPUT)
 
 
 def latest_state(updates: DataFrame) -> DataFrame:
