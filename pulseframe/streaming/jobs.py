@@ -34,7 +34,7 @@ ALERT_OUTPUT = T.StructType([
     T.StructField("problem", T.LongType()), T.StructField("at", T.LongType()), T.StructField("eventid", T.LongType()),
     T.StructField("state", T.StringType()), T.StructField("open_eventid", T.LongType()),
 ])
-#: Buckets of problems; each has one state and is one call a micro-batch.
+#: Buckets of keys; each has one state and is one call a micro-batch.
 BUCKETS = 256
 
 
@@ -124,23 +124,42 @@ ANALYSIS = T.StructType([
 
 
 class BufferState(_Keyed):
-    """Every record of a key as it is, with the last 128 values up to it."""
+    """Every record of a bucket of keys as it is, with the last 128 values of its key up to it.
 
-    STATE = RollingState.STATE
+    A call of Python and its state take milliseconds whatever they hold, so keys share them by their hash. The state has the
+    keys, how many values of each are held, and these values one key after the other.
+    """
+
+    STATE = T.StructType([
+        T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("lengths", T.ArrayType(T.IntegerType())),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ])
 
-    def __init__(self, value: str, order: list[str]) -> None:
-        self.value, self.order = value, order
+    def __init__(self, key: str, value: str, order: list[str], columns: list[str]) -> None:
+        self.key, self.value, self.order, self.columns = key, value, order, columns
 
     def handleInputRows(self, key, rows, timerValues):
-        held = list(self.state.get()[0]) if self.state.exists() else []
-        taken = self._rows(rows, self.order)
-        values = np.array([*held, *taken[self.value]], dtype=float)
-        self.state.update((values[-SERIES_LENGTH:].tolist(),))
-        ends = range(len(held) + 1, len(values) + 1)
-        yield taken.assign(**{BUFFER: [values[max(0, end - SERIES_LENGTH):end] for end in ends]})
+        held = {}
+        if self.state.exists():
+            keys, lengths, values = self.state.get()
+            held = dict(zip(keys, np.split(np.array(values, dtype=float), np.cumsum(lengths)[:-1])))
+        taken = self._rows(rows, [self.key, *self.order])[self.columns]
+        buffers = []
+        for at, of_key in taken.groupby(self.key, sort=False, dropna=False)[self.value]:
+            name = None if pd.isna(at) else at
+            before = held.get(name, np.empty(0))
+            values = np.concatenate([before, of_key.to_numpy(dtype=float)])
+            held[name] = values[-SERIES_LENGTH:]
+            buffers += [values[max(0, end - SERIES_LENGTH):end] for end in range(len(before) + 1, len(values) + 1)]
+        self.state.update((list(held), [len(v) for v in held.values()], np.concatenate(list(held.values())).tolist()))
+        for low in range(0, len(taken), HANDED):
+            part = taken.iloc[low:low + HANDED]
+            yield part.assign(**{BUFFER: buffers[low:low + HANDED]})
 
 
 BUFFER = "__buffer"
+#: Records that are handed on at once, with their buffers.
+HANDED = 10_000
 
 
 def _attributes(window: int, column):
@@ -227,6 +246,10 @@ def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, output: T.S
     return df.groupBy(key).transformWithStateInPandas(processor, output, outputMode="Append", timeMode="None")
 
 
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
 def rolling_stream(df: DataFrame) -> DataFrame:
     """Statistics and forecasts of a stream (key, event_id, at, value)."""
     return _stateful(df.where("value is not null"), "key", RollingState(), ROLLING_OUTPUT)
@@ -236,11 +259,11 @@ def analyse_stream(df: DataFrame, cfg: GatewayConfig) -> DataFrame:
     """A stream of telemetry with the attributes of ``ANALYSIS`` on its float records; others pass with none.
 
     ``df`` has topic, event_ns, id, data_float and further columns of plain types (a VARIANT cannot pass through Python:
-    carry it as JSON text). The state per topic is its last 128 values; within a micro-batch, records count in event order.
+    carry it as JSON text). The state has the last 128 values per topic; within a micro-batch, records count in event order.
     """
-    floats = df.where(F.col("data_float").isNotNull())
+    floats = df.where(F.col("data_float").isNotNull()).withColumn("__bucket", _bucket("topic"))
     output = T.StructType([*df.schema.fields, T.StructField(BUFFER, T.ArrayType(T.DoubleType()))])
-    held = _stateful(floats, "topic", BufferState("data_float", ["event_ns", "id"]), output)
+    held = _stateful(floats, "__bucket", BufferState("topic", "data_float", ["event_ns", "id"], df.columns), output)
     done = held.withColumn("__found", _attributes(cfg.anomalies_window, F.col(BUFFER))).select(
         *df.columns, *[
             (forecast_column(F.col(BUFFER)) if f.name == "markov_chain_forecast" else F.col("__found")[f.name]).alias(f.name)
@@ -259,7 +282,7 @@ def value_stream(df: DataFrame) -> DataFrame:
 
 def alert_stream(df: DataFrame) -> DataFrame:
     """Emitted openings and matched resolutions of a stream (problem, at, eventid, value)."""
-    known = df.where("problem is not null and value in (0, 1)").withColumn("__bucket", F.pmod(F.xxhash64("problem"), F.lit(BUCKETS)))
+    known = df.where("problem is not null and value in (0, 1)").withColumn("__bucket", _bucket("problem"))
     return _stateful(known, "__bucket", AlertState(), ALERT_OUTPUT)
 
 
