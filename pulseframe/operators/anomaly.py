@@ -17,7 +17,7 @@ from pulseframe.operators.snapshot import recent_sample
 from pulseframe.operators.stl import seasonal
 
 MAD_SCALE = 1.4826
-CHUNK = 1024
+CHUNK = 256
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:

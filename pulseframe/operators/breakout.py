@@ -77,18 +77,32 @@ def break_marks(
     """Which values of each row (padded behind its length) start a new level.
 
     A row too short for two levels, constant, or with a missing or infinite value has none. The search goes from prefix to
-    prefix, so rows of several lengths share it: what stands behind a row's end does not matter.
+    prefix, so rows of several lengths share it: what stands behind a row's end does not matter. A row that the next one
+    continues, with the same least and greatest value, takes its breaks from that one's search.
     """
     marks = np.zeros(frames.shape, dtype=bool)
     rows = np.flatnonzero(complete(frames, lengths) & (lengths >= 2 * min_size))
     low, high = (f(frames[rows], axis=1, keepdims=True) if len(rows) else np.empty((0, 1)) for f in (np.nanmin, np.nanmax))
     rows, low, high = (a[(high > low)[:, 0]] for a in (rows, low, high))
-    order = np.argsort(lengths[rows], kind="stable")
-    for some in np.array_split(order, -(-len(order) // CHUNK)) if len(order) else []:
+    # A growing buffer: as long as neither its least nor its greatest value changes, one search of the longest finds the breaks of all.
+    of = np.arange(len(rows))
+    for r in range(len(rows) - 2, -1, -1):
+        size = lengths[rows[r]]
+        if size <= lengths[rows[r + 1]] and low[r] == low[r + 1] and high[r] == high[r + 1] and (
+            np.array_equal(frames[rows[r], :size], frames[rows[r + 1], :size])
+        ):
+            of[r] = of[r + 1]
+    longest = np.unique(of)
+    longest = longest[np.argsort(lengths[rows[longest]], kind="stable")]
+    column, users = np.empty(len(rows), dtype=int), np.argsort(of, kind="stable")
+    starts = np.searchsorted(of[users], np.arange(len(rows) + 1))
+    for some in np.array_split(longest, -(-len(longest) // CHUNK)) if len(longest) else []:
         at, size = rows[some], lengths[rows[some]]
         z = (frames[at, :size.max()] - low[some]) / (high[some] - low[some])
         previous = _best_breaks(np.ascontiguousarray(np.nan_to_num(z).T), min_size, degree, beta)
-        every, here = np.arange(len(at)), size
+        column[some] = np.arange(len(some))
+        sharing = np.concatenate([users[starts[i]:starts[i + 1]] for i in some])
+        at, every, here = rows[sharing], column[of[sharing]], lengths[rows[sharing]]
         while (here := previous[here, every]).any():
             marks[at[here > 0], here[here > 0]] = True
     return marks

@@ -33,20 +33,38 @@ def _kernel(n: int, span: int, ahead: int) -> tuple[np.ndarray, np.ndarray]:
     return weight, offset.astype(float)
 
 
+@lru_cache(maxsize=None)
+def _moments(n: int, span: int, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weights of ``_kernel``, times offsets to the power of 0, 1 and 2."""
+    weight, offset = _kernel(n, span, ahead)
+    return weight, weight * offset, weight * offset * offset
+
+
 def loess(y: np.ndarray, span: int, degree: int, robust: np.ndarray | None = None, ahead: int = 0) -> np.ndarray:
     """Each row of ``y`` smoothed at its places, and at ``ahead`` more on both ends. Degree 0 or 1."""
-    weight, offset = _kernel(y.shape[1], span, ahead)
+    weight, near, square = _moments(y.shape[1], span, ahead)
     rho = np.ones_like(y) if robust is None else np.maximum(robust, LEAST_WEIGHT)
-    s0, t0 = rho @ weight, (rho * y) @ weight
-    mean = t0 / s0
+    weighed, s0 = rho * y, rho @ weight
+    mean = weighed @ weight
+    mean /= s0
     if degree == 0:
         return mean
-    near, square = weight * offset, weight * offset * offset
-    s1, s2, t1 = rho @ near / s0, rho @ square / s0, (rho * y) @ near / s0
-    spread = s2 - s1 * s1
+    # In place: these arrays are passed through many times.
+    s1, spread, t1 = rho @ near, rho @ square, weighed @ near
+    for moment in (s1, spread, t1):
+        moment /= s0
+    part = s1 * s1
+    spread -= part
+    np.multiply(s1, mean, out=part)
+    t1 -= part
+    s1 *= t1
     # Without enough spread of the weighted places there is no slope, as at the very end of few values.
     flat = spread <= (0.001 * max(y.shape[1] - 1, 1)) ** 2
-    return mean - np.where(flat, 0.0, s1 * (t1 - s1 * mean) / np.where(flat, 1.0, spread))
+    np.copyto(spread, 1.0, where=flat)
+    s1 /= spread
+    np.copyto(s1, 0.0, where=flat)
+    mean -= s1
+    return mean
 
 
 @lru_cache(maxsize=None)
@@ -96,10 +114,18 @@ def seasonal(y: np.ndarray, period: int, span: int | None = None, rounds: int =
     for _ in range(rounds + 1):
         cycles = _cycles(y - trend, period, span, robust)
         season = cycles[:, period:period + n] - cycles @ _low_pass(n, period)
-        trend = loess(y - season, trend_span, 1, robust)
-        left = np.abs(y - season - trend)
-        limit = 6 * np.median(left, axis=1, keepdims=True)
+        left = y - season
+        trend = loess(left, trend_span, 1, robust)
+        left -= trend
+        np.abs(left, out=left)
+        ordered = np.sort(left, axis=1)
+        limit = 6 * ((ordered[:, (n - 1) // 2] + ordered[:, n // 2]) / 2)[:, None]
         share = left / np.where(limit > 0, limit, 1.0)
-        weighed = np.where(share <= 0.001, 1.0, np.where(share <= 0.999, (1 - np.minimum(share, 1) ** 2) ** 2, 0.0))
-        robust = np.where(limit > 0, weighed, (left == 0) * 1.0)
+        robust = np.minimum(share, 1)
+        robust *= robust
+        np.subtract(1, robust, out=robust)
+        robust *= robust
+        np.copyto(robust, 1.0, where=share <= 0.001)
+        np.copyto(robust, 0.0, where=share > 0.999)
+        np.copyto(robust, (left == 0) * 1.0, where=limit <= 0)
     return season if span else _phase_means(season, period, n)

@@ -33,6 +33,19 @@ def test_planted_level_shift():
     assert breakout.breakpoints(values[:13]) == [] and breakout.breakpoints(np.ones(50)) == []
 
 
+def test_records_of_a_growing_buffer_share_a_search(monkeypatch):
+    rng, searched, search = np.random.default_rng(6), [], breakout._best_breaks
+    series = [np.concatenate([[0.0, 30.0], 10 + 10 * (np.arange(n) > 60) + rng.random(n)]) for n in (120, 3, 90)]
+    series.append(np.concatenate([series[0][:80], [np.nan], np.arange(9.0)]))
+    buffers = [s[:i + 1] for s in series for i in range(len(s))]
+    buffers += [series[0][i:i + 40] for i in range(20)]
+    alone = [breakout.breakpoints(b) for b in buffers]
+    monkeypatch.setattr(breakout, "_best_breaks", lambda z, *rest: searched.append(z.shape[1]) or search(z, *rest))
+    marks = breakout.break_marks(*frames.padded(buffers))
+    assert [np.flatnonzero(m).tolist() for m in marks] == alone and any(alone)
+    assert sum(searched) <= 3 + 20 < len(buffers) / 10
+
+
 def test_two_level_shifts():
     noise = random.Random(4)
     values = np.array([noise.gauss(m, 0.1) for m in (0, 10, 3) for _ in range(40)])
