@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.text import words
-from pulseframe.session import ensure_checkpoint_dir
+from pulseframe.session import ensure_checkpoint_dir, stored
 
 #: So many weights, of about a hundred bytes each, are sent to every task.
 MOST_SENT = 400_000
@@ -58,7 +58,8 @@ class LogCategories:
             return common
         others = tokens.join(F.broadcast(self.weights.where("label is null").select("token")), "token", "left_anti")
         counted = others.groupBy(key, "token").agg(F.count("*").alias("n"))
-        rest = counted.join(self.rare, "token").select(key, "label", (F.col("n") * F.col("weight")).alias("s"))
+        # Files say less than what their rows take in memory: these are too many to send.
+        rest = counted.join(self.rare.hint("merge"), "token").select(key, "label", (F.col("n") * F.col("weight")).alias("s"))
         return common.unionByName(rest).groupBy(key, "label").agg(F.sum("s").alias("s"))
 
     def best(self, texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,9 +89,9 @@ class LogCategories:
         """Adds ``category``, which depends on the text alone: each distinct text is scored once, whatever ids rows have.
 
         A text without any known token gets the most frequent label, a NULL text none. The text itself is only moved to find
-        the distinct ones: rows meet their category by its hash.
+        the distinct ones: rows meet their category by half of its hash, 128 bits.
         """
-        keyed = df.withColumn("__key", F.unhex(F.sha2(F.col(text), 256)))
+        keyed = df.withColumn("__key", F.substring(F.unhex(F.sha2(F.col(text), 256)), 1, 16))
         texts = keyed.where(F.col(text).isNotNull()).select("__key", F.col(text).alias("__body")).dropDuplicates(["__key"])
         best = self.best(texts, "__key", "__body").withColumnRenamed("__key", "__scored")
         joined = keyed.join(best, F.col("__key") == F.col("__scored"), "left")
@@ -101,11 +102,11 @@ class LogCategories:
 def train(training: DataFrame, most_sent: int = MOST_SENT) -> LogCategories:
     """Fit on (label, text). The driver receives the vocabulary size, the number of texts and the most frequent label.
 
-    The counts, bounded by the vocabulary, are checkpointed: texts are read once. Of the weights, about ``most_sent`` of the
+    The counts, bounded by the vocabulary, are stored as Parquet, a fraction of a checkpoint: texts are read once. Of the weights, about ``most_sent`` of the
     most frequent tokens are broadcast when texts are scored.
     """
     ensure_checkpoint_dir(training.sparkSession)
-    counts = token_counts(training).checkpoint()
+    counts = stored(token_counts(training), "tokens")
     per_label = training.groupBy("label").agg(F.count("*").alias("docs")).checkpoint()
     per_token = counts.groupBy("token").agg(F.sum("n").alias("all"), (F.count("*") + 1).alias("entries"))
     vocabulary, entries = per_token.agg(F.count("*"), F.coalesce(F.sum("entries"), F.lit(0))).first()
@@ -120,10 +121,10 @@ def train(training: DataFrame, most_sent: int = MOST_SENT) -> LogCategories:
     of_label = counts.select("token", "label", F.ln(F.col("n") + 1).alias("weight"))
     columns = ["token", "label", "weight"]
     if entries <= most_sent:
-        return LogCategories(labels, of_label.unionByName(known.select(columns)).checkpoint(), top)
+        return LogCategories(labels, stored(of_label.unionByName(known.select(columns)), "weights"), top)
     # Tokens seen more often than this have that many weights in all. Most tokens share a few counts.
     often = per_token.agg(F.percentile("all", 1.0 - most_sent / entries, F.col("entries"))).first()[0]
-    weights = of_label.join(per_token.select("token", "all"), "token").unionByName(known).checkpoint()
+    weights = stored(of_label.join(per_token.select("token", "all"), "token").unionByName(known), "weights")
     return LogCategories(labels, weights.where(F.col("all") > often).select(columns), top, weights.where(F.col("all") <= often).select(columns))
 
 

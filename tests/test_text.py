@@ -161,3 +161,13 @@ def test_metric_records(spark):
     df = spark.createDataFrame([('{"key":"/a/b","value":1.5}',), ('{"value":1}',), ("oops",)], "j string")
     rows = metrics_from_json(df, "j").collect()
     assert len(rows) == 1 and (rows[0].skey, rows[0].platform, rows[0].tags, rows[0].src) == ("b", "local", {}, "localhost")
+
+
+def test_trained_tables_are_files(spark):
+    """A checkpoint holds rows as they are in memory; files of the same rows are a fraction of that."""
+    for most in (bayes.MOST_SENT, 3):
+        model = bayes.train(spark.createDataFrame(TRAINING, "label string, text string"), most_sent=most)
+        assert model.weights.inputFiles() and (model.rare is None) == (most > 3)
+    assert model.rare.inputFiles()
+    found = model.categorize(spark.createDataFrame([(1, TRAINING[0][1]), (2, TRAINING[0][1]), (3, None)], "id int, text string"), "text")
+    assert {r.id: r.category for r in found.collect()} == {1: TRAINING[0][0], 2: TRAINING[0][0], 3: None}
