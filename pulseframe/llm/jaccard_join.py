@@ -17,7 +17,10 @@ Set relations, after Wang et al. (2017), save most of the rest:
 * There, a set is known by a signature of 512 bits, the parity of its shingles in each of 512 cells. Two signatures differ in at most
   as many bits as two sets in shingles, so a pair whose signatures differ in more than links allow is passed over before it
   is a row. Lists of more than ``LIST`` sets are dealt out: blocks of a list meet pairwise in units of their own.
-* In all rounds a pair's texts are only fetched if it shares enough lists (``least_shared``).
+* In all rounds a pair's texts are only fetched if it shares enough lists (``least_shared``). How many lists each leader shares
+  with a set is counted once, so leaders, and with them all lists of two sets, are settled after the first round; later
+  rounds hold only the others of a list, and add that count for pairs that meet there.
+* Which texts are wanted is known by a filter of bits before they move, however many they are.
 
 The answer of a set is its component; sets of answers are not listed, so the incremental derivation is that of
 components. Equal sets are one node, named by 64 bits of a hash; another 64 tell apart sets whose names are equal by chance.
@@ -48,6 +51,10 @@ PORTION = 256
 #: Sets of a list that meet in one unit of the last round, at most twice as many.
 LIST = 4_096
 SIGNATURE = 512
+#: Bits of the filter of wanted texts: so many for each, in blocks, up to a limit beyond which more texts move than are wanted.
+FILTER_BITS = 16
+FILTER_BLOCK = 1 << 17
+FILTER_MOST = 1 << 26
 #: Documents of one set are dealt among so many pieces where they meet its answer.
 CELLS = 64
 
@@ -234,9 +241,10 @@ def least_shared(size_a, place_a, size_b, place_b):
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """(token, node, at, leader, need): lists with more than one set, without repeats.
+    """(token, node, at, leader, need, more): lists with more than one set, without repeats.
 
-    The leader is the list's least node; ``need``: the least number of lists that a set has to share with it.
+    The leader is the list's least node; ``need``: the least number of lists that a set has to share with it. A list of two
+    sets is not ``more``, unless it ends where a batch does.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +268,13 @@ def shared_lists(entries: DataFrame) -> DataFrame:
             first, end = _runs(token)
             lead, lead_at = (np.repeat(c[first], end - first) for c in (node, at))
             count = np.repeat(end - first, end - first)
+            more = count > 2
+            more[first[-1] :] = True
             going_on = last_token is not None and token[0] == last_token
             if going_on:
                 lead[: end[0]], lead_at[: end[0]] = leader, leader_at
                 count[: end[0]] = 2
+                more[: end[0]] = True
             if count[-1] == 1:  # may get company
                 held = (token[-1:], node[-1:], at[-1:])
             else:
@@ -272,10 +283,10 @@ def shared_lists(entries: DataFrame) -> DataFrame:
             last_token, last_node = (None, None) if held is not None else last
             if out.any():
                 need = least_shared(at >> 32, at & 0xFFFFFFFF, lead_at >> 32, lead_at & 0xFFFFFFFF)
-                yield _ints({"token": token[out], "node": node[out], "at": at[out], "leader": lead[out], "need": need[out]})
+                yield _ints({"token": token[out], "node": node[out], "at": at[out], "leader": lead[out], "need": need[out], "more": more[out]})
 
     return entries.repartition("token").sortWithinPartitions("token", "node").mapInArrow(
-        make, "token long, node long, at long, leader long, need long"
+        make, "token long, node long, at long, leader long, need long, more boolean"
     )
 
 
@@ -287,14 +298,32 @@ def possible(size_a, place_a, size_b, place_b):
     return (NUMERATOR * large <= DENOMINATOR * small) & (left + np.minimum(place_a, place_b) >= need)
 
 
-def frequent(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share at least ``need`` lists, of one row for each list that they share."""
-    return pairs.groupBy("a", "b", "need").agg(F.count("*").alias("lists")).where("lists >= need").select("a", "b")
+def led_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b, need, lists): in how many lists a leads b, and how many the two have to share."""
+    led = lists.where("leader <> node and need > 0").select(F.col("leader").alias("a"), F.col("node").alias("b"), "need")
+    return led.groupBy("a", "b", "need").agg(F.count("*").alias("lists"))
+
+
+def frequent(pairs: DataFrame, led: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share at least ``need`` lists, of one row for each list in which neither leads, and of the counts of
+    those in which a does. Pairs that the latter alone find are left out."""
+    none = F.lit(0).cast("long")
+    met = pairs.select("a", "b", "need", F.lit(1).cast("long").alias("lists"), none.alias("led"))
+    both = met.unionByName(led.select("a", "b", "need", none.alias("lists"), F.col("lists").alias("led")))
+    counted = both.groupBy("a", "b", "need").agg(F.sum("lists").alias("lists"), F.sum("led").alias("led"))
+    return counted.where("lists > 0 and led < need and lists + led >= need").select("a", "b")
+
 
+def split_lists(lists: DataFrame, component: DataFrame) -> DataFrame:
+    """(token, node, at, component) of the lists that are in several components; a set without links is its own."""
+    now = lists.join(component, "node", "left").select("token", "node", "at", F.coalesce("component", "node").alias("component"))
+    mixed = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return now.join(mixed.select("token"), "token", "left_semi")
 
-def led_again(lists: DataFrame) -> DataFrame:
+
+def led_again(lists: DataFrame, counts: DataFrame) -> DataFrame:
     """Pairs (a, b) of a list's sets with two others of it, its most central one and one taken by a hash, that are in another
-    component. ``lists``: token, node, at, component of the lists that are in several components."""
+    component. ``lists``: token, node, at, component of the lists that are in several components; ``counts``: ``led_pairs``."""
     # In how many of the lists a set is.
     votes = lists.groupBy("node").agg(F.count("*").alias("votes"))
     one = F.struct("node", "at", "component")
@@ -308,7 +337,7 @@ def led_again(lists: DataFrame) -> DataFrame:
     can = (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & (F.least(n - i, m - j) + F.least(i, j) >= overlap)
     need = F.greatest(overlap - F.ceil(NUMERATOR * F.greatest(n, m) / DENOMINATOR) + 1, F.lit(1))
     apart = pairs.where((F.col("component") != F.col("other.component")) & can)
-    return frequent(apart.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), need.alias("need")))
+    return frequent(apart.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"), need.alias("need")), counts)
 
 
 def dealt_lists(lists: DataFrame) -> DataFrame:
@@ -322,11 +351,12 @@ def dealt_lists(lists: DataFrame) -> DataFrame:
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = own.withColumn("partner", partner)
     unit = F.least("block", "partner") * F.col("blocks") + F.greatest("block", "partner")
-    return met.select("token", unit.cast("long").alias("unit"), "at", "node", "component", "block", (F.col("block") != F.col("partner")).alias("across"), "sign")
+    return met.select("token", unit.cast("long").alias("unit"), "at", "node", "component", "block", (F.col("block") != F.col("partner")).alias("across"))
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components that can link. ``lists``: token, at, node, component, sign.
+def cross_pairs(lists: DataFrame, signs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that can link. ``lists``: token, at, node, component; ``signs``: node, sign;
+    ``counts``: ``led_pairs``.
 
     Within a unit, ordered by size and place, sets are compared with those 1, 2, 3 ... places behind, all at once; a set
     drops out where its unit ends or sizes go beyond what it can link to. What is left are pairs of signatures that differ
@@ -371,8 +401,9 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
         if held and len(held[0]):
             yield from pairs(*held)
 
-    found = dealt_lists(lists).repartition("token", "unit").sortWithinPartitions("token", "unit", "at")
-    return frequent(found.mapInArrow(make, "a long, b long, need long"))
+    signed = dealt_lists(lists).join(signs, "node").select("token", "unit", "at", "node", "component", "block", "across", "sign")
+    found = signed.repartition("token", "unit").sortWithinPartitions("token", "unit", "at")
+    return frequent(found.mapInArrow(make, "a long, b long, need long"), counts)
 
 
 def _units(token: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,14 +411,68 @@ def _units(token: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(token)]])
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. ``texts``: (node, packed). Each b's text goes to a portion of a's pairs, with a's text."""
+def key_filter(keys: DataFrame, name: str = "key") -> np.ndarray:
+    """Bits of a Bloom filter of a column of hashes, with two probes each; at most ``FILTER_MOST`` bits come to the driver."""
+    bits = FILTER_BLOCK
+    while bits < min(FILTER_MOST, FILTER_BITS * keys.count()):
+        bits *= 2
+    cells = F.array(F.col(name).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(bits - 1)))
+    probes = keys.select(F.explode(cells).alias("cell")).select("cell", F.expr(f"cell div {FILTER_BLOCK}").alias("block"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell, block = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for b in np.unique(block).tolist():
+                blocks.setdefault(b, np.zeros(FILTER_BLOCK, bool))[cell[block == b] % FILTER_BLOCK] = True
+        packed = [np.packbits(held).tobytes() for held in blocks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(packed, pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in probes.repartition("block").mapInArrow(mark, "block long, bits binary").collect():
+        at = row["block"] * FILTER_BLOCK // 8
+        out[at : at + FILTER_BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each key may be one that ``key_filter`` was given; true for all that were."""
+    key, last = key.view(np.uint64), np.uint64(8 * len(bits) - 1)
+    probes = ((key & last).astype(np.int64), ((key >> np.uint64(32)) & last).astype(np.int64))
+    first, second = ((bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in probes)
+    return (first & second).astype(bool)
+
+
+def packed_texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(key, check, packed) of the rows whose key, the hash of doc_id and check, passes the filter. Only these leave their task."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            chosen = batch.filter(pa.array(passes(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+            for chunk in spans.chunks(iter([chosen])):
+                data, bounds = spans.text_bytes(chunk.column(2))
+                whole = data.tobytes()
+                bodies = [compress(whole[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*chunk.columns[:2], pa.array(bodies, pa.binary())], names=["key", "check", "packed"])
+
+    return rows.select(F.xxhash64("doc_id", "check").alias("key"), "check", "text").mapInArrow(squeeze, "key long, check long, packed binary")
+
+
+def compare(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. Each b's text goes to a portion of a's pairs, with a's text.
+
+    ``nodes``: (node, least, check), the row of ``rows`` (doc_id, text, check) that has a set's text. Where the texts are
+    wanted is written first; texts that are not wanted stay where they are.
+    """
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
     dealt = pairs.join(portions, "a").withColumn("portion", F.pmod(F.xxhash64("b"), F.col("portions")))
-    right = dealt.join(texts, dealt["b"] == texts["node"]).select("a", "portion", F.lit(1).alias("role"), "b", "packed")
-    left = dealt.select("a", "portion").distinct().join(texts, F.col("a") == texts["node"]).select(
-        "a", "portion", F.lit(0).alias("role"), F.col("a").alias("b"), "packed"
-    )
+    leaders = dealt.select("a", "portion").distinct().select("a", "portion", F.lit(0).alias("role"), F.col("a").alias("b"))
+    meeting = dealt.select("a", "portion", F.lit(1).alias("role"), "b").unionByName(leaders)
+    known = nodes.select(F.col("node").alias("b"), F.xxhash64("least", "check").alias("key"), "check")
+    wanted = _stored(meeting.join(known, "b"), "wanted")
+    # Repeated rows give a set several equal texts; one is enough.
+    texts = packed_texts(rows, key_filter(wanted.select("key").distinct())).dropDuplicates(["key", "check"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -408,7 +493,8 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    both = right.unionByName(left).repartition("a", "portion").sortWithinPartitions("a", "portion", "role")
+    sent = texts.join(wanted, ["key", "check"]).select("a", "portion", "role", "b", "packed")
+    both = sent.repartition("a", "portion").sortWithinPartitions("a", "portion", "role")
     return both.mapInArrow(test, "a long, b long")
 
 
@@ -461,52 +547,23 @@ def _components(docs: DataFrame) -> DataFrame:
 
     lists = _stored(shared_lists(index_entries(rows, classes, twins)), "lists")
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=3).compress
-        for chunk in spans.chunks(batches):
-            data, bounds = spans.text_bytes(chunk.column(1))
-            whole = data.tobytes()
-            bodies = [compress(whole[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(bodies, pa.binary())], names=["node", "packed"])
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """(node, packed) of the sets in the pairs.
-
-        Which texts are wanted is written first: where Spark then finds that list short enough to broadcast, the other texts
-        stay where they are.
-        """
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = _stored(needed.join(nodes, "node").select(F.col("least").alias("doc_id"), "check", "node"), "wanted")
-        same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["check"] == wanted["check"])
-        found = rows.join(wanted, same).select("node", "text").mapInArrow(squeeze, "node long, packed binary")
-        # Repeated rows give a node several equal texts; one is enough.
-        return _stored(found.dropDuplicates(["node"]), "texts")
-
-    led = lists.where("leader <> node and need > 0").select(F.col("leader").alias("a"), F.col("node").alias("b"), "need")
-    stars = _stored(frequent(led), "stars")
-    links = _stored(compare(stars, texts_of(stars)), "links")
+    counts = _stored(led_pairs(lists), "led")
+    stars = counts.where("lists >= need").select("a", "b")
+    links = _stored(compare(stars, nodes, rows), "links")
     component = connected_components(links)
 
-    def placed(component: DataFrame) -> DataFrame:
-        """The lists with the component of each set, if it has links."""
-        return lists.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    def split(component: DataFrame) -> DataFrame:
-        """The lists that are in several components."""
-        now = placed(component)
-        mixed = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        return now.join(mixed.select("token"), "token", "left_semi")
-
-    # What links to a leader is answered. Lists that are still in several components get other leaders,
-    again = _stored(led_again(split(component)).join(stars, ["a", "b"], "left_anti"), "again")
+    # What links to a leader is answered. Lists whose other sets are still in several components get other leaders,
+    mixed = _stored(split_lists(lists.where("leader <> node and more"), component), "mixed")
+    again = _stored(led_again(mixed, counts), "again")
     if not again.isEmpty():
-        links = _stored(links.unionByName(compare(again, texts_of(again))), "links")
+        links = _stored(links.unionByName(compare(again, nodes, rows)), "links")
         component = connected_components(links)
+        mixed = _stored(split_lists(mixed.drop("component"), component), "mixed")
     # and in the end every pair of a list that is in two components and was not compared yet.
-    pairs = cross_pairs(split(component).join(nodes.select("node", "sign"), "node"))
-    rest = _stored(pairs.join(stars.unionByName(again), ["a", "b"], "left_anti"), "rest")
+    pairs = cross_pairs(mixed, nodes.select("node", "sign"), counts)
+    rest = _stored(pairs.join(again, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = _stored(compare(rest, texts_of(rest)), "more-links")
+        more = _stored(compare(rest, nodes, rows), "more-links")
         if not more.isEmpty():
             component = connected_components(links.unionByName(more))
     roots = component.join(nodes, "node").groupBy("component").agg(F.min("least").alias("root"))

@@ -82,6 +82,54 @@ def prose(seed, n=60):
     return " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10_000, n))
 
 
+def test_lists_of_two_sets_do_not_come_back(spark, monkeypatch):
+    """Two sets that alone share lists are settled when their leader was looked at; the later rounds have none of their lists."""
+    docs = [(2 * k + i, f"{prose(k)} {prose(1_000 + 2 * k + i)}") for k in range(60) for i in range(2)]
+    seen = []
+    for name in ("led_again", "cross_pairs"):
+        real = getattr(jaccard_join, name)
+        monkeypatch.setattr(jaccard_join, name, lambda lists, *rest, real=real: (seen.append(lists.count()), real(lists, *rest))[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == Counter(brute.components(docs))
+    assert seen == [0, 0]
+
+
+def test_lists_that_a_third_set_leads(spark):
+    """Two sets that link with no shared list to spare, and some of these lists are led by one of them, the others by a third set.
+
+    The 40 common shingles stand in three sets each and so behind the 5 own ones: a prefix of 10 has the same 5 of them, and 5
+    are needed.
+    """
+    docs = []
+    for k in range(60):
+        both = prose(10 * k, 44)
+        docs += [(4 * k, f"{both} {prose(10 * k + 1, 5)}"), (4 * k + 1, f"{both} {prose(10 * k + 2, 5)}")]
+        docs += [(4 * k + 2, " ".join(both.split()[:24])), (4 * k + 3, " ".join(both.split()[20:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute.components(docs)
+    assert len({c for *_, c in want}) == 180
+    assert rows(jaccard_join.jaccard_components(df), "doc_id", "n_shingles", "component_id") == Counter(want)
+
+
+def test_only_wanted_texts_are_moved(spark, monkeypatch):
+    """Of all texts, those of the wanted rows pass, and next to no others; an overfull filter lets more pass and loses none."""
+    docs = [(k if k % 3 else None, prose(k)) for k in range(3_000)] + [(1, None), (1, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as check")
+    wanted = df.where("check % 50 = 0 or text = ''").selectExpr("xxhash64(doc_id, check) as key", "check")
+    want = {tuple(r) for r in wanted.collect()}
+    assert len(want) > 20
+    for most in (jaccard_join.FILTER_MOST, 1 << 6):
+        monkeypatch.setattr(jaccard_join, "FILTER_MOST", most)
+        monkeypatch.setattr(jaccard_join, "FILTER_BLOCK", min(most, jaccard_join.FILTER_BLOCK))
+        moved = jaccard_join.packed_texts(df, jaccard_join.key_filter(wanted.select("key"))).collect()
+        found = {(r["key"], r["check"]) for r in moved}
+        assert want <= found
+        assert (len(moved) <= len(want) + 10) == (most > 1 << 6)
+    edges = [(2 * k + i, prose(k) + " tail" * i) for k in range(40) for i in range(2)]
+    pairs = spark.createDataFrame(edges, "doc_id long, text string")
+    assert rows(jaccard_join.jaccard_components(pairs), "doc_id", "n_shingles", "component_id") == Counter(brute.components(edges))
+
+
 def test_one_row_of_each_component(spark):
     """Rows without a doc_id, or with a reused one, stay or go by themselves; of equal rows one stays."""
     near = lambda seed: prose(seed) + " tail"
