@@ -10,18 +10,31 @@ meets is the first that is unchanged with as many edits before it as its number.
 edits that are left: in a group of many texts it is cut into segments in turn, of which one is unchanged, and so on. When
 no edit is left, all behind has to be equal, and the parts passed over are looked at. Parts only become shorter and edits
 fewer, so a text has few such paths, and every group ends small or with texts that differ in a few characters.
+
+Where swapping neighbours is one edit, a character is left out between segments: an edit then reaches no more segments than
+it counts, and as many segments do as without swaps.
+
+Nearly all segments belong to one text. So the keys of a text are made twice: first they are only counted, then those that
+can bring two texts together are joined. No text is moved but to find equal ones and to be compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.functions.segments import Pieces, segments
 from pulseframe.functions.text import damerau
-from pulseframe.session import ensure_checkpoint_dir
+from pulseframe.session import ensure_checkpoint_dir, scratch_path
 
 #: A group with more texts than this on both sides is cut again.
 LARGE = 256
+#: So many keys at most are broadcast to pick the rows that have one of them.
+BROADCAST_KEYS = 1_000_000
 
 
 #: A text on its way: the group that it is in, the part that is cut next with the edits it may have, what was passed over with
@@ -29,10 +42,17 @@ LARGE = 256
 ROW = ["id", "group", "body", "edits", "passed", "passed_edits", "reach"]
 
 
-def _layout(length: Column, parts: Column, part: Column) -> tuple[Column, Column]:
-    """(start, size) of a segment: all have one size but for the last ones, which may have one character more."""
-    base, longer = F.floor(length / parts).cast("int"), length % parts
-    return part * base + F.greatest(F.lit(0), part - (parts - longer)), base + (part >= parts - longer).cast("int")
+def _layout(length: Column, parts: Column, part: Column, gap: int = 0) -> tuple[Column, Column]:
+    """(start, size) of a segment: all have one size but for the last ones, which may have one character more. ``gap`` characters
+    are left out between two segments."""
+    inside = length - gap * (parts - 1)
+    base, longer = F.floor(inside / parts).cast("int"), inside % parts
+    return part * (base + gap) + F.greatest(F.lit(0), part - (parts - longer)), base + (part >= parts - longer).cast("int")
+
+
+def _fewest(edits: Column | int, gap: int) -> Column | int:
+    """Characters of the shortest text whose segments have one each."""
+    return edits + 1 + gap * edits
 
 
 def _cut(length: Column, part: Column, start: Column, size: Column) -> Column:
@@ -52,14 +72,14 @@ def _numbers(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def _filed(rows: DataFrame) -> DataFrame:
+def _filed(rows: DataFrame, gap: int = 0) -> DataFrame:
     """(id, key, ...) of the segments of each text that has enough characters."""
     length, parts = F.length("body"), F.col("edits") + 1
-    one = lambda part: _cut(length, part, *_layout(length, parts, part))
-    return rows.where(length >= parts).select("id", F.inline(F.transform(_numbers(F.lit(0), F.col("edits")), one)))
+    one = lambda part: _cut(length, part, *_layout(length, parts, part, gap))
+    return rows.where(length >= _fewest(F.col("edits"), gap)).select("id", F.inline(F.transform(_numbers(F.lit(0), F.col("edits")), one)))
 
 
-def _asked(rows: DataFrame, shorter: bool = False) -> DataFrame:
+def _asked(rows: DataFrame, shorter: bool = False, gap: int = 0) -> DataFrame:
     """(id, key, ...) of all substrings that can be a segment of a text within reach.
 
     If the first ``part`` segments took that many edits, then this one is shifted by no more than that, and seen from the end by
@@ -70,7 +90,7 @@ def _asked(rows: DataFrame, shorter: bool = False) -> DataFrame:
 
     def of_length(length: Column) -> Column:
         def of_part(part: Column) -> Column:
-            start, size = _layout(length, parts, part)
+            start, size = _layout(length, parts, part, gap)
             shift, left = n - length, F.col("edits") - part
             nearest, furthest = F.ceil((shift - F.col("reach")) / 2).cast("int"), F.floor((shift + F.col("reach")) / 2).cast("int")
             first = F.greatest(F.lit(0), start - part, start + shift - left, start + nearest)
@@ -79,7 +99,7 @@ def _asked(rows: DataFrame, shorter: bool = False) -> DataFrame:
 
         return F.flatten(F.transform(_numbers(F.lit(0), F.col("edits")), of_part))
 
-    lengths = _numbers(F.greatest(parts, n - F.col("reach")), n if shorter else n + F.col("reach"))
+    lengths = _numbers(F.greatest(_fewest(F.col("edits"), gap), n - F.col("reach")), n if shorter else n + F.col("reach"))
     return rows.select("id", F.inline(F.flatten(F.transform(lengths, of_length))))
 
 
@@ -102,66 +122,149 @@ def _variants(text: Column, edits: Column, most: int) -> Column:
     return F.array_distinct(found)
 
 
-def _short(rows: DataFrame, extra: Column, most: int) -> DataFrame:
+def _short(rows: DataFrame, extra: Column, most: int, gap: int = 0) -> DataFrame:
     """(id, key, ...) of parts with too few characters for segments: two of them reach a common one by leaving characters out."""
     edits = F.col("edits")
-    few = rows.where(F.length("body") < edits + 1 + extra)
+    few = rows.where(F.length("body") < _fewest(edits, gap) + extra)
     return few.select("id", F.explode(_variants(F.col("body"), edits, most)).alias("variant"), "group", "edits", "passed", "passed_edits").select(
         "id", F.xxhash64("group", F.lit("few"), "edits", "variant").alias("key"), F.col("passed").alias("body"),
         (F.col("passed_edits") + edits).alias("edits"), F.lit("").alias("passed"), F.lit(0).alias("passed_edits"),
     )
 
 
-def near_pairs(left: DataFrame, right: DataFrame, edits: int, distance: int, among: bool = False) -> DataFrame:
+#: Roles of a row: it asks, or it is filed, or both.
+ASKS, FILES = 1, 2
+
+
+def _cut_texts(texts: DataFrame, edits: int, reach: int, gap: int, role: int, shorter: bool, only: np.ndarray | None = None) -> DataFrame:
+    """The segments of whole texts (id, body) as numbers, with all of ``_asked`` and ``_filed``: (id, key, role). With the sorted
+    keys ``only``, the rows with one of these, and what is to be cut next as well: (id, group, body, edits, passed, passed_edits, role)."""
+    fat = "group bigint, body string, edits int, passed string, passed_edits int" if only is not None else "key bigint"
+    wanted = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, pieces in Pieces.of(batch.column(1)):
+                ids = batch.column(0).slice(at, len(pieces.lengths))
+                for row, key, part, start, size, roles in segments(pieces, edits, reach, gap, role & ASKS > 0, role & FILES > 0, shorter):
+                    if wanted is None:
+                        yield pa.record_batch([ids.take(pa.array(row)), pa.array(key), pa.array(roles)], ["id", "key", "role"])
+                        continue
+                    near = np.searchsorted(wanted.value, key)
+                    row, key, start, roles, size = (x[wanted.value[np.minimum(near, len(wanted.value) - 1)] == key] for x in (row, key, start, roles, size))
+                    if not len(row):
+                        continue
+                    before, behind = pieces.around(row, start, size)
+                    whole = part == edits
+                    yield pa.record_batch([
+                        ids.take(pa.array(row)), pa.array(key), pa.array(before if whole else behind, pa.string()), pa.array(np.full(len(row), edits if whole else edits - part, np.int32)),
+                        pa.array([""] * len(row) if whole else before, pa.string()), pa.array(np.full(len(row), 0 if whole else part, np.int32)), pa.array(roles),
+                    ], ["id", "group", "body", "edits", "passed", "passed_edits", "role"])
+
+    return texts.select("id", "body").mapInArrow(rows, f"id {texts.schema['id'].dataType.simpleString()}, {fat}, role int")
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows from Parquet, packed more closely than in a checkpoint."""
+    path = scratch_path(df.sparkSession, "fuzzy")
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _met(keyed: DataFrame, among: bool) -> DataFrame:
+    """(key, large) of the keys that bring two texts together, from (id, key, role, open). A key behind which nothing is left to
+    cut is not large. ``among`` says that an id is that of one text on both sides, which does not meet itself."""
+    asks, files = F.col("role").bitwiseAND(ASKS) > 0, F.col("role").bitwiseAND(FILES) > 0
+    ids = [F.min("id").alias("lo"), F.max("id").alias("hi")] if among else []
+    groups = keyed.groupBy("key").agg(F.bit_or("role").alias("roles"), F.count_if(asks & F.col("open")).alias("n"), F.count_if(files & F.col("open")).alias("m"), *ids)
+    groups = groups.where(F.col("roles") == ASKS | FILES)
+    return (groups.where("lo <> hi") if among else groups).select("key", (F.least("n", "m") > LARGE).alias("large")).checkpoint()
+
+
+def _having(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with one of the keys; they stay where they are unless there are many keys."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, edits: int, distance: int, among: bool = False, gap: int = 0) -> DataFrame:
     """Candidate pairs (a, b) of ids among texts (id, body), with all that are within ``edits`` single edits of which at most
     ``distance`` insert or delete; a pair may come several times. ``among`` says that both tables are one: only the longer text
-    of a pair then asks for the other."""
+    of a pair then asks for the other. With a ``gap`` of 1, swapping neighbours is a single edit as well."""
     start = [F.lit(0).cast("bigint"), F.col("body"), F.lit(edits), F.lit(""), F.lit(0), F.lit(distance)]
     a, b = (t.select("id", *[c.alias(n) for n, c in zip(ROW[1:], start)]) for t in (left, right))
-    found, shorter = None, among
+
+    def whole(only: np.ndarray | None = None) -> DataFrame:
+        cut = lambda t, role: _cut_texts(t, edits, distance, gap, role, among, only)
+        return cut(left, ASKS | FILES) if among else cut(left, ASKS).unionByName(cut(right, FILES))
+
+    found, texts = None, True
     while True:
-        asked = _asked(a, shorter).unionByName(_short(a, F.col("reach"), edits))
-        filed = _filed(b).unionByName(_short(b, F.lit(0), edits))
-        # A key behind which nothing is left to cut joins as it is.
-        open_ = [t.where("body <> ''").groupBy("key").agg(F.count("*").alias(n)) for t, n in ((asked, "n"), (filed, "m"))]
-        large = open_[0].join(open_[1], "key").where(F.least("n", "m") > LARGE).select("key").checkpoint()
-        some = not large.isEmpty()
-        keys = [t.select(F.col("id").alias(n), "key") for t, n in ((asked, "a"), (filed, "b"))]
-        if some:
-            keys = [k.join(large, "key", "left_anti") for k in keys]
-        pairs = keys[0].join(keys[1], "key").select("a", "b")
+        parts = [(_short(a, F.col("reach"), edits, gap), ASKS), (_short(b, F.lit(0), edits, gap), FILES)]
+        if not texts:
+            parts += [(_asked(a, False, gap), ASKS), (_filed(b, gap), FILES)]
+        keyed = [t.select("id", "key", F.lit(role).alias("role"), (F.col("body") != "").alias("open")) for t, role in parts]
+        if texts:
+            keyed.append(whole().withColumn("open", F.lit(True)))
+        every = keyed[0]
+        for more in keyed[1:]:
+            every = every.unionByName(more)
+        met = _met(every, among)
+        meeting = _stored(_having(every.select("id", "key", "role"), met.where("not large").select("key")))
+        sides = [meeting.where(F.col("role").bitwiseAND(role) > 0).select(F.col("id").alias(n), "key") for role, n in ((ASKS, "a"), (FILES, "b"))]
+        pairs = sides[0].join(sides[1], "key").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        if not some:
+        large = met.where("large").select("key")
+        if large.isEmpty():
             return found
-        shorter = False  # what stands behind a segment may be longer in either text
-        again = [F.col("id"), F.col("key").alias("group"), *ROW[2:6], F.col("edits").alias("reach")]
-        a, b = (t.join(large, "key", "left_semi").select(*again).distinct().checkpoint() for t in (asked, filed))
+        # What stands behind a segment may be longer in either text, so from now on both ask for all lengths.
+        again = [F.col("id"), F.col("key").alias("group"), *ROW[2:6], F.lit(0).alias("role")]
+        rows = [_having(t, large).select(*again[:-1], F.lit(role).alias("role")) for t, role in parts]
+        if texts:
+            rows.append(whole(np.sort(np.array([r[0] for r in large.collect()], np.int64))))
+        every = rows[0]
+        for more in rows[1:]:
+            every = every.unionByName(more)
+        every = every.withColumn("reach", F.col("edits")).distinct().checkpoint()
+        a, b = (every.where(F.col("role").bitwiseAND(role) > 0).drop("role") for role in (ASKS, FILES))
+        texts = False
+
+
+def _only_in(texts: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """The texts whose id a column of ``pairs`` has, picked where they are by a bit for each id."""
+    bits = pairs.select(F.bitmap_bucket_number(column).alias("bucket"), F.bitmap_bit_position(column).alias("bit"))
+    bits = F.broadcast(bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    at = F.bitmap_bit_position("id")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.getbit(byte, (at % 8).cast("int")) == 1
+    return texts.withColumn("bucket", F.bitmap_bucket_number("id")).join(bits, "bucket").where(has).drop("bucket", "bits")
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_text: str | None, distance: int = 1, metric: str = "levenshtein") -> DataFrame:
     """Pairs of distinct texts within an edit distance: (left_text, right_text, distance).
 
     ``metric`` "levenshtein" counts single edits; "damerau" also counts a swap of neighbours as one, and pairs are then
-    complete in that metric: a swap is at most two single edits, which replace a character. No pair is missed, and texts only meet if they share a
-    segment that few others have. Without ``right`` the table is joined with itself and each pair comes once. Null texts
-    have no pairs.
+    complete in that metric. No pair is missed, and texts only meet if they share a segment that few others have. Without
+    ``right`` the table is joined with itself and each pair comes once. Null texts have no pairs.
     """
     ensure_checkpoint_dir(left.sparkSession)
 
-    def named(df: DataFrame, text: str) -> DataFrame:
+    def named(df: DataFrame, text: str, sign: int) -> DataFrame:
         texts = df.select(F.col(text).alias("body")).where(F.col("body").isNotNull()).distinct()
-        return texts.select(F.unhex(F.md5("body")).alias("id"), "body").checkpoint()
+        return _stored(texts.select(((F.monotonically_increasing_id() + 1) * sign).alias("id"), "body"))
 
-    a = named(left, left_text)
-    b = a if right is None else named(right, right_text or left_text)
-    found = near_pairs(a, b, distance * (2 if metric == "damerau" else 1), distance, right is None)
+    a = named(left, left_text, 1)
+    b = a if right is None else named(right, right_text or left_text, -1)
+    found = near_pairs(a, b, distance, distance, right is None, int(metric == "damerau"))
     if right is None:
         found = found.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    texts = [t.select(F.col("id").alias(n), F.col("body").alias(f"{n}_text")) for t, n in ((a, "a"), (b, "b"))]
-    pairs = found.distinct().join(texts[0], "a").join(texts[1], "b")
+    found = found.distinct().checkpoint()
+    texts = [_only_in(t, found, n).select(F.col("id").alias(n), F.col("body").alias(f"{n}_text")) for t, n in ((a, "a"), (b, "b"))]
+    pairs = found.join(texts[0], "a").join(texts[1], "b")
     if right is None:
         pairs = pairs.select(F.least("a_text", "b_text").alias("left_text"), F.greatest("a_text", "b_text").alias("right_text"))
     else:
         pairs = pairs.select(F.col("a_text").alias("left_text"), F.col("b_text").alias("right_text"))
+    if metric == "damerau":  # a swap is at most two single edits, which few of the candidates are within
+        pairs = pairs.where(F.levenshtein("left_text", "right_text", 2 * distance) >= 0)
     measure = damerau(F.col("left_text"), F.col("right_text"), distance) if metric == "damerau" else F.levenshtein("left_text", "right_text", distance)
     return pairs.withColumn("distance", measure).where(F.col("distance").between(0, distance))

@@ -101,3 +101,53 @@ def test_only_the_longer_text_asks(spark):
     row = ("x" * 40,)
     t = spark.createDataFrame([row], "body string").selectExpr("1L as id", "0L as group", "body", "4 as edits", "'' as passed", "0 as passed_edits", "2 as reach")
     assert fuzzy._asked(t, shorter=True).count() == 28 < fuzzy._asked(t).count()
+
+
+def test_a_swap_is_one_edit_of_the_index(spark, monkeypatch):
+    """Two swaps anywhere, also over the ends of segments, leave one of three segments as it is."""
+    text = "abcdefghijklmnopq"
+    swapped = lambda t, i: t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+    near = {swapped(swapped(text, i), j) for i in range(16) for j in range(16)} | {swapped(text[:i] + text[i + 1 :], j) for i in range(17) for j in range(15)}
+    near = sorted(near - {text})
+    asked, kept = [], fuzzy.near_pairs
+    monkeypatch.setattr(fuzzy, "near_pairs", lambda left, right, edits, *more: asked.append(edits) or kept(left, right, edits, *more))
+    one, many = (spark.createDataFrame([(t,) for t in texts], "t string") for texts in ([text], near))
+    assert sorted(p[1] for p in pairs(fuzzy.fuzzy_join(one, many, "t", "t", 2, "damerau"))) == near
+    assert sorted(p[0] for p in pairs(fuzzy.fuzzy_join(many, one, "t", "t", 2, "damerau"))) == near
+    assert asked == [2, 2]
+
+
+@pytest.mark.parametrize("edits_,reach,gap,shorter", [(2, 2, 1, True), (2, 2, 0, False), (4, 2, 0, True), (1, 1, 1, False), (0, 0, 1, True)])
+def test_segments_as_numbers(spark, edits_, reach, gap, shorter):
+    """The keys of whole texts bring those together that the expressions for parts do."""
+    dice = random.Random(edits_)
+    texts = sorted(set(some(dice, 9, 150) + some(dice, 40, 30, "ab")))
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, body string")
+    rows = df.selectExpr("id", "0L as group", "body", f"{edits_} as edits", "'' as passed", "0 as passed_edits", f"{reach} as reach")
+
+    def groups(found):
+        by = {}
+        for role, table in found:
+            for r in table.select("id", "key").collect():
+                by.setdefault(r["key"], []).append((role, r["id"]))
+        return sorted(map(sorted, by.values()))
+
+    want = groups([("asks", fuzzy._asked(rows, shorter, gap)), ("files", fuzzy._filed(rows, gap))])
+    both = fuzzy._cut_texts(df, edits_, reach, gap, fuzzy.ASKS | fuzzy.FILES, shorter)
+    assert groups([("asks", both.where("role in (1, 3)")), ("files", both.where("role in (2, 3)"))]) == want
+    apart = [(name, fuzzy._cut_texts(df, edits_, reach, gap, role, shorter)) for name, role in (("asks", fuzzy.ASKS), ("files", fuzzy.FILES))]
+    assert groups(apart) == want
+
+
+def test_only_texts_of_pairs_are_moved(spark):
+    texts = spark.range(-70_000, 70_000).selectExpr("id", "'t' as body")
+    found = spark.createDataFrame([(-69_999, 5), (-32_768, 32_768), (-1, 32_769), (-1, 65_536)], "a bigint, b bigint")
+    assert sorted(r[0] for r in fuzzy._only_in(texts, found, "a").collect()) == [-69_999, -32_768, -1]
+    assert sorted(r[0] for r in fuzzy._only_in(texts, found, "b").collect()) == [5, 32_768, 32_769, 65_536]
+
+
+def test_one_text_per_key_brings_nothing_together(spark):
+    """Of texts that have no other near, no row but the count of its keys is kept."""
+    rows = [(1, 5, 3, True), (1, 5, 1, True), (2, 6, 1, True), (3, 6, 1, True), (2, 7, 3, True), (3, 7, 1, True)]
+    keyed = spark.createDataFrame(rows, "id bigint, key bigint, role int, open boolean")
+    assert [tuple(r) for r in fuzzy._met(keyed, True).collect()] == [(7, False)]
