@@ -20,7 +20,7 @@ can bring two texts together are joined. No text is moved but to find equal ones
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,10 @@ from pulseframe.session import ensure_checkpoint_dir, scratch_path
 LARGE = 256
 #: So many keys at most are broadcast to pick the rows that have one of them.
 BROADCAST_KEYS = 1_000_000
+#: Up to this length, a text may stand for itself in the pairs of texts that are one edit apart.
+SHORT = 64
+#: Up to this length, a part with one edit left is looked up by all that it leaves when a character goes.
+LEAF = 12
 
 
 #: A text on its way: the group that it is in, the part that is cut next with the edits it may have, what was passed over with
@@ -229,6 +233,75 @@ def near_pairs(left: DataFrame, right: DataFrame, edits: int, distance: int, amo
         texts = False
 
 
+def _halves(rows: DataFrame, lengths: Callable[[Column, Column], list[tuple[Column, Column]]]) -> DataFrame:
+    """(key, text, own, body, ended) of the halves of each body as they are in a text of its own length, or of one character less."""
+    body, n = F.col("body"), F.length("body")
+
+    def cut(length: Column, own: Column) -> list[Column]:
+        first = F.floor(length / 2).cast("int")
+        rest = length - first
+        at = n - rest
+        key = lambda part, half: F.xxhash64("group", length, F.lit(part), half).alias("key")
+        return [
+            F.struct(key(0, F.substring(body, F.lit(1), first)), own.alias("own"), F.substring(body, first + 1, n).alias("body"), F.col("ended")),
+            F.struct(key(1, F.substring(body, at + 1, rest)), own.alias("own"), F.substring(body, F.lit(1), at).alias("body"), F.lit(True).alias("ended")),
+        ]
+
+    return rows.select("text", F.inline(F.array(*[c for length, own in lengths(n, F.col("own")) for c in cut(length, own)]))).where("body is not null")
+
+
+def _left_out(rows: DataFrame) -> DataFrame:
+    """(key, text, own) of short bodies: with a character left out at a place, for those of one length, or just left out, for the body that it leaves."""
+    body, n, own = F.col("body"), F.length("body"), F.col("own")
+    without = lambda i: F.concat(F.substring(body, F.lit(1), i - 1), F.substring(body, i + 1, n))
+    places = _numbers(F.lit(1), n)
+    # Of equal characters in a row only the first is left out, and none that could be the one between both halves: that pair is found in the first half's group.
+    first = lambda i: ((i == 1) | (F.substring(body, i - 1, F.lit(1)) != F.substring(body, i, F.lit(1)))) & ~(F.col("ended") & F.startswith(body, without(i)))
+    of_own = F.concat(F.transform(places, lambda i: F.xxhash64("group", i, without(i))), F.array(F.xxhash64("group", F.lit(0), body)))
+    of_longer = F.transform(F.filter(places, first), lambda i: F.xxhash64("group", F.lit(0), without(i)))
+    return rows.select("text", "own", F.explode(F.when(own, of_own).otherwise(of_longer)).alias("key"))
+
+
+def _edit_apart(rows: DataFrame, kept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(left_text, right_text) among rows (key, text, own, ...) with one key, of which one is an own one, that are one edit apart."""
+    # Both sides are one shuffle: a condition on one of them alone would be moved below it, and make it two.
+    rows = rows.withColumn("own", F.when(F.col("own"), 1).otherwise(2)).repartition("key")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{n}_{c}") for c in rows.columns if c != "key"]) for n in "xy")
+    roles = F.col("x_own") * 2 + F.col("y_own")
+    apart = ((roles == 5) | ((roles == 3) & (F.col("x_text") < F.col("y_text")))) & (F.levenshtein("x_text", "y_text", 1) == 1)
+    if kept is not None:
+        apart &= kept(F.col("x_body"), F.col("y_body"))
+    return x.join(y, "key").where(apart).select(F.least("x_text", "y_text").alias("left_text"), F.greatest("x_text", "y_text").alias("right_text"))
+
+
+def one_edit_pairs(texts: DataFrame) -> DataFrame:
+    """All pairs (left_text, right_text) of different texts (body) that are one single edit apart, each once.
+
+    One half of the shorter text is unchanged at the beginning or end of the other, and the other halves are one edit apart; a large group
+    is cut again, by what is left. A text asks with its halves as those of a text with one character less, and is filed under its ``own`` ones.
+    Texts of one length share one half only. Otherwise both may be shared, if the character left out can be the one between them: such a pair
+    counts in the group of the first half, so in an ``ended`` body that is the rest of the other one with characters behind it, it does not.
+    """
+    rows = texts.select(F.lit(0).cast("bigint").alias("group"), F.col("body").alias("text"), F.lit(True).alias("own"), "body", F.lit(False).alias("ended"))
+    lengths = lambda n, own: [(n, F.lit(True)), (F.when(n > 0, n - 1), F.lit(False))]
+    once = lambda x, y: ~(F.col("x_ended") & (F.length(x) != F.length(y)) & F.startswith(x, y))
+    found = None
+    while True:
+        halves = _halves(rows, lengths)
+        groups = halves.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m")).where("n > 1 and m > 0")
+        met = groups.select("key", (F.col("n") * F.col("m") > LARGE * LARGE).alias("large")).checkpoint()
+        pairs = _edit_apart(_having(halves, met.where("not large").select("key")), once)
+        found = pairs if found is None else found.unionByName(pairs)
+        large = met.where("large").select("key")
+        if large.isEmpty():
+            return found
+        again = _stored(_having(halves, large).withColumnRenamed("key", "group"))
+        length = F.length("body") - F.when(F.col("own"), 0).otherwise(1)
+        found = found.unionByName(_edit_apart(_left_out(again.where(length <= LEAF))))
+        rows = again.where(length > LEAF)
+        lengths = lambda n, own: [(n - F.when(own, 0).otherwise(1), own)]
+
+
 def _only_in(texts: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
     """The texts whose id a column of ``pairs`` has, picked where they are by a bit for each id."""
     bits = pairs.select(F.bitmap_bucket_number(column).alias("bucket"), F.bitmap_bit_position(column).alias("bit"))
@@ -254,12 +327,16 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_t
 
     a = named(left, left_text, 1)
     b = a if right is None else named(right, right_text or left_text, -1)
-    found = near_pairs(a, b, distance, distance, right is None, int(metric == "damerau"))
+    one = right is None and distance == 1 and metric == "levenshtein"
+    among = a.where(F.length("body") >= SHORT) if one else a
+    found = near_pairs(among, among if right is None else b, distance, distance, right is None, int(metric == "damerau"))
     if right is None:
         found = found.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = found.distinct().checkpoint()
     texts = [_only_in(t, found, n).select(F.col("id").alias(n), F.col("body").alias(f"{n}_text")) for t, n in ((a, "a"), (b, "b"))]
     pairs = found.join(texts[0], "a").join(texts[1], "b")
+    if one:
+        pairs = pairs.where(F.greatest(F.length("a_text"), F.length("b_text")) > SHORT)
     if right is None:
         pairs = pairs.select(F.least("a_text", "b_text").alias("left_text"), F.greatest("a_text", "b_text").alias("right_text"))
     else:
@@ -267,4 +344,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_t
     if metric == "damerau":  # a swap is at most two single edits, which few of the candidates are within
         pairs = pairs.where(F.levenshtein("left_text", "right_text", 2 * distance) >= 0)
     measure = damerau(F.col("left_text"), F.col("right_text"), distance) if metric == "damerau" else F.levenshtein("left_text", "right_text", distance)
-    return pairs.withColumn("distance", measure).where(F.col("distance").between(0, distance))
+    pairs = pairs.withColumn("distance", measure).where(F.col("distance").between(0, distance))
+    if not one:
+        return pairs
+    return pairs.unionByName(one_edit_pairs(a.where(F.length("body") <= SHORT)).withColumn("distance", F.lit(1)))

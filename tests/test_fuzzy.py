@@ -151,3 +151,26 @@ def test_one_text_per_key_brings_nothing_together(spark):
     rows = [(1, 5, 3, True), (1, 5, 1, True), (2, 6, 1, True), (3, 6, 1, True), (2, 7, 3, True), (3, 7, 1, True)]
     keyed = spark.createDataFrame(rows, "id bigint, key bigint, role int, open boolean")
     assert [tuple(r) for r in fuzzy._met(keyed, True).collect()] == [(7, False)]
+
+
+@pytest.mark.parametrize("large,leaf", [(0, 12), (3, 2)])
+def test_pairs_one_edit_apart_come_once(spark, monkeypatch, large, leaf):
+    """Without a step that makes pairs distinct: a character left out between halves, or of several equal ones, counts in one group only."""
+    monkeypatch.setattr(fuzzy, "LARGE", large)
+    monkeypatch.setattr(fuzzy, "LEAF", leaf)
+    dice = random.Random(large)
+    texts = set(some(dice, 7, 120, "ab")) | set(some(dice, 9, 30, "aé🙂")) | {f"name {k:04d}" for k in range(0, 120, 3)} | {"a" * k for k in range(12)} | {""}
+    texts |= {t[:i] + t[i + 1 :] for t in ["name 0001", "aaaabbbbaaaa"] for i in range(len(t))} | {"aaaabbbbaaaa"}
+    texts = sorted(texts)
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    want = sorted((a, b) for a in texts for b in texts if a < b and abs(len(a) - len(b)) < 2 and edits(a, b) == 1)
+    assert pairs(fuzzy.one_edit_pairs(df)) == want
+
+
+def test_short_and_long_texts_one_edit_apart(spark, monkeypatch):
+    """A text of the greatest length that is short meets short ones and long ones."""
+    monkeypatch.setattr(fuzzy, "SHORT", 8)
+    texts = sorted({"abcdefghij"[:k] for k in range(4, 11)} | {"abcdefgX", "abcdefgXi", "abcdefghX"})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = sorted((a, b, 1) for a in texts for b in texts if a < b and edits(a, b) == 1)
+    assert pairs(fuzzy.fuzzy_join(df, None, "t", None, 1)) == want
