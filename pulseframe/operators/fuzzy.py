@@ -33,8 +33,8 @@ from pulseframe.session import ensure_checkpoint_dir, scratch_path
 
 #: A group with more texts than this on both sides is cut again.
 LARGE = 256
-#: So many keys at most are broadcast to pick the rows that have one of them.
-BROADCAST_KEYS = 1_000_000
+#: So many keys at most are broadcast to pick the rows that have one of them. Of more, a few bits each are, up to so many in all.
+BROADCAST_KEYS, MOST_BITS = 100_000, 1 << 31
 #: Up to this length, a text may stand for itself in the pairs of texts that are one edit apart.
 SHORT = 64
 #: Up to this length, a part with one edit left is looked up by all that it leaves when a character goes.
@@ -185,9 +185,23 @@ def _met(keyed: DataFrame, among: bool) -> DataFrame:
     return (groups.where("lo <> hi") if among else groups).select("key", (F.least("n", "m") > LARGE).alias("large")).checkpoint()
 
 
+def _marked(rows: DataFrame, number: Column, numbers: DataFrame) -> DataFrame:
+    """The rows with one of the numbers (value), picked where they are by a bit for each number."""
+    bits = numbers.select(F.bitmap_bucket_number("value").alias("bucket"), F.bitmap_bit_position("value").alias("bit"))
+    bits = F.broadcast(bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.getbit(byte, (at % 8).cast("int")) == 1
+    return rows.withColumn("bucket", F.bitmap_bucket_number(number)).join(bits, "bucket").where(has).drop("bucket", "bits")
+
+
 def _having(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows with one of the keys; they stay where they are unless there are many keys."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+    """The rows with one of the keys. If the keys are many, most other rows are left out by some bits of theirs, and the rest is moved."""
+    n = keys.count()
+    if n <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), "key", "left_semi")
+    number = F.col("key").bitwiseAND(F.lit(min(MOST_BITS, 1 << (16 * n).bit_length()) - 1)) + 1
+    return _marked(rows, number, keys.select(number.alias("value"))).join(keys, "key", "left_semi")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, edits: int, distance: int, among: bool = False, gap: int = 0) -> DataFrame:
@@ -303,13 +317,8 @@ def one_edit_pairs(texts: DataFrame) -> DataFrame:
 
 
 def _only_in(texts: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """The texts whose id a column of ``pairs`` has, picked where they are by a bit for each id."""
-    bits = pairs.select(F.bitmap_bucket_number(column).alias("bucket"), F.bitmap_bit_position(column).alias("bit"))
-    bits = F.broadcast(bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
-    at = F.bitmap_bit_position("id")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    has = F.getbit(byte, (at % 8).cast("int")) == 1
-    return texts.withColumn("bucket", F.bitmap_bucket_number("id")).join(bits, "bucket").where(has).drop("bucket", "bits")
+    """The texts whose id a column of ``pairs`` has."""
+    return _marked(texts, F.col("id"), pairs.select(F.col(column).alias("value")))
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame | None, left_text: str, right_text: str | None, distance: int = 1, metric: str = "levenshtein") -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from pulseframe.functions.edits import Texts, distances, swap_distances
 from pulseframe.operators import fuzzy
@@ -174,3 +175,22 @@ def test_short_and_long_texts_one_edit_apart(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     want = sorted((a, b, 1) for a in texts for b in texts if a < b and edits(a, b) == 1)
     assert pairs(fuzzy.fuzzy_join(df, None, "t", None, 1)) == want
+
+
+def test_many_keys_leave_most_rows_in_place(spark, monkeypatch):
+    """Where keys are too many to broadcast, bits of them keep nearly all other rows out of the join that follows."""
+    monkeypatch.setattr(fuzzy, "BROADCAST_KEYS", 100)
+    rows = spark.range(40_000).selectExpr("id", "xxhash64(id) as key")
+    keys = rows.where("id % 100 = 7").select("key")
+    assert sorted(r["id"] for r in fuzzy._having(rows, keys).collect()) == list(range(7, 40_000, 100))
+    moved, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, on, how="inner": how == "left_semi" and moved.append(self.count()) or join(self, other, on, how))
+    assert fuzzy._having(rows, keys).count() == 400 <= moved[0] < 6_000
+
+
+def test_join_with_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "BROADCAST_KEYS", 0)
+    texts = sorted({"".join(random.Random(k % 40).choices("abcdefgh", k=30))[: 30 - k // 40] for k in range(120)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = sorted((a, b, edits(a, b)) for a in texts for b in texts if a < b and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2)
+    assert len(want) == 120 and pairs(fuzzy.fuzzy_join(df, None, "t", None, 2)) == want
